@@ -6,11 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.session import table
 
-from . import line_dedup, pii
+from . import line_dedup, packing, pii
 
 #: Sites on which a line must stand to count as boilerplate; ``documents`` has 20 sources.
 MIN_SITES = 10
 
+#: The tokenizer file of the packer; ``public_tokenizers`` is where it is installed.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(packing.pieces(docs, tokenizer_path(TOKENIZER)), docs.count())
+
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
