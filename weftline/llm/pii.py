@@ -31,6 +31,8 @@ as it is, whole texts are searched whatever their length; extra columns pass thr
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
@@ -49,6 +51,11 @@ KINDS = {"email": EMAIL, "secret": SECRET, "phone": PHONE, "ipv4": IPV4, "date":
 ANY = "|".join(KINDS.values())
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of ``value``, which is evaluated once however often ``then`` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def _stream(key: str, kind: str, turn: Column, place: Column, other: Column) -> Column:
     """A number below 2**48 from the round function."""
     digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), place.cast("string"), other), 256)
@@ -130,15 +137,23 @@ def _email(m: Column, key: str) -> Column:
 
 def _phone(m: Column, key: str) -> Column:
     code = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)
-    rest = F.substring(m, F.length(code) + 1, F.length(m))
-    return F.concat(code, _with_digits(rest, permuted_text(_digits(rest), key, "phone")))
+
+    def moved(rest: Column) -> Column:
+        return _let(permuted_text(_digits(rest), key, "phone"), lambda d: _with_digits(rest, d))
+
+    return F.concat(code, _let(F.substring(m, F.length(code) + 1, F.length(m)), moved))
 
 
 def _card(m: Column, key: str) -> Column:
-    digits = _digits(m)
-    body = permuted_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-    check = (10 - luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    return F.when(luhn_sum(digits) % 10 == 0, _with_digits(m, F.concat(body, check.cast("string")))).otherwise(m)
+    def checked(body: Column) -> Column:
+        check = _let(F.concat(body, F.lit("0")), lambda b: (10 - luhn_sum(b) % 10) % 10)
+        return _let(F.concat(body, check.cast("string")), lambda d: _with_digits(m, d))
+
+    def moved(digits: Column) -> Column:
+        body = permuted_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
+        return F.when(luhn_sum(digits) % 10 == 0, _let(body, checked)).otherwise(m)
+
+    return _let(_digits(m), moved)
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -146,7 +161,7 @@ def _ipv4(m: Column, key: str) -> Column:
     part = [F.get(parts, k).cast("long") for k in range(4)]
     value = part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3]
     new = permuted_number(value, 65536, 65536, key, "ipv4")
-    out = F.concat_ws(".", *[(F.floor(new / 256**k) % 256).cast("long").cast("string") for k in (3, 2, 1, 0)])
+    out = _let(new, lambda n: F.concat_ws(".", *[(F.floor(n / 256**k) % 256).cast("long").cast("string") for k in (3, 2, 1, 0)]))
     return F.when(F.forall(parts, lambda p: p.cast("int") <= 255), out).otherwise(m)
 
 
@@ -163,10 +178,13 @@ def _ssn(m: Column, key: str) -> Column:
     valid = (area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0)
     place = F.when(area < 666, area - 1).otherwise(area - 2)  # 898 areas in use
     new = permuted_number((place * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, key, "ssn")
-    front = F.floor(new / 9999)
-    at = F.floor(front / 99) + 1
-    out = F.format_string("%03d-%02d-%04d", F.when(at < 666, at).otherwise(at + 1).cast("long"), (front % 99 + 1).cast("long"), (new % 9999 + 1).cast("long"))
-    return F.when(valid, out).otherwise(m)
+
+    def shown(n: Column) -> Column:
+        front = F.floor(n / 9999)
+        at = F.floor(front / 99) + 1
+        return F.format_string("%03d-%02d-%04d", F.when(at < 666, at).otherwise(at + 1).cast("long"), (front % 99 + 1).cast("long"), (n % 9999 + 1).cast("long"))
+
+    return F.when(valid, _let(new, shown)).otherwise(m)
 
 
 def pseudonym(found: Column, key: str) -> Column:
