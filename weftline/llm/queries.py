@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.session import table
 
-from . import line_dedup, packing, pii
+from . import jaccard, line_dedup, packing, pii
 
 #: Sites on which a line must stand to count as boilerplate; ``documents`` has 20 sources.
 MIN_SITES = 10
@@ -31,6 +31,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(docs, min_sites=MIN_SITES).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.jaccard_classes(docs, words=3, similarity="0.9").select("doc_id", "n_shingles", "component_id")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs).select("doc_id", "text", "n_pseudonyms")
