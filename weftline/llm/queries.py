@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.session import table
 
-from . import jaccard, line_dedup, packing, pii
+from . import jaccard, line_dedup, packing, pii, quality
+from .common import staged
 
 #: Sites on which a line must stand to count as boilerplate; ``documents`` has 20 sources.
 MIN_SITES = 10
@@ -36,6 +37,24 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(docs, words=3, similarity="0.9").select("doc_id", "n_shingles", "component_id")
 
 
+#: A row is held out of training when crc32 of its doc_id modulo this many folds is ``HELD_OUT``.
+FOLDS, HELD_OUT = 4, 2
+#: Score from which a document counts as good.
+GOOD = 0.7
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.crc32(F.col(doc_id).cast("string")) % FOLDS == HELD_OUT
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    stats = staged(quality.document_statistics(docs), "quality-stats")
+    model = quality.QualityModel.fit(quality.labelled_rows(stats, labels.filter(~held_out())))
+    scored = quality.scores(stats, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs).select("doc_id", "text", "n_pseudonyms")
