@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import queries as q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in vars(q).items() if name.startswith("op") and name[2:].split("_")[0].isdigit()}
+    found = {name: f for name, f in vars(q).items() if name.startswith("op") and name[2:].split("_")[0].isdigit()}
+    return found | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": q.LINE_DEDUP_SQL}
+    found = {"op10_line_dedup": q.LINE_DEDUP_SQL}
+    return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
