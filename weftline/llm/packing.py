@@ -67,32 +67,34 @@ class BestFit:
         self.capacities = np.array(capacities, dtype=float)
         self.scale = np.array(weights, dtype=float) / self.capacities
         self.rule = rule
-        self.left = np.empty((1024, 3))
+        self.left = np.empty((3, 1024))
         self.name = np.empty(1024, dtype=np.int64)
         self.open = self.made = 0
 
     def place(self, length: int) -> tuple[int, int]:
         """(sequence, offset) for a piece."""
         need = np.array([length, 1.0, float(length) * length])
-        left = self.left[: self.open]
-        fits = np.flatnonzero((left >= need).all(axis=1)) if self.open else ()
+        tokens, documents, cost = self.left[:, : self.open]
+        fits = np.flatnonzero((tokens >= need[0]) & (documents >= need[1]) & (cost >= need[2])) if self.open else ()
         if len(fits):
-            rest = (left[fits] - need) * self.scale
-            # a full sequence leaves nothing: the norm over tokens first, the others by weight
-            score = -np.einsum("ij,ij->i", rest, rest) if self.rule == "norm" else (left[fits] * self.scale) @ (need * self.scale)
-            at = int(fits[int(np.argmax(score))])
+            left = self.left[:, fits]
+            if self.rule == "norm":
+                rest = (left - need[:, None]) * self.scale[:, None]
+                at = int(fits[int(np.argmin((rest * rest).sum(axis=0)))])
+            else:
+                at = int(fits[int(np.argmax((self.scale * self.scale * need) @ left))])
         else:
-            if self.open == len(self.left):
-                self.left = np.concatenate([self.left, np.empty_like(self.left)])
+            if self.open == self.left.shape[1]:
+                self.left = np.concatenate([self.left, np.empty_like(self.left)], axis=1)
                 self.name = np.concatenate([self.name, np.empty_like(self.name)])
-            at, self.left[self.open], self.name[self.open] = self.open, self.capacities, self.made
+            at, self.left[:, self.open], self.name[self.open] = self.open, self.capacities, self.made
             self.open += 1
             self.made += 1
-        sequence, offset = int(self.name[at]), int(self.capacities[0] - self.left[at, 0])
-        self.left[at] -= need
-        if (self.left[at, :2] < 1).any():
+        sequence, offset = int(self.name[at]), int(self.capacities[0] - self.left[0, at])
+        self.left[:, at] -= need
+        if (self.left[:2, at] < 1).any():
             self.open -= 1
-            self.left[at], self.name[at] = self.left[self.open], self.name[self.open]
+            self.left[:, at], self.name[at] = self.left[:, self.open], self.name[self.open]
         return sequence, offset
 
 

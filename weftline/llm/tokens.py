@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 #: Distinct words whose ids a Python worker keeps; about 250 bytes each.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_200_000
 #: Marks after a word that the tokenizer splits from it, with nothing but the marks in one piece.
 TAILS = ",.;:?!()[]{}<>#$%&*|+=/\\\"-"
 #: Python's str.split() takes these for white space; the tokenizer doesn't.
@@ -58,22 +58,23 @@ class WordMemo:
         new = [w for w in set().union(*map(str.split, texts)) if w not in memo] if texts else []
         tailed, letters, odd = [], set(), []
         for w in new:
-            if w.isalpha():
-                letters.add(w)
-            else:
-                core = w.rstrip(TAILS)
-                if core.isalpha():
-                    tailed.append((w, core, w[len(core) :]))
-                    letters.add(core)
-                else:
-                    odd.append(w)
-        odd += {t for _, _, t in tailed if t not in memo}.difference(odd)
+            core = w if w.isalpha() else w.rstrip(TAILS)
+            if not core.isalpha():
+                odd.append(w)
+                continue
+            tail, low = w[len(core) :], core.lower()  # the tokenizer lower-cases letter by letter
+            if low != core and low.isalpha() and "\u03a3" not in core:
+                core = low
+            letters.add(core)
+            if len(core) != len(w) or core != w:
+                tailed.append((w, core, tail))
+        odd += {t for _, _, t in tailed if t and t not in memo}.difference(odd)
         letters = [w for w in letters if w not in memo]
         found = dict(zip(odd, self._encode(odd), strict=True))
         found.update(zip(letters, self._encode_words(letters), strict=True))
         known = _Both(found, memo)
         for w, core, tail in tailed:
-            found[w] = known[core] + known[tail]
+            found[w] = known[core] + known[tail] if tail else known[core]
         room = MEMO_WORDS - len(memo)
         if len(found) <= room:
             memo.update(found)
