@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.session import table
 
-from . import jaccard, line_dedup, packing, pii, quality
+from . import fingerprint, jaccard, line_dedup, packing, pii, quality
 from .common import staged
 
 #: Sites on which a line must stand to count as boilerplate; ``documents`` has 20 sources.
@@ -37,6 +37,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(docs, words=3, similarity="0.9").select("doc_id", "n_shingles", "component_id")
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.with_neighbour(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 #: A row is held out of training when crc32 of its doc_id modulo this many folds is ``HELD_OUT``.
 FOLDS, HELD_OUT = 4, 2
 #: Score from which a document counts as good.
