@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.session import table
 
-from . import fingerprint, jaccard, line_dedup, packing, pii, quality
+from . import fingerprint, jaccard, line_dedup, media, packing, pii, quality
 from .common import staged
 
 #: Sites on which a line must stand to count as boilerplate; ``documents`` has 20 sources.
@@ -32,6 +32,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.remove_boilerplate(docs, min_sites=MIN_SITES).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = staged(media.write_shards(docs, media.media_folder(spark)), "media-index")
+    found = media.with_features(media.with_header(index))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "width", "height", "bits")
+
+
 def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.jaccard_classes(docs, words=3, similarity="0.9").select("doc_id", "n_shingles", "component_id")
