@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.session import table
 
-from . import fingerprint, jaccard, line_dedup, media, packing, pii, quality
+from . import fingerprint, jaccard, line_dedup, media, packing, pii, quality, warc
 from .common import staged
 
 #: Sites on which a line must stand to count as boilerplate; ``documents`` has 20 sources.
@@ -27,6 +27,11 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(docs, tokenizer_path(TOKENIZER)), docs.count())
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "warc_file", "warc_offset", "warc_length")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.remove_boilerplate(docs, min_sites=MIN_SITES).select("doc_id", "text", "n_lines", "n_removed")
