@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.session import table
 
-from . import fingerprint, jaccard, line_dedup, media, packing, pii, quality, warc
+from . import extract, fingerprint, jaccard, line_dedup, media, packing, pii, quality, warc
 from .common import staged
 
 #: Sites on which a line must stand to count as boilerplate; ``documents`` has 20 sources.
@@ -32,6 +32,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at", "warc_file", "warc_offset", "warc_length")
 
 
+def op9_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars", "path")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return line_dedup.remove_boilerplate(docs, min_sites=MIN_SITES).select("doc_id", "text", "n_lines", "n_removed")
