@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.session import table
 
-from . import extract, fingerprint, jaccard, line_dedup, media, packing, pii, quality, warc
+from . import extract, fingerprint, jaccard, line_dedup, media, packing, pii, quality, sentencepiece_fst, warc
 from .common import staged
 
 #: Sites on which a line must stand to count as boilerplate; ``documents`` has 20 sources.
@@ -53,6 +53,16 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(docs, words=3, similarity="0.9").select("doc_id", "n_shingles", "component_id")
 
 
+#: The model file of the SentencePiece transducer.
+PIECES = "piece_bpe_32k.model"
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(PIECES)
+    both = sentencepiece_fst.decoded(sentencepiece_fst.encoded(docs, path), path)
+    return both.select("doc_id", "n_ids", "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_neighbour(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
