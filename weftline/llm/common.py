@@ -31,15 +31,24 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Cuts the lineage: later jobs reread the table, whatever executors are lost, and never
-    run the work above it again.
+    run the work above it again. ``arrow_rows`` bounds the rows that go to Python at once while
+    it is written, for rows of many kilobytes.
     """
     spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
+    path, before = scratch(spark, name), spark.conf.get(ARROW_ROWS)
+    if arrow_rows:
+        spark.conf.set(ARROW_ROWS, arrow_rows)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

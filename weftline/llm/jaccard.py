@@ -4,14 +4,20 @@ The join follows set-relation skipping:
 
 1. Equal sets are one node, named by a hash of the set and its size. Work from here on is on
    nodes, so that a text copied a million times is joined once.
-2. Shingles get a global order: those of many sets last. A fixed-size table of counts over all
-   sets (one slot per hash bucket, summed over tasks) tells the common ones. The order only
-   steers the work; any order gives the same links.
+2. Shingles get a global order: those of many sets last, and of the others those of rare words
+   first, which are hardly shared by chance. Two tables of fixed size count shingles and words
+   over all sets (one slot per hash bucket, summed over tasks). The order only steers the work;
+   any order gives the same links.
 3. Two sets of the wanted similarity share a shingle among the first few of each (its prefix).
-   Prefix entries form the index lists; the least entry of a list (by a hash) is its leader, and
+   Prefix entries form the index lists; the least entry of a list (nodes are
+   named by a hash) is its leader, and
    each entry's set goes to the leaders of its lists, once each. Two entries of one list meet at
    that list's leader, so that no pair is missed, and no pair is ever a row.
-4. A leader's gathering is cut into blocks of bounded size, and tasks take pairs of blocks. Within
+4. First only parity bitmaps go to the leaders, a bit or two for each shingle: two bitmaps differ in
+   no more bits than the sets differ in members, so that a set without a partner close enough
+   stays at home. The sets of the others follow, but not to leaders all of whose sets meet
+   elsewhere too.
+5. A leader's gathering is cut into blocks of bounded size, and tasks take pairs of blocks. Within
    one, lists are kept by size and by position. Sizes out of range skip a block of the list at
    once; so do positions too late to leave enough shingles. The overlaps of a set with all
    others come from those of a highly similar set: only lists of shingles in which the two differ
@@ -33,17 +39,19 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .common import spread, staged
 from .components import connected_components
-from .shingles import shingle_set
+from .shingles import runs_of, shingle_set, word_hashes
 
-#: Slots of the table of counts: 4 bytes each.
+#: Slots of each table of counts: 4 bytes each. The second table, for words, follows the first.
 BUCKETS = 1 << 20
 PARTS = 16
-#: Shingles in a block of a leader's gathering; a task holds two blocks.
-BLOCK = 1_000_000
+#: A list is long if its slot counts more sets than this and this many times the mean; no other list is longer.
+LONG, LONG_MEANS = 2_000, 8
+#: Shingles in a block of a leader's gathering when sets, or only their bitmaps, are compared; a task holds two blocks.
+BLOCK, BITMAP_BLOCK = 500_000, 16_000_000
 #: Bits of the bitmap of nodes with a partner.
 BITS = 1 << 24
 
@@ -58,6 +66,18 @@ def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
+def parity_bits(n: int) -> int:
+    """Bits of the bitmap of a set of n members: the power of two from n up, 64 at least."""
+    return max(64, 1 << max(0, n - 1).bit_length())
+
+
+def parity(members: np.ndarray) -> bytes:
+    """For each bit, whether an odd number of members falls on it."""
+    bits = parity_bits(len(members))
+    odd = np.bincount((members & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
 def _name(members: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes()))))
 
@@ -77,34 +97,36 @@ def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """The node of each document, and how many sets (copies in one task counted once) fall in each bucket."""
 
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known, rows, held, n_held = np.zeros(BUCKETS, dtype=np.int64), set(), [], [], 0
-        kinds = {"doc_id": pa.int64(), "node": pa.int64(), "n": pa.int64(), "part": pa.int32(), "counts": pa.binary()}
+        counts, known, rows, held, n_held = np.zeros(2 * BUCKETS, dtype=np.int64), set(), [], [], 0
+        kinds = {"doc_id": pa.int64(), "node": pa.int64(), "n": pa.int64(), "bitmap": pa.binary(), "part": pa.int32(), "counts": pa.binary()}
 
         def out(rows: list) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
         for doc_id, text in _texts(found):
-            members = shingle_set(text, words)
+            hashes = word_hashes(text)
+            members = np.unique(runs_of(hashes, words))
             node = _name(members)
-            rows.append((doc_id, node, len(members), None, None))
-            if node not in known and len(members):
+            fresh = node not in known and len(members) > 0
+            rows.append((doc_id, node, len(members), parity(members) if fresh else None, None, None))
+            if fresh:
                 known.add(node)
-                held.append(members)
+                held += [_bucket(members), _bucket(hashes) + BUCKETS]
                 n_held += len(members)
             if n_held > BUCKETS:
-                counts += np.bincount(_bucket(np.concatenate(held)), minlength=BUCKETS)
+                counts += np.bincount(np.concatenate(held), minlength=2 * BUCKETS)
                 held, n_held = [], 0
             if len(rows) >= 10_000:
                 yield out(rows)
                 rows = []
         if held:
-            counts += np.bincount(_bucket(np.concatenate(held)), minlength=BUCKETS)
+            counts += np.bincount(np.concatenate(held), minlength=2 * BUCKETS)
         if known:
-            rows += [(None, None, None, k, x.astype("<i4").tobytes()) for k, x in enumerate(np.split(counts, PARTS))]
+            rows += [(None, None, None, None, k, x.astype("<i4").tobytes()) for k, x in enumerate(np.split(counts, PARTS))]
         if rows:
             yield out(rows)
 
-    both = staged(docs.mapInArrow(read, "doc_id long, node long, n long, part int, counts binary"), "jaccard-survey")
+    both = staged(docs.mapInArrow(read, "doc_id long, node long, n long, bitmap binary, part int, counts binary"), "jaccard-survey")
 
     def total(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -114,20 +136,26 @@ def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype("<i4").tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
     tables = both.filter("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(total, "part int, counts binary")
-    counts = np.zeros((PARTS, BUCKETS // PARTS), dtype=np.int32)
+    counts = np.zeros((PARTS, 2 * BUCKETS // PARTS), dtype=np.int32)
     for row in tables.collect():  # PARTS rows
         counts[row.part] = np.frombuffer(row.counts, dtype="<i4")
-    return both.filter("part is null").select("doc_id", "node", "n"), counts.reshape(-1)
+    return both.filter("part is null").select("doc_id", "node", "n", "bitmap"), counts.reshape(-1)
 
 
-def _ordered(members: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Members in the global order: by the power of two of their bucket's count, then by hash."""
+def _prefix(hashes: np.ndarray, words: int, counts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(all members, the first of them in the global order): by the power of two of the slot's count, by the words' frequency, by hash."""
+    members, first = np.unique(runs_of(hashes, words), return_index=True)
+    if not len(members):
+        return members, members
+    commonness = np.log2(1.0 + counts[_bucket(hashes) + BUCKETS])
+    n = min(words, len(hashes))
+    common = sum(commonness[k : len(hashes) - n + 1 + k] for k in range(n))[first]
     level = np.frexp(counts[_bucket(members)].astype(np.float64))[1]
-    return members[np.lexsort((members, level))]
+    return members, members[np.lexsort((members, np.round(4 * common), level))][: prefix_length(len(members), num, den)]
 
 
 def _entries(docs: DataFrame, words: int, num: int, den: int, counts) -> DataFrame:
-    """(token, node, n, place, size) of every prefix entry of every node."""
+    """(token, node, n, long) of every prefix entry of every node; ``long`` where the token's list may be long."""
 
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, n_held = set(), [], 0
@@ -137,15 +165,16 @@ def _entries(docs: DataFrame, words: int, num: int, den: int, counts) -> DataFra
             tokens = np.concatenate([p for _, _, p in held]).view(np.int64)
             node = np.repeat(np.array([x for x, _, _ in held], dtype=np.int64), sizes)
             n = np.repeat(np.array([x for _, x, _ in held], dtype=np.int64), sizes)
-            return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(node), pa.array(n)], ["token", "node", "n"])
+            long = counts.value[_bucket(tokens.view(np.uint64))] > limit
+            return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(node), pa.array(n), pa.array(long)], ["token", "node", "n", "long"])
 
+        limit = max(LONG, LONG_MEANS * float(counts.value[:BUCKETS].mean()))
         for (text,) in _texts(found):
-            members = shingle_set(text, words)
+            members, prefix = _prefix(word_hashes(text), words, counts.value, num, den)
             node = _name(members)
             if not len(members) or node in known:
                 continue
             known.add(node)
-            prefix = _ordered(members, counts.value)[: prefix_length(len(members), num, den)]
             held.append((node, len(members), prefix))
             n_held += len(prefix)
             if n_held > 50_000:
@@ -154,17 +183,29 @@ def _entries(docs: DataFrame, words: int, num: int, den: int, counts) -> DataFra
         if held:
             yield out(held)
 
-    return docs.select("text").mapInArrow(read, "token long, node long, n long")
+    return docs.select("text").mapInArrow(read, "token long, node long, n long, long boolean")
 
 
 def _gatherings(entries: DataFrame, num: int, den: int) -> DataFrame:
-    """(leader, leader_n, node, n): which leaders each node's set goes to; a leader goes to itself."""
-    rank = F.struct(F.xxhash64("node"), F.col("node"), F.col("n"))
-    lists = entries.groupBy("token").agg(F.min(rank).alias("first"), F.max(rank).alias("last"), F.count("*").alias("size"), F.min("n").alias("least"), F.max("n").alias("most"))
+    """(leader, node, n): which leaders each node's set goes to; a leader goes to itself."""
+    facts = {"leader": F.min("node"), "last": F.max("node"), "size": F.count("*"), "least": F.min("n"), "most": F.max("n")}
     # a list whose two sets differ too much in size links nothing
-    lists = lists.filter((F.col("first") != F.col("last")) & ((F.col("size") > 2) | (F.col("most") * num <= F.col("least") * den)))
-    lists = lists.select("token", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n"))
-    return entries.join(lists, "token").groupBy("leader", "leader_n", "node", "n").agg(F.lit(1).alias("_")).drop("_")
+    useful = (F.col("leader") != F.col("last")) & ((F.col("size") > 2) | (F.col("most") * num <= F.col("least") * den))
+    # short lists: one exchange, facts by window; long ones: facts by partial aggregation, and a join that can be split
+    short = entries.filter("NOT long").select("token", "node", "n").withColumns({k: v.over(W.partitionBy("token")) for k, v in facts.items()}).filter(useful)
+    rest = entries.filter("long").select("token", "node", "n")
+    lists = rest.groupBy("token").agg(*[v.alias(k) for k, v in facts.items()]).filter(useful).select("token", "leader")
+    both = short.select("leader", "node", "n").unionByName(rest.join(lists, "token").select("leader", "node", "n"))
+    return both.groupBy("leader", "node", "n").agg(F.lit(1).alias("_")).drop("_")
+
+
+def _covered(gathered: DataFrame) -> DataFrame:
+    """``gathered`` without the leaders all of whose sets meet at one other leader too."""
+    sizes = gathered.groupBy("leader").agg(F.count("*").alias("sets"))
+    sized = gathered.join(sizes, "leader")
+    main = sized.groupBy("node", "n").agg(F.max(F.struct("sets", "leader")).alias("main")).select("node", "n", F.col("main.leader").alias("main"))
+    ends = gathered.join(main, ["node", "n"]).groupBy("leader").agg(F.min("main").alias("a"), F.max("main").alias("b"))
+    return gathered.join(ends.filter("a = b AND a <> leader").select("leader"), "leader", "left_anti")
 
 
 def _bitmap(nodes: DataFrame) -> np.ndarray:
@@ -230,7 +271,7 @@ def linked_within(sets: list[np.ndarray], num: int, den: int, split: int | None
     if n_sets < 2:
         return []
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    if n_sets == 2:
+    if n_sets == 2 and split in (None, 1):
         shared = len(np.intersect1d(sets[0], sets[1], assume_unique=True)) if min(sizes) * den >= max(sizes) * num else 0
         return [(0, 1)] if shared and shared >= needed(sizes[0], sizes[1], num, den) else []
     vocabulary, local = np.unique(np.concatenate(sets), return_inverse=True)
@@ -286,48 +327,117 @@ def linked_within(sets: list[np.ndarray], num: int, den: int, split: int | None
     return links
 
 
+def near_in_bitmaps(sizes: list[int], bitmaps: list[bytes], firsts: list[bool] | None, num: int, den: int) -> set[int]:
+    """Which sets may have a partner among the others (if told, among those of the other kind), by their parity bitmaps."""
+    order = sorted(range(len(sizes)), key=lambda k: sizes[k])
+    n = np.array([sizes[k] for k in order], dtype=np.int64)
+    kind = np.array([firsts[k] for k in order]) if firsts else None
+    low = np.searchsorted(n, -(-num * n // den), side="left")
+    found = np.zeros(len(order), dtype=bool)
+    maps: dict[int, tuple[int, np.ndarray]] = {}  # for each number of bits: where its sets begin, their bitmaps
+    for bits in {parity_bits(int(x)) for x in n}:
+        at = [k for k in range(len(order)) if parity_bits(int(n[k])) == bits]
+        maps[bits] = at[0], np.frombuffer(b"".join(bitmaps[order[k]] for k in at), dtype="<u8").reshape(len(at), bits // 64)
+    for i in np.flatnonzero(low < np.arange(len(order))).tolist():
+        bits = parity_bits(int(n[i]))
+        start, own = maps[bits]
+        mine, end = own[i - start], i
+        while end > low[i]:
+            a = max(int(low[i]), start)
+            if a < end:
+                differ = np.bitwise_count(own[a - start : end - start] ^ mine).sum(axis=1)
+                near = differ <= n[i] + n[a:end] - 2 * needed(int(n[i]), n[a:end], num, den)
+                if kind is not None:
+                    near &= kind[a:end] != kind[i]
+                if near.any():
+                    found[a:end] |= near
+                    found[i] = True
+            end = min(end, start)
+            while end > low[i]:  # sets with a smaller bitmap: halves of the larger one, one upon the other
+                bits //= 2
+                mine = mine[: len(mine) // 2] ^ mine[len(mine) // 2 :]
+                if bits in maps:
+                    start, own = maps[bits]
+                    break
+    return {order[k] for k in np.flatnonzero(found).tolist()}
+
+
+KEYS = ["leader", "i", "j"]
+
+
+def _in_blocks(gathered: DataFrame, capacity: int) -> DataFrame:
+    """Each member of a gathering in all its pairs of blocks (i, j); ``first`` marks members of block i."""
+    total = gathered.groupBy("leader").agg(F.sum("n").alias("total"))
+    work = gathered.join(total, "leader").withColumn("blocks", F.ceil(F.col("total") / capacity).cast("int"))
+    work = work.withColumn("own", F.pmod(F.xxhash64("node", "n", F.lit(7)), F.col("blocks")).cast("int"))
+    work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    work = work.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return work.select(*KEYS, (F.col("own") == F.col("i")).alias("first"), "node", "n")
+
+
+def _groups(found: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows (first, node, n, data) of each pair of blocks, from rows sorted by ``KEYS``."""
+    key, rows = None, []
+    for batch in found:
+        for at in range(0, batch.num_rows, 1000):
+            for *now, first, node, n, data in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
+                if now != key:
+                    if len(rows) > 1:
+                        yield key, rows
+                    key, rows = now, []
+                rows.append((first, node, n, data))
+    if len(rows) > 1:
+        yield key, rows
+
+
+def _dealt(work: DataFrame, data: str) -> DataFrame:
+    return work.select(*KEYS, "first", "node", "n", data).repartition(spread(work.sparkSession), *KEYS).sortWithinPartitions(*KEYS)
+
+
+def _near(gathered: DataFrame, bitmaps: DataFrame, num: int, den: int) -> DataFrame:
+    """The rows of ``gathered`` that may have a partner there."""
+
+    def solve(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def batch_of(out: list) -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["leader", "node", "n"])
+
+        for (leader, i, j), rows in _groups(found):
+            near = near_in_bitmaps([r[2] for r in rows], [r[3] for r in rows], [r[0] for r in rows] if i != j else None, num, den)
+            out += [(leader, rows[k][1], rows[k][2]) for k in near]
+            if len(out) > 50_000:
+                yield batch_of(out)
+                out = []
+        yield batch_of(out)
+
+    work = _in_blocks(gathered, BITMAP_BLOCK).join(bitmaps, ["node", "n"])
+    return _dealt(work, "bitmap").mapInArrow(solve, "leader long, node long, n long").distinct()
+
+
 def _links(gathered: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """(a, a_n, b, b_n): links that span each gathering."""
-    total = gathered.groupBy("leader", "leader_n").agg(F.sum("n").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("total") / BLOCK), F.lit(1)).cast("int")
-    work = gathered.join(total, ["leader", "leader_n"]).withColumn("blocks", blocks)
-    own = F.pmod(F.xxhash64("node", "n", F.lit(7)), F.col("blocks")).cast("int")
-    # block k meets blocks 0..k as the second, k..blocks-1 as the first
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    work = work.withColumn("own", own).withColumn("other", other).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    work = work.select("leader", "leader_n", "i", "j", (F.col("own") == F.col("i")).alias("first"), "node", "n").join(sets, ["node", "n"])
 
     def solve(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
-
-        def done(key: tuple, rows: list) -> None:
-            rows.sort(key=lambda r: (not r[0], r[1], r[2]))
-            split = sum(r[0] for r in rows) if key[2] != key[3] else None
-            for a, b in linked_within([np.frombuffer(r[3], dtype=np.uint64) for r in rows], num, den, split):
-                out.append((rows[a][1], rows[a][2], rows[b][1], rows[b][2]))
+        out: list[tuple] = []
 
         def batch_of(out: list) -> pa.RecordBatch:
             columns = list(zip(*out, strict=True)) or [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "a_n", "b", "b_n"])
 
-        for batch in found:
-            for at in range(0, batch.num_rows, 1000):
-                for leader, leader_n, i, j, first, node, n, members in zip(*(c.to_pylist() for c in batch.slice(at, 1000).columns), strict=True):
-                    if (leader, leader_n, i, j) != key:
-                        if len(rows) > 1:
-                            done(key, rows)
-                        key, rows = (leader, leader_n, i, j), []
-                    rows.append((first, node, n, members))
-                if len(out) > 50_000:
-                    yield batch_of(out)
-                    out = []
-        if len(rows) > 1:
-            done(key, rows)
+        for (_, i, j), rows in _groups(found):
+            rows.sort(key=lambda r: (not r[0], r[1], r[2]))
+            split = sum(r[0] for r in rows) if i != j else None
+            for a, b in linked_within([np.frombuffer(r[3], dtype=np.uint64) for r in rows], num, den, split):
+                out.append((rows[a][1], rows[a][2], rows[b][1], rows[b][2]))
+            if len(out) > 50_000:
+                yield batch_of(out)
+                out = []
         yield batch_of(out)
 
-    keys = ["leader", "leader_n", "i", "j"]
-    work = work.select(*keys, "first", "node", "n", "members").repartition(spread(sets.sparkSession), *keys).sortWithinPartitions(*keys)
-    return work.mapInArrow(solve, "a long, a_n long, b long, b_n long")
+    work = _in_blocks(gathered, BLOCK).join(sets, ["node", "n"])
+    return _dealt(work, "members").mapInArrow(solve, "a long, a_n long, b long, b_n long")
 
 
 def jaccard_classes(docs: DataFrame, words: int = 5, similarity: Fraction | str = "0.8", text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -347,9 +457,11 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: Fraction | str
     shared = spark.sparkContext.broadcast(counts)
     entries = _entries(docs, words, num, den, shared)
     gathered = staged(_gatherings(staged(entries, "jaccard-entries"), num, den), "jaccard-gatherings")
+    bitmaps = rows.filter("bitmap is not null").select("node", "n", "bitmap").dropDuplicates(["node", "n"])
+    gathered = staged(_covered(staged(_near(gathered, bitmaps, num, den), "jaccard-near", arrow_rows=2000)), "jaccard-covered")
     bitmap = spark.sparkContext.broadcast(_bitmap(gathered.select("node")))
     sets = _sets(docs, words, bitmap)
-    links = staged(_links(gathered, sets, num, den), "jaccard-links")
+    links = staged(_links(gathered, sets, num, den), "jaccard-links", arrow_rows=200)
     # from nodes to their least documents
     lowest = rows.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("low"))
     ends = lowest.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("low").alias("low_a"))

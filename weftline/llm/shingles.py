@@ -17,18 +17,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Distinct hashes, sorted, of the runs of ``words`` words of a text.
-
-    A-Z count as a-z; words are what ASCII white space (bytes 32 and 9 to 13) separates. A text
-    of fewer words is one run; a text without words, or none, has the empty set.
-    """
+def word_hashes(text: str | None) -> np.ndarray:
+    """Hashes of a text's words: A-Z count as a-z, words are what ASCII white space (bytes 32 and 9 to 13) separates."""
     found = (text or "").encode().lower().split()
-    if not found:
-        return np.empty(0, dtype=np.uint64)
-    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
-    n = min(words, len(found))
-    runs = np.full(len(found) - n + 1, n, dtype=np.uint64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), np.uint64, len(found))
+
+
+def runs_of(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A hash for each run of ``words`` words in order; fewer words are one run, none give none."""
+    if not len(hashes):
+        return hashes
+    n = min(words, len(hashes))
+    runs = np.full(len(hashes) - n + 1, n, dtype=np.uint64)
     for k in range(n):
         runs = mixed((runs ^ hashes[k : k + len(runs)]) * _A + np.uint64(k))
-    return np.unique(runs)
+    return runs
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct hashes, sorted, of the runs of ``words`` words of a text."""
+    return np.unique(runs_of(word_hashes(text), words))
