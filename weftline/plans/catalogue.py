@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from weftline.operators import skeleton
+from weftline.plans import analytics, dialogues, documents, vectors  # noqa: F401  they register queries
+from weftline.plans.base import QUERIES, SQL, Query
+from weftline.session import table
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Skeletons of all documents."""
+    return skeleton.flagship(table(spark, sf_dir, "documents"))
