@@ -27,17 +27,21 @@ characters that a model without byte fallback doesn't know.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import CACHES, task_started
+from .tokens import _Both
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words whose ids a Python worker keeps.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 300_000
 UNIT = re.compile(f"{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+|\n")
 _LOADED: dict[str, Transducer] = {}
 
@@ -62,6 +66,9 @@ class Transducer:
         self.ids = {p: i for i, p in enumerate(self.pieces) if self.types[i] == NORMAL}
         self.longest = max(map(len, self.ids))
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
+        spell = {NORMAL: lambda i: self.pieces[i].replace(SPACE, " ").encode(), UNKNOWN: lambda i: " ⁇ ".encode(), CONTROL: lambda i: b"", BYTE: lambda i: bytes([int(self.pieces[i][3:5], 16)])}
+        self.spelled = [spell.get(t, spell[NORMAL])(i) for i, t in enumerate(self.types)]
         self.follows: dict[int, bool] = {}
         self.runs: dict[int, tuple[int, ...]] = {}
         if self.kind == BPE:
@@ -99,6 +106,11 @@ class Transducer:
         # arcs from each beginning of a piece: the piece's id, or -1 where only longer ones go on
         self.arcs = {p[:k]: -1 for p, i in self.ids.items() if self._reached(i) for k in range(1, len(p) + 1)}
         self.arcs |= {p: i for p, i in self.ids.items() if self._reached(i)}
+        # the same from the right: what pieces end in
+        self.ends = {p[k:]: -1 for p, i in self.ids.items() if self._reached(i) for k in range(len(p))}
+        self.ends |= {p: i for p, i in self.ids.items() if self._reached(i)}
+        self.sizes = [len(p) for p in self.pieces]
+        self.characters = {p for p in self.ids if len(p) == 1}
         inside = {p[k : k + 2] for p in self.arcs for k in range(len(p) - 1)}
         self.joined = inside.__contains__
 
@@ -147,7 +159,7 @@ class Transducer:
                 if start:
                     ok = follows.get(before | t)
                     if ok is None:
-                        if len(follows) > 1_000_000:
+                        if len(follows) > 600_000:
                             follows.clear()
                         ok = follows[before | t] = self._may_follow(last[start], t)
                     if not ok:
@@ -228,40 +240,120 @@ class Transducer:
             out = list(self._spaces(lead if alone else lead - 1)) + out[1 if alone else 0 :]
         return tuple(out)
 
-    def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        text = text.replace(" ", SPACE)
-        memo, out = self.memo, []
-        for unit in UNIT.findall(SPACE + text if self.dummy else text):
-            found = memo.get(unit)
-            if found is None:
-                found = self._unit(unit)
-                if len(memo) < MEMO_WORDS:
-                    memo[unit] = found
-            out += found
+    def _new_words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words after one space each, as little-endian 32-bit bytes.
+
+        In order, words share beginnings, and with them the states of the machine.
+        """
+        if self.kind != BPE:
+            return {w: self._word(w) for w in words}
+        found: dict[str, bytes] = {}
+        ends, follows, sizes = self.ends, self.follows, self.sizes
+        before, last = "", [-1]  # last[k]: the piece in which the first k characters end
+        for word in sorted(words):
+            if not self.characters.issuperset(word):
+                found[word] = self._word(word)
+                continue
+            text = SPACE + word
+            n, same = len(text), 0
+            for a, b in zip(before, text):  # noqa: B905
+                if a != b:
+                    break
+                same += 1
+            del last[same + 1 :]
+            for end in range(same + 1, n + 1):
+                start = end - 1
+                while start >= 0:
+                    t = ends.get(text[start:end])
+                    if t is None:
+                        break
+                    if t >= 0:
+                        if not start:
+                            break
+                        key = last[start] << 20 | t
+                        ok = follows.get(key)
+                        if ok is None:
+                            if len(follows) > 600_000:
+                                follows.clear()
+                            ok = follows[key] = self._may_follow(last[start], t)
+                        if ok:
+                            break
+                    start -= 1
+                last.append(t)
+            before = text
+            ids, end = [], n
+            while end:
+                t = last[end]
+                ids.append(t)
+                end -= sizes[t]
+            ids.reverse()
+            found[word] = array("i", ids).tobytes()
+        return found
+
+    def _word(self, word: str) -> bytes:
+        """The same for one word of any characters."""
+        ids: list[int] = []
+        for unit in UNIT.findall(SPACE + word):
+            ids += self._unit(unit) if unit[0] == SPACE else self._part_of_line(unit)
+        return np.array(ids, dtype="<i4").tobytes()
+
+    def _part_of_line(self, unit: str) -> tuple[int, ...]:
+        found = self.memo.get(unit)
+        if found is None:
+            found = self._unit(unit)
+            if len(self.memo) < MEMO_WORDS:
+                self.memo[unit] = found
+        return found
+
+    def encode_bytes(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text, as little-endian 32-bit bytes."""
+        out = []
+        words = self.words
+        plain = [bool(t) and self.dummy and t[0] != " " and "  " not in t and SPACE not in t for t in texts]
+        split = [t.split(" ") if ok else None for t, ok in zip(texts, plain, strict=True)]
+        new = self._new_words([w for w in set().union(*(x for x in split if x)) if w not in words])
+        room = MEMO_WORDS - len(words)
+        if len(new) <= room:
+            words.update(new)
+            known = words
+        else:
+            if room > 0:
+                words.update(dict(list(new.items())[:room]))
+            known = _Both(new, words)
+        for text, parts in zip(texts, split, strict=True):
+            if parts:
+                out.append(b"".join([known[w] for w in parts]))
+            elif not text:
+                out.append(b"")
+            else:
+                text = text.replace(" ", SPACE)
+                units = UNIT.findall(SPACE + text if self.dummy else text)
+                out.append(np.array([i for u in units for i in self._part_of_line(u)], dtype="<i4").tobytes())
         return out
 
+    def encode(self, text: str | None) -> list[int]:
+        return np.frombuffer(self.encode_bytes([text])[0], dtype="<i4").tolist()
+
     def decode(self, ids: list[int]) -> str:
         """The text of ``ids``; bytes that are no UTF-8 read as U+FFFD."""
-        parts, raw = [], bytearray()
-        for i in ids:
-            kind = self.types[i]
-            if kind == BYTE:
-                raw.append(i - self.byte_ids[0])
-                continue
-            if raw:
-                parts.append(raw.decode("utf-8", "replace"))
-                raw.clear()
-            parts.append(self.pieces[i] if kind in (NORMAL, USER, UNUSED) else " ⁇ " if kind == UNKNOWN else "")
-        if raw:
-            parts.append(raw.decode("utf-8", "replace"))
-        text = "".join(parts).replace(SPACE, " ")
+        spelled = self.spelled
+        text = b"".join([spelled[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.dummy and text[:1] == " " else text
 
 
+def _empty() -> None:
+    for machine in _LOADED.values():
+        machine.memo.clear()
+        machine.words.clear()
+        machine.follows.clear()
+
+
+CACHES.append(_empty)
+
+
 def transducer(path: str) -> Transducer:
     """The transducer of this Python worker for a model file."""
+    task_started()
     if path not in _LOADED:
         _LOADED[path] = Transducer(path)
     return _LOADED[path]
@@ -277,9 +369,9 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
         for batch in found:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [machine.encode(t) for t in part.column(part.num_columns - 1).to_pylist()]
-                sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-                flat = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+                ids = machine.encode_bytes(part.column(part.num_columns - 1).to_pylist())
+                sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+                flat = np.frombuffer(b"".join(ids), dtype="<i4")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(sizes)], [f.name for f in schema.fields])
 
@@ -297,7 +389,9 @@ def decoded(rows: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
             at = batch.schema.get_field_index(ids)
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                texts = [machine.decode(x) if x is not None else None for x in part.column(at).to_pylist()]
+                lists = part.column(at)
+                ends, flat = lists.offsets.to_numpy().tolist(), lists.values.to_numpy()
+                texts = [machine.decode(flat[a:b].tolist()) if ok else None for a, b, ok in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [f.name for f in schema.fields])
 
     return rows.select(*keep).mapInArrow(read, schema)
