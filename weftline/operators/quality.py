@@ -18,18 +18,28 @@ def in_order(text: Column, markers: Column) -> Column:
     return F.forall(at, lambda p: p > 0) & (F.array_sort(at) == at)
 
 
-def span_gate(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text: str = "text", key: str = "item_id", span: str = "span", prefix: int = 24) -> DataFrame:
+def span_gate(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text: str = "text", key: str = "item_id", span: str = "span", few: int = 1_000) -> DataFrame:
     """(id, item) pairs where a document contains a span.
 
-    Spans and document windows of ``prefix`` characters meet by hash, and only then is the whole
-    span looked for, so that documents and spans are never crossed.
+    A document that contains a span holds the span's second to fourth words in a row: these meet
+    by hash, and only then is the whole span looked for, so that documents and spans are never
+    crossed. Spans of fewer than five words have no such run; they must be at most ``few``.
     """
-    heads = spans.filter(F.length(span) >= prefix).select(F.col(key), F.col(span), F.xxhash64(F.substring(span, 1, prefix)).alias("h"))
-    n = heads.count()
-    windows = docs.select(F.col(id_col), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - prefix + 1, F.lit(1))), lambda i: F.xxhash64(F.substring(F.col(text), i, F.lit(prefix)))))).alias("h"))
-    hits = windows.join(F.broadcast(heads.select("h").distinct()) if n <= 100_000 else heads.select("h").distinct(), "h", "left_semi").select(id_col, "h")
-    found = hits.join(heads, "h").join(docs.select(id_col, text), id_col)
-    return found.filter(F.contains(F.col(text), F.col(span))).select(id_col, key).distinct()
+    ws = lambda c: F.transform(tx.words(F.col(c)), lambda w: F.xxhash64(w))
+    sized = spans.select(F.col(key), F.col(span), ws(span).alias("w")).filter(F.col(span).isNotNull() & (F.col(span) != ""))
+    heads = sized.filter(F.size("w") >= 5).select(key, span, F.xxhash64(F.get("w", F.lit(1)), F.get("w", F.lit(2)), F.get("w", F.lit(3))).alias("h"))
+    hashed = docs.select(F.col(id_col), F.col(text), ws(text).alias("w"))
+    n = F.greatest(F.size("w") - 2, F.lit(0))
+    runs = hashed.select(id_col, F.explode(F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i < n, F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))), lambda h: h.isNotNull()))).alias("h"))
+    hits = runs.join(heads, "h").select(id_col, key, span)
+    found = hits.join(docs.select(id_col, text), id_col).filter(F.contains(F.col(text), F.col(span))).select(id_col, key)
+    short = sized.filter(F.size("w") < 5).select(key, span)
+    n_short = short.count()
+    if n_short > few:
+        raise ValueError(f"{n_short} spans of fewer than five words; at most {few} are looked for one by one")
+    if n_short:
+        found = found.unionByName(docs.select(id_col, text).join(F.broadcast(short), F.contains(F.col(text), F.col(span))).select(id_col, key))
+    return found.distinct()
 
 
 def evaluated(fixtures: DataFrame, compressed: str = "compressed", spans: str = "answer_spans", tokens: str = "load_bearing_tokens", markers: str = "order_markers") -> DataFrame:
