@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Language by file extension.
@@ -86,8 +87,6 @@ PART = "kind string, name string, signature string, docstring string, start_line
 
 def code_chunks(files: DataFrame, path: str = "path", code: str = "code") -> DataFrame:
     """(path, language, kind, name, signature, docstring, start_line, end_line, calls) of each definition; parsing is Arrow-batched Python."""
-    import pandas as pd
-
     @F.pandas_udf(f"array<struct<{','.join(x.strip().replace(' ', ':', 1) for x in PART.split(', '))}>>")
     def parts(paths: pd.Series, codes: pd.Series) -> pd.Series:
         def of(p: str, c: str) -> list[dict]:

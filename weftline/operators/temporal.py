@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.functions import numbers as num
@@ -78,8 +79,6 @@ def merged_diff(old: Column, new: Column) -> Column:
 
 def unified_diff(versions: DataFrame, key: str = "doc_id", order: str = "version_id", text: str = "content", context: int = 3) -> DataFrame:
     """Each version with its unified diff against the one before."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def diff(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import unified_diff as ud

@@ -69,4 +69,4 @@ def structured_kind(text: Column) -> Column:
     jsonl = (F.size(lines) >= 2) & F.forall(lines, lambda x: F.substring(F.ltrim(x), 1, 1).isin("{", "[") & F.try_parse_json(x).isNotNull())
     width = F.size(F.split(F.get(lines, F.lit(0)), ","))
     csv = (F.size(lines) >= 2) & (width >= 2) & F.forall(lines, lambda x: F.size(F.split(x, ",")) == width) & ~text.contains('"')
-    return F.when(parsed.isNotNull() & (first == "["), "json_array").when(parsed.isNotNull() & (first == "{"), "json_object").when(jsonl, "jsonl").when(csv, "csv")
+    return F.when(jsonl, "jsonl").when(parsed.isNotNull() & (first == "["), "json_array").when(parsed.isNotNull() & (first == "{"), "json_object").when(csv, "csv")
