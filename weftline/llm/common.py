@@ -31,6 +31,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
 
 
+_STAGE = [-1]
+#: Functions that empty what a Python worker keeps between tasks of a stage.
+CACHES: list = []
+
+
+def task_started() -> None:
+    """To be called in a worker when it begins a partition: caches live no longer than a stage, and freed memory goes back."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    if task is None or task.stageId() == _STAGE[0]:
+        return
+    _STAGE[0] = task.stageId()
+    for empty in CACHES:
+        empty()
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
+
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

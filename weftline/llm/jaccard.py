@@ -41,7 +41,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import spread, staged
+from .common import spread, staged, task_started
 from .components import connected_components
 from .shingles import runs_of, shingle_set, word_hashes
 
@@ -87,6 +87,7 @@ def _bucket(members: np.ndarray) -> np.ndarray:
 
 
 def _texts(found: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    task_started()
     for batch in found:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
@@ -113,7 +114,7 @@ def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
                 known.add(node)
                 held += [_bucket(members), _bucket(hashes) + BUCKETS]
                 n_held += len(members)
-            if n_held > BUCKETS:
+            if n_held > BUCKETS // 4:
                 counts += np.bincount(np.concatenate(held), minlength=2 * BUCKETS)
                 held, n_held = [], 0
             if len(rows) >= 10_000:

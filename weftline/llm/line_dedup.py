@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import null_as_empty, staged
+from .common import null_as_empty, staged, task_started
 
 #: Boilerplate hashes that may be broadcast: about 150 bytes each in Python, so 60 MB a worker at most.
 BROADCAST_LINES = 400_000
@@ -80,7 +80,8 @@ def _with_set(docs: DataFrame, text: str, known: frozenset, max_share: float) ->
         return ("\n".join(keep) if removed else value), len(lines), removed
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
+        task_started()
+        for batch in (whole.slice(k, 500) for whole in found for k in range(0, whole.num_rows, 500)):
             at = batch.schema.get_field_index(text)
             out = [clean(x) for x in batch.column(at).to_pylist()]
             columns = batch.columns

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import staged
+from .common import staged, task_started
 
 #: Labelled rows that a fit reads at most, in expectation.
 MAX_LABELLED = 500_000
@@ -85,9 +85,12 @@ def document_statistics(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     """(doc_id, stats) for every row."""
 
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_started()
         for batch in found:
-            stats = [statistics_of(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"])
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                stats = [statistics_of(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(stats, pa.list_(pa.float64()))], ["doc_id", "stats"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string")).mapInArrow(read, f"doc_id {kind}, stats array<double>")
@@ -208,9 +211,11 @@ def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.7, text
     """The rows of ``docs`` with a score of at least ``threshold``."""
 
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_started()
         for batch in found:
-            at = batch.schema.get_field_index(text)
-            stats = np.array([statistics_of(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(STATISTICS))
-            yield batch.filter(pa.array(model.score(stats) >= threshold))
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                stats = np.array([statistics_of(t) for t in part.column(part.schema.get_field_index(text)).to_pylist()]).reshape(-1, len(STATISTICS))
+                yield part.filter(pa.array(model.score(stats) >= threshold))
 
     return docs.mapInArrow(read, docs.schema)

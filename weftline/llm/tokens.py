@@ -6,8 +6,10 @@ import re
 
 import numpy as np
 
+from .common import CACHES, task_started
+
 #: Distinct words whose ids a Python worker keeps; about 250 bytes each.
-MEMO_WORDS = 1_200_000
+MEMO_WORDS = 600_000
 #: Marks after a word that the tokenizer splits from it, with nothing but the marks in one piece.
 TAILS = ",.;:?!()[]{}<>#$%&*|+=/\\\"-"
 #: Python's str.split() takes these for white space; the tokenizer doesn't.
@@ -95,6 +97,14 @@ class WordMemo:
         return out
 
 
+def _empty() -> None:
+    for memo in _LOADED.values():
+        memo.memo.clear()
+
+
+CACHES.append(_empty)
+
+
 class _Both:
     def __init__(self, a: dict, b: dict):
         self.a, self.b = a, b
@@ -109,6 +119,7 @@ def word_memo(path: str) -> WordMemo:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    task_started()
     if path not in _LOADED:
         _LOADED[path] = WordMemo(path)
     return _LOADED[path]
