@@ -51,9 +51,9 @@ def replay_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return savings.replay_insights(_records(spark, sf_dir))
 
 
-@query(f"WITH {RECORDS} SELECT content_type, first(ratio ORDER BY fid DESC, event_id) AS ratio FROM r WHERE fid >= 0.5 GROUP BY content_type")
+@query(f"WITH {RECORDS} SELECT content_type, first(ratio ORDER BY fid DESC, event_id) AS ratio FROM r WHERE fid >= 0.05 GROUP BY content_type")
 def recommended_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return savings.recommended_ratio(_records(spark, sf_dir), 0.5)
+    return savings.recommended_ratio(_records(spark, sf_dir), 0.05)
 
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, max(value) FILTER (r = least(floor(n * 0.5), n - 1)) AS p50, max(value) FILTER (r = least(floor(n * 0.95), n - 1)) AS p95, max(value) FILTER (r = least(floor(n * 0.99), n - 1)) AS p99 FROM r GROUP BY event_type")
