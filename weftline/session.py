@@ -27,6 +27,15 @@ def build_session(app: str = "weftline", cores: int | None = None, **conf: str)
     return spark
 
 
+def reachable(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the driver found it, whatever folder they start in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
+    reachable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
