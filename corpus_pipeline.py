@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from weftline.llm import jaccard, line_dedup, packing, pii, quality
 from weftline.llm.common import staged
 from weftline.llm.queries import GOOD, MIN_SITES, TOKENIZER, held_out, tokenizer_path
-from weftline.session import table
+from weftline.session import reachable, table
 
 WORDS, SIMILARITY = 5, "0.8"
 
@@ -35,10 +35,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return _as_documents(line_dedup.remove_boilerplate(docs, min_sites=MIN_SITES), docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return jaccard.keep_one(docs, WORDS, SIMILARITY)
 
 
@@ -47,6 +49,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    reachable(spark)
     return packing.pack(packing.pieces(docs, tokenizer_path(TOKENIZER)), docs.count())
 
 
