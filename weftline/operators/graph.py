@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.functions import numbers as num
 
+from .grouped import by_group
+
 
 def similarity_edges(nodes: DataFrame, threshold: float, group: str = "label", id_col: str = "vec_id", embedding: str = "embedding", block: int = 256, unit: bool = True) -> DataFrame:
     """(group, src, dst, weight) with src < dst and cosine above ``threshold`` within a group.
@@ -37,7 +39,7 @@ def similarity_edges(nodes: DataFrame, threshold: float, group: str = "label", i
         return pd.DataFrame({"grp": pdf.grp.iloc[0], "src": np.minimum(one, two)[keep], "dst": np.maximum(one, two)[keep], "weight": w[x, y][keep]})
 
     kind = placed.schema["grp"].dataType.simpleString()
-    out = placed.groupBy("grp", "i", "j").applyInPandas(multiply, f"grp {kind}, src long, dst long, weight double")
+    out = by_group(placed.select("grp", "i", "j", "own", "id", "v"), ["grp", "i", "j"], multiply, f"grp {kind}, src long, dst long, weight double")
     return out.select(F.col("grp").alias(group), "src", "dst", "weight")
 
 
@@ -97,7 +99,7 @@ def pagerank_by_group(edges: DataFrame, group: str = "label", alpha: float = 0.8
         return pd.DataFrame({"grp": pdf.grp.iloc[0], "node": list(found), "rank": list(found.values())})
 
     kind = edges.schema[group].dataType.simpleString()
-    return edges.select(F.col(group).alias("grp"), "src", "dst", "weight").groupBy("grp").applyInPandas(solve, f"grp {kind}, node long, rank double").withColumnRenamed("grp", group)
+    return by_group(edges.select(F.col(group).alias("grp"), "src", "dst", "weight"), ["grp"], solve, f"grp {kind}, node long, rank double").withColumnRenamed("grp", group)
 
 
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, every: int = 5) -> DataFrame:

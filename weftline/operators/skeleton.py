@@ -12,14 +12,15 @@ def packed_parts(parts: Column, budget: int, joiner: str = " ", extra: int = 0)
     """Consecutive parts joined into chunks of at most ``budget`` tokens; a larger part is a chunk of its own."""
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("size"))
 
-    def add(s: Column, p: Column) -> Column:
-        n = tx.token_count(p)
+    def add(s: Column, x: Column) -> Column:
+        p, n = x["p"], x["n"]
         fits = (s["now"] != "") & (s["size"] + n + extra <= budget)
         return F.when(fits, F.struct(s["done"].alias("done"), F.concat(s["now"], F.lit(joiner), p).alias("now"), (s["size"] + n + extra).alias("size"))).otherwise(
             F.struct(F.when(s["now"] == "", s["done"]).otherwise(F.array_append(s["done"], s["now"])).alias("done"), p.alias("now"), n.alias("size"))
         )
 
-    return F.aggregate(parts, empty, add, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.array_append(s["done"], s["now"])))
+    sized = F.transform(parts, lambda p: F.struct(p.alias("p"), tx.token_count(p).alias("n")))
+    return F.aggregate(sized, empty, add, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.array_append(s["done"], s["now"])))
 
 
 def paragraph_chunks(text: Column, budget: int = 512) -> Column:
