@@ -274,3 +274,26 @@ def test_upserts_keep_the_latest(spark, tmp_path):
     run(spark.createDataFrame([("a", "1", 1), ("b", "1", 1)], "key string, content string, ts long"), 0)
     run(spark.createDataFrame([("a", "2", 2), ("a", "3", 3)], "key string, content string, ts long"), 1)
     assert {(r.key, r.content) for r in spark.read.parquet(str(tmp_path / "facts/v1")).collect()} == {("a", "3"), ("b", "1")}
+
+
+def test_advice(spark):
+    from weftline.operators import advice
+
+    f = advice.fidelity(F.col("u"), F.col("n"), F.col("b"))
+    assert [one(spark, f, u=u, n=n, b=b) for u, n, b in (("question_answering", 5, 300), ("question_answering", 3, 0), ("exact_quotes", 1, 100), ("quick_summary", 1000, 5))] == ["STRUCTURE", "DETAILED", "DETAILED", "ABSTRACT"]
+    assert [one(spark, advice.window_ratio(F.col("w"), F.col("t")), w=w, t=t) for w, t in ((50_000, 0.8), (1_000_000, 0.8), (1, 0.8))] == [0.1, 0.5, 0.01]
+    assert [one(spark, advice.should_compress(F.col("n"), F.col("s")), n=n, s=s) for n, s in (("a.PNG", 9), ("a.pdf", 9), ("a.md", 9), ("a.md", 9000))] == ["SKIP", "CONVERT", "DIRECT_READ", "COMPRESS"]
+
+
+def test_prompts(spark):
+    from weftline.operators import prompts
+
+    v = spark.createDataFrame([("p", 1, "s", "t", None, "c", "u"), ("p", 2, "s", "t", None, "d", "u"), ("p", 3, "S", "t", None, "d", "u")], "prompt string, version long, system string, tools string, policies string, context string, user string")
+    got = {r.version: (r.stable_changes, r.volatile_changes) for r in prompts.changed_fields(v).collect()}
+    assert got == {1: ([], []), 2: ([], ["context"]), 3: (["system"], [])}
+    labels = spark.createDataFrame([("p", "prod", 1)], "prompt string, label string, version long")
+    wanted = lambda n: spark.createDataFrame([("p", "prod", n)], "prompt string, label string, version long")
+    assert [tuple(prompts.deployed(labels, wanted(n), v).select("version", "refused").first()) for n in (2, 3)] == [(2, False), (1, True)]
+    asked = spark.createDataFrame([(1, "p", None, 2), (2, "p", "prod", None), (3, "p", None, None)], "request_id long, prompt string, label string, version long")
+    assert {r.request_id: r.version for r in prompts.resolved(asked, v, labels).collect()} == {1: 2, 2: 1, 3: 3}
+    assert prompts.rendered(v).filter("version = 1").first().text == "## system\ns\n\n## tools\nt\n\n## context\nc\n\n## user\nu"

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import dedup, dialogue, memory, promptcache, skeleton
+from weftline.operators import dedup, dialogue, memory, promptcache, prompts, skeleton
 from weftline.plans.base import query
 from weftline.session import table
 
 CRITICAL, RELEVANT = ["thanedble", "queque", "enschach"], ["tion", "ment", "ung"]
-SIGNALS = {"decision": r"\bthe\b", "lesson": r"\bde\b", "issue": r"\bund\b"}
+SIGNALS = {"decision": "the ", "lesson": " de ", "issue": " und "}
 CATEGORIES = {"gotcha": ["the ", " of "], "issue": [" de ", "que"], "decision": [" und ", "der "]}
 PAIRS = [(r"\bthe\b", r"\bde\b"), (r"\bund\b", r"\bof\b")]
 
@@ -69,7 +69,12 @@ def history_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.compacted(_turns(spark, sf_dir), 2)
 
 
-@query()
+@query(r"""
+WITH t AS (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(regexp_replace(text, '^\s*\[\w+\]:\s*', ''), '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)) AS p FROM conversations),
+s AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS pos, trim(unnest(p)) AS sentence FROM t),
+g AS (SELECT *, CASE WHEN regexp_matches(sentence, '(?i)the ') THEN 'decision' WHEN regexp_matches(sentence, '(?i) de ') THEN 'lesson' WHEN regexp_matches(sentence, '(?i) und ') THEN 'issue' END AS signal FROM s WHERE length(sentence) BETWEEN 20 AND 500),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(sentence) ORDER BY turn, pos) AS k FROM g WHERE signal IS NOT NULL)
+SELECT conv_id, turn AS first_turn, sentence, signal FROM r WHERE k = 1""")
 def transcript_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return memory.insights(_turns(spark, sf_dir), SIGNALS)
 
@@ -147,3 +152,14 @@ def knowledge_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, sum(floor(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) * 1.3))::BIGINT AS tokens FROM conversations GROUP BY conv_id")
 def conversation_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).groupBy("conv_id").agg(F.sum(tx.token_count(F.col("text"))).alias("tokens"))
+
+
+@query("""
+WITH v AS (SELECT conv_id AS prompt, turn AS version, role AS system, text AS context FROM conversations),
+p AS (SELECT *, lag(version) OVER w AS pv, lag(system) OVER w AS ps, lag(context) OVER w AS pc FROM v WINDOW w AS (PARTITION BY prompt ORDER BY version))
+SELECT prompt, version, CASE WHEN pv IS NULL OR ps IS NOT DISTINCT FROM system THEN 0 ELSE 1 END AS stable, CASE WHEN pv IS NULL OR pc IS NOT DISTINCT FROM context THEN 0 ELSE 1 END AS volatile FROM p""")
+def prompt_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    versions = _turns(spark, sf_dir).select(F.col("conv_id").alias("prompt"), F.col("turn").alias("version"), F.col("role").alias("system"), none.alias("tools"), none.alias("policies"), F.col("text").alias("context"), none.alias("user"))
+    found = prompts.changed_fields(versions)
+    return found.select("prompt", "version", F.size("stable_changes").alias("stable"), F.size("volatile_changes").alias("volatile"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import numbers as num, text as tx
-from weftline.operators import clifilter, dedup, promptcache, quality as ql, retrieval, savings, scopes, skeleton
+from weftline.operators import advice, clifilter, dedup, promptcache, quality as ql, retrieval, savings, scopes, skeleton
 from weftline.plans.base import query
 from weftline.session import table
 from weftline.sources import connectors, sinks
@@ -278,3 +278,41 @@ def scope_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer")
     scoped = rows.withColumn("scoped", scopes.composed(F.col("c_name"), {"workspace_id": F.col("c_mktsegment"), "user_id": F.col("c_nationkey").cast("string")}))
     return scoped.select("c_custkey", "scoped", scopes.parsed(F.col("scoped"))["file_id"].alias("file_id"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, (n_chars // 200) AS nodes FROM documents), u AS (SELECT * FROM (VALUES ('quick_summary', 'ABSTRACT', 10), ('question_answering', 'DETAILED', 100), ('exact_quotes', 'RAW', 200)) v(use_case, own, per))
+SELECT doc_id, use_case, CASE WHEN nodes * per <= 1000 THEN own WHEN nodes * 100 <= 1000 THEN 'DETAILED' WHEN nodes * 50 <= 1000 THEN 'STRUCTURE' WHEN nodes * 30 <= 1000 THEN 'OUTLINE' WHEN nodes * 10 <= 1000 THEN 'ABSTRACT' ELSE own END AS fidelity FROM d, u""")
+def fidelity_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uses = spark.createDataFrame([("quick_summary",), ("question_answering",), ("exact_quotes",)], "use_case string")
+    rows = _docs(spark, sf_dir).select("doc_id", F.floor(F.col("n_chars") / 200).alias("nodes")).crossJoin(F.broadcast(uses))
+    return rows.select("doc_id", "use_case", advice.fidelity(F.col("use_case"), F.col("nodes"), F.lit(1000)).alias("fidelity"))
+
+
+@query("""
+SELECT doc_id, round(greatest(0.01, least(0.90, (ln(greatest(n_chars, 1)) * (0.40 / (ln(1000000) - ln(50000))) + 0.10 - 0.40 / (ln(1000000) - ln(50000)) * ln(50000)) * 0.75)), 4) AS ratio FROM documents""")
+def window_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", advice.window_ratio(F.col("n_chars"), F.lit(0.6)).alias("ratio"))
+
+
+@query("""
+WITH p AS (SELECT * FROM (VALUES (0, 'minimal', 0.05::DOUBLE), (1, 'summary', 0.15), (2, 'balanced', 0.20), (3, 'detailed', 0.50), (4, 'full', 0.80)) v(place, profile, ratio)),
+q AS (SELECT doc_id, place, profile, CASE WHEN n_chars * ratio >= 400 THEN 1.0 ELSE 0.5 END AS quality FROM documents, p)
+SELECT doc_id, coalesce(first(profile ORDER BY place) FILTER (quality >= 0.8), first(profile ORDER BY place DESC)) AS profile FROM q GROUP BY doc_id""")
+def auto_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir).select("doc_id", "n_chars")
+    return advice.auto_profile(advice.all_profiles(docs, lambda r: F.when(F.col("n_chars") * r >= 400, 1.0).otherwise(0.5)), 0.8)
+
+
+@query(f"""
+WITH s AS (SELECT doc_id, text, {WORDS} AS w, {SENTENCES} AS s FROM documents), f AS (SELECT *, list_filter(regexp_split_to_array(s[1], '\\s+'), lambda x: x <> '') AS fw FROM s)
+SELECT doc_id, CASE WHEN len(w) <= 40 THEN text WHEN len(fw) <= 40 THEN s[1] ELSE array_to_string(w[1:40], ' ') || '…' END AS short FROM f""")
+def manifest_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", advice.shortened(F.col("text")).alias("short"))
+
+
+@query()
+def handoff_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    top = retrieval.bm25(docs, QUESTION).select(F.col("id").alias("file_id"), F.col("id").alias("node"), "score")
+    return advice.handoff(docs.select(F.col("doc_id").alias("file_id"), tx.summary(F.col("text")).alias("skeleton_text")), top)
