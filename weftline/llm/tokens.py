@@ -9,7 +9,7 @@ import numpy as np
 from .common import CACHES, task_started
 
 #: Distinct words whose ids a Python worker keeps; about 250 bytes each.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_200_000
 #: Marks after a word that the tokenizer splits from it, with nothing but the marks in one piece.
 TAILS = ",.;:?!()[]{}<>#$%&*|+=/\\\"-"
 #: Python's str.split() takes these for white space; the tokenizer doesn't.
@@ -54,10 +54,10 @@ class WordMemo:
                 start = end
         return out
 
-    def learn(self, texts: list[str]) -> dict[str, bytes] | _Both:
-        """Ids of all words in ``texts``; keeps those that are new while there is room."""
+    def learn(self, split: list[list[str]]) -> dict[str, bytes] | _Both:
+        """Ids of all words in ``split``; keeps those that are new while there is room."""
         memo = self.memo
-        new = [w for w in set().union(*map(str.split, texts)) if w not in memo] if texts else []
+        new = set().union(*split).difference(memo)
         tailed, letters, odd = [], set(), []
         for w in new:
             core = w if w.isalpha() else w.rstrip(TAILS)
@@ -90,8 +90,9 @@ class WordMemo:
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
         odd = [i for i, t in enumerate(texts) if SEPARATORS.search(t)]
         plain = texts if not odd else ["" if SEPARATORS.search(t) else t for t in texts]
-        known = self.learn(plain)
-        out = [b"".join([known[w] for w in t.split()]) for t in plain]
+        split = [t.split() for t in plain]
+        known = self.learn(split)
+        out = [b"".join([known[w] for w in words]) for words in split]
         for i, ids in zip(odd, self._encode([texts[i] for i in odd]), strict=True) if odd else ():
             out[i] = ids
         return out
