@@ -297,3 +297,43 @@ def test_prompts(spark):
     asked = spark.createDataFrame([(1, "p", None, 2), (2, "p", "prod", None), (3, "p", None, None)], "request_id long, prompt string, label string, version long")
     assert {r.request_id: r.version for r in prompts.resolved(asked, v, labels).collect()} == {1: 2, 2: 1, 3: 3}
     assert prompts.rendered(v).filter("version = 1").first().text == "## system\ns\n\n## tools\nt\n\n## context\nc\n\n## user\nu"
+
+
+def test_records(spark):
+    from weftline.sources import records
+
+    docs = spark.createDataFrame([(1, '[{"a": 1},  [2, "x]"], 3e2]'), (2, '{"a": 1}\n{"b": 2}'), (3, "h,i\n1,2\n3,4"), (4, "prose"), (5, '{"a": [1, 2]}')], "doc_id long, text string")
+    got = {(r.id, r.position): r.record for r in records.records(docs).collect()}
+    assert got == {(1, 0): '{"a": 1}', (1, 1): '[2, "x]"]', (1, 2): "3e2", (2, 0): '{"a": 1}', (2, 1): '{"b": 2}', (3, 0): "h,i\n1,2", (3, 1): "h,i\n3,4", (5, 0): '{"a": [1, 2]}'}
+    chunks = records.packed(records.records(docs), 4).collect()
+    assert all(r.text for r in chunks) and {r.id for r in chunks} == {1, 2, 3, 5}
+
+
+def test_metatokens(spark):
+    from weftline.functions import metatokens
+
+    text = "the quick brown fox ran\nthe quick brown fox hid § here\n" + "a b c d e f " * 9
+    small = metatokens.compressed(text)
+    assert len(small.split()) < len(text.split())
+    assert [line.split() for line in metatokens.restored(small).split("\n")] == [line.split() for line in text.split("\n")]
+    rows = spark.createDataFrame([(text,), ("",), ("one",)], "t string").select(metatokens.restore(metatokens.compress("t")).alias("t"))
+    assert [r.t.split() for r in rows.collect()] == [text.split(), [], ["one"]]
+
+
+def test_playbook(spark):
+    from weftline.operators import playbook
+
+    b = spark.createDataFrame([(1, 1, 0.9, [1.0, 0.0], 3, 1), (1, 2, 0.5, [0.99, 0.05], 0, 0), (1, 3, 0.4, [0.0, 1.0], 0, 6), (2, 4, 0.4, [1.0, 0.0], 1, 0)], "context_id long, bullet_id long, confidence double, embedding array<double>, success_count long, failure_count long")
+    assert sorted(r.bullet_id for r in playbook.deduplicated(b).collect()) == [1, 3, 4]
+    assert sorted(r.bullet_id for r in playbook.curated(b, 1).collect()) == [1, 4]
+    assert [r.bullet_id for r in playbook.best_bullets(b, [1.0, 0.0], 1).orderBy("context_id").collect()] == [1, 4]
+    new = spark.createDataFrame([(1, 10, [0.0, 1.0]), (1, 11, [0.7, -0.7])], "context_id long, insight_id long, embedding array<double>")
+    assert {r.insight_id: r.bullet_id for r in playbook.integrated(b, new).collect()} == {10: 3, 11: None}
+    assert playbook.reflection(playbook.trajectory(playbook.best_bullets(b, [1.0, 0.0], 1)), True).filter("context_id = 1").first().steps == 5
+    assert playbook.stats(b).filter("context_id = 1").first().success_rate == 0.3
+
+
+def test_intercept(spark):
+    long = "It is really very simple that the server at 10.0.0.1 failed with ECONNREFUSED in src/app.py:12 today. " * 4
+    got = {r.id: r.text for r in clifilter.intercepted(spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")).collect()}
+    assert got[2] == "short" and "ECONNREFUSED" in got[1] and "src/app.py:12" in got[1] and "really" not in got[1].split(".")[0]

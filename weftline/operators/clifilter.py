@@ -185,3 +185,13 @@ def apply_rules(docs: DataFrame, rules: list[dict], kind: str = "kind", text: st
     for rule in reversed(rules):
         out = F.when(F.col(kind).rlike(rule["match"]), apply_rule(F.col(text), rule)).otherwise(out)
     return docs.withColumn(text, out)
+
+
+def intercepted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ratio: float = 0.7, least: int = 200) -> DataFrame:
+    """(id, text): long outputs filtered, refined sentence by sentence, and guarded so that no identifier is lost."""
+    from weftline.functions import text as tx
+
+    done = generic(docs, id_col, text).withColumnRenamed("text", "_filtered")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text")).join(done, "id")
+    shorter = F.array_join(F.transform(tx.sentences(F.col("_filtered")), lambda s: tx.refined(s, ratio)), " ")
+    return rows.select("id", F.when(F.length("_text") >= least, tx.guarded(F.col("_text"), shorter)).otherwise(F.col("_text")).alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.functions import numbers as num, text as tx
+from weftline.functions import metatokens, numbers as num, text as tx
 from weftline.operators import advice, clifilter, dedup, promptcache, quality as ql, retrieval, savings, scopes, skeleton
 from weftline.plans.base import query
 from weftline.session import table
@@ -316,3 +316,14 @@ def handoff_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     top = retrieval.bm25(docs, QUESTION).select(F.col("id").alias("file_id"), F.col("id").alias("node"), "score")
     return advice.handoff(docs.select(F.col("doc_id").alias("file_id"), tx.summary(F.col("text")).alias("skeleton_text")), top)
+
+
+@query()
+def response_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clifilter.intercepted(_docs(spark, sf_dir))
+
+
+@query()
+def meta_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small = metatokens.compressor(longest=4)(F.col("text"))
+    return _docs(spark, sf_dir).select("doc_id", small.alias("compressed"))
