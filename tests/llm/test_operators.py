@@ -440,3 +440,14 @@ def test_line_dedup_matches_brute_force(spark, docs, bound):
 
 def test_line_dedup_empty(empty):
     assert line_dedup.remove_boilerplate(empty).count() == 0
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_line_dedup_cuts_short_unique_documents(spark, bound):
+    line, mark = "a line that every site has", "and one more of those"
+    rows = [(i, f"{line}\nown words of document {i} that are long enough to outweigh the lines\n{mark}", f"s{i}") for i in range(6)]
+    rows += [(10, f"{line}\nshort\n{mark}", "s0"), (11, f"{line}\ncopy\n{mark}", "s1"), (12, f"{line}\ncopy\n{mark}", "s2"), (13, f"{line}\ntwice\n{mark}", "s3"), (14, f"{line}\ntwice\n{mark}", "s3"), (15, f"{mark}\n{line}", "s4")]
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=5, broadcast_lines=bound)
+    found = {r.doc_id: (r.text, r.n_removed) for r in got.collect()}
+    assert found[0][1] == 2 and found[10] == ("short", 2) and found[13] == found[14] == ("twice", 2)
+    assert found[11] == found[12] == (rows[7][1], 0) and found[15] == (rows[11][1], 0)

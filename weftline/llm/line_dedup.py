@@ -13,8 +13,9 @@ Line hashes are two chained 64-bit hashes of the trimmed line.
 Defined results: a null text stays null; blank lines are never boilerplate; repeated rows are
 handled each on its own and count once per site; a null site counts as one site of its own; an
 empty table gives an empty table; extra columns pass through.  A document that would lose more
-than ``max_share`` of its characters is a copy rather than a carrier of boilerplate: it stays as
-it is, for duplicate removal to judge.
+than ``max_share`` of its characters stays as it is, for duplicate removal to judge, only if it is
+shown to be a whole copy (the same text stands on another site too) or holds nothing but boilerplate.
+Others are cut whatever they lose.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import null_as_empty, staged, task_started
@@ -57,25 +59,53 @@ def boilerplate_lines(docs: DataFrame, text: str = "text", site: str = "source",
     return sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("h1", "h2", "sites", F.lit(True).alias("exact")))
 
 
-def _with_set(docs: DataFrame, text: str, known: frozenset, max_share: float) -> DataFrame:
+def _cut(lines: list[str], found: frozenset) -> tuple[list[str], int]:
+    """The lines that aren't boilerplate, and the characters of the others."""
+    keep, lost = [], 0
+    for line in lines:
+        key = line.strip(BLANK).encode()
+        h1 = xxhash.xxh64_intdigest(key, 42)
+        if key and (h1, xxhash.xxh64_intdigest(key, h1)) in found:
+            lost += len(line)
+        else:
+            keep.append(line)
+    return keep, lost
+
+
+def _text_key(value: str) -> bytes:
+    return xxhash.xxh3_128_digest(value.encode())
+
+
+def _copies(heavy: DataFrame, *key: str) -> DataFrame:
+    """The keys of texts that stand on several sites."""
+    return heavy.groupBy(*key).agg(F.min("site").alias("a"), F.max("site").alias("b")).filter("a <> b").select(*key)
+
+
+def _heavy(docs: DataFrame, text: str, site: str, shared: Broadcast, max_share: float) -> DataFrame:
+    """(key, site) of the documents that would lose more than ``max_share`` of their characters."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task_started()
+        for batch in (whole.slice(k, 500) for whole in found for k in range(0, whole.num_rows, 500)):
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            out = [(_text_key(t), s) for t, s in rows if _cut(t.split("\n"), shared.value)[1] > max_share * len(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.string())], ["key", "site"])
+
+    return docs.filter(F.col(text).isNotNull()).select(text, null_as_empty(site).alias("site")).mapInArrow(batches, "key binary, site string")
+
+
+def _with_set(docs: DataFrame, text: str, shared: Broadcast, spared: frozenset, max_share: float) -> DataFrame:
     """Lines removed against a broadcast set of hashes."""
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
-    shared = docs.sparkSession.sparkContext.broadcast(known)
+    copies = docs.sparkSession.sparkContext.broadcast(spared)
 
     def clean(value: str | None) -> tuple[str | None, int | None, int | None]:
         if value is None:
             return None, None, None
-        lines, found = value.split("\n"), shared.value
-        keep, lost = [], 0
-        for line in lines:
-            key = line.strip(BLANK).encode()
-            h1 = xxhash.xxh64_intdigest(key, 42)
-            if key and (h1, xxhash.xxh64_intdigest(key, h1)) in found:
-                lost += len(line)
-            else:
-                keep.append(line)
+        lines = value.split("\n")
+        keep, lost = _cut(lines, shared.value)
         removed = len(lines) - len(keep)
-        if lost > max_share * len(value):
+        if lost > max_share * len(value) and (not any(x.strip(BLANK) for x in keep) or _text_key(value) in copies.value):
             return value, len(lines), 0
         return ("\n".join(keep) if removed else value), len(lines), removed
 
@@ -92,7 +122,7 @@ def _with_set(docs: DataFrame, text: str, known: frozenset, max_share: float) ->
     return docs.mapInArrow(batches, schema)
 
 
-def _with_join(docs: DataFrame, text: str, known: DataFrame, max_share: float) -> DataFrame:
+def _with_join(docs: DataFrame, text: str, site: str, known: DataFrame, max_share: float) -> DataFrame:
     """Lines removed by a join on the hash, for more boilerplate than may be broadcast."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.monotonically_increasing_id().alias("_id"))
     rows = staged(rows, "line-rows")
@@ -105,9 +135,14 @@ def _with_join(docs: DataFrame, text: str, known: DataFrame, max_share: float) -
         F.count("*").cast("int").alias("n_lines"),
         F.sum(F.when(bad, 1).otherwise(0)).cast("int").alias("n_removed"),
         F.sum(F.when(bad, F.length("line")).otherwise(0)).alias("lost"),
+        F.count_if(~bad & (F.col("key") != "")).alias("n_own"),
     )
-    out = rows.join(kept, "_id", "left")
-    whole = F.coalesce(F.col("lost"), F.lit(0)) > max_share * F.length(F.col(f"_row.{text}"))
+    body = F.col(f"_row.{text}")
+    out = staged(rows.join(kept, "_id", "left").withColumn("_heavy", F.coalesce(F.col("lost") > max_share * F.length(body), F.lit(False))), "line-kept")
+    heavy = out.filter("_heavy").select("_id", F.xxhash64(body).alias("t1"), F.xxhash64(body, body).alias("t2"), null_as_empty(f"_row.{site}").alias("site"))
+    spared = heavy.join(_copies(heavy, "t1", "t2"), ["t1", "t2"], "left_semi").select("_id", F.lit(True).alias("_spared"))
+    out = out.join(spared, "_id", "left")
+    whole = F.col("_heavy") & ((F.col("n_own") == 0) | F.col("_spared").isNotNull())
     cleaned = F.when(whole | F.coalesce(F.col("n_removed") == 0, F.lit(True)), F.col(f"_row.{text}")).otherwise(F.array_join(F.col("kept.line"), "\n"))
     others = [cleaned.alias(c) if c == text else F.col(f"_row.`{c}`") for c in docs.columns]
     return out.select(*others, "n_lines", F.when(whole, 0).otherwise(F.col("n_removed")).alias("n_removed"))
@@ -116,12 +151,15 @@ def _with_join(docs: DataFrame, text: str, known: DataFrame, max_share: float) -
 def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, max_share: float = 0.5, lg_k: int = 10, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text``, plus ``n_lines`` and ``n_removed``.
 
-    The hashes go to the executors as a set only if they number at most ``broadcast_lines``;
-    beyond it, the lines are joined with them.
+    The hashes of lines, and of the copies that stay whole, go to the executors as sets only if
+    each number at most ``broadcast_lines``; beyond it, they are joined.
     """
     docs = docs.drop("n_lines", "n_removed")
     known = staged(boilerplate_lines(docs, text, site, min_sites, lg_k), "boilerplate")
     if known.count() <= broadcast_lines:
         rows = known.select("h1", "h2").toLocalIterator()
-        return _with_set(docs, text, frozenset((r.h1 & MASK, r.h2 & MASK) for r in rows), max_share)
-    return _with_join(docs, text, known, max_share)
+        shared = docs.sparkSession.sparkContext.broadcast(frozenset((r.h1 & MASK, r.h2 & MASK) for r in rows))
+        copies = staged(_copies(_heavy(docs, text, site, shared, max_share), "key"), "boilerplate-copies")
+        if copies.count() <= broadcast_lines:
+            return _with_set(docs, text, shared, frozenset(bytes(r.key) for r in copies.toLocalIterator()), max_share)
+    return _with_join(docs, text, site, known, max_share)
