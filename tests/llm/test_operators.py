@@ -451,3 +451,12 @@ def test_line_dedup_cuts_short_unique_documents(spark, bound):
     found = {r.doc_id: (r.text, r.n_removed) for r in got.collect()}
     assert found[0][1] == 2 and found[10] == ("short", 2) and found[13] == found[14] == ("twice", 2)
     assert found[11] == found[12] == (rows[7][1], 0) and found[15] == (rows[11][1], 0)
+
+
+def test_line_dedup_keeps_chance_repeats(spark):
+    """A short sentence in one of 300 documents of each site is chance, a line in one of 60 is not."""
+    rows = [(i, "\n".join([f"own words of document {i}", *(["In."] if i // 6 == 7 else []), *(["All rights reserved.", "  all twice", "all twice"] if i // 6 % 60 == 1 else [])]), f"s{i % 6}") for i in range(1800)]
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=5)
+    assert {r.doc_id: (r.text, r.n_removed) for r in got.collect()} == {
+        i: ("\n".join([f"own words of document {i}", *(["In."] if i // 6 == 7 else [])]), 3 if i // 6 % 60 == 1 else 0) for i, _, _ in rows
+    }

@@ -1,17 +1,20 @@
 """Removal of boilerplate lines that many sites share.
 
-A line is boilerplate when it stands on at least ``min_sites`` distinct sites. Three steps:
+A line is boilerplate when it stands on at least ``min_sites`` distinct sites, on each of them in
+at least ``min_share`` of the site's documents (in one at least): short sentences that meet on many
+sites by chance stay, however large the corpus is. Four steps:
 
-1. Occurrences are counted per line hash (partial aggregation before the exchange). A line that
-   occurs fewer than ``min_sites`` times can't be on ``min_sites`` sites, so only the others go on.
-2. A HyperLogLog sketch of the sites is built per surviving line hash; sketches merge by
-   aggregation, so a line that half of the corpus carries costs one small sketch per task.
-3. Lines whose estimate lies within a factor of two of the threshold are counted exactly.
+1. Documents are counted per line hash (partial aggregation before the exchange). A line that
+   fewer than ``min_sites`` of them hold can't be on ``min_sites`` sites, so only the others go on.
+2. Documents are counted per surviving line hash and site; sites below the share drop out.
+3. A HyperLogLog sketch of the sites left is built per line hash; sketches merge by aggregation,
+   so a line that half of the corpus carries costs one small sketch per task.
+4. Lines whose estimate lies within a factor of two of the threshold are counted exactly.
 
 Line hashes are two chained 64-bit hashes of the trimmed line.
 
 Defined results: a null text stays null; blank lines are never boilerplate; repeated rows are
-handled each on its own and count once per site; a null site counts as one site of its own; an
+handled each on its own and count once per site, but each as a document; a null site counts as one site of its own; an
 empty table gives an empty table; extra columns pass through.  A document that would lose more
 than ``max_share`` of its characters stays as it is, for duplicate removal to judge, only if it is
 shown to be a whole copy (the same text stands on another site too) or holds nothing but boilerplate.
@@ -31,6 +34,8 @@ from .common import null_as_empty, staged, task_started
 
 #: Boilerplate hashes that may be broadcast: about 150 bytes each in Python, so 60 MB a worker at most.
 BROADCAST_LINES = 400_000
+#: Share of a site's documents that must hold a line for the site to count.
+MIN_SHARE = 0.005
 BLANK = " \t\r"
 MASK = (1 << 64) - 1
 
@@ -40,21 +45,26 @@ def _trimmed(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, text: str, site: str) -> DataFrame:
-    """(h1, h2, site) of every line that isn't blank."""
-    line = docs.select(null_as_empty(site).alias("site"), F.explode(F.split(F.col(text), "\n")).alias("line")).select("site", _trimmed(F.col("line")).alias("line"))
+    """(h1, h2, site) of every line that isn't blank, once a document."""
+    lines = F.array_distinct(F.transform(F.split(F.col(text), "\n"), _trimmed))
+    line = docs.select(null_as_empty(site).alias("site"), F.explode(lines).alias("line"))
     return line.filter(F.col("line") != "").select(F.xxhash64("line").alias("h1"), F.xxhash64("line", "line").alias("h2"), "site")
 
 
-def boilerplate_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, lg_k: int = 10) -> DataFrame:
-    """(h1, h2, sites, exact): hashes of the lines on at least ``min_sites`` sites."""
+def boilerplate_lines(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, lg_k: int = 10, min_share: float = MIN_SHARE) -> DataFrame:
+    """(h1, h2, sites, exact): hashes of the lines on at least ``min_sites`` sites, each in ``min_share`` of its documents."""
     lines = _lines(docs, text, site)
     often = staged(lines.groupBy("h1", "h2").count().filter(F.col("count") >= min_sites).select("h1", "h2"), "lines-often")
     n_often = often.count()
-    seen = staged(lines.join(F.broadcast(often) if n_often <= BROADCAST_LINES else often, ["h1", "h2"], "left_semi"), "lines-seen")
+    at_site = lines.join(F.broadcast(often) if n_often <= BROADCAST_LINES else often, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").count()
+    need = docs.filter(F.col(text).isNotNull()).groupBy(null_as_empty(site).alias("site")).agg(F.greatest(F.lit(1), F.ceil(F.count("*") * F.lit(min_share))).alias("need"))
+    need = staged(need.filter("need > 1"), "sites-need")
+    spread = at_site.join(F.broadcast(need) if need.count() <= BROADCAST_LINES else need, "site", "left").filter(F.col("count") >= F.coalesce("need", F.lit(1)))
+    seen = staged(spread.select("h1", "h2", "site"), "lines-seen")
     estimate = seen.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
     estimate = staged(estimate.filter(F.col("sites") * 2 >= min_sites), "lines-estimate")
     near = estimate.filter(F.col("sites") < 2 * min_sites).select("h1", "h2")
-    exact = seen.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2", "site").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("one").alias("sites"))
+    exact = seen.join(near, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.count("*").alias("sites"))
     sure = estimate.filter(F.col("sites") >= 2 * min_sites).select("h1", "h2", F.col("sites").cast("long").alias("sites"), F.lit(False).alias("exact"))
     return sure.unionByName(exact.filter(F.col("sites") >= min_sites).select("h1", "h2", "sites", F.lit(True).alias("exact")))
 
@@ -148,14 +158,14 @@ def _with_join(docs: DataFrame, text: str, site: str, known: DataFrame, max_shar
     return out.select(*others, "n_lines", F.when(whole, 0).otherwise(F.col("n_removed")).alias("n_removed"))
 
 
-def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, max_share: float = 0.5, lg_k: int = 10, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = 10, max_share: float = 0.5, lg_k: int = 10, broadcast_lines: int = BROADCAST_LINES, min_share: float = MIN_SHARE) -> DataFrame:
     """``docs`` with boilerplate lines cut from ``text``, plus ``n_lines`` and ``n_removed``.
 
     The hashes of lines, and of the copies that stay whole, go to the executors as sets only if
     each number at most ``broadcast_lines``; beyond it, they are joined.
     """
     docs = docs.drop("n_lines", "n_removed")
-    known = staged(boilerplate_lines(docs, text, site, min_sites, lg_k), "boilerplate")
+    known = staged(boilerplate_lines(docs, text, site, min_sites, lg_k, min_share), "boilerplate")
     if known.count() <= broadcast_lines:
         rows = known.select("h1", "h2").toLocalIterator()
         shared = docs.sparkSession.sparkContext.broadcast(frozenset((r.h1 & MASK, r.h2 & MASK) for r in rows))
