@@ -405,6 +405,13 @@ def test_extraction_against_fixture(spark, sf_dir):
         assert got[p.page_id] == want
 
 
+@pytest.mark.parametrize("name", ['body class="single-post has-sidebar"', 'div class="with-nav"', 'main class="no-sidebar"', 'body class="comments-open"', 'article class="related"', 'div class="layout-sidebar-left"'])
+def test_extraction_keeps_layout_classes(name):
+    furniture = '<div class="sidebar">Side</div><div id="comment-list"><p>I disagree.</p></div><ul class="main-menu"><li>Home</li></ul><div class="widget ad-slot-1">Buy</div>'
+    page = f"<{name}><p>First words of the article.</p><p>And more.</p>{furniture}</{name.split()[0]}>"
+    assert extract.main_text(page, None) == "First words of the article. And more."
+
+
 # -- 10 line dedup
 
 

@@ -8,7 +8,8 @@ back to its own best container.
 
 Within the main container, elements that aren't article text are left out whole: menus, headers,
 footers, sidebars, forms, scripts and styles by tag, and adverts, notices, comments, sharing and
-related links by class, id or role. Character references are decoded; white space in a block,
+related links by class, id or role: by whole names, not by parts of layout modifiers such as
+``has-sidebar``, and never the body, main or article element itself. Character references are decoded; white space in a block,
 line breaks included, becomes one space; blocks are joined by one space in page order. Markup that
 isn't closed is closed where HTML does so.
 
@@ -19,6 +20,7 @@ through; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import html as htmllib
 import re
 from collections.abc import Iterator
@@ -40,7 +42,11 @@ ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>
 CONTAINERS = frozenset("html body main article section div header footer nav aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote figure figcaption p pre h1 h2 h3 h4 h5 h6 address details summary dialog menu select option button hr center".split())
 LEFT_OUT = frozenset("nav header footer aside form fieldset menu select option button dialog head".split())
 #: Words in a class, id or role that mark what isn't article text.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|signup|comments?|replies|respond|disqus|sidebar|side|widget|menu|nav\w*|breadcrumbs?|footer|header|share|sharing|social|related|recommended|pagination|pager|toolbar|search|contentinfo|complementary|navigation)(?:$|[\s_-])", re.I)
+MARKS = re.compile(r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|signup|comments?|replies|respond|disqus|sidebar|side|widget|menu|nav\w*|breadcrumbs?|footer|header|share|sharing|social|related|recommended|pagination|pager|toolbar|search|contentinfo|complementary|navigation)", re.I)
+#: Parts that a marking name may have besides its mark: ``comment-list`` is furniture, ``with-nav`` and ``has-sidebar`` aren't.
+PLAIN = re.compile(r"(?:main|site|page|post|top|bottom|left|right|primary|secondary|global|sub|article|entry|author|block|area|box|bar|wrap|wrapper|container|content|section|list|item|items|inner|outer|links?|buttons?|form|title|text|body|group|row|unit|slot|panel|posts|articles|stories|thread|div|gpt|google|\d+)", re.I)
+#: Elements that hold the page or the article, whatever they're called.
+NEVER_OUT = frozenset("html body main article".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SPACES = re.compile(r"\s+")
 
@@ -52,6 +58,17 @@ class Element:
         self.path, self.tag, self.parent, self.out, self.score = path, tag, parent, out, 0.0
 
 
+@functools.lru_cache(10_000)
+def _marks(value: str) -> bool:
+    """Whether a name in ``value`` says that an element isn't article text: all its parts are marks or plain, one is a mark."""
+    for name in value.split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        marked = [bool(MARKS.fullmatch(p)) for p in parts]
+        if any(marked) and all(m or PLAIN.fullmatch(p) for m, p in zip(marked, parts, strict=True)):
+            return True
+    return False
+
+
 def _named(tag: str, attributes: str) -> tuple[str, bool]:
     """The generalised step of an element, and whether its marks say that it isn't article text."""
     step, out = tag, False
@@ -61,7 +78,7 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
             if name.lower() == "class":
                 kinds = sorted({re.sub(r"\d+", "", k) for k in value.lower().split()} - {""})
                 step += "".join("." + k for k in kinds)
-            out = out or bool(MARKS.search(value))
+            out = out or (tag not in NEVER_OUT and _marks(value))
     return step, out
 
 
