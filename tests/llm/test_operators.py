@@ -412,6 +412,16 @@ def test_extraction_keeps_layout_classes(name):
     assert extract.main_text(page, None) == "First words of the article. And more."
 
 
+LEAD, ITEM = "A lead of the article. " * 13, "An item of its list. " * 35
+
+
+@pytest.mark.parametrize("around", ["article", "main", "div", "section"])
+@pytest.mark.parametrize("inner", ["<ul><li>{}</li></ul>", "<table><tr><td>{}</td></tr></table>", "<blockquote><p>{}</p></blockquote>", "<div><p>{}</p></div>", "<section>{}</section>"])
+def test_extraction_keeps_title_and_lead(around, inner):
+    page = f'<body><div><a href="/">Home of this site</a></div><div class="menu">Menu</div><{around}><h1>Title</h1><p>{LEAD}</p>{inner.format(ITEM)}</{around}><div>Loose words</div><footer>End</footer></body>'
+    assert extract.main_text(page, None) == f"Title {LEAD.strip()} {ITEM.strip()}"
+
+
 # -- 10 line dedup
 
 

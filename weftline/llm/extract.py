@@ -1,7 +1,9 @@
 """Main text of web pages by paths that a host's pages agree on.
 
 Pages of one site share a template. Each page's containers are scored by the text of their
-paragraphs, less links and boilerplate; the best one votes for its generalised path, the tags and
+paragraphs, less links and boilerplate. From the best one, which may be a list or a part of the
+article, one goes up to its article or main element, or else as far as only paragraphs, headings
+and the like are added; the element reached votes for its generalised path, the tags and
 classes from the body down without numbers. Votes are counted per host in Spark, and every page
 of the host is then read along the winning path. A page without an element on that path falls
 back to its own best container.
@@ -146,7 +148,7 @@ TEXT_STEPS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th".split
 
 
 def best_container(elements: list[Element], found: list[tuple[int, str, int]]) -> int | None:
-    """The element whose paragraphs have most text: each gives its length to its parent and half of it further up."""
+    """The whole article around the element whose paragraphs have most text: each gives its length to its parent and half of it further up."""
     for e in elements:
         e.score = 0.0
     for k, text, linked in found:
@@ -159,7 +161,41 @@ def best_container(elements: list[Element], found: list[tuple[int, str, int]]) -
         if elements[holder].parent >= 0:
             elements[elements[holder].parent].score += value / 2
     best = max(range(len(elements)), key=lambda k: (elements[k].score, -k))
-    return best if elements[best].score > 0 else None
+    return whole_article(elements, found, best) if elements[best].score > 0 else None
+
+
+#: Parts of an article that are never all of it while they have an element around them.
+INNER = frozenset("p li ul ol dl dd dt table thead tbody tfoot tr td th caption blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 details summary".split())
+#: Elements whose own text is the article's; text that stands loose in others ends the way up.
+PROSE = TEXT_STEPS | frozenset("section article main figcaption caption summary details".split())
+
+
+def whole_article(elements: list[Element], found: list[tuple[int, str, int]], best: int) -> int:
+    """``best`` or the element above it that holds the whole article."""
+    up, k = [], best
+    while k > 0 and elements[k].tag not in ("body", "html"):
+        k = elements[k].parent
+        up.append(k)
+    for tag in ("article", "main"):
+        for k in [best, *up]:
+            if elements[k].tag == tag:
+                return k
+    texts, strange = [0] * len(elements), [0] * len(elements)
+    for k, text, linked in found:
+        if not elements[k].out:
+            texts[k] += 1
+            strange[k] += 2 * linked > len(text) or elements[k].tag not in PROSE
+    for k in range(len(elements) - 1, 0, -1):
+        texts[elements[k].parent] += texts[k]
+        strange[elements[k].parent] += strange[k]
+    now = reached = best
+    for k in up:
+        if elements[now].tag not in INNER and strange[k] > strange[now]:
+            break
+        if texts[k] > texts[now] or elements[now].tag in INNER:
+            reached = k
+        now = k
+    return reached
 
 
 def main_text(page: str | None, path: str | None) -> str:
