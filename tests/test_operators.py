@@ -337,3 +337,24 @@ def test_intercept(spark):
     long = "It is really very simple that the server at 10.0.0.1 failed with ECONNREFUSED in src/app.py:12 today. " * 4
     got = {r.id: r.text for r in clifilter.intercepted(spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string")).collect()}
     assert got[2] == "short" and "ECONNREFUSED" in got[1] and "src/app.py:12" in got[1] and "really" not in got[1].split(".")[0]
+
+
+def test_queries_take_runs_of_2_to_20_words(spark, tmp_path):
+    from collections import Counter
+
+    from weftline.functions import metatokens
+    from weftline.plans import catalogue
+
+    run = " ".join(f"w{i}" for i in range(25))
+    texts = [(1, f"{run} then {run} end"), (2, "a b a b a b a b"), (3, "one"), (4, "")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r[c] for c in ("id", "n", "ngram", "freq", "savings")) for r in catalogue.queries()["repeated_ngrams_2_20"](spark, str(tmp_path)).collect()}
+    want = set()
+    for i, t in texts:
+        w = t.split()
+        for n in range(2, min(20, len(w) // 2 + 1) + 1):
+            found = Counter(" ".join(w[k : k + n]) for k in range(len(w) - n + 1))
+            want |= {(i, n, g, f, f * (n - 1) - n) for g, f in found.items() if f > 1 and f * (n - 1) - n > 0}
+    assert got == want and {n for _, n, *_ in got} == set(range(2, 21))
+    small = {r.doc_id: r.compressed for r in catalogue.queries()["meta_tokens"](spark, str(tmp_path)).collect()}
+    assert small == {i: metatokens.compressed(t, 20) for i, t in texts} and "§0=" + " ".join(run.split()[:20]) in small[1].split("\n")

@@ -124,6 +124,12 @@ def repeated_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.repeated_ngrams(_docs(spark, sf_dir), 3, 3)
 
 
+@query()
+def repeated_ngrams_2_20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All lengths that the reference takes; ``repeated_ngrams`` is the one that its SQL gives."""
+    return dedup.repeated_ngrams(_docs(spark, sf_dir), 2, 20)
+
+
 LINES = "l AS (SELECT doc_id AS id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS line FROM documents)"
 
 
@@ -325,5 +331,5 @@ def response_intercept(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def meta_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = metatokens.compressor(longest=4)(F.col("text"))
+    small = metatokens.compress(F.col("text"))
     return _docs(spark, sf_dir).select("doc_id", small.alias("compressed"))
