@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import html as htmllib
+import math
 import random
 import re
+import time
+import unicodedata
 import zlib
+from collections import Counter
 from fractions import Fraction
 
 import numpy as np
@@ -425,22 +429,17 @@ def test_extraction_keeps_title_and_lead(around, inner):
 # -- 10 line dedup
 
 
-def brute_lines(rows, sites, share):
-    where = {}
+def brute_lines(rows, sites, share=line_dedup.MIN_SHARE):
+    home = {}
     for _, text, site in rows:
-        for line in (text or "").split("\n") if text is not None else []:
-            if line.strip(" \t\r"):
-                where.setdefault(line.strip(" \t\r"), set()).add(site or "")
-    out = []
-    for key, text, _ in rows:
-        if text is None:
-            out.append((key, None))
-            continue
-        lines = text.split("\n")
-        keep = [x for x in lines if not (x.strip(" \t\r") and len(where[x.strip(" \t\r")]) >= sites)]
-        lost = sum(map(len, lines)) - sum(map(len, keep))
-        out.append((key, text if lost > share * len(text) else "\n".join(keep)))
-    return sorted(out, key=str)
+        if text is not None:
+            home[text] = min(home.get(text, site or ""), site or "")
+    texts, where = Counter(home.values()), {}
+    for text, site in home.items():
+        for line in {x.strip(" \t\r") for x in text.split("\n")} - {""}:
+            where.setdefault(line, Counter())[site] += 1
+    bad = {line for line, at in where.items() if sum(n >= max(1, math.ceil(share * texts[s])) for s, n in at.items()) >= sites}
+    return sorted([(key, text if text is None else "\n".join(x for x in text.split("\n") if x.strip(" \t\r") not in bad)) for key, text, _ in rows], key=str)
 
 
 @pytest.mark.parametrize("bound", [10**6, 0])
@@ -450,9 +449,10 @@ def test_line_dedup_matches_brute_force(spark, docs, bound):
     for i in range(80):
         own = [f"own line {i} {k} with words of its own" for k in range(rng.randint(0, 5))]
         rows.append((100 + i, "\n".join(rng.sample(own + rng.sample(boiler, rng.randint(0, 3)), len(own)) if own else boiler), f"s{i % 8}" if i % 9 else None))
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit("clash") for c in ("n_lines", "row", "id", "site", "line", "h1", "often", "held", "_hit")})
     got = line_dedup.remove_boilerplate(df, min_sites=5, broadcast_lines=bound)
-    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == brute_lines(rows, 5, 0.5)
+    assert {r._hit for r in got.collect()} == {"clash"} and dict(got.dtypes)["n_lines"] == "int"
+    assert sorted([(r.doc_id, r.text) for r in got.collect()], key=str) == brute_lines(rows, 5)
 
 
 def test_line_dedup_empty(empty):
@@ -460,14 +460,15 @@ def test_line_dedup_empty(empty):
 
 
 @pytest.mark.parametrize("bound", [10**6, 0])
-def test_line_dedup_cuts_short_unique_documents(spark, bound):
+def test_line_dedup_cuts_whatever_is_left(spark, bound):
     line, mark = "a line that every site has", "and one more of those"
     rows = [(i, f"{line}\nown words of document {i} that are long enough to outweigh the lines\n{mark}", f"s{i}") for i in range(6)]
-    rows += [(10, f"{line}\nshort\n{mark}", "s0"), (11, f"{line}\ncopy\n{mark}", "s1"), (12, f"{line}\ncopy\n{mark}", "s2"), (13, f"{line}\ntwice\n{mark}", "s3"), (14, f"{line}\ntwice\n{mark}", "s3"), (15, f"{mark}\n{line}", "s4")]
+    rows += [(10, f"{line}\nshort\n{mark}", "s0"), (11, f"{line}\ncopy\n{mark}", "s1"), (12, f"{line}\ncopy\n{mark}", "s2"), (15, f"{mark}\n{line}", "s4")]
+    rows += [(20 + i, "a whole copy\non every site", f"s{i}") for i in range(6)]
     got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), min_sites=5, broadcast_lines=bound)
     found = {r.doc_id: (r.text, r.n_removed) for r in got.collect()}
-    assert found[0][1] == 2 and found[10] == ("short", 2) and found[13] == found[14] == ("twice", 2)
-    assert found[11] == found[12] == (rows[7][1], 0) and found[15] == (rows[11][1], 0)
+    assert found[0][1] == 2 and found[10] == ("short", 2) and found[11] == found[12] == ("copy", 2) and found[15] == ("", 2)
+    assert all(found[20 + i] == ("a whole copy\non every site", 0) for i in range(6))
 
 
 def test_line_dedup_keeps_chance_repeats(spark):

@@ -18,7 +18,7 @@ def test_stages_one_by_one(spark, sf_dir):
     marked = [i for i, q in labels.items() if q == 1]
     assert sum(i in kept for i in marked) >= 0.95 * len(marked)
     lines = cp.staged(cp.line_stage(spark, good, sf_dir), "t2")
-    assert sorted([(r.doc_id, r.text) for r in lines.collect()], key=str) == brute_lines([(r.doc_id, r.text, r.source) for r in good.collect()], cp.MIN_SITES, 0.5)
+    assert sorted([(r.doc_id, r.text) for r in lines.collect()], key=str) == brute_lines([(r.doc_id, r.text, r.source) for r in good.collect()], cp.MIN_SITES)
     one = cp.staged(cp.near_duplicate_stage(spark, lines, sf_dir), "t3")
     classes = brute_classes([(r.doc_id, r.text) for r in lines.select("doc_id", "text").collect()], 5, Fraction("0.8"))
     assert {r.doc_id for r in one.collect()} == {c for _, _, c in classes}

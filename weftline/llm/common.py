@@ -13,12 +13,14 @@ _ROOTS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
 
-    Only where the session leaves that setting unset (tests, a single machine) is a
-    temporary folder made and set as the checkpoint folder.
+    Only on a single machine (a local master, as in tests) may the session leave that setting
+    unset: a temporary folder is then made and set as the checkpoint folder. A cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         _ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
@@ -77,14 +79,55 @@ def staged(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame
         df.write.parquet(path)
     finally:
         spark.conf.set(ARROW_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.weftline_path = path
+    return out
 
 
-def dropped(df_or_path: str, spark: SparkSession) -> None:
-    """Remove a scratch folder that no later job reads."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(df_or_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def dropped(*tables: DataFrame) -> None:
+    """Remove staged tables that no later job reads: what was made of them is itself staged or done."""
+    for df in tables:
+        path = getattr(df, "weftline_path", None)
+        if path:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column is called so."""
+    known = {c.lower() for c in columns}
+    while name.lower() in known:
+        name = "_" + name
+    return name
+
+
+#: Rows of a looked-up table that may be broadcast, at most about 100 bytes each.
+LOOKUP_ROWS = 200_000
+#: A key is hot if it has more than this share of the rows; there can be no more hot keys than its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], copies: str, bound: int = LOOKUP_ROWS) -> DataFrame:
+    """``rows`` left-joined with ``table`` (staged, a row for each key) on the columns ``on``.
+
+    ``copies`` counts the rows that have a key and is dropped. Up to ``bound`` keys are broadcast.
+    Beyond that, the at most ``1 / HOT_SHARE`` keys that hold more than ``HOT_SHARE`` of the rows
+    are, and the others joined by an exchange in which hot rows are dealt by their number: no key fills a
+    task, however many rows have it.
+    """
+    n, total = table.agg(F.count("*"), F.sum(copies)).first()
+    if n <= bound:
+        return rows.join(F.broadcast(table.drop(copies)), on, "left")
+    values = [c for c in table.columns if c not in {*on, copies}]
+    hit, salt = unused([*rows.columns, *values], "_hit"), unused([*rows.columns, *values], "_salt")
+    hot = table.filter(F.col(copies) > F.lit((total or 0) * HOT_SHARE))
+    first = F.broadcast(hot.select(*on, F.struct(*values).alias(hit)))
+    marked = rows.join(first, on, "left")
+    marked = marked.withColumn(salt, F.when(F.col(hit).isNull(), F.lit(0)).otherwise(F.xxhash64(F.monotonically_increasing_id())))
+    second = unused([*rows.columns, *values, hit, salt], "_second")
+    cold = table.select(*on, F.lit(0).cast("long").alias(salt), F.struct(*values).alias(second))
+    out = marked.join(cold, [*on, salt], "left")
+    return out.select(*rows.columns, *[F.coalesce(F.col(hit)[v], F.col(second)[v]).alias(v) for v in values])
 
 
 def spread(spark: SparkSession) -> int:

@@ -111,15 +111,14 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CA
 
 LINE_DEDUP_SQL = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS source, text FROM documents),
-l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
-k AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM l),
-bad AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT source) >= {MIN_SITES}),
-m AS (SELECT k.*, bad.key IS NOT NULL AS cut FROM k LEFT JOIN bad ON k.key = bad.key),
-g AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (cut) AS n_cut, coalesce(sum(length(line)) FILTER (cut), 0) AS lost,
-             coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS kept FROM m GROUP BY rid)
-SELECT d.doc_id,
-       CASE WHEN g.n_cut = 0 OR g.lost > 0.5 * length(d.text) THEN d.text ELSE g.kept END AS text,
-       CAST(g.n_lines AS INT) AS n_lines,
-       CAST(CASE WHEN g.lost > 0.5 * length(d.text) THEN 0 ELSE g.n_cut END AS INT) AS n_removed
+t AS (SELECT text, min(source) AS home FROM d WHERE text IS NOT NULL GROUP BY text),
+need AS (SELECT home, greatest(1, ceil(count(*) * CAST({line_dedup.MIN_SHARE} AS DOUBLE))) AS need FROM t GROUP BY home),
+k AS (SELECT DISTINCT text, home, trim(unnest(string_split(text, chr(10))), ' ' || chr(9) || chr(13)) AS key FROM t),
+s AS (SELECT key, k.home FROM k JOIN need ON k.home = need.home WHERE key <> '' GROUP BY key, k.home, need HAVING count(*) >= need),
+bad AS (SELECT key FROM s GROUP BY key HAVING count(*) >= {MIN_SITES}),
+l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d WHERE text IS NOT NULL),
+m AS (SELECT l.*, bad.key IS NOT NULL AS cut FROM l LEFT JOIN bad ON trim(l.line, ' ' || chr(9) || chr(13)) = bad.key),
+g AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (cut) AS n_cut, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT cut), '') AS kept FROM m GROUP BY rid)
+SELECT d.doc_id, CASE WHEN g.n_cut = 0 THEN d.text ELSE g.kept END AS text, CAST(g.n_lines AS INT) AS n_lines, CAST(g.n_cut AS INT) AS n_removed
 FROM d LEFT JOIN g ON d.rid = g.rid
 """
