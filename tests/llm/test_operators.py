@@ -66,6 +66,30 @@ def test_packing_matches_tokenizer_and_fills(spark, docs, sf_dir):
     assert len(used) <= -(-sum(r.length for r in rows) // 4096) + 1
 
 
+def test_word_memo_is_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    from weftline.llm.tokens import TAILS, WordMemo
+
+    tokenizer, memo, rng = Tokenizer.from_file(tokenizer_path(TOKENIZER)), WordMemo(tokenizer_path(TOKENIZER)), random.Random(11)
+    assert memo.by_word
+    odd = "İıſKÅΣςßﬁŉǅ" + "\u0301\u0307\u0338\u093c\u0958\u1e9e\u0345\u1fbe\u037e\u0374'\u2019" + TAILS
+    texts = ["BİRİNCİ. İstanbul, KENDİ. SON", "eİ|;", "don't can't'll", "<|endoftext|>. a<|endoftext|>b", "\u0958. x"]
+    texts += ["".join(rng.choice(odd + "abcABC  ") for _ in range(rng.randint(1, 30))) for _ in range(6000)]
+    texts += ["".join(chr(c) for c in (rng.choice((rng.randint(1, 0xFFFF), rng.randint(0x41, 0x24F), 0x2E, 0x20)) for _ in range(rng.randint(1, 20))) if not 0xD800 <= c < 0xE000) for _ in range(20000)]
+    texts += ["".join(chr(rng.randint(0x10000, 0x1FFFF)) + rng.choice(("", ".", " ")) for _ in range(8)) for _ in range(2000)]
+    texts += [f"a{chr(c)}. {chr(c)}; x{chr(c)}y" for c in range(1, 0xFFFF) if not 0xD800 <= c < 0xE000]
+    want = [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, memo.ids(texts), want, strict=True) if a != b] == []
+
+
+def test_packing_clashes_and_hot_rows(spark):
+    df = spark.createDataFrame([(None, "same words")] * 40 + [(1, "other")], "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("sequence_id", "offset", "piece", "length")})
+    rows = packing.pack(packing.pieces(df, tokenizer_path(TOKENIZER)).withColumns({"sequence_id": F.lit("x"), "offset": F.lit("y"), "more": F.lit(3)}), 41, shard=4).collect()
+    assert len(rows) == 41 and {r.more for r in rows} == {3} and all(isinstance(r.offset, int) for r in rows)
+    assert max(Counter(r.sequence_id >> 40 for r in rows).values()) <= 5
+
+
 def test_packing_keeps_all_constraints(spark):
     rng = random.Random(5)
     found = spark.createDataFrame([(i, 0, rng.randint(1, 60)) for i in range(400)], "doc_id long, piece int, length long")

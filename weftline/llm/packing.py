@@ -3,20 +3,26 @@
 ``pieces`` tokenises documents (with a memo of word ids in each Python worker), ends each with a
 separator id and cuts only those longer than a sequence. ``pack`` puts the pieces into sequences:
 
-* pieces are dealt by a hash of their identity to shards of about ``SHARD`` documents, so that
-  every shard sees the same mix of lengths, and sorted there by falling length (an external sort);
+* pieces are dealt in turn to shards of about ``SHARD`` documents, so that shards are equal and
+  all see the same mix of lengths, and sorted there by falling length (an external sort);
 * a shard streams through vector best-fit. Each open sequence has three residual capacities:
   tokens, documents and attention cost (the sum of squared piece lengths). Among the sequences
   that satisfy every constraint, ``rule="norm"`` takes the one whose weighted residual after
   placement has the smallest norm, ``rule="dot"`` the one whose residual has the largest weighted
   dot product with the demand. Where none fits, a sequence is opened.
 
+With no limits but the length of a sequence, as in ``op1``, the other two capacities can't bind: a
+sequence holds no more documents than tokens and costs no more than its length squared. They then
+only weigh in the choice of a sequence.
+
 A shard leaves less than one sequence in a thousand partly filled; memory is three numbers for
 each of its open sequences. Piece ids never leave the tokenising task: the packer moves lengths.
 
-Defined results: a null text is an empty document (the separator alone); repeated rows are pieces
-of their own; extra columns are ignored by ``pieces`` and pass through ``pack``; empty tables give
-empty results.
+Defined results: a null text is an empty document (the separator alone); a text of any length is cut
+into as many pieces as it needs; repeated rows, and rows of a null doc_id, are pieces of their own; of
+equally good sequences the one opened or moved to first is taken, of equal lengths the piece of the least
+doc_id goes first; extra columns are ignored by ``pieces`` and pass through ``pack``, but
+``sequence_id`` and ``offset`` are replaced; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from weftline.session import reachable
+
 from .tokens import word_memo
 
 SEQUENCE_TOKENS = 4096
@@ -40,6 +48,7 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, tokenizer_path: str, text: str = "text", doc_id: str = "doc_id", size: int = SEQUENCE_TOKENS, separator: int = SEPARATOR_ID, with_ids: bool = False) -> DataFrame:
     """A row per piece of at most ``size`` tokens; ``with_ids`` adds the ids themselves (binary, little-endian 32-bit)."""
     end = np.array([separator], dtype="<u4").tobytes()
+    reachable(docs.sparkSession)
 
     def cut(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = word_memo(tokenizer_path)
@@ -115,6 +124,7 @@ def pack(
     alone is more than ``max_cost`` can't be placed and raises. ``n_documents`` only sets the
     number of shards.
     """
+    reachable(found.sparkSession)
     limits = (float(size), float(max_documents or size), float(max_cost or size * size))
     found = found.drop("sequence_id", "offset")
     fields = found.schema.fields
@@ -133,7 +143,7 @@ def pack(
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "sequence_id", "offset"])
 
     shards = max(1, -(-n_documents // shard))
-    dealt = found.repartition(shards, F.xxhash64("doc_id", "piece", "length"))
+    dealt = found.repartition(shards)
     return dealt.sortWithinPartitions(F.desc("length"), "doc_id", "piece").mapInArrow(place, schema)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 
 import numpy as np
 
@@ -15,21 +17,46 @@ TAILS = ",.;:?!()[]{}<>#$%&*|+=/\\\"-"
 #: Python's str.split() takes these for white space; the tokenizer doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
+#: What a tokenizer file must do before merging so that its words can be encoded apart.
+STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Letters below this code point are surely letters to the tokenizer too; words with others are encoded whole.
+KNOWN_LETTERS = 0x530
+
 _LOADED: dict[str, WordMemo] = {}
 
 
+def only_letters(core: str) -> bool:
+    """Whether the tokenizer sees nothing but letters in ``core``, once it is composed and lower-cased."""
+    if core.isascii():
+        return core.isalpha()
+    low = unicodedata.normalize("NFC", core).lower()
+    return low.isalpha() and ord(max(low)) < KNOWN_LETTERS
+
+
 class WordMemo:
     """Encodes whole texts word by word.
 
     The tokenizer file splits at white space before anything else and looks at no context
     beyond it, so that a text's ids are those of its words in turn. Ids of frequent words are
-    kept as little-endian unsigned 32-bit bytes.
+    kept as little-endian unsigned 32-bit bytes. Texts of a file that has other steps than ``STEPS`` are
+    encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        found = json.loads(self.tokenizer.to_str())
+        self.by_word = all(found[k] == v for k, v in STEPS.items()) and found["model"]["end_of_word_suffix"] == "</w>"
         self.memo: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a word
@@ -61,7 +88,7 @@ class WordMemo:
         tailed, letters, odd = [], set(), []
         for w in new:
             core = w if w.isalpha() else w.rstrip(TAILS)
-            if not core.isalpha():
+            if not only_letters(core):
                 odd.append(w)
                 continue
             tail, low = w[len(core) :], core.lower()  # the tokenizer lower-cases letter by letter
@@ -88,6 +115,8 @@ class WordMemo:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit bytes."""
+        if not self.by_word:
+            return self._encode(texts)
         odd = [i for i, t in enumerate(texts) if SEPARATORS.search(t)]
         plain = texts if not odd else ["" if SEPARATORS.search(t) else t for t in texts]
         split = [t.split() for t in plain]
