@@ -15,6 +15,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import Row, functions as F
 
 from weftline.llm import extract, fingerprint, jaccard, line_dedup, media, packing, pii, quality, sentencepiece_fst, warc
@@ -342,6 +343,133 @@ def luhn(d):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 
 
+class Feistel:
+    """What pseudonyms should be, one value at a time."""
+
+    def __init__(self, key):
+        self.key = key
+
+    def stream(self, kind, turn, place, other):
+        return int(hashlib.sha256("|".join((self.key, kind, str(turn), str(place), other)).encode()).hexdigest()[:12], 16)
+
+    def text(self, value, kind, letters=26):
+        halves = [value[: len(value) // 2], value[len(value) // 2 :]]
+        for turn in range(1, 9):
+            h, o = (0, 1) if turn % 2 else (1, 0)
+            new = ""
+            for place, c in enumerate(halves[h], 1):
+                base, size = (48, 10) if c in "0123456789" else (97, letters) if "a" <= c <= "z" else (65, letters) if "A" <= c <= "Z" else (0, 0)
+                new += chr(base + (ord(c) - base + self.stream(kind, turn, place, halves[o])) % size) if size else c
+            halves[h] = new
+        return "".join(halves)
+
+    def number(self, value, a, b, kind):
+        x, y = divmod(value, b)
+        for turn in range(1, 9):
+            if turn % 2:
+                x = (x + self.stream(kind, turn, 0, str(y))) % a
+            else:
+                y = (y + self.stream(kind, turn, 0, str(x))) % b
+        return x * b + y
+
+    def shaped(self, shape, digits):
+        left = iter(digits)
+        return "".join(next(left) if c in "0123456789" else c for c in shape)
+
+    def card(self, shape):
+        digits = re.sub("[^0-9]", "", shape)
+        body = self.text(digits[:-1], "card")
+        return self.shaped(shape, body + next(c for c in "0123456789" if luhn(body + c)))
+
+    def cards(self, m):
+        ok = lambda d: 13 <= len(d) <= 19 and luhn(d)
+        if ok(re.sub("[^0-9]", "", m)):
+            return self.card(m)
+        groups, mark, out, i = re.split("[ -]", m), re.sub("[0-9]", "", m)[:1], [], 0
+        while i < len(groups):
+            end = max((j for j in range(i, len(groups)) if ok("".join(groups[i : j + 1]))), default=None) if len(groups) > 1 else None
+            out.append(groups[i] if end is None else self.card(mark.join(groups[i : end + 1])))
+            i = i + 1 if end is None else end + 1
+        return mark.join(out)
+
+    def __call__(self, m):
+        from datetime import date, timedelta
+
+        kind = next(k for k, p in pii.KINDS.items() if regex.fullmatch(p, m))
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "email":
+            lead = re.match(r"[._%+\-]*", m)[0]
+            name, top = m[len(lead) :].rsplit(".", 1)
+            return lead + self.text(name.lower(), "email") + "." + top
+        if kind == "secret":
+            return self.text(m, "secret", 6)
+        if kind == "phone":
+            n = 1 if digits[0] in "17" else 2 if digits[:2] in pii.TWO_DIGIT_CODES else 3
+            return self.shaped(m, digits[:n] + self.text(digits[n:], "phone")) if 8 <= len(digits) <= 15 else m
+        if kind == "ipv4":
+            parts = [int(x) for x in m.split(".")]
+            if max(parts) > 255:
+                return m
+            n = self.number(int.from_bytes(bytes(parts), "big"), 65536, 65536, "ipv4")
+            return ".".join(map(str, n.to_bytes(4, "big")))
+        if kind == "date":
+            y, mo, d = (m[:4], m[5:7], m[8:]) if "-" in m else (m[6:], m[:2], m[3:5]) if "/" in m else (m[6:], m[3:5], m[:2])
+            try:
+                day = (date(int(y), int(mo), int(d)) - date(1800, 1, 1)).days
+            except ValueError:
+                return m
+            if not 0 <= day < 146097:
+                return m
+            new = date(1800, 1, 1) + timedelta(days=self.number(day, 189, 773, "date"))
+            return new.strftime("%Y-%m-%d" if "-" in m else "%m/%d/%Y" if "/" in m else "%d.%m.%Y")
+        if kind == "ssn":
+            area, group, serial = int(m[:3]), int(m[4:6]), int(m[7:])
+            if not (0 < area < 900 and area != 666 and group and serial):
+                return m
+            front, last = divmod(self.number(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99, 9999, "ssn"), 9999)
+            at = front // 99 + 1
+            return f"{at + (at >= 666):03d}-{front % 99 + 1:02d}-{last + 1:04d}"
+        return self.cards(m)
+
+
+def test_pii_matches_brute_force(spark, sf_dir):
+    rng = random.Random(8)
+    bits = ["4417744280351547", "4417 7442 8035 1547", "4417-7442-8035-1547", "12", "2024-02-29", "2023-02-29", "29.02.2024", "02/29/2024", "123-45-6789", "+1 (017) 555-7713", "+49 151 12345678", "+4915112345678", "+12 3456", "+998901234567", "10.0.0.255", "10.0.0.256", "a.b@c.example.org", "-x@y.co", "@", "deadbeefdeadbeefdeadbeefdeadbeef", "word", "7", "378282246310005", "1800-01-01", "2199-12-31", "2200-01-01"]
+    texts = [rng.choice((" ", ", ", "\n", " ")).join(rng.choice(bits) if rng.random() < 0.8 else "".join(rng.choice("0123456789 -.@a") for _ in range(rng.randint(1, 30))) for _ in range(rng.randint(1, 8))) for _ in range(600)]
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").collect()]
+    want, oracle = {}, Feistel("k")
+    for i, t in enumerate(texts):
+        want[i] = regex.sub(pii.ANY, lambda m: oracle(m[0]), t)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "k").collect()}
+    assert [(texts[i], got[i].text, want[i]) for i in want if got[i].text != want[i]] == []
+    assert all((got[i].n_pseudonyms > 0) == (texts[i] != want[i]) for i in want)
+
+
+def test_pii_links_spellings(spark):
+    texts = ["+4915112345678 and +49 151 12345678 and +49 (151) 123-45678", "line 12 4845168114407329 end", "1234 4845 1681 1440 7329 5", "+10175557713 or +1 (017) 555-7713 2024", "+12 3456", "--me@x.example.org me@x.example.org"]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").orderBy("doc_id"), "k").collect()]
+    digits = lambda t: re.sub("[^0-9]", "", t)
+    assert len({digits(x) for x in out[0].split(" and ")}) == 1 and digits(out[0]).startswith("49") and digits(out[0])[:13] != digits(texts[0])[:13]
+    assert out[1].startswith("line 12 ") and out[2].startswith("1234 ") and digits(out[1])[2:] == digits(out[2])[4:-1] != "4845168114407329"
+    assert digits(out[3].split(" or ")[0]) == digits(out[3].split(" or ")[1])[:11] and out[3].endswith(" 2024") and out[4] == texts[4]
+    assert out[5] == f"--{out[5].split()[1]} {out[5].split()[1]}"
+
+
+@pytest.mark.parametrize("text", ["a1" * 500_000, "a." * 500_000, "a@" * 500_000, "x@" + "a." * 500_000, "+49 " * 250_000, "-._%" * 250_000, "12-" * 20_000])
+def test_pii_time_is_linear(spark, text):
+    df = spark.createDataFrame([(1, text[:1000])], "doc_id long, text string")
+    pii.pseudonymise(df, "k").collect()
+    start = time.perf_counter()
+    assert pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().text == text
+    assert time.perf_counter() - start < 15
+
+
+def test_pii_clashes(spark, docs):
+    got = pii.pseudonymise(docs.withColumns({"_found": F.lit("a"), "_new": F.lit("b"), "n_pseudonyms": F.lit("c")}), "k")
+    assert {(r._found, r._new, r.n_pseudonyms) for r in got.collect()} == {("a", "b", 0)}
+
+
 def test_pii_formats_and_links(spark):
     from datetime import date
 
@@ -351,7 +479,7 @@ def test_pii_formats_and_links(spark):
         "again 4417744280351547 2024-02-28 the.99@mail9.example.com!", None, "", "no findings", "7" * 3000,
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {r.doc_id: r for r in pii.pseudonymise(df).collect()}
+    out = {r.doc_id: r for r in pii.pseudonymise(df, 'k').collect()}
     assert out[3].text is None and [out[i].text for i in (4, 5, 6)] == texts[4:]
     assert "9807915762804490" in out[0].text and "300.1.1.1" in out[1].text and "2024-02-30" in out[1].text and "666-12-1234" in out[1].text
     for gone in ("the.99@mail9", "555-7713", "4417744280351547", "04dbebab", "97.51.17.173", "2024-02-28", "12/31/1999", "123-45-6789"):
@@ -374,9 +502,9 @@ def test_pii_is_a_permutation(spark):
 
 
 def test_pii_edges(docs, empty):
-    out = pii.pseudonymise(docs)
+    out = pii.pseudonymise(docs, 'k')
     assert sorted([(r.doc_id, r.text) for r in out.collect()], key=str) == sorted([(r.doc_id, r.text) for r in docs.collect()], key=str)
-    assert pii.pseudonymise(empty).count() == 0
+    assert pii.pseudonymise(empty, 'k').count() == 0
 
 
 # -- 8 WARC

@@ -3,7 +3,8 @@
 Each value found in a text is replaced by another of the same format, by a keyed permutation:
 equal values get equal pseudonyms in all documents, different values different ones. The
 permutation is a Feistel network of ``ROUNDS`` rounds whose round function is SHA-256 over the
-key, the kind, the round and the other half.
+key, the kind, the round and the other half. Who has the key can invert it: it is an argument without
+a default.
 
 ==========  =====================================================  ==========================
 kind        found when                                             permuted
@@ -12,21 +13,25 @@ email       address with a dotted domain                           letters and d
                                                                    part before the top domain
 secret      32 to 64 hexadecimal digits                            digits within digits,
                                                                    letters within a-f
-phone       +country code and 8 to 12 further digits, grouped      digits after the code
+phone       +country code and further digits, ``PHONE_DIGITS``     digits after the country
+            in all, however grouped                                code
 ipv4        four numbers up to 255                                 all 32 bits
 date        real day yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy in       day number in those
             the 400 years from 1800                                400 years
 ssn         ddd-dd-dddd with area, group and serial in use         the numbers in use
-card        13 to 19 digits with a valid Luhn digit                all digits; the last is
-                                                                   computed anew
+card        13 to 19 digits with a valid Luhn digit, alone or      all digits; the last is
+            among other groups of digits                           computed anew
 ==========  =====================================================  ==========================
 
 A number that fails its test (a wrong check digit, 30 February, 300 in an address) is no personal
-data and stays. Grouping marks stay where they are and don't count: a card number has one
+data and stays. Grouping marks stay where they are and don't count: a card or phone number has one
 pseudonym however it's spaced.
 
 Defined results: a null text stays null, an empty one empty; a text without findings is returned
-as it is, whole texts are searched whatever their length; extra columns pass through.
+as it is; whole texts are searched whatever their length, in time that grows with it: every pattern starts
+only where a run of its characters does, and repeats a bounded number of times; where two kinds fit at one
+place, the one first in ``KINDS`` is taken; repeated rows get equal results; an empty table gives an empty
+one; extra columns pass through, but ``n_pseudonyms`` is replaced.
 """
 
 from __future__ import annotations
@@ -35,20 +40,33 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import unused
+
 ROUNDS = 8
 DAYS_FROM, DAYS = "1800-01-01", 146_097  # 400 years have 146097 days, 189 * 773
 DAYS_A, DAYS_B = 189, 773
 
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
+EMAIL = r"(?<![A-Za-z0-9._%+\-])(?=[._%+\-]*+[A-Za-z0-9])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]{1,63}){0,30}\.[A-Za-z]{2,63}"
 SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
-PHONE = r"(?<![0-9A-Za-z])\+[0-9]{1,3}(?:[ .\-]?\([0-9]{1,4}\))?(?:[ .\-]?[0-9]{2,5}){2,4}(?![0-9])"
+NORTH_AMERICAN = r"\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}"
+PHONE = rf"(?<![0-9A-Za-z])(?:{NORTH_AMERICAN}|\+[1-9][0-9]{{0,2}}(?:[ .\-]?\([0-9]{{1,4}}\))?(?:[ .\-]?[0-9]){{3,14}})(?![0-9])"
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z])"
 SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9A-Za-z])"
+#: Groups of digits that may hold cards between others, with one kind of grouping mark throughout.
+CARD = r"(?<![0-9A-Za-z])(?:[0-9](?: ?[0-9]){12,399}|[0-9](?:-?[0-9]){12,399})(?![0-9A-Za-z]|[\-./:][0-9])"
+CARD_DIGITS = (13, 19)
 #: In order of preference at one place in the text.
 KINDS = {"email": EMAIL, "secret": SECRET, "phone": PHONE, "ipv4": IPV4, "date": DATE, "ssn": SSN, "card": CARD}
 ANY = "|".join(KINDS.values())
+#: Digits of an international number, its country code included.
+PHONE_DIGITS = (8, 15)
+#: Country calling codes of two digits; those that begin with 1 and 7 have one digit, all others three.
+TWO_DIGIT_CODES = [
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+    "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86",
+    "90", "91", "92", "93", "94", "95", "98",
+]
 
 
 def _let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -130,30 +148,52 @@ def _with_digits(shape: Column, digits: Column) -> Column:
 
 
 def _email(m: Column, key: str) -> Column:
+    lead = F.regexp_extract(m, r"^[._%+\-]*", 0)
     top = F.concat(F.lit("."), F.substring_index(m, ".", -1))
-    name = F.substring(m, F.lit(1), F.length(m) - F.length(top))
-    return F.concat(permuted_text(F.lower(name), key, "email"), top)
+    name = F.substring(m, F.length(lead) + 1, F.length(m) - F.length(lead) - F.length(top))
+    return F.concat(lead, permuted_text(F.lower(name), key, "email"), top)
 
 
 def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+[0-9]{1,3}", 0)
+    def moved(digits: Column) -> Column:
+        code = F.when(F.substring(digits, 1, 1).isin("1", "7"), 1).when(F.substring(digits, 1, 2).isin(*TWO_DIGIT_CODES), 2).otherwise(3)
+        new = F.concat(F.substring(digits, F.lit(1), code), permuted_text(F.substring(digits, code + 1, F.length(digits)), key, "phone"))
+        return F.when(F.length(digits).between(*PHONE_DIGITS), _let(new, lambda d: _with_digits(m, d))).otherwise(m)
+
+    return _let(_digits(m), moved)
 
-    def moved(rest: Column) -> Column:
-        return _let(permuted_text(_digits(rest), key, "phone"), lambda d: _with_digits(rest, d))
 
-    return F.concat(code, _let(F.substring(m, F.length(code) + 1, F.length(m)), moved))
+def _valid_card(digits: Column) -> Column:
+    return F.length(digits).between(*CARD_DIGITS) & (luhn_sum(digits) % 10 == 0)
 
 
 def _card(m: Column, key: str) -> Column:
-    def checked(body: Column) -> Column:
+    def checked(shape: Column, body: Column) -> Column:
         check = _let(F.concat(body, F.lit("0")), lambda b: (10 - luhn_sum(b) % 10) % 10)
-        return _let(F.concat(body, check.cast("string")), lambda d: _with_digits(m, d))
+        return _let(F.concat(body, check.cast("string")), lambda d: _with_digits(shape, d))
 
-    def moved(digits: Column) -> Column:
-        body = permuted_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card")
-        return F.when(luhn_sum(digits) % 10 == 0, _let(body, checked)).otherwise(m)
+    def moved(shape: Column, digits: Column) -> Column:
+        return _let(permuted_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card"), lambda body: checked(shape, body))
 
-    return _let(_digits(m), moved)
+    def among(groups: Column) -> Column:
+        """The groups of ``m`` from the left, each longest run of them that is a card moved."""
+        mark, n = F.substring(F.regexp_replace(m, "[0-9]", ""), 1, 1), F.size(groups)
+
+        def step(s: Column, i: Column) -> Column:
+            def run(j: Column) -> Column:
+                return F.slice(groups, i + 1, j - i + 1)
+
+            ends = F.filter(F.sequence(i, F.least(i + CARD_DIGITS[1] - 1, n - 1)), lambda j: _let(F.array_join(run(j), ""), _valid_card))
+
+            def placed(end: Column) -> Column:
+                new = F.when(end.isNull(), F.get(groups, i)).otherwise(moved(F.call_function("array_join", run(F.coalesce(end, i)), mark), F.array_join(run(F.coalesce(end, i)), "")))
+                return F.struct(F.concat(s["out"], F.when(i > 0, mark).otherwise(""), new).alias("out"), (F.coalesce(end, i) + 1).alias("next"))
+
+            return F.when(i < s["next"], s).otherwise(_let(F.array_max(ends), placed))
+
+        return F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit("").alias("out"), F.lit(0).alias("next")), step, lambda s: s["out"])
+
+    return _let(_digits(m), lambda digits: F.when(_valid_card(digits), moved(m, digits)).when(F.length(digits) == F.length(m), m).otherwise(_let(F.split(m, "[ -]"), among)))
 
 
 def _ipv4(m: Column, key: str) -> Column:
@@ -201,18 +241,17 @@ def pseudonym(found: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, text: str = "text", key: str = "weftline") -> DataFrame:
-    """``docs`` with personal data in ``text`` replaced; ``n_pseudonyms`` counts replacements."""
+def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """``docs`` with personal data in ``text`` replaced under ``key``; ``n_pseudonyms`` counts replacements."""
     docs = docs.drop("n_pseudonyms")
-    body = F.col(text)
-    some = F.coalesce(body.rlike("[0-9@]"), F.lit(False))  # every kind has a digit or an at sign
+    body, old, new = F.col(text), unused(docs.columns, "_found"), unused(docs.columns, "_new")
+    some = F.coalesce(body.rlike("[0-9@]|[A-Fa-f]{32}"), F.lit(False))  # every kind has one of these
     values = F.when(some, F.regexp_extract_all(body, F.lit(ANY), F.lit(0)))
-    marked = docs.withColumn("_found", values)
-    hit = F.coalesce(F.size("_found"), F.lit(0)) > 0
-    marked = marked.withColumn("_new", F.when(hit, F.transform("_found", lambda m: pseudonym(m, key))))
+    marked = docs.withColumn(old, values)
+    hit = F.coalesce(F.size(old), F.lit(0)) > 0
+    marked = marked.withColumn(new, F.when(hit, F.transform(old, lambda m: pseudonym(m, key))))
     between = F.split(body, ANY, -1)
-    n = F.size("_found")
-    joined = F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), n), F.col("_new"), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
+    joined = F.concat(F.array_join(F.zip_with(F.slice(between, F.lit(1), F.size(old)), F.col(new), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
     out = marked.withColumn(text, F.when(hit, joined).otherwise(body))
-    changed = F.when(hit, F.size(F.filter(F.arrays_zip("_found", "_new"), lambda p: p["_found"] != p["_new"]))).otherwise(0)
-    return out.withColumn("n_pseudonyms", changed.cast("int")).drop("_found", "_new")
+    changed = F.when(hit, F.size(F.filter(F.zip_with(old, new, lambda a, b: a != b), lambda p: p))).otherwise(0)
+    return out.withColumn("n_pseudonyms", changed.cast("int")).drop(old, new)
