@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.llm import jaccard, line_dedup, packing, pii, quality
 from weftline.llm.common import staged
-from weftline.llm.queries import GOOD, MIN_SITES, TOKENIZER, held_out, tokenizer_path
+from weftline.llm.queries import GOOD, MIN_SITES, PII_KEY, TOKENIZER, held_out, tokenizer_path
 from weftline.session import reachable, table
 
 WORDS, SIMILARITY = 5, "0.8"
@@ -45,7 +45,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _as_documents(pii.pseudonymise(docs), docs.columns)
+    return _as_documents(pii.pseudonymise(docs, PII_KEY), docs.columns)
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
