@@ -578,6 +578,35 @@ def test_extraction_keeps_title_and_lead(around, inner):
     assert extract.main_text(page, None) == f"Title {LEAD.strip()} {ITEM.strip()}"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body><form id="aspnetForm"><div class="menu">Menu</div><div><h1>T</h1><p>{0}</p></div><div class="footer">F</div></form></body>',
+        '<html class="nav-open"><body class="right-sidebar"><article class="post comments-open"><header class="entry-header"><h1>T</h1></header><p>{0}</p></article><header>Site</header></body></html>',
+        '<body><header>Site <h2>Slogan</h2></header><div id="search-results" class="article"><h1>T</h1><p>{0}</p></div></body>',
+        '<body><main class="content with-sidebar"><h1>T</h1><p>{0}</p><aside><p>Aside</p></aside><ol class="comments"><li><article class="comment"><p>{0}{0}{0}</p></article></li></ol></main></body>',
+        '<body><div class="widget"><main><h1>T</h1><p>{0}</p></main></div><div data-class="sidebar" class="cookie-notice"><p>Cookies</p></div></body>',
+    ],
+)
+def test_extraction_keeps_wrapped_articles(page):
+    assert extract.main_text(page.format(LEAD), None) == f"T {LEAD.strip()}"
+
+
+def test_extraction_lets_the_host_overrule_a_page(spark):
+    usual = "<body><div>Loose words</div><div class='story'><h1>T</h1><p>{0}</p></div><div class='extra'><p>{1}</p></div></body>"
+    pages = [(i, f"http://h.example.org/{i}", usual.format(LEAD, "little")) for i in range(5)] + [(9, "http://h.example.org/9", usual.format("short but right", ITEM)), (10, "http://g.example.org/9", usual.format("short", ITEM))]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("_html", "_host", "_path", "_votes", "path")})
+    rows = {r.page_id: r for r in extract.extract(df).collect()}
+    assert rows[9].text == "T short but right" and rows[10].text == ITEM.strip() and rows[9]._html == rows[9]._host == "clash"
+
+
+@pytest.mark.parametrize("text", ['<a "' * 250_000, "<a '" * 250_000 + ">", "<" * 10**6, "<!" * 500_000, "<script " * 120_000, "<p>" * 100_000, '<p class="' * 100_000 + '">x', "</div>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<div class='a'>x" * 60_000])
+def test_extraction_time_is_linear(text):
+    start = time.perf_counter()
+    extract.main_text(text, None)
+    assert time.perf_counter() - start < 3
+
+
 # -- 10 line dedup
 
 

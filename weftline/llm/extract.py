@@ -11,13 +11,16 @@ back to its own best container.
 Within the main container, elements that aren't article text are left out whole: menus, headers,
 footers, sidebars, forms, scripts and styles by tag, and adverts, notices, comments, sharing and
 related links by class, id or role: by whole names, not by parts of layout modifiers such as
-``has-sidebar``, and never the body, main or article element itself. Character references are decoded; white space in a block,
+``has-sidebar``, and never the body, main or article element itself, nor an element that wraps the
+article (a form around the whole page, a header with the article's title in it). Character references are decoded; white space in a block,
 line breaks included, becomes one space; blocks are joined by one space in page order. Markup that
 isn't closed is closed where HTML does so.
 
 Defined results: null or empty html gives an empty text and no vote; a page without text gives an
-empty text; pages whose url has no host form one group; repeated rows vote each; extra columns pass
-through; an empty table gives an empty result.
+empty text; pages of any length are read whole, in time that grows with them; pages whose url has no host
+form one group; repeated rows vote each; of paths with equal votes the first by name wins, of equally good
+containers the first on the page; extra columns pass through, but ``text``, ``n_chars`` and ``path`` are replaced;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,21 +28,26 @@ from __future__ import annotations
 import functools
 import html as htmllib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import staged
+from weftline.session import reachable
+
+from .common import looked_up, staged, unused
 
 #: Hosts whose winning paths may be broadcast: about 200 bytes each.
 BROADCAST_HOSTS = 100_000
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: Elements whose content is no markup and no text of the page.
+RAW = re.compile(r"(script|style|noscript|template|textarea|svg|iframe|title)(?=[\s/>])", re.I)
+RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template textarea svg iframe title".split()}
+NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+QUOTE_OR_END = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements that hold blocks of text or other such elements; others are part of the text.
 CONTAINERS = frozenset("html body main article section div header footer nav aside form fieldset ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote figure figcaption p pre h1 h2 h3 h4 h5 h6 address details summary dialog menu select option button hr center".split())
 LEFT_OUT = frozenset("nav header footer aside form fieldset menu select option button dialog head".split())
@@ -49,15 +57,79 @@ MARKS = re.compile(r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|conse
 PLAIN = re.compile(r"(?:main|site|page|post|top|bottom|left|right|primary|secondary|global|sub|article|entry|author|block|area|box|bar|wrap|wrapper|container|content|section|list|item|items|inner|outer|links?|buttons?|form|title|text|body|group|row|unit|slot|panel|posts|articles|stories|thread|div|gpt|google|\d+)", re.I)
 #: Elements that hold the page or the article, whatever they're called.
 NEVER_OUT = frozenset("html body main article".split())
+NEVER_WRAPS = frozenset("nav footer menu select option button dialog head".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
 SPACES = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("path", "tag", "parent", "out", "score")
+    __slots__ = ("step", "key", "tag", "parent", "marked", "out", "score")
+
+    def __init__(self, step: str, key: int, tag: str, parent: int, marked: bool):
+        self.step, self.key, self.tag, self.parent, self.marked, self.out, self.score = step, key, tag, parent, marked, False, 0.0
+
+
+def _key(above: int, step: str) -> int:
+    """A number that stands for a path, so that deep ones cost no more than shallow ones."""
+    return xxhash.xxh3_64_intdigest(step.encode("utf-8", "surrogatepass"), above)
+
+
+def path_key(path: str) -> int:
+    key = 0
+    for step in path.split(">"):
+        key = _key(key, step)
+    return key
 
-    def __init__(self, path: str, tag: str, parent: int, out: bool):
-        self.path, self.tag, self.parent, self.out, self.score = path, tag, parent, out, 0.0
+
+def path_of(elements: list[Element], k: int) -> str:
+    steps = []
+    while k > 0:
+        steps.append(elements[k].step)
+        k = -1 if elements[k].tag in ("html", "body") else elements[k].parent
+    return ">".join(reversed(steps))
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, slash, tag, attributes) of each tag; without a tag for what holds no text, comments and scripts with their content.
+
+    Looks at each character a bounded number of times: once a quoted value has no end, quotes no
+    longer count, and once there is no ``>``, there are no more tags.
+    """
+    at, size, quotes = 0, len(page), True
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            at = size if end < 0 else end + 3
+            yield start, at, "", "", ""
+            continue
+        raw = RAW.match(page, at)
+        name = None if raw else NAME.match(page, at)
+        if raw is None and name is None and page[at : at + 1] not in ("!", "?"):
+            continue
+        k = name.end() if name else raw.end() if raw else at
+        body, end = k, -1
+        while quotes and name and (m := QUOTE_OR_END.search(page, k)):
+            if m[0] == ">":
+                end = m.start()
+                break
+            k = page.find(m[0], m.end()) + 1
+            if not k:
+                quotes = False
+        if end < 0:
+            end = page.find(">", body)
+            if end < 0:
+                return
+        at = end + 1
+        if raw:
+            close = RAW_ENDS[raw[1].lower()].search(page, at)
+            at = close.end() if close else size
+            yield start, at, "", "", ""
+        elif name:
+            yield start, at, name[1], name[2].lower(), page[name.end() : end]
+        else:
+            yield start, at, "", "", ""
 
 
 @functools.lru_cache(10_000)
@@ -78,7 +150,7 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value = a or b or c
             if name.lower() == "class":
-                kinds = sorted({re.sub(r"\d+", "", k) for k in value.lower().split()} - {""})
+                kinds = sorted({re.sub(r"[\d>]+", "", k) for k in value.lower().split()} - {""})
                 step += "".join("." + k for k in kinds)
             out = out or (tag not in NEVER_OUT and _marks(value))
     return step, out
@@ -86,7 +158,7 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
 
 def blocks(page: str | None) -> tuple[list[Element], list[tuple[int, str, int]]]:
     """(elements, blocks): blocks are (element, text, characters of it in links) in page order."""
-    elements = [Element("", "", -1, False)]
+    elements, opened = [Element("", 0, "", -1, False)], Counter()
     found: list[tuple[int, str, int]] = []
     now, parts, linked, in_link = 0, [], 0, False
     page = page or ""
@@ -101,49 +173,74 @@ def blocks(page: str | None) -> tuple[list[Element], list[tuple[int, str, int]]]
         linked = 0
 
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, end, slash, tag, attributes in tokens(page):
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             if in_link:
                 linked += len(piece)
-        at = m.end()
-        tag = m[3]
-        if tag is None:
+        at = end
+        if not tag:
             continue
-        tag = tag.lower()
         if tag not in CONTAINERS:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                in_link = not m[2]
+                in_link = not slash
             continue
         flush()
-        if m[2]:
-            k = now
-            while k > 0 and elements[k].tag != tag:
-                k = elements[k].parent
-            if k > 0:
-                now = elements[k].parent
+        if slash:
+            if opened[tag]:
+                while elements[now].tag != tag:
+                    opened[elements[now].tag] -= 1
+                    now = elements[now].parent
+                opened[tag] -= 1
+                now = elements[now].parent
             continue
         if tag == "hr":
             continue
         # an open paragraph ends where another block begins; list items, rows and cells end likewise
         while elements[now].tag == "p" or elements[now].tag in CLOSES.get(tag, ()):
+            opened[elements[now].tag] -= 1
             now = elements[now].parent
-        step, marked = _named(tag, m[4])
-        above = elements[now]
-        path = step if tag in ("html", "body") else f"{above.path}>{step}" if above.path else step
-        if tag == "body":
-            path = "body"
-        elements.append(Element(path, tag, now, above.out or marked or tag in LEFT_OUT))
+        step, marked = _named(tag, attributes)
+        step = "body" if tag == "body" else step
+        key = _key(0 if tag in ("html", "body") else elements[now].key, step)
+        elements.append(Element(step, key, tag, now, marked or tag in LEFT_OUT))
+        opened[tag] += 1
         now = len(elements) - 1
     if at < len(page):
         parts.append(page[at:])
     flush()
+    _leave_out(elements, found)
     return elements, found
 
 
+def _leave_out(elements: list[Element], found: list[tuple[int, str, int]]) -> None:
+    """Settles which elements are out: the marked ones and all in them, but for wrappers of the article.
+
+    A form that holds most of the page's paragraph text wraps the page, and so does an element of
+    marking name if the heading of the first rank or the main element is in it too. A header in an
+    article belongs to it if it holds a heading.
+    """
+    prose, holds, heads, within = [0] * len(elements), [False] * len(elements), [False] * len(elements), [False] * len(elements)
+    for k, text, linked in found:
+        if elements[k].tag in TEXT_STEPS:
+            prose[k] += max(0, len(text) - 2 * linked)
+    for k in range(len(elements) - 1, 0, -1):
+        e = elements[k]
+        prose[e.parent] += prose[k]
+        own = e.tag in HEADINGS
+        heads[e.parent] |= heads[k] or own
+        holds[e.parent] |= holds[k] or e.tag in ("h1", "main")
+    for k in range(1, len(elements)):
+        e = elements[k]
+        wraps = (holds[k] or e.tag in ("form", "fieldset")) and 2 * prose[k] > prose[0] and e.tag not in NEVER_WRAPS
+        title = e.tag == "header" and heads[k] and within[e.parent]
+        within[k] = within[e.parent] or e.tag == "article"
+        e.out = elements[e.parent].out or (e.marked and not wraps and not title)
+
+
 TEXT_STEPS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote li dd dt td th".split())
 
 
@@ -198,21 +295,32 @@ def whole_article(elements: list[Element], found: list[tuple[int, str, int]], be
     return reached
 
 
+def _on_path(elements: list[Element], found: list[tuple[int, str, int]], path: str, best: int | None = None) -> str:
+    """The text on ``path``: of all elements there if a class names them, else of ``best`` or the one with most text."""
+    wanted = path_key(path)
+    top = [-1] * len(elements)  # the outermost element on the path that an element is in
+    for k, e in enumerate(elements):
+        if not e.out:
+            above = top[e.parent] if e.parent >= 0 else -1
+            top[k] = above if above >= 0 else k if e.key == wanted else -1
+    if "." not in path.rpartition(">")[2] and path.rpartition(">")[2] not in ("article", "main", "body"):
+        sizes = dict.fromkeys(sorted({k for k in top if k >= 0}), 0)
+        for k, text, linked in found:
+            if top[k] >= 0:
+                sizes[top[k]] += max(0, len(text) - 2 * linked)
+        only = best if best is not None else max(sizes, key=sizes.__getitem__, default=-1)
+        return " ".join(t for k, t, _ in found if top[k] == only >= 0)
+    return " ".join(t for k, t, _ in found if top[k] >= 0)
+
+
 def main_text(page: str | None, path: str | None) -> str:
-    """The text on ``path``, or in the page's own best container if nothing is there."""
+    """The text on ``path``, or on the path of the page's own best container if nothing is there."""
     elements, found = blocks(page)
-    inside = [False] * len(elements)
-    for k, e in enumerate(elements):
-        inside[k] = (not e.out) and ((path is not None and e.path == path) or (e.parent >= 0 and inside[e.parent]))
-    text = " ".join(t for k, t, _ in found if inside[k])
+    text = _on_path(elements, found, path) if path is not None else ""
     if text:
         return text
     best = best_container(elements, found)
-    if best is None:
-        return ""
-    for k, e in enumerate(elements):
-        inside[k] = (not e.out) and (k == best or (e.parent >= 0 and inside[e.parent]))
-    return " ".join(t for k, t, _ in found if inside[k])
+    return "" if best is None else _on_path(elements, found, path_of(elements, best), best)
 
 
 def host_of(url: Column) -> Column:
@@ -230,7 +338,7 @@ def host_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
                 best = best_container(elements, texts)
                 if best is not None:
                     hosts.append(host)
-                    paths.append(elements[best].path)
+                    paths.append(path_of(elements, best))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
 
     votes = pages.select(host_of(F.col(url)).alias("host"), F.col(html).cast("string").alias("html")).mapInArrow(vote, "host string, path string")
@@ -241,12 +349,12 @@ def host_paths(pages: DataFrame, html: str = "html", url: str = "url") -> DataFr
 
 def extract(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """``pages`` without ``html``, with ``text``, ``n_chars`` and the ``path`` of its host."""
-    paths = staged(host_paths(pages, html, url).select(F.col("host").alias("_host"), F.col("path").alias("_path")), "host-paths")
+    reachable(pages.sparkSession)
     keep = [c for c in pages.columns if c not in {html, "text", "n_chars", "path"}]
-    rows = pages.select(*keep, F.col(html).cast("string").alias("_html"), host_of(F.col(url)).alias("_host"))
-    if paths.count() <= BROADCAST_HOSTS:
-        paths = F.broadcast(paths)
-    rows = rows.join(paths, "_host", "left").select(*keep, F.col("_path").alias("path"), "_html")
+    body, host, path, votes = (unused(pages.columns, c) for c in ("_html", "_host", "_path", "_votes"))
+    paths = staged(host_paths(pages, html, url).select(F.col("host").alias(host), F.col("path").alias(path), F.col("votes").alias(votes)), "host-paths")
+    rows = pages.select(*keep, F.col(html).cast("string").alias(body), host_of(F.col(url)).alias(host))
+    rows = looked_up(rows, paths, [host], votes, BROADCAST_HOSTS).select(*keep, F.col(path).alias("path"), body)
     schema = T.StructType([*[rows.schema[c] for c in [*keep, "path"]], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
