@@ -1,9 +1,10 @@
 """Media columns: payloads stored as images in tar shards, addressed by content.
 
 ``write_shards`` turns each payload into an 8-bit grey PNG of rows of ``WIDTH`` samples and appends
-it to its task's tar shard under the name ``<sha256 of the payload>.png``. A task stores equal
-payloads once. The rows returned carry no payload but digest, shard, offset and length of the
-stored image. Shards of tasks that are run again get new names, and rows only ever name the shard
+it to its task's tar shard under the name ``<sha256 of the payload>.png``. Of equal payloads one row's
+is stored, told by an aggregation over hashes, and the place of that image is then looked up for the others. The rows
+returned carry no payload but digest, shard, offset and length of the stored image. A task holds rows
+only until their shard is whole. Shards of tasks that are run again get new names, and rows only ever name the shard
 that the same attempt finished, so that a lost executor leaves unreferenced files at worst.
 
 ``with_header`` fills metadata columns from range reads of a few bytes: the tar header before an
@@ -13,9 +14,10 @@ and computes digests and features.
 Shards lie in a folder that all executors share; it may be on any store that
 ``pyarrow.fs`` opens (local or mounted, S3, GCS, HDFS).
 
-Defined results: a null text is an empty one; an empty payload is padded to one row of samples;
-equal payloads have equal values, repeated rows are kept; extra columns pass through; an empty
-table writes nothing and gives an empty result.
+Defined results: a null text is an empty one; an empty payload is padded to one row of samples; a text of
+any length is one image; equal payloads have equal values and one place, repeated rows are kept (rows equal in all
+columns may store their image once a task; the least place counts); extra columns pass through, but those of
+the names that are made here are replaced; an empty table writes nothing and gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,13 +33,19 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import scratch
+from weftline.session import reachable
+
+from .common import looked_up, scratch, spread, staged, unused
 
 WIDTH, PAD = 192, 32
 BLOCK = 512  # of a tar archive
 PNG = b"\x89PNG\r\n\x1a\n"
 #: Bytes of a shard before the task starts the next one.
 SHARD_BYTES = 1 << 28
+#: Stored bytes that a task reads back, about.
+SHARE_BYTES = 1 << 27
+#: Texts that occur more than once, up to which their rows are broadcast: two hashes and a row's hash or place each.
+LOOKUP_TEXTS = 500_000
 INDEX = [T.StructField("digest", T.StringType()), T.StructField("n_bytes", T.LongType()), T.StructField("shard", T.StringType()), T.StructField("offset", T.LongType()), T.StructField("length", T.LongType())]
 
 
@@ -127,35 +135,52 @@ class _Shards:
 
 
 def write_shards(docs: DataFrame, folder: str, text: str = "text", level: int = 2) -> DataFrame:
-    """The columns of ``docs`` but ``text``, with digest, n_bytes, shard, offset and length.
-
-    The rows must be written or staged before anything reads the shards.
-    """
-    keep = [c for c in docs.columns if c != text and c not in {f.name for f in INDEX}]
-    schema = T.StructType([*[docs.schema[c] for c in keep], *INDEX])
+    """The columns of ``docs`` but ``text``, with digest, n_bytes, shard, offset and length."""
+    reachable(docs.sparkSession)
+    made = {f.name for f in INDEX}
+    keep = [c for c in docs.columns if c != text and c not in made]
+    own = [docs.schema[c] for c in keep]
+    value, h1, h2, me, writer, copies = (unused(docs.columns, c) for c in ("_value", "_h1", "_h2", "_me", "_writer", "_copies"))
+    rows = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(value))
+    rows = rows.withColumns({h1: F.xxhash64(value), h2: F.xxhash64(value, value), me: F.xxhash64(*[f.name for f in own if "map<" not in f.dataType.simpleString()], F.lit(0))})
+    equal = staged(rows.groupBy(h1, h2).agg(F.min(me).alias(writer), F.count("*").alias(copies)).filter(F.col(copies) > 1), "media-equal")
+    rows = looked_up(rows, equal, [h1, h2], copies, LOOKUP_TEXTS)
+    rows = rows.select(*keep, h1, h2, F.col(writer).isNotNull().alias(writer), F.coalesce(F.col(writer) == F.col(me), F.lit(True)).alias(me), value)
+    schema = T.StructType([*[rows.schema[c] for c in [*keep, h1, h2, writer]], *INDEX])
 
     def write(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, known = None, {}
-        held = []
+        shards, known, held = _Shards(folder), {}, []
         for batch in found:
-            shards = shards or _Shards(folder)
-            rows = []
-            for value in batch.column(batch.num_columns - 1).to_pylist():
-                data = (value or "").encode()
+            made = []
+            for stored, one in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                data = one.encode()
                 payload = padded(data)
                 digest = hashlib.sha256(payload).hexdigest()
-                if digest not in known:
+                if stored and digest not in known:
                     known[digest] = shards.put(digest, to_png(payload, level))
-                rows.append((digest, len(data), *known[digest]))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
+                made.append((digest, len(data), *(known[digest] if stored else (None, None, None))))
+            columns = list(zip(*made, strict=True)) or [[]] * 5
             kinds = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            more = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            held.append(pa.RecordBatch.from_arrays([*batch.columns[:-1], *more], [f.name for f in schema.fields]))
-        if shards:
-            shards.close()  # rows leave only when their shard is whole
+            held.append(pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [f.name for f in schema.fields]))
+            if shards.at >= SHARD_BYTES:  # rows leave only when their shard is whole
+                shards.close()
+                yield from held
+                known, held = {}, []
+        shards.close()
         yield from held
 
-    return docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias(text)).mapInArrow(write, schema)
+    index = staged(rows.mapInArrow(write, schema), "media-written")
+    place = unused(docs.columns, "_place")
+    places = index.filter(F.col(writer)).groupBy(h1, h2).agg(F.min(F.when(F.col("shard").isNotNull(), F.struct("shard", "offset", "length"))).alias(place), F.count("*").alias(copies))
+    index = looked_up(index, staged(places, "media-places"), [h1, h2], copies, LOOKUP_TEXTS)
+    return index.select(*keep, "digest", "n_bytes", *[F.coalesce(F.col(place)[c], F.col(c)).alias(c) for c in ("shard", "offset", "length")])
+
+
+def in_shares(index: DataFrame, file: str, offset: str, length: str) -> DataFrame:
+    """``index`` (staged) dealt in the order of its files to tasks of about ``SHARE_BYTES`` stored bytes; places that many rows name are split."""
+    total = index.agg(F.sum(length)).first()[0] or 0
+    rest = [f.name for f in index.schema.fields if "map<" not in f.dataType.simpleString()]
+    return index.repartitionByRange(max(spread(index.sparkSession), -(-total // SHARE_BYTES)), file, offset, F.xxhash64(*rest)).sortWithinPartitions(file, offset)
 
 
 class _Reader:

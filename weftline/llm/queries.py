@@ -44,7 +44,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = staged(media.write_shards(docs, media.media_folder(spark)), "media-index")
-    found = media.with_features(media.with_header(index))
+    found = media.with_features(media.with_header(media.in_shares(index, "shard", "offset", "length")))
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "digest", "width", "height", "bits")
 
 

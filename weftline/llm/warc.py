@@ -3,25 +3,29 @@
 ``write_archives`` writes one gzip member per record (WARC/1.1). Of equal payloads of at least
 ``LEAST`` bytes the one with the smallest page_id is a response, the others are revisits that
 carry its record id and no payload. Which record is what is decided on digests alone, by an
-aggregation; pages are then dealt by page_id, so that copies of one payload spread over tasks. Each
-task sorts its captures by URL key and time and writes them as one run.
+aggregation whose repeated digests are looked up; payloads aren't exchanged. Each
+task sorts its captures by URL key and time and writes them as runs of about ``RUN_BYTES``.
 
-``read_archives`` reads records back by file, offset and length and checks their digests.
-``merge_runs`` deals the runs' index rows into ranges of (URL key, time); a task holds its slices
+``read_archives`` reads records back by file, offset and length and checks their digests; tasks
+get equal shares of the records, in the order of the files.
+``merge_runs`` cuts the history into ranges of (URL key, time) of about ``RANGE_ROWS`` rows; a task holds its slices
 of the runs, each still sorted, and merges them through a loser tree, so that the ranges in order
-are one sorted capture history.
+are one sorted capture history. What a task holds depends on ``RANGE_ROWS`` alone, not on the corpus.
 
 Records go to files named anew by each attempt, and index rows name only files that are complete.
 
 Defined results: null html is an empty payload; a null url gives no target and the empty key;
 repeated rows are records of their own (rows equal in page_id and payload are the same kind of
-record); captures without a time are taken at ``EPOCH`` plus page_id seconds; extra columns are
+record); a record without a page_id is a revisit of an equal payload that has one, and a response where
+none has; captures without a time are taken at ``EPOCH`` plus page_id seconds; captures of one key and time are
+in order of page_id, null ones last; payloads of any length are stored whole; extra columns are
 ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import zlib
 from collections.abc import Callable, Iterator
@@ -32,8 +36,10 @@ from uuid import uuid4
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import scratch, spread, staged
-from .media import _Reader, _store
+from weftline.session import reachable
+
+from .common import looked_up, scratch, spread, staged
+from .media import _Reader, _store, in_shares
 
 #: Payloads below this many bytes are always stored.
 LEAST = 100
@@ -41,6 +47,8 @@ EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Compressed bytes of a run that a task holds while it sorts.
 RUN_BYTES = 64_000_000
+#: Index rows in a range of the merge, about 300 bytes each in a task.
+RANGE_ROWS = 100_000
 RECORD = "urn:weftline:page:"
 INDEX = "page_id long, url_key string, captured_at string, warc_file string, warc_offset long, warc_length long"
 READ = INDEX + ", payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -102,11 +110,11 @@ def _kinds(pages: DataFrame) -> DataFrame:
     """``pages`` with payload, digest and refers_to."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "captured_at", payload.alias("payload"))
-    pages = pages.withColumns({"digest": F.sha2("payload", 256), "size": F.length("payload")})
-    small = pages.filter(F.col("size") >= LEAST).select("page_id", "digest")
-    first = small.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    again = small.join(first, "digest").filter("page_id > refers_to").distinct()
-    return pages.join(again, ["page_id", "digest"], "left")
+    pages = pages.withColumn("digest", F.sha2("payload", 256))
+    equal = pages.filter(F.length("payload") >= LEAST).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
+    found = looked_up(pages, staged(equal.filter("copies > 1"), "warc-equal"), ["digest"], "copies")
+    again = F.coalesce(F.col("page_id") > F.col("first"), F.lit(True))
+    return found.withColumn("refers_to", F.when(again, F.col("first"))).drop("first")
 
 
 def write_archives(pages: DataFrame, folder: str, captured_at: str | None = None) -> DataFrame:
@@ -148,7 +156,7 @@ def _run(folder: str, captures: list[tuple]) -> pa.RecordBatch:
 
 
 def read_archives(index: DataFrame) -> DataFrame:
-    """``index`` with what the records themselves say of their payloads."""
+    """``index`` (staged) with what the records themselves say of their payloads."""
 
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader()
@@ -165,7 +173,7 @@ def read_archives(index: DataFrame) -> DataFrame:
             more = [pa.array(c, k) for c, k in zip(columns, [pa.int64(), pa.string(), pa.string(), pa.int64()], strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return index.mapInArrow(read, READ)
+    return in_shares(index, "warc_file", "warc_offset", "warc_length").mapInArrow(read, READ)
 
 
 class LoserTree:
@@ -213,39 +221,28 @@ class LoserTree:
 
 def merge_runs(captures: DataFrame, ranges: int | None = None) -> DataFrame:
     """The rows of ``captures`` (staged) in order of URL key, time and page_id over its partitions."""
-    names = captures.columns
-    at = {c: names.index(c) for c in ("url_key", "captured_at", "page_id", "warc_file")}
-
-    def order(row: tuple) -> tuple:
-        page_id = row[at["page_id"]]
-        return row[at["url_key"]], row[at["captured_at"]], page_id is None, page_id or 0
 
     def merge(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        schema = None
-        for batch in found:
-            schema = batch.schema
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                runs.setdefault(row[at["warc_file"]], []).append(row)
-        if schema is None:
+        held = pa.Table.from_batches(batches) if (batches := list(found)) else None
+        if held is None:
             return
-        out = []
-        for row in LoserTree(list(runs.values()), order):
-            out.append(row)
-            if len(out) == 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    n = ranges or spread(captures.sparkSession)
-    # within a range, a run's slice is read in the run's own order
-    dealt = captures.repartitionByRange(n, "url_key", "captured_at", "page_id").sortWithinPartitions("warc_file", "warc_offset")
+        url_keys, times, ids, files = (held[c].to_pylist() for c in ("url_key", "captured_at", "page_id", "warc_file"))
+        runs: dict[str, list[int]] = {}
+        for k, name in enumerate(files):
+            runs.setdefault(name, []).append(k)
+        merged = iter(LoserTree(list(runs.values()), lambda k: (url_keys[k], times[k], ids[k] is None, ids[k] or 0)))
+        while rows := list(itertools.islice(merged, 10_000)):
+            yield from held.take(pa.array(rows, pa.int64())).combine_chunks().to_batches()
+
+    n = ranges or max(spread(captures.sparkSession), -(-captures.count() // RANGE_ROWS))
+    # file and offset tell equal captures apart, so that ranges are bounded; a run's slice is read in the run's own order
+    dealt = captures.repartitionByRange(n, "url_key", "captured_at", F.col("page_id").asc_nulls_last(), "warc_file", "warc_offset").sortWithinPartitions("warc_file", "warc_offset")
     return dealt.mapInArrow(merge, captures.schema)
 
 
 def archived(pages: DataFrame) -> DataFrame:
     """Writes ``pages`` as archives, reads them back and merges their index."""
     spark = pages.sparkSession
+    reachable(spark)
     index = staged(write_archives(pages, scratch(spark, "warc")), "warc-index")
     return merge_runs(staged(read_archives(index), "warc-read"))
