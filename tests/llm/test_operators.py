@@ -18,7 +18,7 @@ import pytest
 import regex
 from pyspark.sql import Row, functions as F
 
-from weftline.llm import extract, fingerprint, jaccard, line_dedup, media, packing, pii, quality, sentencepiece_fst, warc
+from weftline.llm import common, extract, fingerprint, jaccard, line_dedup, media, packing, pii, quality, sentencepiece_fst, warc
 from weftline.llm.components import connected_components
 from weftline.llm.queries import TOKENIZER, PIECES, tokenizer_path
 
@@ -150,8 +150,6 @@ def test_media_shards_are_tar_files(spark, docs):
 
 
 def test_media_stores_equal_payloads_once(spark, monkeypatch):
-    from weftline.llm import common
-
     rows = [(i, f"text {i % 7}" if i % 3 else "the hot one") for i in range(300)]
     for bound in (500_000, 0):
         monkeypatch.setattr(media, "LOOKUP_TEXTS", bound)
@@ -233,6 +231,7 @@ def test_jaccard_matches_all_pairs(spark, docs, k, share):
 
 
 def test_jaccard_blocks_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "RUN", 4)
     rng = random.Random(3)
     sets = []
     base = rng.sample(range(10**6), 80)
@@ -272,7 +271,8 @@ def test_jaccard_small_blocks_in_spark(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 60)
     monkeypatch.setattr(jaccard, "BITMAP_BLOCK", 60)
     monkeypatch.setattr(jaccard, "LONG", 3)
-    monkeypatch.setattr(jaccard, "LONG_MEANS", 0)
+    monkeypatch.setattr(jaccard, "ROW", 1)
+    monkeypatch.setattr(common, "LOOKUP_ROWS", 0)
     words = [f"w{i}" for i in range(40)]
     rows = [(i, " ".join([*words[: i % 5], f"x{i}", *words[i % 5 + 1 :]])) for i in range(30)] + [(100 + i, " ".join(words)) for i in range(5)]
     df = spark.createDataFrame(rows, "doc_id long, text string")

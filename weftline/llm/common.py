@@ -107,16 +107,16 @@ LOOKUP_ROWS = 200_000
 HOT_SHARE = 1 / 1000
 
 
-def looked_up(rows: DataFrame, table: DataFrame, on: list[str], copies: str, bound: int = LOOKUP_ROWS) -> DataFrame:
+def looked_up(rows: DataFrame, table: DataFrame, on: list[str], copies: str, bound: int | None = None) -> DataFrame:
     """``rows`` left-joined with ``table`` (staged, a row for each key) on the columns ``on``.
 
-    ``copies`` counts the rows that have a key and is dropped. Up to ``bound`` keys are broadcast.
+    ``copies`` counts the rows that have a key and is dropped. Up to ``bound`` keys (``LOOKUP_ROWS``) are broadcast.
     Beyond that, the at most ``1 / HOT_SHARE`` keys that hold more than ``HOT_SHARE`` of the rows
     are, and the others joined by an exchange in which hot rows are dealt by their number: no key fills a
     task, however many rows have it.
     """
     n, total = table.agg(F.count("*"), F.sum(copies)).first()
-    if n <= bound:
+    if n <= (LOOKUP_ROWS if bound is None else bound):
         return rows.join(F.broadcast(table.drop(copies)), on, "left")
     values = [c for c in table.columns if c not in {*on, copies}]
     hit, salt = unused([*rows.columns, *values], "_hit"), unused([*rows.columns, *values], "_salt")

@@ -5,8 +5,8 @@ The join follows set-relation skipping:
 1. Equal sets are one node, named by a hash of the set and its size. Work from here on is on
    nodes, so that a text copied a million times is joined once.
 2. Shingles get a global order: those of many sets last, and of the others those of rare words
-   first, which are hardly shared by chance. Two tables of fixed size count shingles and words
-   over all sets (one slot per hash bucket, summed over tasks). The order only steers the work;
+   first, which are hardly shared by chance. Two tables, sized by the number of documents within
+   bounds, count shingles and words over all sets (one slot per hash bucket, summed over tasks). The order only steers the work;
    any order gives the same links.
 3. Two sets of the wanted similarity share a shingle among the first few of each (its prefix).
    Prefix entries form the index lists; the least entry of a list (nodes are
@@ -18,17 +18,19 @@ The join follows set-relation skipping:
    stays at home. The sets of the others follow, but not to leaders all of whose sets meet
    elsewhere too.
 5. A leader's gathering is cut into blocks of bounded size, and tasks take pairs of blocks. Within
-   one, lists are kept by size and by position. Sizes out of range skip a block of the list at
-   once; so do positions too late to leave enough shingles. The overlaps of a set with all
-   others come from those of a highly similar set: only lists of shingles in which the two differ
-   are read. A task returns links that span its groups, not all links.
+   one, the index lists are kept by size and then by position, in runs of ``RUN`` entries with their least
+   position: sizes out of range are skipped by bisection, and of the rest each run that lies too late
+   to leave enough shingles, at once. The overlaps of a set with all others are derived from those of
+   the most similar of the last ``ANSWERED`` answered sets: only lists of shingles in which the two
+   differ are read. A task returns links that span its groups, not all links.
 
 Sets are recomputed from the texts where needed, and only for nodes that have a partner, told by a
 bitmap of fixed size.
 
 Defined results: null texts, empty texts and texts without words have the empty set, which links
-with nothing; repeated rows are members of one class; rows that share a doc_id share a component;
-extra columns are ignored; an empty table gives an empty result.
+with nothing; texts of any length are read whole; a similarity of just the threshold links; repeated rows are
+members of one class; rows that share a doc_id share a component; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -41,15 +43,22 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import spread, staged, task_started
+from weftline.session import reachable
+
+from .common import dropped, looked_up, spread, staged, task_started
 from .components import connected_components
 from .shingles import runs_of, shingle_set, word_hashes
 
-#: Slots of each table of counts: 4 bytes each. The second table, for words, follows the first.
-BUCKETS = 1 << 20
+#: Slots of each table of counts, 4 bytes each: a power of two near an eighth of the number of documents, within these bounds.
+#: The second table, for words, follows the first.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 23
 PARTS = 16
-#: A list is long if its slot counts more sets than this and this many times the mean; no other list is longer.
-LONG, LONG_MEANS = 2_000, 8
+#: A list is long if its slot counts more sets than this; no other list is longer.
+LONG = 2_000
+#: Entries of an index list that are skipped together, and answered sets to derive answers from.
+RUN, ANSWERED = 64, 3
+#: Shingles that a row counts for at least where memory is bounded by shingles.
+ROW = 64
 #: Shingles in a block of a leader's gathering when sets, or only their bitmaps, are compared; a task holds two blocks.
 BLOCK, BITMAP_BLOCK = 500_000, 16_000_000
 #: Bits of the bitmap of nodes with a partner.
@@ -82,8 +91,12 @@ def _name(members: np.ndarray) -> int:
     return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(members.tobytes()))))
 
 
-def _bucket(members: np.ndarray) -> np.ndarray:
-    return (members & np.uint64(BUCKETS - 1)).astype(np.int64)
+def _buckets(n_documents: int) -> int:
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (n_documents // 8).bit_length()))
+
+
+def _bucket(members: np.ndarray, buckets: int) -> np.ndarray:
+    return (members & np.uint64(buckets - 1)).astype(np.int64)
 
 
 def _texts(found: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -96,9 +109,10 @@ def _texts(found: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """The node of each document, and how many sets (copies in one task counted once) fall in each bucket."""
+    size = _buckets(docs.count())
 
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known, rows, held, n_held = np.zeros(2 * BUCKETS, dtype=np.int64), set(), [], [], 0
+        counts, known, rows, held, n_held = np.zeros(2 * size, dtype=np.int64), set(), [], [], 0
         kinds = {"doc_id": pa.int64(), "node": pa.int64(), "n": pa.int64(), "bitmap": pa.binary(), "part": pa.int32(), "counts": pa.binary()}
 
         def out(rows: list) -> pa.RecordBatch:
@@ -112,16 +126,16 @@ def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
             rows.append((doc_id, node, len(members), parity(members) if fresh else None, None, None))
             if fresh:
                 known.add(node)
-                held += [_bucket(members), _bucket(hashes) + BUCKETS]
+                held += [_bucket(members, size), _bucket(hashes, size) + size]
                 n_held += len(members)
-            if n_held > BUCKETS // 4:
-                counts += np.bincount(np.concatenate(held), minlength=2 * BUCKETS)
+            if n_held > size // 4:
+                counts += np.bincount(np.concatenate(held), minlength=2 * size)
                 held, n_held = [], 0
             if len(rows) >= 10_000:
                 yield out(rows)
                 rows = []
         if held:
-            counts += np.bincount(np.concatenate(held), minlength=2 * BUCKETS)
+            counts += np.bincount(np.concatenate(held), minlength=2 * size)
         if known:
             rows += [(None, None, None, None, k, x.astype("<i4").tobytes()) for k, x in enumerate(np.split(counts, PARTS))]
         if rows:
@@ -137,7 +151,7 @@ def _survey(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 2**31 - 1).astype("<i4").tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
 
     tables = both.filter("part is not null").select("part", "counts").repartition(PARTS, "part").mapInArrow(total, "part int, counts binary")
-    counts = np.zeros((PARTS, 2 * BUCKETS // PARTS), dtype=np.int32)
+    counts = np.zeros((PARTS, 2 * size // PARTS), dtype=np.int32)
     for row in tables.collect():  # PARTS rows
         counts[row.part] = np.frombuffer(row.counts, dtype="<i4")
     return both.filter("part is null").select("doc_id", "node", "n", "bitmap"), counts.reshape(-1)
@@ -148,16 +162,19 @@ def _prefix(hashes: np.ndarray, words: int, counts: np.ndarray, num: int, den: i
     members, first = np.unique(runs_of(hashes, words), return_index=True)
     if not len(members):
         return members, members
-    commonness = np.log2(1.0 + counts[_bucket(hashes) + BUCKETS])
+    size = len(counts) // 2
+    commonness = np.log2(1.0 + counts[_bucket(hashes, size) + size])
     n = min(words, len(hashes))
     common = sum(commonness[k : len(hashes) - n + 1 + k] for k in range(n))[first]
-    level = np.frexp(counts[_bucket(members)].astype(np.float64))[1]
+    level = np.frexp(counts[_bucket(members, size)].astype(np.float64))[1]
     return members, members[np.lexsort((members, np.round(4 * common), level))][: prefix_length(len(members), num, den)]
 
 
 def _entries(docs: DataFrame, words: int, num: int, den: int, counts) -> DataFrame:
     """(token, node, n, long) of every prefix entry of every node; ``long`` where the token's list may be long."""
 
+    limit = LONG
+
     def read(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, n_held = set(), [], 0
 
@@ -166,10 +183,9 @@ def _entries(docs: DataFrame, words: int, num: int, den: int, counts) -> DataFra
             tokens = np.concatenate([p for _, _, p in held]).view(np.int64)
             node = np.repeat(np.array([x for x, _, _ in held], dtype=np.int64), sizes)
             n = np.repeat(np.array([x for _, x, _ in held], dtype=np.int64), sizes)
-            long = counts.value[_bucket(tokens.view(np.uint64))] > limit
+            long = counts.value[_bucket(tokens.view(np.uint64), len(counts.value) // 2)] > limit
             return pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(node), pa.array(n), pa.array(long)], ["token", "node", "n", "long"])
 
-        limit = max(LONG, LONG_MEANS * float(counts.value[:BUCKETS].mean()))
         for (text,) in _texts(found):
             members, prefix = _prefix(word_hashes(text), words, counts.value, num, den)
             node = _name(members)
@@ -265,8 +281,8 @@ class _Forest:
 def linked_within(sets: list[np.ndarray], num: int, den: int, split: int | None = None) -> list[tuple[int, int]]:
     """Links that span the groups of similar sets; with ``split``, only between sets before and after it.
 
-    Sets that differ by few members from the one before take over its overlaps, changed by the
-    lists of those members.
+    The overlaps of a set are those of the most similar set answered before, changed by the lists of
+    the members in which they differ, or counted anew where that is less.
     """
     n_sets = len(sets)
     if n_sets < 2:
@@ -286,16 +302,28 @@ def linked_within(sets: list[np.ndarray], num: int, den: int, split: int | None
     lists = np.argsort(local, kind="stable")
     posted, heads = owner[lists], np.concatenate([[0], np.cumsum(np.bincount(local, minlength=len(vocabulary)))])
     mine = [np.sort(local[starts[i] : starts[i + 1]]) for i in range(n_sets)]
-    # the index: prefix members only, each list by position
+    # the index: prefix members only, each list by size and position, in runs with their least position
     front = [m[: prefix_length(len(m), num, den)] for m in mine]
     lengths = np.array([len(f) for f in front])
-    token, place = np.concatenate(front), np.concatenate([np.arange(k) for k in lengths])
-    by_place = np.lexsort((place, token))
-    entry, entry_place = np.repeat(np.arange(n_sets), lengths)[by_place], place[by_place]
+    token, place, holder = np.concatenate(front), np.concatenate([np.arange(k) for k in lengths]), np.repeat(np.arange(n_sets), lengths)
+    listed = np.lexsort((place, sizes[holder], token))
+    entry, entry_place, entry_size = holder[listed], place[listed], sizes[holder[listed]]
     entry_heads = np.concatenate([[0], np.cumsum(np.bincount(token, minlength=len(vocabulary)))])
+    least_place = np.minimum.reduceat(entry_place, np.arange(0, len(entry_place), RUN))
+
+    def reachable_entries(a: int, b: int, low: int, high: int, latest: int) -> np.ndarray:
+        """Sets listed from ``a`` to ``b`` within the sizes and up to the position."""
+        a, b = a + np.searchsorted(entry_size[a:b], low, side="left"), a + np.searchsorted(entry_size[a:b], high, side="right")
+        if b - a <= 2 * RUN:
+            return entry[a:b][entry_place[a:b] <= latest]
+        runs = np.flatnonzero(least_place[a // RUN : (b - 1) // RUN + 1] <= latest) + a // RUN
+        spots = (runs[:, None] * RUN + np.arange(RUN)).ravel()
+        spots = spots[(spots >= a) & (spots < b)]
+        return entry[spots[entry_place[spots] <= latest]]
+
     forest, links = _Forest(n_sets), []
     order = np.lexsort((np.arange(n_sets), [int(m[-1]) for m in mine], [int(m[0]) for m in mine], sizes))
-    before, overlap = None, None
+    answered: list[tuple[int, np.ndarray]] = []  # the last sets with their overlaps
     for i in order.tolist():
         tokens, n = mine[i], int(sizes[i])
         low, high = -(-num * n // den), den * n // num
@@ -304,24 +332,23 @@ def linked_within(sets: list[np.ndarray], num: int, den: int, split: int | None
         for at, t in enumerate(front[i].tolist()):
             a, b = entry_heads[t], entry_heads[t + 1]
             if b - a > 1 and n - at >= needed(n, low, num, den):
-                near.append(entry[a : a + np.searchsorted(entry_place[a:b], latest, side="right")])
+                near.append(reachable_entries(a, b, low, high, latest))
         candidates = np.unique(np.concatenate(near)) if near else np.empty(0, dtype=np.int64)
-        candidates = candidates[(candidates != i) & (sizes[candidates] >= low) & (sizes[candidates] <= high)]
+        candidates = candidates[candidates != i]
         if split is not None:
             candidates = candidates[(candidates < split) != (i < split)]
         if not len(candidates):
             continue
-        plus, minus = tokens, tokens[:0]
-        if before is not None:
-            more, less = np.setdiff1d(tokens, mine[before], assume_unique=True), np.setdiff1d(mine[before], tokens, assume_unique=True)
-            if len(more) + len(less) < n:
-                plus, minus = more, less
-        if plus is tokens:
-            overlap = np.zeros(n_sets, dtype=np.int64)
+        plus, minus, overlap = tokens, tokens[:0], None
+        for k, known in answered:
+            more, less = np.setdiff1d(tokens, mine[k], assume_unique=True), np.setdiff1d(mine[k], tokens, assume_unique=True)
+            if len(more) + len(less) < len(plus) + len(minus):
+                plus, minus, overlap = more, less, known
+        overlap = np.zeros(n_sets, dtype=np.int64) if overlap is None else overlap.copy()
         for part, sign in ((plus, 1), (minus, -1)):
             if len(part):
                 overlap += sign * np.bincount(np.concatenate([posted[heads[t] : heads[t + 1]] for t in part.tolist()]), minlength=n_sets)
-        before = i
+        answered = [*answered[-ANSWERED + 1 :], (i, overlap)]
         for j in candidates[overlap[candidates] >= needed(n, sizes[candidates], num, den)].tolist():
             if forest.join(i, j):
                 links.append((i, j))
@@ -368,7 +395,7 @@ KEYS = ["leader", "i", "j"]
 
 def _in_blocks(gathered: DataFrame, capacity: int) -> DataFrame:
     """Each member of a gathering in all its pairs of blocks (i, j); ``first`` marks members of block i."""
-    total = gathered.groupBy("leader").agg(F.sum("n").alias("total"))
+    total = gathered.groupBy("leader").agg(F.sum(F.greatest("n", F.lit(ROW))).alias("total"))
     work = gathered.join(total, "leader").withColumn("blocks", F.ceil(F.col("total") / capacity).cast("int"))
     work = work.withColumn("own", F.pmod(F.xxhash64("node", "n", F.lit(7)), F.col("blocks")).cast("int"))
     work = work.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -449,6 +476,7 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: Fraction | str
     included. ``node`` names its class of equal sets.
     """
     spark = docs.sparkSession
+    reachable(spark)
     share = Fraction(similarity)
     num, den = share.numerator, share.denominator
     if not 0 < share <= 1:
@@ -456,26 +484,41 @@ def jaccard_classes(docs: DataFrame, words: int = 5, similarity: Fraction | str
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows, counts = _survey(docs, words)
     shared = spark.sparkContext.broadcast(counts)
-    entries = _entries(docs, words, num, den, shared)
-    gathered = staged(_gatherings(staged(entries, "jaccard-entries"), num, den), "jaccard-gatherings")
+    entries = staged(_entries(docs, words, num, den, shared), "jaccard-entries")
+    every = staged(_gatherings(entries, num, den), "jaccard-gatherings")
+    dropped(entries)
     bitmaps = rows.filter("bitmap is not null").select("node", "n", "bitmap").dropDuplicates(["node", "n"])
-    gathered = staged(_covered(staged(_near(gathered, bitmaps, num, den), "jaccard-near", arrow_rows=2000)), "jaccard-covered")
+    near = staged(_near(every, bitmaps, num, den), "jaccard-near", arrow_rows=2000)
+    gathered = staged(_covered(near), "jaccard-covered")
+    dropped(every, near)
     bitmap = spark.sparkContext.broadcast(_bitmap(gathered.select("node")))
     sets = _sets(docs, words, bitmap)
     links = staged(_links(gathered, sets, num, den), "jaccard-links", arrow_rows=200)
-    # from nodes to their least documents
-    lowest = rows.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("low"))
-    ends = lowest.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("low").alias("low_a"))
-    others = lowest.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("low").alias("low_b"))
-    edges = links.join(ends, ["a", "a_n"]).join(others, ["b", "b_n"]).select(F.col("low_a").alias("a"), F.col("low_b").alias("b"))
-    # rows that share a doc_id but not a set
-    held = rows.filter("n > 0").join(lowest, ["node", "n"]).select("doc_id", "low")
-    several = held.groupBy("doc_id").agg(F.min("low").alias("a"), F.max("low").alias("b")).filter("a <> b").select("doc_id")
-    edges = edges.union(held.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("low").alias("b")))
+    dropped(gathered)
+    # components of nodes, each named by one number, and their least documents
+    lowest = staged(rows.filter("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies")), "jaccard-lowest")
+    edges = links.select(F.xxhash64("a", "a_n").alias("a"), F.xxhash64("b", "b_n").alias("b"))
+    edges = edges.union(_same_id(rows).select(F.xxhash64("a", "a_n"), F.xxhash64("b", "b_n")))
     components = connected_components(edges)
-    reps = lowest.join(components.withColumnRenamed("node", "low"), "low", "left").select("node", "n", F.coalesce("component", "low").alias("component"))
-    out = rows.join(reps, ["node", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component", "doc_id").alias("component_id"))
+    named = lowest.withColumn("id", F.xxhash64("node", "n"))
+    linked = staged(named.join(components.withColumnRenamed("node", "id"), "id"), "jaccard-linked")
+    least = staged(linked.groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("nodes")), "jaccard-least")
+    linked = looked_up(linked, least, ["component"], "nodes").select("node", "n", F.col("least").alias("component_id"), "copies")
+    alone = lowest.filter("copies > 1").join(linked.select("node", "n"), ["node", "n"], "left_anti").select("node", "n", F.col("low").alias("component_id"), "copies")
+    # a text that stands once and links with nothing is its own component
+    reps = staged(linked.unionByName(alone), "jaccard-classes")
+    dropped(links, linked, least)
+    out = looked_up(rows.select("doc_id", "node", "n"), reps, ["node", "n"], "copies")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _same_id(rows: DataFrame) -> DataFrame:
+    """(a, a_n, b, b_n): the nodes of rows that share a doc_id, each with the least one."""
+    ids = rows.filter("n > 0 AND doc_id IS NOT NULL")
+    node = F.struct("node", "n")
+    several = ids.groupBy("doc_id").agg(F.min(node).alias("a"), F.max(node).alias("z")).filter("a <> z").select("doc_id", "a")
+    found = ids.join(several, "doc_id").filter(node != F.col("a"))
+    return found.select(F.col("a.node").alias("a"), F.col("a.n").alias("a_n"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct()
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: Fraction | str = "0.8") -> DataFrame:
