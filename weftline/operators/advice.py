@@ -82,3 +82,45 @@ def context_block(facts: DataFrame, accesses: DataFrame, ratios: DataFrame, key:
     a = accesses.select(key, "access_count", "last_accessed")
     r = ratios.groupBy(key).agg(F.max_by("ratio", "ts").alias("last_ratio"))
     return a.join(f, key, "left").join(r, key, "left").withColumn("active_facts", F.coalesce("active_facts", F.lit(0)))
+
+
+def estimated_compression(tokens: Column, redundancy: Column, skeleton_ratio: Column) -> dict[str, Column]:
+    """The ratio that a text may reach, by its size, and the tokens left and saved at it; at least 30 tokens or a twentieth stay."""
+    base = F.when(tokens < 200, 1.0).when(tokens < 8_000, 1.2 + redundancy * 0.8).when(tokens < 32_000, 2.0 + redundancy).when(tokens < 100_000, 4.0 + redundancy * 2).otherwise(6.0 + redundancy * 4)
+    ratio = base * F.greatest(F.lit(1.0), F.least(F.lit(2.0), 1 + (0.2 - skeleton_ratio) * 5))
+    least = F.greatest(F.lit(30), F.floor(tokens * 0.05))
+
+    def left(r: Column) -> Column:
+        return F.greatest(F.floor(tokens / r), least).cast("long")
+
+    return {
+        "ratio": F.round(ratio, 6), "left": left(ratio), "saved_percent": F.round((1 - left(ratio) / F.greatest(tokens, F.lit(1))) * 100, 4),
+        "best_left": left(ratio * 1.3), "worst_left": left(ratio * 0.7),
+    }
+
+
+def estimate_grade(actual: Column, estimated: Column) -> Column:
+    """Excellent within 15 %, good within 40 % of the actual value, else fair; so are values that are no positive numbers."""
+    error = F.abs(actual - estimated) / actual
+    odd = actual.isNull() | estimated.isNull() | F.isnan(actual) | F.isnan(estimated) | (F.abs(actual) == float("inf")) | (F.abs(estimated) == float("inf")) | (actual <= 0)
+    return F.when(odd, "fair").when(error <= 0.15 + 1e-9, "excellent").when(error <= 0.40 + 1e-9, "good").otherwise("fair")
+
+
+def advice_confidence(changed: Column, needed_tokens: Column, budget: Column, clear: Column) -> Column:
+    """Less for a level that isn't the usual one and for a tight budget, more for clear uses; between a half and 1."""
+    value = F.lit(1.0) - F.when(changed, 0.2).otherwise(0.0) - F.when(F.coalesce((budget > 0) & (needed_tokens > budget * 0.9), F.lit(False)), 0.1).otherwise(0.0) + F.when(clear, 0.1).otherwise(0.0)
+    return F.round(F.greatest(F.lit(0.5), F.least(F.lit(1.0), value)), 6)
+
+
+def structure_score(text: Column) -> Column:
+    """Headings count 0.3, three paragraphs 0.2, lists 0.2, five sentences of even length 0.3; at most 1."""
+    heads = text.rlike(r"(?m)^#{1,6}\s+") | text.rlike(r"(?m)^[A-Z][A-Za-z\s]+:$") | text.rlike(r"(?m)^\d+\.\s+[A-Z]")
+    lists = text.rlike(r"(?m)^\s*[-*•]\s+")
+    parts = F.split(text, r"[.!?]+")
+    lengths = F.filter(F.transform(parts, lambda s: F.size(F.filter(F.split(s, r"\s+"), lambda w: w != ""))), lambda n: n > 0)
+    total = F.aggregate(lengths, F.lit(0.0), lambda s, n: s + n)
+    squares = F.aggregate(lengths, F.lit(0.0), lambda s, n: s + n * n)
+    n = F.size(lengths)
+    even = (F.size(parts) >= 5) & (n > 0) & (squares / n - (total / n) * (total / n) < 100)
+    score = F.when(heads, 0.3).otherwise(0.0) + F.when(F.size(F.split(text, "\n\n")) >= 3, 0.2).otherwise(0.0) + F.when(lists, 0.2).otherwise(0.0) + F.when(even, 0.3).otherwise(0.0)
+    return F.round(F.least(score, F.lit(1.0)), 4)

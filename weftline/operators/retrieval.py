@@ -142,3 +142,11 @@ def prune_by_relevance(nodes: DataFrame, query: list[float], keep_ratio: float,
     w = W.partitionBy(group)
     ranked = scored.withColumns({"n": F.count("*").over(w), "rank": F.row_number().over(w.orderBy(F.desc("score"), id_col))})
     return ranked.filter(F.col("rank") <= F.greatest(F.lit(1), F.ceil(F.col("n") * keep_ratio))).drop("n")
+
+
+def docs_search(pages: DataFrame, query: str, k: int = 5, id_col: str = "doc_id", title: str = "title", text: str = "text", stem: int = 0) -> DataFrame:
+    """The best ``k`` pages (1 to 20) by BM25 over title and text, with their columns, score and rank."""
+    both = pages.select(id_col, F.concat_ws("\n", title, text).alias("_both"))
+    scored = bm25(both, query, id_col, "_both", stem=stem).withColumn("score", F.round("score", 6))
+    best = top_k(scored, max(1, min(k, 20)))
+    return pages.join(F.broadcast(best), pages[id_col] == best["id"])  # at most 20 rows
