@@ -150,7 +150,7 @@ def sha_key(text: Column, digits: int = 16) -> Column:
 
 #: Words that carry little meaning in running text.
 FILLERS = frozenset(
-    "a an the is are was were be been being have has had do does did will would could should may might shall can need dare "
+    "the a an is are was were be been being have has had do does did will would could should may might shall can need dare "
     "basically actually essentially really very quite just simply merely rather somewhat perhaps this that these those which who whom it its".split()
 )
 #: Tokens that are kept whatever their score.

@@ -34,11 +34,11 @@ def preserved(old: DataFrame, new: DataFrame, group: str, text: str = "text", va
     return new.drop(value).withColumn("_h", F.sha2(F.col(text), 256)).join(known, [group, "_h"], "left").drop("_h")
 
 
-def components(pairs: DataFrame, rounds: int = 40) -> DataFrame:
-    """(node, component) of pairs (a, b): least node reachable, by alternately linking to least neighbours."""
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, component) of pairs (a, b): least node reachable, by alternately linking to least neighbours until nothing changes."""
     edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).dropna().filter("u <> v").distinct()
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

@@ -24,13 +24,15 @@ CATEGORIES = {
     "decision": [r"\bdecid(?:e|ed)\b", r"\bchose\b", r"\bchoice\b", r"\binstead\s*of\b", r"\bopt(?:ed)?\s*for\b", r"\bwe\s*went\s*with\b", r"\breason(?:ing)?\s*(?:for|behind)\b", r"\btrade-?off\b", r"\bselect(?:ed|ion)\b"],
     "pattern": [r"\bpattern\b", r"\bconsistently\b", r"\balways\b.*\buse\b", r"\bconvention\b", r"\bbest\s*practice\b", r"\bidiom\b", r"\brecurring\b", r"\bstandard\b.*\bapproach\b"],
 }
+#: Fixed value: what names a speaker before a sentence.
+ROLE = r"(?i)^\s*\[?\s*(?:user|assistant|human|ai|system)\s*\]?\s*:?\s*"
 CONTRADICTIONS = [(r"\balways\b", r"\bnever\b"), (r"\buse\b", r"\bavoid\b"), (r"\benable\b", r"\bdisable\b"), (r"\bshould\b", r"\bshould not\b")]
 
 
 def insights(turns: DataFrame, signals: dict[str, str] = SIGNALS, group: str = "conv_id", order: str = "turn", text: str = "text", low: int = 20, high: int = 500) -> DataFrame:
-    """(group, first_turn, sentence, signal): sentences of ``low`` to ``high`` characters with a signal, each once a group whatever the case."""
-    parts = turns.select(group, order, F.posexplode(F.split(F.regexp_replace(F.col(text), r"^\s*\[\w+\]:\s*", ""), r"(?<=[.!?])\s+|\n{2,}")).alias("pos", "sentence"))
-    parts = parts.withColumn("sentence", F.trim("sentence")).filter(F.length("sentence").between(low, high))
+    """(group, first_turn, sentence, signal): sentences of ``low`` characters or more with a signal, the first ``high`` of them, each once a group whatever the case."""
+    parts = turns.select(group, order, F.posexplode(F.split(F.col(text), r"(?<=[.!?])\s+|\n{2,}")).alias("pos", "sentence"))
+    parts = parts.withColumn("sentence", F.regexp_replace(F.trim("sentence"), ROLE, "")).filter(F.length("sentence") >= low).withColumn("sentence", F.substring("sentence", 1, high))
     signal = F.lit(None).cast("string")
     for name, pattern in reversed(signals.items()):
         signal = F.when(F.col("sentence").rlike("(?i)" + pattern), name).otherwise(signal)
@@ -46,7 +48,7 @@ def classify(text: Column, categories: dict[str, list[str]] = CATEGORIES) -> tup
     name = F.lit("general")
     for c, v in reversed(shares.items()):
         name = F.when(v == best, c).otherwise(name)
-    return F.when(best > 0, name).otherwise("general"), F.when(best > 0, F.least(best * 3, F.lit(1.0))).otherwise(0.3)
+    return F.when(best > 0, name).otherwise("general"), F.when(best > 0, F.round(F.least(best * 3, F.lit(1.0)), 2)).otherwise(0.3)
 
 
 def topics(rows: DataFrame, k: int, group: str | None = None, text: str = "text", stop: tuple[str, ...] = (), order: str = "turn") -> DataFrame:

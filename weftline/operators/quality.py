@@ -23,7 +23,7 @@ def span_gate(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text: s
 
     A document that contains a span holds the span's second to fourth words in a row: these meet
     by hash, and only then is the whole span looked for, so that documents and spans are never
-    crossed. Spans of fewer than five words have no such run; they must be at most ``few``.
+    crossed. Spans of fewer than five words have no such run: they are looked for in blocks of about ``few``.
     """
     ws = lambda c: F.transform(tx.words(F.col(c)), lambda w: F.xxhash64(w))
     sized = spans.select(F.col(key), F.col(span), ws(span).alias("w")).filter(F.col(span).isNotNull() & (F.col(span) != ""))
@@ -34,11 +34,10 @@ def span_gate(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text: s
     hits = runs.join(heads, "h").select(id_col, key, span)
     found = hits.join(docs.select(id_col, text), id_col).filter(F.contains(F.col(text), F.col(span))).select(id_col, key)
     short = sized.filter(F.size("w") < 5).select(key, span)
-    n_short = short.count()
-    if n_short > few:
-        raise ValueError(f"{n_short} spans of fewer than five words; at most {few} are looked for one by one")
-    if n_short:
-        found = found.unionByName(docs.select(id_col, text).join(F.broadcast(short), F.contains(F.col(text), F.col(span))).select(id_col, key))
+    blocks = -(-short.count() // few)
+    for k in range(blocks):
+        block = short.filter(F.pmod(F.xxhash64(key, span), F.lit(blocks)) == k)
+        found = found.unionByName(docs.select(id_col, text).join(F.broadcast(block), F.contains(F.col(text), F.col(span))).select(id_col, key))
     return found.distinct()
 
 

@@ -71,7 +71,8 @@ def hash_embedding(text: Column, size: int = 64) -> Column:
         F.array_repeat(F.lit(0.0), size),
         lambda a, b: F.transform(a, lambda v, i: F.when(i == b, v + 1.0).otherwise(v)),
     )
-    return counts
+    length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, v: a + v * v))
+    return F.transform(counts, lambda v: F.when(length > 0, v / length).otherwise(v))
 
 
 def embed(chunks: DataFrame, size: int = 64, text: str = "text") -> DataFrame:
@@ -132,12 +133,12 @@ def mmr(nodes: DataFrame, k: int, group: str = "label", id_col: str = "vec_id",
             return (x - x.min()) / (x.max() - x.min()) if x.max() > x.min() else np.ones(len(x))
 
         base = 0.25 * scaled(pdf.imp) + 0.55 * scaled(pdf.rel) + 0.20 * scaled(pdf.prio)
-        most, free, order = np.zeros(len(v)), np.ones(len(v), bool), []
+        most, free, order = None, np.ones(len(v), bool), []
         for _ in range(min(k, len(v))):
-            at = int(np.argmax(np.where(free, base - penalty * most, -np.inf)))
+            at = int(np.argmax(np.where(free, base if most is None else base - penalty * most, -np.inf)))
             order.append(at)
             free[at] = False
-            most = np.maximum(most, v @ v[at])
+            most = v @ v[at] if most is None else np.maximum(most, v @ v[at])  # below 0, likeness speaks for a node
         return pd.DataFrame({"grp": pdf.grp.iloc[0], "id": pdf.id.to_numpy()[order], "pick": range(1, len(order) + 1)})
 
     kind = nodes.schema[group].dataType.simpleString()
@@ -210,8 +211,8 @@ def flagship(docs: DataFrame, ratio: float = 0.2, threshold: float = 0.25) -> Da
     """Skeletons: sentence-packed chunks, hashed embeddings, similarity graph, PageRank, boosts, top chunks, one row a document."""
     from weftline.operators import graph as g
 
-    chunks = embed(chunk_documents(docs, budget=64)).withColumn("id", F.col("file_id") * 100_000 + F.col("position"))
+    chunks = embed(chunk_documents(docs, budget=64)).withColumn("id", F.col("position").cast("long"))
     edges = g.similarity_edges(chunks, threshold, group="file_id", id_col="id")
-    ranks = g.pagerank_by_group(edges, "file_id").select(F.col("node").alias("id"), "rank")
-    scored = chunks.join(ranks, "id", "left").withColumn("importance", F.coalesce("rank", F.lit(0.0)))
+    ranks = g.pagerank_by_group(edges, "file_id").select("file_id", F.col("node").alias("id"), "rank")
+    scored = chunks.join(ranks, ["file_id", "id"], "left").withColumn("importance", F.coalesce("rank", F.lit(0.0)))
     return rendered(select_top(g.boosted(scored), ratio))

@@ -70,9 +70,10 @@ def history_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH t AS (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(regexp_replace(text, '^\s*\[\w+\]:\s*', ''), '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)) AS p FROM conversations),
-s AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS pos, trim(unnest(p)) AS sentence FROM t),
-g AS (SELECT *, CASE WHEN regexp_matches(sentence, '(?i)the ') THEN 'decision' WHEN regexp_matches(sentence, '(?i) de ') THEN 'lesson' WHEN regexp_matches(sentence, '(?i) und ') THEN 'issue' END AS signal FROM s WHERE length(sentence) BETWEEN 20 AND 500),
+WITH t AS (SELECT conv_id, turn, string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n{2,}', chr(1), 'g'), chr(1)) AS p FROM conversations),
+s AS (SELECT conv_id, turn, generate_subscripts(p, 1) AS pos, regexp_replace(trim(unnest(p)), '(?i)^\s*\[?\s*(?:user|assistant|human|ai|system)\s*\]?\s*:?\s*', '') AS whole FROM t),
+c AS (SELECT conv_id, turn, pos, substr(whole, 1, 500) AS sentence FROM s WHERE length(whole) >= 20),
+g AS (SELECT *, CASE WHEN regexp_matches(sentence, '(?i)the ') THEN 'decision' WHEN regexp_matches(sentence, '(?i) de ') THEN 'lesson' WHEN regexp_matches(sentence, '(?i) und ') THEN 'issue' END AS signal FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, lower(sentence) ORDER BY turn, pos) AS k FROM g WHERE signal IS NOT NULL)
 SELECT conv_id, turn AS first_turn, sentence, signal FROM r WHERE k = 1""")
 def transcript_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
