@@ -5,22 +5,24 @@
 * a normaliser: the dummy prefix and the escaping of spaces (models with a character map are
   refused);
 * a piece automaton: each piece an arc from its first to its last character;
-* byte fallback: a character without a piece is spelled by the pieces of its UTF-8 bytes, or is
-  the unknown piece in models without them;
-* weights. A unigram piece weighs its negative score, and the tropical shortest path through the
-  composition with a text is the encoding. A BPE model is not a sum of scores: there, the machine
+* byte fallback: a character without a piece is an arc that spells the pieces of its UTF-8 bytes, or
+  the unknown piece in models without them, at the weight of the worst piece and ten more;
+* weights. A unigram piece weighs its negative score, one of the user's next to nothing, and the tropical
+  shortest path through the composition with a text is the encoding. A BPE model is not a sum of scores: there, the machine
   remembers the last piece, and a piece may follow another only at weight 0, if merging the two
   pieces' text by score gives just these two, and else at infinite weight. A text has one path of
   finite weight, which is what merging by score gives: pieces follow each other in an encoding if
   and only if each neighbouring pair does on its own.
 
 In that machine a prefix of a word has one live state, its last piece, so that composition is
-linear in the text. Words (with the spaces before them) compose independently and frequent ones
-are kept. Runs of spaces, whose pieces share one score, merge from the left by rule.
+linear in the text. A BPE model's words (with the spaces before them) compose independently and frequent
+ones are kept; unigram texts are composed whole. Runs of spaces, whose pieces share one score, merge from the left by rule.
 
 Defined results: a null text is an empty one and has no ids; unpaired surrogates can't occur in
-Spark strings; repeated rows are encoded each; extra columns pass through; an empty table gives an
-empty result. ``decode`` gives texts back exactly, but for U+2581, which reads as a space, and for
+Spark strings; texts of any length are encoded whole; of paths of equal weight the one whose pieces start
+earlier is taken (where the library's single precision rounds two such weights apart, it takes the other); repeated rows are encoded each; extra columns pass through, but ``ids``, ``n_ids`` and
+``text`` are replaced; an empty table gives an empty result. Models with a character map, with pieces of the user's in BPE,
+or with BPE pieces over spaces are refused. ``decode`` gives texts back exactly, but for U+2581, which reads as a space, and for
 characters that a model without byte fallback doesn't know.
 """
 
@@ -63,8 +65,14 @@ class Transducer:
         self.score = [p.score for p in model.pieces]
         self.unknown = self.types.index(UNKNOWN)
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.types[i] == BYTE}
-        self.ids = {p: i for i, p in enumerate(self.pieces) if self.types[i] == NORMAL}
+        own = {p for p, t in zip(self.pieces, self.types, strict=True) if t == USER}
+        if own and (self.kind == BPE or any(" " in p or SPACE in p for p in own)):
+            raise ValueError("pieces of the user's that words or merges would cut are not covered")
+        self.ids = {p: i for i, p in enumerate(self.pieces) if self.types[i] in (NORMAL, USER)}
         self.longest = max(map(len, self.ids))
+        # words compose apart unless a piece goes on after a space or over the end of a line
+        self.apart = not any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1) for p in self.ids)
+        self._compile_weights()
         self.memo: dict[str, tuple[int, ...]] = {}
         self.words: dict[str, bytes] = {}
         spell = {NORMAL: lambda i: self.pieces[i].replace(SPACE, " ").encode(), UNKNOWN: lambda i: " ⁇ ".encode(), CONTROL: lambda i: b"", BYTE: lambda i: bytes([int(self.pieces[i][3:5], 16)])}
@@ -76,6 +84,17 @@ class Transducer:
 
     # -- compiling
 
+    def _compile_weights(self) -> None:
+        """The arcs of the piece automaton by their text, with tropical weights."""
+        normal = [self.score[i] for i, t in enumerate(self.types) if t == NORMAL]
+        least = min(normal)
+        self.weight: dict[str, tuple[float, int]] = {}
+        for p, i in self.ids.items():
+            gain = -0.1 if self.types[i] == USER else self.score[i]
+            self.weight[p] = -gain, i
+        # a character without a piece: the unknown piece, or the pieces of its bytes, at one weight
+        self.fallback = 10.0 - least
+
     def _merged(self, text: str) -> list[int]:
         """Merging by score, from the left among equals: what BPE means, used to compile only."""
         parts = list(text)
@@ -172,18 +191,31 @@ class Transducer:
         return out[::-1]
 
     def _unigram(self, text: str) -> list[int]:
-        """The lightest path through ``text``."""
-        n = len(text)
-        cost, back = [0.0] + [float("inf")] * n, [(-1, 0)] * (n + 1)
-        for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
-                t = self.ids.get(text[start:end])
-                if t is not None and cost[start] - self.score[t] < cost[end]:
-                    cost[end], back[end] = cost[start] - self.score[t], (t, start)
-        out, end = [], n
+        """The tropical shortest path through the composition of ``text`` with pieces and fallback; of equal ones, the one of earlier arcs."""
+        n, weight, none = len(text), self.weight, -1
+        cost, back = [float("inf")] * (n + 1), [(none, 0)] * (n + 1)
+        cost[0] = 0.0
+        for start in range(n):
+            here, single = cost[start], False
+            for end in range(start + 1, min(n, start + self.longest) + 1):
+                arc = weight.get(text[start:end])
+                if arc is not None:
+                    single = single or end == start + 1
+                    if here + arc[0] < cost[end]:
+                        cost[end], back[end] = here + arc[0], (arc[1], start)
+            if not single and here + self.fallback < cost[start + 1]:
+                cost[start + 1], back[start + 1] = here + self.fallback, (none, start)
+        out: list[int] = []
+        end = n
         while end:
-            t, end = back[end]
-            out.append(t)
+            t, start = back[end]
+            if t != none:
+                out.append(t)
+            elif self.byte_ids:
+                out += [self.byte_ids[b] for b in reversed(text[start:end].encode())]
+            elif not out or out[-1] != self.unknown:  # unknown characters in a row are one piece
+                out.append(self.unknown)
+            end = start
         return out[::-1]
 
     def _spaces(self, n: int) -> tuple[int, ...]:
@@ -219,8 +251,8 @@ class Transducer:
 
     def _unit(self, unit: str) -> tuple[int, ...]:
         """Ids of one word with the spaces before it."""
-        path = self._bpe if self.kind == BPE else self._unigram
-        lead = len(unit) - len(unit.lstrip(SPACE)) if self.kind == BPE else 0
+        path = self._bpe
+        lead = len(unit) - len(unit.lstrip(SPACE))
         word = unit[max(0, lead - 1) :] if lead else unit
         out: list[int] = []
         start = 0
@@ -230,11 +262,11 @@ class Transducer:
                     out += path(word[start:k])
                 start = k + 1
                 out += [self.byte_ids[b] for b in c.encode()] if self.byte_ids else [self.unknown]
-            elif k > start and self.kind == BPE and not self.joined(word[k - 1 : k + 1]):  # no piece has these two
+            elif k > start and not self.joined(word[k - 1 : k + 1]):  # no piece has these two
                 out += self._part(word[start:k])
                 start = k
         if start < len(word):
-            out += self._part(word[start:]) if start and self.kind == BPE else path(word[start:])
+            out += self._part(word[start:]) if start else path(word[start:])
         if lead > 1:  # spaces that no letter took
             alone = out[0] == self.ids.get(SPACE)
             out = list(self._spaces(lead if alone else lead - 1)) + out[1 if alone else 0 :]
@@ -245,8 +277,6 @@ class Transducer:
 
         In order, words share beginnings, and with them the states of the machine.
         """
-        if self.kind != BPE:
-            return {w: self._word(w) for w in words}
         found: dict[str, bytes] = {}
         ends, follows, sizes = self.ends, self.follows, self.sizes
         before, last = "", [-1]  # last[k]: the piece in which the first k characters end
@@ -309,6 +339,8 @@ class Transducer:
         """Ids of each text, as little-endian 32-bit bytes."""
         out = []
         words = self.words
+        if self.kind == UNIGRAM or not self.apart:  # unknown pieces may join, and pieces go, over the borders of words
+            return [np.array(self._whole(t), dtype="<i4").tobytes() for t in texts]
         plain = [bool(t) and self.dummy and t[0] != " " and "  " not in t and SPACE not in t for t in texts]
         split = [t.split(" ") if ok else None for t, ok in zip(texts, plain, strict=True)]
         new = self._new_words([w for w in set().union(*(x for x in split if x)) if w not in words])
@@ -331,6 +363,14 @@ class Transducer:
                 out.append(np.array([i for u in units for i in self._part_of_line(u)], dtype="<i4").tobytes())
         return out
 
+    def _whole(self, text: str | None) -> list[int]:
+        if not text:
+            return []
+        if self.kind == BPE:
+            raise ValueError("a BPE model whose pieces go over spaces or lines is not covered")
+        text = text.replace(" ", SPACE)
+        return self._unigram(SPACE + text if self.dummy else text)
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_bytes([text])[0], dtype="<i4").tolist()
 
