@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.operators import advice, registry as reg, retrieval, rewards
+from weftline.functions import numbers, text as tx
+from weftline.operators import advice, promptcache, registry as reg, retrieval, rewards, temporal
 from weftline.plans.base import query
 from weftline.plans.documents import BM25, QUESTION
 from weftline.session import table
@@ -352,3 +353,58 @@ DOCS_BM25 = BM25.replace("lower(text)", "lower(source || chr(10) || text)")
 @query(f"WITH {DOCS_BM25}, r AS (SELECT id, round(score, 6) AS score, row_number() OVER (ORDER BY round(score, 6) DESC, id) AS rank FROM bm) SELECT id, source AS title, r.score, CAST(rank AS INT) AS rank FROM r JOIN documents ON id = doc_id WHERE rank <= 5")
 def docs_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.docs_search(_docs(spark, sf_dir), QUESTION, 5, title="source").select("id", F.col("source").alias("title"), "score", "rank")
+
+
+# -- prompts, headings, times
+
+
+@query("SELECT event_id, 'm' || user_id % 3 || ':' || event_type || ':' || substr(sha256(props), 1, 16) AS key FROM events")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = F.concat(F.lit("m"), (F.col("user_id") % 3).cast("string"))
+    return _events(spark, sf_dir).select("event_id", promptcache.cache_key(model, F.col("event_type"), F.col("props")).alias("key"))
+
+
+@query("""
+SELECT event_id, CASE WHEN value < 50 THEN 'below_minimum' WHEN user_id % 4 <> 0 THEN 'prefix_changed' WHEN user_id > 70 THEN 'expired' ELSE 'unknown' END AS cause FROM events""")
+def miss_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    rows = _events(spark, sf_dir).select("event_id", F.lit(0).alias("expected_hash"), (u % 4).alias("seen_hash"), F.col("value").alias("tokens"), F.lit(50.0).alias("minimum"), u.alias("age"), F.lit(70).alias("ttl"))
+    return promptcache.diagnosis(rows).select("event_id", "cause")
+
+
+@query("""
+WITH d AS (SELECT doc_id, text AS a, CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '  ' || replace(text, ' ', chr(10) || ' ') ELSE text || ' more' END AS b FROM documents)
+SELECT doc_id, CASE WHEN a = b THEN 'none' WHEN trim(regexp_replace(a, '\\s+', ' ', 'g')) = trim(regexp_replace(b, '\\s+', ' ', 'g')) THEN 'whitespace' ELSE 'semantic' END AS drift FROM d""")
+def prefix_drift_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, d = F.col("text"), F.col("doc_id")
+    b = F.when(d % 3 == 0, a).when(d % 3 == 1, F.concat(F.lit("  "), F.replace(a, F.lit(" "), F.lit("\n ")))).otherwise(F.concat(a, F.lit(" more")))
+    return _docs(spark, sf_dir).select("doc_id", promptcache.drift(a, b).alias("drift"))
+
+
+@query("""
+WITH e AS (SELECT event_id, greatest(0, least(1, (user_id % 10 / 10 + user_id % 7 / 7 + 0.5::DOUBLE) / 3)) * 4 AS x FROM events)
+SELECT event_id, list_extract([0.10::DOUBLE, 0.15, 0.20, 0.25, 0.30], CAST(round_even(x, 0) AS INT) + 1) AS rate FROM e""")
+def rate_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    return _events(spark, sf_dir).select("event_id", numbers.rate_level(u % 10 / 10, u % 7 / 7, F.lit(0.5)).alias("rate"))
+
+
+@query("""
+SELECT event_id, CASE user_id % 3 WHEN 0 THEN epoch(ts)::DOUBLE WHEN 1 THEN user_id + 0.5::DOUBLE ELSE 7.0 END AS seconds,
+       CASE user_id % 3 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%SZ') ELSE strftime(make_timestamp(CAST(CASE user_id % 3 WHEN 1 THEN user_id ELSE 7 END * 1000000 AS BIGINT)), '%Y-%m-%dT%H:%M:%SZ') END AS shown FROM (SELECT event_id, user_id, date_trunc('second', ts) AS ts FROM events)""")
+def coerced_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("user_id")
+    value = F.when(u % 3 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(u % 3 == 1, F.concat(u.cast("string"), F.lit(".5"))).otherwise("no time")
+    rows = _events(spark, sf_dir).select("event_id", temporal.coerced_timestamp(value, F.lit(7.0)).alias("seconds"))
+    return rows.withColumn("shown", temporal.formatted_timestamp(F.col("seconds")))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 2 WHEN doc_id % 4 = 1 THEN 6 ELSE 0 END AS level, CASE WHEN doc_id % 4 = 0 THEN 'Title ' || doc_id WHEN doc_id % 4 = 1 THEN 'Deep' ELSE '' END AS heading, CASE WHEN doc_id % 4 = 2 THEN 'Asked ' || doc_id END AS asked, doc_id % 4 = 3 AS structured FROM documents""")
+def heading_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, name = F.col("doc_id"), F.col("doc_id").cast("string")
+    text = F.when(d % 4 == 0, F.concat(F.lit("  ## Title "), name, F.lit(" \nbody"))).when(d % 4 == 1, F.lit("###### Deep\n#x")).when(d % 4 == 2, F.concat(F.lit("intro\n# Asked "), name, F.lit("\n"))).otherwise(F.lit("a\n# x\n- i\n## y\n- j\n### z\n1. k\n")).alias("t")
+    t = F.col("t")
+    rows = _docs(spark, sf_dir).select("doc_id", text)
+    first = F.when(d % 4 == 3, F.lit(None)).otherwise(tx.first_heading_query(t))
+    return rows.select("doc_id", tx.heading_level(t).alias("level"), tx.heading_text(t).alias("heading"), first.alias("asked"), tx.is_structured_markdown(t).alias("structured"))
