@@ -59,7 +59,7 @@ def test_graph(spark):
     chain = spark.createDataFrame([(0, 1, 2, 1.0), (0, 2, 3, 1.0)], "label int, src long, dst long, weight double")
     small = {r.node: r["rank"] for r in graph.pagerank_by_group(chain).collect()}
     assert sum(small.values()) == pytest.approx(1) and small[2] > small[1] == pytest.approx(small[3])
-    large = {r.node: r["rank"] for r in graph.pagerank(chain, rounds=60, every=20).collect()}
+    large = {r.node: r["rank"] for r in graph.pagerank(chain, every=20, in_task=0).collect()}
     assert all(large[k] == pytest.approx(small[k], abs=1e-3) for k in small)
     chunks = spark.createDataFrame([(1, "# Head\nx", 0.1), (1, "CRITICAL finding", 0.1), (1, "plain", 0.1)], "file_id long, text string, importance double")
     got = {r.text: r.importance for r in graph.boosted(chunks).collect()}

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from weftline.functions import text as tx
+from weftline.staging import dropped, staged
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -36,7 +37,7 @@ def preserved(old: DataFrame, new: DataFrame, group: str, text: str = "text", va
 
 def components(pairs: DataFrame) -> DataFrame:
     """(node, component) of pairs (a, b): least node reachable, by alternately linking to least neighbours until nothing changes."""
-    edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).dropna().filter("u <> v").distinct()
+    edges = staged(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).dropna().filter("u <> v").distinct(), "links")
     before = None
     while True:
         both = edges.union(edges.select("v", "u"))
@@ -44,7 +45,8 @@ def components(pairs: DataFrame) -> DataFrame:
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         linked = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        edges = linked.filter("u <> v").distinct().checkpoint()
+        last, edges = edges, staged(linked.filter("u <> v").distinct(), "links")
+        dropped(last)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

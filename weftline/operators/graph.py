@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.functions import numbers as num
+from weftline.staging import dropped, staged
 
 from .grouped import by_group
 
@@ -102,23 +101,33 @@ def pagerank_by_group(edges: DataFrame, group: str = "label", alpha: float = 0.8
     return by_group(edges.select(F.col(group).alias("grp"), "src", "dst", "weight"), ["grp"], solve, f"grp {kind}, node long, rank double").withColumnRenamed("grp", group)
 
 
-def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 30, tolerance: float = 1e-6, every: int = 5) -> DataFrame:
-    """(node, rank) of one undirected weighted graph of any size: joins and sums, checkpointed every few rounds."""
-    both = edges.select("src", "dst", "weight").union(edges.filter("src <> dst").select(F.col("dst"), F.col("src"), F.col("weight")))
+def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 120, tolerance: float = 1e-6, every: int = 10, in_task: int = 1_000_000) -> DataFrame:
+    """(node, rank) of one undirected weighted graph of any size.
+
+    A graph of at most ``in_task`` edges is ranked in a task, a larger one by joins and sums, with the ranks staged
+    every few rounds. It stops when ranks change by less than ``tolerance`` a node, in the joins since they were
+    last staged; a round shrinks the change by ``alpha``, so that at the default values it always gets there.
+    """
+    edges = staged(edges.select("src", "dst", "weight"), "rank-edges")
+    if edges.count() <= in_task:
+        return pagerank_by_group(edges.withColumn("grp", F.lit(0)), "grp", alpha, rounds, tolerance).select("node", "rank")
+    both = edges.union(edges.filter("src <> dst").select("dst", "src", "weight"))
     out = both.groupBy("src").agg(F.sum("weight").alias("total"))
-    share = both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")).persist()
-    nodes = share.select(F.col("src").alias("node")).distinct()
+    share = staged(both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "rank-shares")
+    nodes = staged(share.select(F.col("src").alias("node")).distinct(), "rank-nodes")
     n = nodes.count()
-    rank = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
-    for k in range(rounds):
+    rank = before = staged(nodes.withColumn("rank", F.lit(1.0 / n)), "ranks")
+    for k in range(1, rounds + 1):
         moved = share.join(rank, share["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("sum"))
-        new = nodes.join(moved, nodes["node"] == moved["dst"], "left").select("node", (alpha * F.coalesce("sum", F.lit(0.0)) + (1 - alpha) / max(n, 1)).alias("rank"))
-        if (k + 1) % every == 0:
-            new = new.checkpoint()
-            change = new.join(rank.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if change is not None and change < n * tolerance:
-                return new
-        rank = new
+        rank = nodes.join(moved, nodes["node"] == moved["dst"], "left").select("node", (alpha * F.coalesce("sum", F.lit(0.0)) + (1 - alpha) / n).alias("rank"))
+        if k % every and k < rounds:
+            continue
+        rank = staged(rank, "ranks")
+        change = rank.join(before.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        dropped(before)
+        before = rank
+        if change < n * tolerance:
+            break
     return rank
 
 

@@ -18,12 +18,12 @@ def in_order(text: Column, markers: Column) -> Column:
     return F.forall(at, lambda p: p > 0) & (F.array_sort(at) == at)
 
 
-def span_gate(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text: str = "text", key: str = "item_id", span: str = "span", few: int = 1_000) -> DataFrame:
+def span_gate(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text: str = "text", key: str = "item_id", span: str = "span", few: int = 1_000, heads_at_once: int = 500_000) -> DataFrame:
     """(id, item) pairs where a document contains a span.
 
     A document that contains a span holds the span's second to fourth words in a row: these meet
     by hash, and only then is the whole span looked for, so that documents and spans are never
-    crossed. Spans of fewer than five words have no such run: they are looked for in blocks of about ``few``.
+    crossed. Up to ``heads_at_once`` spans, their hashes are broadcast and the documents' runs aren't exchanged. Spans of fewer than five words have no such run: they are looked for in blocks of about ``few``.
     """
     ws = lambda c: F.transform(tx.words(F.col(c)), lambda w: F.xxhash64(w))
     sized = spans.select(F.col(key), F.col(span), ws(span).alias("w")).filter(F.col(span).isNotNull() & (F.col(span) != ""))
@@ -31,8 +31,10 @@ def span_gate(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text: s
     hashed = docs.select(F.col(id_col), F.col(text), ws(text).alias("w"))
     n = F.greatest(F.size("w") - 2, F.lit(0))
     runs = hashed.select(id_col, F.explode(F.array_distinct(F.filter(F.transform(F.sequence(F.lit(0), n), lambda i: F.when(i < n, F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))), lambda h: h.isNotNull()))).alias("h"))
-    hits = runs.join(heads, "h").select(id_col, key, span)
-    found = hits.join(docs.select(id_col, text), id_col).filter(F.contains(F.col(text), F.col(span))).select(id_col, key)
+    ids = heads.select("h", key)  # a hash and an item a span
+    hits = runs.join(F.broadcast(ids) if ids.count() <= heads_at_once else ids, "h").select(id_col, key).distinct()
+    whole = hits.join(spans.select(key, span), key)
+    found = whole.join(docs.select(id_col, text), id_col).filter(F.contains(F.col(text), F.col(span))).select(id_col, key)
     short = sized.filter(F.size("w") < 5).select(key, span)
     blocks = -(-short.count() // few)
     for k in range(blocks):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.functions import numbers as num, text as tx
+from weftline.staging import staged
 
 
 def _postings(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -26,22 +27,29 @@ def idf_terms(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least
 def bm25(docs: DataFrame, query: str, id_col: str = "doc_id", text: str = "text", k1: float = 1.5, b: float = 0.75, stem: int = 0) -> DataFrame:
     """(id, score) of the documents that hold a query token; repeated query tokens count again.
 
-    Only postings of query tokens are exchanged. ``stem`` matches tokens by their first ``stem``
-    characters where a query token has at least as many.
+    Texts are cut into tokens once: lengths and counts of query tokens are staged, a few numbers a document.
+    ``stem`` matches tokens by their first ``stem`` characters where a query token has at least as many.
     """
     import re
 
     terms = re.findall("[a-z0-9_]+", query.lower())
-    toks = tx.bm25_tokens(F.col(text))
-    sized = docs.select(F.col(id_col).alias("id"), toks.alias("toks")).withColumn("len", F.size("toks"))
+    distinct = list(dict.fromkeys(terms))
+
+    def same(x: Column, t: str) -> Column:
+        return (x == t) | x.startswith(t[:stem]) if stem and len(t) >= stem else x == t
+
+    def any_term(x: Column) -> Column:
+        hit = x.isin(distinct)
+        for t in distinct:
+            hit = hit | x.startswith(t[:stem]) if stem and len(t) >= stem else hit
+        return hit
 
     def count(t: str) -> Column:
-        if stem and len(t) >= stem:
-            return F.size(F.filter("toks", lambda x: (x == t) | x.startswith(t[:stem])))
-        return F.size(F.filter("toks", lambda x: x == t))
+        return F.size(F.filter("hits", lambda x: same(x, t)))
 
-    distinct = list(dict.fromkeys(terms))
-    rows = sized.select("id", "len", *[count(t).alias(f"tf{i}") for i, t in enumerate(distinct)], *[F.array_contains("toks", t).cast("long").alias(f"has{i}") for i, t in enumerate(distinct)])
+    sized = docs.select(F.col(id_col).alias("id"), tx.bm25_tokens(F.col(text)).alias("toks"))
+    short = sized.select("id", F.size("toks").alias("len"), F.filter("toks", any_term).alias("hits"))
+    rows = staged(short.select("id", "len", *[count(t).alias(f"tf{i}") for i, t in enumerate(distinct)], *[F.array_contains("hits", t).cast("long").alias(f"has{i}") for i, t in enumerate(distinct)]), "postings")
     stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"), *[F.sum(f"has{i}").alias(f"df{i}") for i in range(len(distinct))])  # one row
     scored = rows.crossJoin(F.broadcast(stats))
     total: Column = F.lit(0.0)

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.functions import numbers as num, text as tx
+from weftline.staging import staged
 
 
 def packed_parts(parts: Column, budget: int, joiner: str = " ", extra: int = 0) -> Column:
@@ -208,11 +209,14 @@ def extractive(docs: DataFrame, budget: int, id_col: str = "doc_id", text: str =
 
 
 def flagship(docs: DataFrame, ratio: float = 0.2, threshold: float = 0.25) -> DataFrame:
-    """Skeletons: sentence-packed chunks, hashed embeddings, similarity graph, PageRank, boosts, top chunks, one row a document."""
+    """Skeletons: sentence-packed chunks, hashed embeddings, similarity graph, PageRank, boosts, top chunks, one row a document.
+
+    Chunks and vectors are made once and staged; the graph reads the vectors only, the selection the texts only.
+    """
     from weftline.operators import graph as g
 
-    chunks = embed(chunk_documents(docs, budget=64)).withColumn("id", F.col("position").cast("long"))
+    chunks = staged(embed(chunk_documents(docs, budget=64)).withColumn("id", F.col("position").cast("long")), "chunks")
     edges = g.similarity_edges(chunks, threshold, group="file_id", id_col="id")
     ranks = g.pagerank_by_group(edges, "file_id").select("file_id", F.col("node").alias("id"), "rank")
-    scored = chunks.join(ranks, ["file_id", "id"], "left").withColumn("importance", F.coalesce("rank", F.lit(0.0)))
+    scored = chunks.drop("embedding").join(ranks, ["file_id", "id"], "left").withColumn("importance", F.coalesce("rank", F.lit(0.0)))
     return rendered(select_top(g.boosted(scored), ratio))
