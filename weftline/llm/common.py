@@ -2,36 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_ROOTS: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, named by ``spark.checkpoint.dir``.
-
-    Only on a single machine (a local master, as in tests) may the session leave that setting
-    unset: a temporary folder is then made and set as the checkpoint folder. A cluster must name one.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _ROOTS:
-        _ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
-        spark.sparkContext.setCheckpointDir(_ROOTS[app])
-    return _ROOTS[app]
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name in the shared folder."""
-    return f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
-
+from weftline.staging import dropped, scratch, shared_dir, staged  # noqa: F401  the operators take them from here
 
 _STAGE = [-1]
 #: Functions that empty what a Python worker keeps between tasks of a stage.
@@ -61,38 +34,6 @@ def task_started() -> None:
         return
 
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def staged(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back.
-
-    Cuts the lineage: later jobs reread the table, whatever executors are lost, and never
-    run the work above it again. ``arrow_rows`` bounds the rows that go to Python at once while
-    it is written, for rows of many kilobytes.
-    """
-    spark = df.sparkSession
-    path, before = scratch(spark, name), spark.conf.get(ARROW_ROWS)
-    if arrow_rows:
-        spark.conf.set(ARROW_ROWS, arrow_rows)
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.weftline_path = path
-    return out
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Remove staged tables that no later job reads: what was made of them is itself staged or done."""
-    for df in tables:
-        path = getattr(df, "weftline_path", None)
-        if path:
-            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def unused(columns: list[str], name: str) -> str:
     """``name``, with underscores before it until no column is called so."""
     known = {c.lower() for c in columns}
