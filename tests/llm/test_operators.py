@@ -360,6 +360,43 @@ def test_fingerprint_next_and_edited(spark, docs, monkeypatch):
     assert sorted([tuple(r) for r in got], key=str) == sorted(want, key=str)
 
 
+def plain_signature(text):
+    """Order MinHash by its definition: whole numbers, one k-mer at a time."""
+    full = (1 << 64) - 1
+
+    def mix(x):
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * by & full
+        return x ^ x >> 31
+
+    k, step, seen, slots, codes = min(fingerprint.K, len(text)), 0x9E3779B97F4A7C15, Counter(), {}, []
+    for place in range(len(text) - k + 1 if text else 0):
+        code = k
+        for c in text[place : place + k]:
+            code = (code * 0x100000001B3 + ord(c)) & full
+        codes.append(mix(code))
+        hashed = mix(codes[-1] + seen[codes[-1]] * step & full)
+        seen[codes[-1]] += 1
+        slots.setdefault(hashed >> 58, []).append((hashed, place))
+    out = []
+    for slot in range(fingerprint.SLOTS):
+        places = sorted(p for _, p in sorted(slots.get(slot, []))[: fingerprint.TUPLE])
+        total = 0
+        for i in range(fingerprint.TUPLE):
+            total = mix(total * step + (codes[places[i]] if i < len(places) else 0) + 1 & full)
+        out.append(total >> 48 if places else -1)
+    return out
+
+
+def test_signature_matches_brute_force():
+    rng = random.Random(5)
+    texts = ["", "a", "abcde", "abcdef", "aaaaaaaaaaaaaaaa", "ünïcödé ☃ 𝒳 text", "ab" * 300, *[t for t in EDGES[:-1] if t]]
+    texts += ["".join(rng.choice("ab c") for _ in range(n)) for n in (7, 63, 64, 65, 500, 3071, 3078, 3079, 9000)]
+    texts += ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz \n") for _ in range(n)) for n in (3077, 12_000)] + ["same line again\n" * 900]
+    for text in texts:
+        assert fingerprint.signature(text).tolist() == plain_signature(text)
+
+
 def test_fingerprint_feels_order_and_edits(empty):
     rng = random.Random(2)
     text = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400))
@@ -388,6 +425,56 @@ def test_quality_held_out(spark, sf_dir):
     assert auc > 0.95
 
 
+def plain_statistics(text):
+    """The statistics one character, word and line at a time."""
+    raw = (text or "").encode()
+    words, lines = raw.split(), raw.split(b"\n")
+    if not words:
+        return [0.0] * 21
+    every, kinds, n, m = list(raw), Counter(words), len(raw), len(words)
+    held = lambda chars: sum(c in chars for c in every)
+    capitals = sum(65 <= c <= 90 for c in every)
+    return [
+        math.log(1 + n), capitals / max(1, capitals + sum(97 <= c <= 122 for c in every)), held(b"0123456789") / n, held(b"#$%&*@^~=+<>{}[]\\/_`") / m, held(b"!") / m,
+        held(b"|") / m, held(b".,") / m, sum(c > 127 for c in every) / n, held(b" \n\t") / n, sum(len(w) for w in words) / m, sum(len(w) < 4 for w in words) / m,
+        sum(len(w) > 13 for w in words) / m, sum(w[-1:] in [bytes([c]) for c in b"#$%&*@^~=+<>{}[]\\/_`!"] for w in words) / m, sum(w.isupper() for w in words) / m,
+        math.log(1 + len(kinds)) / math.log(1 + m), max(kinds.values()) / m, sum(words[i] == words[i - 1] for i in range(1, m)) / m, sum(words[i] == words[i - 2] for i in range(2, m)) / m,
+        math.log(1 + n / len(lines)), 1 - len(set(lines)) / len(lines), sum(x.endswith((b".", b"!", b"?")) for x in lines) / len(lines),
+    ]
+
+
+def test_quality_statistics_match_brute_force(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + [*EDGES[:-1], "A!! B{} 12 12 12\n|x|\nEnd.\nEnd.", "x" * 5000, "ÀÉ ÀÉ"]
+    for t in texts:
+        assert quality.statistics_of(t) == pytest.approx(plain_statistics(t), abs=1e-12)
+
+
+def test_quality_fit_matches_one_least_squares_problem(spark, sf_dir):
+    """The partition-summed equations against one dense problem, pooled levels against their min-max formula."""
+    sf = sf_dir.replace("0.001", "0.01")
+    stats = common.staged(quality.document_statistics(spark.read.parquet(f"{sf}/documents.parquet")).repartition(7), "stats")
+    labelled = quality.labelled_rows(stats, spark.read.parquet(f"{sf}/labels.parquet"))
+    model, rows = quality.QualityModel.fit(labelled, ridge=0.1), labelled.collect()
+    raw, y = np.array([r.stats for r in rows]), np.array([float(r.label) for r in rows])
+    scale = raw.std(axis=0)
+    scale[scale < 1e-5] = 1
+    z = np.clip((raw - raw.mean(axis=0)) / scale, -6, 6)
+    x = np.hstack([np.ones((len(z), 1)), z, math.sqrt(2 / 192) * np.cos(z @ model.projection + model.phase)])
+    penalty = math.sqrt(0.1 * len(y)) * np.eye(x.shape[1])[1:]
+    weights = np.linalg.lstsq(np.vstack([x, penalty]), np.concatenate([y, np.zeros(len(penalty))]), rcond=None)[0]
+    assert np.allclose(x @ weights, model.ridge(raw), atol=1e-6)
+    bins = np.clip(np.floor((model.ridge(raw) + 0.5) / 2 * 2000), 0, 1999)
+    kinds = np.unique(bins)
+    n, ones = np.array([(bins == b).sum() for b in kinds]), np.array([y[bins == b].sum() for b in kinds])
+    ends = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(ones)])
+    mean = lambda a, b: (ends[1][b + 1] - ends[1][a]) / (ends[0][b + 1] - ends[0][a])
+    for i, b in enumerate(kinds):
+        level = max(min(mean(a, c) for c in range(i, len(kinds))) for a in range(i + 1))
+        assert np.interp((b + 0.5) / 1000 - 0.5, model.knots, model.levels) == pytest.approx(level, abs=1e-9)
+    got = {r.doc_id: r.score for r in quality.scores(labelled.select("doc_id", "stats"), model).collect()}
+    assert all(got[r.doc_id] == pytest.approx(float(np.clip(np.interp(s, model.knots, model.levels), 0, 1))) for r, s in zip(rows, model.ridge(raw), strict=True))
+
+
 def test_quality_edges(spark, docs, empty):
     stats = quality.document_statistics(docs)
     none = quality.QualityModel.fit(quality.labelled_rows(stats, spark.createDataFrame([], "doc_id long, quality int")))
