@@ -138,7 +138,8 @@ def test_dialogue(spark):
     turns = spark.createDataFrame([(1, 0, "system", "Be brief."), (1, 1, "user", "I have a severe peanut allergy"), (1, 2, "assistant", "I prefer tea"), (1, 3, "user", "hello there"), (1, 4, "assistant", "bye")], "conv_id long, turn long, role string, text string")
     levels = [r.x for r in turns.select("turn", dialogue.importance(F.col("text"), F.col("role")).alias("x")).orderBy("turn").collect()]
     assert levels == ["RELEVANT", "CRITICAL", "RELEVANT", "TRIVIAL", "TRIVIAL"]
-    assert one(spark, dialogue.close_to(F.col("w"), "allergy"), w="alergy") and not one(spark, dialogue.close_to(F.col("w"), "allergy"), w="energy")
+    like = dialogue.misspelt(["allergy", "life-threatening", "must not"])
+    assert [one(spark, like(F.col("w")), w=w) for w in ("my alergy", "energy", "lif", "threatning", "must knot", "")] == [True, False, False, True, False, False]
     scored = dialogue.scored(skeleton.embed(turns))
     assert scored.filter("turn = 1").first().relevance == 1
     packed = dialogue.pack(scored, 20).collect()

@@ -51,6 +51,28 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
 
 
+#: Phrases that tell what a user prefers; the group is the preference.
+PREFERENCES = [
+    r"(?i)\bprefer\s+([^.!\n]+)",
+    r"(?i)\balways\s+use\s+([^.!\n]+)",
+    r"(?i)\bdo\s+not\s+use\s+([^.!\n]+)",
+    r"(?i)\bdon'?t\s+use\s+([^.!\n]+)",
+    r"(?i)\blikes?\s+([^.!\n]+)",
+]
+
+
+def preferences(text: Column) -> Column:
+    """What the phrases of ``PREFERENCES`` name, with single spaces, phrase by phrase."""
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in PREFERENCES])
+    return F.filter(F.transform(found, lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))), lambda v: v != "")
+
+
+def safe_id(value: Column, folders: bool = False) -> Column:
+    """Whether an id can be joined to a folder: letters, digits, ``_-.`` (and ``/`` inside with ``folders``), never ``..``; an empty one is safe."""
+    allowed = r"\A[a-zA-Z0-9_\-./]+\z" if folders else r"\A[a-zA-Z0-9_\-.]+\z"
+    return (value == "") | (value.rlike(allowed) & ~F.contains(value, F.lit("..")) & ~F.startswith(value, F.lit("/")))
+
+
 def slugify(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 

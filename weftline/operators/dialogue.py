@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.functions import numbers as num, text as tx
@@ -14,17 +17,41 @@ CRITICAL = [
 RELEVANT = ["important", "prefer", "like", "dislike", "want", "need", "requirement", "constraint", "limitation", "restriction"]
 
 
-def importance(text: Column, role: Column, critical: list[str] = CRITICAL, relevant: list[str] = RELEVANT) -> Column:
-    """CRITICAL, RELEVANT or TRIVIAL by substrings; system turns are at least relevant."""
+def importance(text: Column, role: Column, critical: list[str] = CRITICAL, relevant: list[str] = RELEVANT, ratio: float | None = 0.8) -> Column:
+    """CRITICAL, RELEVANT or TRIVIAL by substrings; system turns are at least relevant.
+
+    Words as like a critical one as ``ratio`` count as misspellings of it; without ``ratio`` only substrings count.
+    """
     low = F.lower(text)
     hit = lambda ws: F.exists(F.array(*[F.lit(w) for w in ws]), lambda w: low.contains(w))
-    return F.when(hit(critical), "CRITICAL").when(hit(relevant), "RELEVANT").when(role == "system", "RELEVANT").otherwise("TRIVIAL")
+    severe = hit(critical) if ratio is None else hit(critical) | misspelt(critical, ratio)(low)
+    return F.when(severe, "CRITICAL").when(hit(relevant), "RELEVANT").when(role == "system", "RELEVANT").otherwise("TRIVIAL")
+
+
+def misspelt(keywords: list[str], ratio: float = 0.8) -> Callable[[Column], Column]:
+    """Whether a text holds a word of 4 letters or more as like a keyword as ``ratio``, by matching blocks.
+
+    Keywords with a space are left to substrings; of hyphenated ones, parts of 4 letters or more are compared.
+    Arrow-batched: no built-in function compares by matching blocks. A word is compared once a task.
+    """
+    parts = [p for k in keywords if " " not in k for p in ([k] if "-" not in k else k.split("-")) if "-" not in k or len(p) >= 4]
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+        from functools import lru_cache
+
+        @lru_cache(maxsize=100_000)
+        def like(word: str) -> bool:
+            for p in parts:
+                m = SequenceMatcher(None, word, p)
+                if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio and m.ratio() >= ratio:
+                    return True
+            return False
 
+        return texts.map(lambda t: any(like(w) for w in (t or "").split() if len(w) >= 4)).astype(bool)
 
-def close_to(word: Column, keyword: str, ratio: float = 0.8) -> Column:
-    """Whether a word of 4 characters or more is a misspelling of ``keyword`` by edit distance."""
-    longest = F.greatest(F.length(word), F.lit(len(keyword)))
-    return (F.length(word) >= 4) & (F.levenshtein(word, F.lit(keyword)) <= longest * (1 - ratio))
+    return found
 
 
 def recency(turn: Column, last: Column) -> Column:
@@ -36,7 +63,7 @@ def half_life_weight(turn: Column, last: Column, half_life: float) -> Column:
     return F.pow(F.lit(0.5), (last - turn) / half_life)
 
 
-def scored(turns: DataFrame, query: list[float] | None = None, critical: list[str] = CRITICAL, relevant: list[str] = RELEVANT, conv: str = "conv_id") -> DataFrame:
+def scored(turns: DataFrame, query: list[float] | None = None, critical: list[str] = CRITICAL, relevant: list[str] = RELEVANT, conv: str = "conv_id", ratio: float | None = 0.8) -> DataFrame:
     """``turns`` (conv_id, turn, role, text, embedding) with importance, relevance and fidelity.
 
     Relevance of other than critical turns: .4 of the distance from the conversation's mean
@@ -45,7 +72,7 @@ def scored(turns: DataFrame, query: list[float] | None = None, critical: list[st
     w = W.partitionBy(conv)
     dims = turns.select(conv, F.posexplode("embedding").alias("k", "v")).groupBy(conv, "k").agg(F.avg("v").alias("m"))
     centre = dims.groupBy(conv).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "m"))), lambda x: x["m"]).alias("centre"))
-    rows = turns.join(centre, conv, "left").withColumn("importance", importance(F.col("text"), F.col("role"), critical, relevant))
+    rows = turns.join(centre, conv, "left").withColumn("importance", importance(F.col("text"), F.col("role"), critical, relevant, ratio))
     away = 1 - num.relevance(F.col("embedding"), F.col("centre"))
     to_query = num.relevance(F.col("embedding"), F.array(*[F.lit(float(x)) for x in query])) if query else F.lit(0.0)
     mixed = num.clamp(0.4 * F.coalesce(away, F.lit(0.0)) + 0.3 * to_query + 0.3 * recency(F.col("turn"), F.max("turn").over(w)))
@@ -115,6 +142,6 @@ def compacted(turns: DataFrame, k: int, conv: str = "conv_id") -> DataFrame:
     return rows.groupBy(conv).agg(join(~other, line).alias("system"), join(other & (F.col("_back") > k), F.concat(F.lit("- "), tx.summary(F.col("text"), 80))).alias("older"), join(other & (F.col("_back") <= k), line).alias("tail"))
 
 
-def stats(turns: DataFrame, critical: list[str] = CRITICAL, relevant: list[str] = RELEVANT, conv: str = "conv_id") -> DataFrame:
-    level = importance(F.col("text"), F.col("role"), critical, relevant)
+def stats(turns: DataFrame, critical: list[str] = CRITICAL, relevant: list[str] = RELEVANT, conv: str = "conv_id", ratio: float | None = 0.8) -> DataFrame:
+    level = importance(F.col("text"), F.col("role"), critical, relevant, ratio)
     return turns.groupBy(conv).agg(F.count("*").alias("turns"), *[F.count(F.when(level == k, 1)).alias(k.lower()) for k in ("CRITICAL", "RELEVANT", "TRIVIAL")])

@@ -171,6 +171,18 @@ def density(edges: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
     return both.withColumn("density", F.when(possible > 0, F.least(F.col("n_edges") / possible, F.lit(1.0))).otherwise(0.0))
 
 
+def graph_hash(edges: DataFrame, nodes: DataFrame, group: str = "label", id_col: str = "vec_id", places: int = 4) -> DataFrame:
+    """(group, hash): 16 digits that change with a group's nodes, edges or weights (to ``places`` places), whatever their order.
+
+    Rows are hashed on their own and summed, so that no group is gathered or sorted.
+    """
+    e = edges.select(F.col(group), F.concat_ws("|", F.lit("e"), F.col("src").cast("string"), F.col("dst").cast("string"), F.format_string(f"%.{places}f", F.col("weight"))).alias("x"))
+    n = nodes.select(F.col(group), F.concat_ws("|", F.lit("n"), F.col(id_col).cast("string")).alias("x"))
+    part = F.conv(F.substring(F.sha1("x"), 1, 12), 16, 10).cast("decimal(38,0)")
+    rows = e.unionByName(n).groupBy(group).agg(F.sum(part).cast("string").alias("s"))
+    return rows.select(group, F.substring(F.sha1(F.concat_ws(":", F.col(group).cast("string"), "s")), 1, 16).alias("hash"))
+
+
 def degrees(edges: DataFrame, nodes: DataFrame, group: str = "label", id_col: str = "vec_id") -> DataFrame:
     """(group, id, degree) for every node."""
     ends = edges.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))

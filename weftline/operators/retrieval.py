@@ -67,6 +67,31 @@ def top_k(scored: DataFrame, k: int, id_col: str = "id", score: str = "score") -
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc(score), id_col)))
 
 
+def discriminative(docs: DataFrame, query: str, idf_tau: float, score_floor: float, id_col: str = "doc_id", text: str = "text", stem: int = 0) -> DataFrame:
+    """(id, score, discriminative): whether the best document scores ``score_floor`` or holds a query token of an idf of ``idf_tau``; no row without hits."""
+    import re
+
+    distinct = list(dict.fromkeys(re.findall("[a-z0-9_]+", query.lower())))
+    best = top_k(bm25(docs, query, id_col, text, stem=stem).withColumn("score", F.round("score", 6)), 1).select("id", "score")
+    toks = docs.select(F.col(id_col).alias("id"), tx.bm25_tokens(F.col(text)).alias("toks"))
+    stats = toks.agg(F.count("*").alias("n"), *[F.count(F.when(F.array_contains("toks", t), 1)).alias(f"df{i}") for i, t in enumerate(distinct)])  # one row
+    rows = toks.join(F.broadcast(best), "id").crossJoin(F.broadcast(stats))
+    rare = F.lit(False)
+    for i, t in enumerate(distinct):
+        held = F.exists("toks", lambda x, t=t: (x == t) | x.startswith(t[:stem])) if stem and len(t) >= stem else F.array_contains("toks", t)
+        rare = rare | (held & (idf(F.col(f"df{i}"), F.col("n")) >= idf_tau))
+    return rows.select("id", "score", ((F.col("score") >= score_floor) | rare).alias("discriminative"))
+
+
+def tool_search(tools: DataFrame, query: str, k: int, name: str = "name", description: str = "description") -> DataFrame:
+    """(name, description, relevance): the ``k`` tools that hold most terms of the query, ties by name; without terms the first by name."""
+    low = F.lower(F.concat_ws(" ", name, description))
+    terms = query.lower().split()
+    score = sum((F.when(F.contains(low, F.lit(t)), 1).otherwise(0) for t in terms), F.lit(0))
+    rows = tools.select(F.col(name).alias("name"), F.substring(F.col(description), 1, 200).alias("description"), score.alias("relevance"))
+    return (rows.filter("relevance > 0") if terms else rows).orderBy(F.desc("relevance"), "name", "description").limit(k)
+
+
 def dense_scores(vectors: DataFrame, query: list[float], id_col: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(id, score): cosine of each finite vector with the query."""
     q = F.array(*[F.lit(float(x)) for x in query])

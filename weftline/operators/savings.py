@@ -87,6 +87,18 @@ def roi(members: DataFrame, tokens_per_day: str = "tokens_per_day", team_size: s
     return members.withColumns({"monthly_savings": F.round(worth, 4), "plan_cost": F.round(price, 4), "roi": F.round(F.when(price > 0, (worth - price) / price).otherwise(0.0), 4)})
 
 
+def projection(events: DataFrame, group: str, dollars: str, at: str = "ts", price: float = 29.0) -> DataFrame:
+    """(group, operations, saved, monthly, breakeven): savings a month at a group's rate, and operations that pay the plan's ``price``.
+
+    Up to a minute of events tells no rate: then 100 times what was saved.
+    """
+    seconds = F.col(at).cast("timestamp").cast("double")
+    rows = events.groupBy(group).agg(F.count("*").alias("operations"), F.sum(dollars).alias("saved"), (F.max(seconds) - F.min(seconds)).alias("_span"))
+    monthly = F.when(F.col("_span") > 60, F.col("saved") / F.col("_span") * (30 * 24 * 3600)).otherwise(F.col("saved") * 100)
+    pays = F.when(F.col("saved") > 0, F.floor(price / (F.col("saved") / F.col("operations"))))
+    return rows.select(group, "operations", F.round("saved", 4).alias("saved"), F.round(monthly, 2).alias("monthly"), pays.alias("breakeven"))
+
+
 def budget(events: DataFrame, limit: float, key: str = "user_id", at: str = "ts", value: str = "value", order: str = "event_id") -> DataFrame:
     """Running use of a budget with its alert level after each event."""
     w = W.partitionBy(key).orderBy(at, order).rowsBetween(W.unboundedPreceding, 0)

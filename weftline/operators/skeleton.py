@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from weftline.functions import numbers as num, text as tx
 from weftline.staging import staged
 
+from .registry import admonitions_stripped
+
 
 def packed_parts(parts: Column, budget: int, joiner: str = " ", extra: int = 0) -> Column:
     """Consecutive parts joined into chunks of at most ``budget`` tokens; a larger part is a chunk of its own."""
@@ -208,6 +210,24 @@ def extractive(docs: DataFrame, budget: int, id_col: str = "doc_id", text: str =
     return done.select("id", F.col("n").alias("sentences"), F.size("fold.at").alias("kept"), F.col("fold.used").alias("tokens"), F.array_join(kept, " ").alias("text"))
 
 
+def anchor_text(text: Column, budget: int) -> Column:
+    """Leading sentences without markup up to ``budget`` tokens, at least one; those without a letter or digit are left out."""
+    plain = F.replace(F.regexp_replace(text, r"\[([^\]]+)\]\([^)]+\)", "$1"), F.lit("`"), F.lit(""))
+    plain = admonitions_stripped(F.regexp_replace(F.regexp_replace(plain, r"\*\*(.+?)\*\*", "$1"), r"\*(.+?)\*", "$1"))
+    plain = F.regexp_replace(plain, r"(?m)^[ \t]*#{1,6}[ \t]+", "")
+    lead = lambda s: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"^\s*[-*+]\s+", ""), r"^\s*\d+\.\s+", ""), r"\s+", " "))
+    found = F.filter(F.transform(F.split(plain, r"(?<=[.!?])\s+|(?<=[。！？])"), lead), lambda s: s.rlike(r"[\p{L}\p{N}]"))
+    sized = F.transform(found, lambda s: F.struct(s.alias("s"), tx.token_count(s).alias("t")))
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("used"), F.lit(False).alias("over"))
+
+    def take(a: Column, x: Column) -> Column:
+        fits = ~a["over"] & ((F.size(a["kept"]) == 0) | (a["used"] + x["t"] <= budget))
+        used = a["used"] + F.when(fits, x["t"]).otherwise(0)
+        return F.struct(F.when(fits, F.array_append(a["kept"], x["s"])).otherwise(a["kept"]).alias("kept"), used.alias("used"), (~fits | (used >= budget)).alias("over"))
+
+    return F.aggregate(sized, start, take, lambda a: F.array_join(a["kept"], " "))
+
+
 def flagship(docs: DataFrame, ratio: float = 0.2, threshold: float = 0.25) -> DataFrame:
     """Skeletons: sentence-packed chunks, hashed embeddings, similarity graph, PageRank, boosts, top chunks, one row a document.
 

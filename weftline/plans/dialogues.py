@@ -28,12 +28,18 @@ LEVEL = f"CASE WHEN {_hit(CRITICAL)} THEN 'CRITICAL' WHEN {_hit(RELEVANT)} THEN
 
 @query(f"SELECT conv_id, turn, {LEVEL} AS importance FROM conversations")
 def message_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _turns(spark, sf_dir).select("conv_id", "turn", dialogue.importance(F.col("text"), F.col("role"), CRITICAL, RELEVANT, None).alias("importance"))
+
+
+@query()
+def fuzzy_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With misspellings, which SQL can't compare; the tests compare them one by one."""
     return _turns(spark, sf_dir).select("conv_id", "turn", dialogue.importance(F.col("text"), F.col("role"), CRITICAL, RELEVANT).alias("importance"))
 
 
 @query(f"WITH c AS (SELECT conv_id, {LEVEL} AS level FROM conversations) SELECT conv_id, count(*) AS turns, count(*) FILTER (level = 'CRITICAL') AS critical, count(*) FILTER (level = 'RELEVANT') AS relevant, count(*) FILTER (level = 'TRIVIAL') AS trivial FROM c GROUP BY conv_id")
 def dialogue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dialogue.stats(_turns(spark, sf_dir), CRITICAL, RELEVANT)
+    return dialogue.stats(_turns(spark, sf_dir), CRITICAL, RELEVANT, ratio=None)
 
 
 @query("WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations WHERE role <> 'system') SELECT conv_id, turn, role, text FROM r WHERE k <= 3")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import numbers, text as tx
-from weftline.operators import advice, promptcache, registry as reg, retrieval, rewards, temporal
+from weftline.operators import advice, promptcache, registry as reg, retrieval, rewards, savings, skeleton, temporal
 from weftline.plans.base import query
 from weftline.plans.documents import BM25, QUESTION
 from weftline.session import table
@@ -408,3 +408,55 @@ def heading_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _docs(spark, sf_dir).select("doc_id", text)
     first = F.when(d % 4 == 3, F.lit(None)).otherwise(tx.first_heading_query(t))
     return rows.select("doc_id", tx.heading_level(t).alias("level"), tx.heading_text(t).alias("heading"), first.alias("asked"), tx.is_structured_markdown(t).alias("structured"))
+
+
+@query(f"""
+WITH {BM25}, top AS (SELECT id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, id LIMIT 1)
+SELECT id, score, score >= 100 OR EXISTS (SELECT 1 FROM f JOIN d USING (term), s WHERE f.id = top.id AND tf > 0 AND ln(1 + (n - df + 0.5) / (df + 0.5)) >= 1.0) AS discriminative FROM top""")
+def discriminative_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.discriminative(_docs(spark, sf_dir), QUESTION, 1.0, 100.0)
+
+
+@query("SELECT source || '-' || lpad(doc_id::VARCHAR, 7, '0') AS name, substr(text, 1, 200) AS description, CAST(contains(lower(source || '-' || lpad(doc_id::VARCHAR, 7, '0') || ' ' || text), 'queque') AS INT) + CAST(contains(lower(source || '-' || lpad(doc_id::VARCHAR, 7, '0') || ' ' || text), 'thanedble') AS INT) AS relevance FROM documents WHERE contains(lower(text), 'queque') OR contains(lower(text), 'thanedble') ORDER BY relevance DESC, name LIMIT 25")
+def tool_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools = _docs(spark, sf_dir).select(F.concat_ws("-", "source", F.lpad(F.col("doc_id").cast("string"), 7, "0")).alias("name"), F.col("text").alias("description"))
+    return retrieval.tool_search(tools, "Queque thanedble", 25)
+
+
+@query("""
+WITH g AS (SELECT event_type, count(*) AS operations, sum(value / 1000) AS saved, epoch(max(ts)) - epoch(min(ts)) AS span FROM events GROUP BY event_type)
+SELECT event_type, operations, round(saved, 4) AS saved, round(CASE WHEN span > 60 THEN saved / span * 2592000 ELSE saved * 100 END, 2) AS monthly, CASE WHEN saved > 0 THEN CAST(floor(29.0::DOUBLE / (saved / operations)) AS BIGINT) END AS breakeven FROM g""")
+def monthly_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return savings.projection(_events(spark, sf_dir).withColumn("dollars", F.col("value") / 1000), "event_type", "dollars")
+
+
+WISHES = "'I prefer  ' || source || '. Always use ' || lang || chr(10) || 'we DONT  use tabs! She likes ' || source || ' and ' || lang || '.'"
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, {WISHES} AS x FROM documents),
+p AS (SELECT doc_id, list_concat(regexp_extract_all(x, '(?i)\\bprefer\\s+([^.!\\n]+)', 1), regexp_extract_all(x, '(?i)\\balways\\s+use\\s+([^.!\\n]+)', 1), regexp_extract_all(x, '(?i)\\bdo\\s+not\\s+use\\s+([^.!\\n]+)', 1), regexp_extract_all(x, '(?i)\\bdon''?t\\s+use\\s+([^.!\\n]+)', 1), regexp_extract_all(x, '(?i)\\blikes?\\s+([^.!\\n]+)', 1)) AS v FROM d)
+SELECT doc_id, list_filter(list_transform(v, lambda t: trim(regexp_replace(t, '\\s+', ' ', 'g'))), lambda t: t <> '') AS preferences FROM p""")
+def user_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.lit("I prefer  "), "source", F.lit(". Always use "), "lang", F.lit("\nwe DONT  use tabs! She likes "), "source", F.lit(" and "), "lang", F.lit("."))
+    return _docs(spark, sf_dir).select("doc_id", tx.preferences(said).alias("preferences"))
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN source || '-' || doc_id WHEN 1 THEN '../' || source WHEN 2 THEN '/' || source WHEN 3 THEN 'a b' ELSE source || '/' || doc_id END AS v FROM documents)
+SELECT doc_id, doc_id % 5 = 0 AS safe, doc_id % 5 IN (0, 4) AS safe_below FROM d""")
+def id_safety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, name = F.col("doc_id") % 5, F.col("source")
+    value = F.when(d == 0, F.concat_ws("-", name, "doc_id")).when(d == 1, F.concat(F.lit("../"), name)).when(d == 2, F.concat(F.lit("/"), name)).when(d == 3, "a b").otherwise(F.concat_ws("/", name, "doc_id"))
+    return _docs(spark, sf_dir).select("doc_id", tx.safe_id(value).alias("safe"), tx.safe_id(value, True).alias("safe_below"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, regexp_replace(text, '(?m)^[ \t]*#{1,6}[ \t]+', '', 'g') AS x FROM (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '`', ''), '\*\*(.+?)\*\*', '\1', 'g'), '\*(.+?)\*', '\1', 'g'), '(?m)^[ \t]*[!?]{3}\+?[ \t]+[\w-]+(?:[ \t]+"[^"]*")?[ \t]*', '', 'g') AS text FROM documents)),
+s AS (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1))) AS s, generate_subscripts(string_split(regexp_replace(regexp_replace(x, '([.!?])\s+', '\1' || chr(1), 'g'), '([。！？])', '\1' || chr(1), 'g'), chr(1)), 1) AS i FROM d),
+c AS (SELECT doc_id, i, trim(regexp_replace(regexp_replace(regexp_replace(s, '^\s*[-*+]\s+', ''), '^\s*\d+\.\s+', ''), '\s+', ' ', 'g')) AS s FROM s),
+t AS (SELECT *, floor(len(list_filter(string_split(s, ' '), lambda w: w <> '')) * 1.3) AS t FROM c WHERE regexp_matches(s, '[\p{L}\p{N}]')),
+r AS (SELECT *, sum(t) OVER (PARTITION BY doc_id ORDER BY i) AS used, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM t)
+SELECT d.doc_id, coalesce(string_agg(s, ' ' ORDER BY i) FILTER (k = 1 OR used <= 60), '') AS anchor FROM d LEFT JOIN r ON d.doc_id = r.doc_id GROUP BY d.doc_id""")
+def extractive_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", skeleton.anchor_text(F.col("text"), 60).alias("anchor"))

@@ -160,3 +160,11 @@ def vector_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     dims = _vectors(spark, sf_dir).select("label", F.posexplode("embedding").alias("k", "v"))
     return dims.groupBy("label", "k").agg(F.round(F.avg(F.col("v").cast("double")), 6).alias("mean"))
+
+
+@query(f"""
+WITH {EDGES}, x AS (SELECT label, 'e|' || src || '|' || dst || '|' || printf('%.4f', weight) AS x FROM e UNION ALL SELECT label, 'n|' || vec_id FROM embeddings),
+s AS (SELECT label, CAST(sum(('0x' || substr(sha1(x), 1, 12))::HUGEINT) AS VARCHAR) AS s FROM x GROUP BY label)
+SELECT label, substr(sha1(label || ':' || s), 1, 16) AS hash FROM s""")
+def graph_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.graph_hash(_edges(spark, sf_dir), _vectors(spark, sf_dir))
