@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.session import table
 
-from . import extract, fingerprint, jaccard, line_dedup, media, packing, pii, quality, sentencepiece_fst, warc
+from . import conversations, extract, fingerprint, jaccard, line_dedup, media, packing, pii, quality, resample, sentencepiece_fst, warc
 from .common import staged
 
 #: Sites on which a line must stand to count as boilerplate; ``documents`` has 20 sources.
@@ -94,6 +94,20 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", "n_pseudonyms")
 
 
+#: Words of a feature at least and at most, hash buckets, percent to draw, words that a drawn document needs, seed of the noise.
+DRAW = {"low": 1, "high": 1, "buckets": 10_000, "share": 10, "least_words": 20, "seed": 2024}
+
+
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = resample.importance_resampled(docs, table(spark, sf_dir, "benchmark").select("text"), **DRAW)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damage_report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
 JACCARD_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
@@ -126,3 +140,54 @@ g AS (SELECT rid, count(*) AS n_lines, count(*) FILTER (cut) AS n_cut, coalesce(
 SELECT d.doc_id, CASE WHEN g.n_cut = 0 THEN d.text ELSE g.kept END AS text, CAST(g.n_lines AS INT) AS n_lines, CAST(g.n_cut AS INT) AS n_removed
 FROM d LEFT JOIN g ON d.rid = g.rid
 """
+
+#: crc32 of the values ``x`` of a table, in SQL: {name}(x, crc).
+CRC_SQL = """
+poly AS (SELECT list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+{name} AS (SELECT x, xor(list_reduce(list_transform(range(strlen(x)), lambda i: ('0x' || substr(hex(x), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc FROM ({values}), poly)"""
+
+RESAMPLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{resample.WORD}') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{resample.WORD}') AS w FROM benchmark),
+dw AS (SELECT rid, x, count(*) AS n FROM (SELECT rid, unnest(w) AS x FROM d) GROUP BY rid, x),
+bw AS (SELECT unnest(w) AS x FROM b),
+{CRC_SQL.format(name="k", values="SELECT x FROM dw UNION SELECT x FROM bw")},
+s AS (SELECT crc % 10000 AS bucket, sum(n) AS s FROM dw JOIN k USING (x) GROUP BY bucket), t AS (SELECT crc % 10000 AS bucket, count(*) AS t FROM bw JOIN k USING (x) GROUP BY bucket),
+tot AS (SELECT (SELECT coalesce(sum(s), 0) FROM s) AS al, (SELECT coalesce(sum(t), 0) FROM t) AS tl),
+g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * (al + 10000)::DOUBLE / ((s + 1)::DOUBLE * (tl + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket), tot),
+m AS (SELECT rid, sum(n)::BIGINT AS n, floor(sum(n * gain) / sum(n))::BIGINT AS weight FROM dw JOIN k USING (x) JOIN g ON crc % 10000 = bucket GROUP BY rid),
+h AS (SELECT rid, doc_id, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8))::BIGINT AS h FROM d LEFT JOIN m USING (rid)),
+c AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM h),
+r AS (SELECT *, CASE WHEN n >= 20 THEN row_number() OVER (PARTITION BY n >= 20 ORDER BY score DESC, doc_id NULLS LAST) END AS place, count(*) FILTER (n >= 20) OVER () AS fit FROM c)
+SELECT doc_id, n AS n_features, weight, score, CASE WHEN place <= 10 * fit // 100 THEN place END AS rank, n AS n_words FROM r
+"""
+
+#: Least costs to go are lists over the states 1 to 4 (nothing yet, after system, user, assistant); ``b`` is without insertions first.
+REPAIR_SQL = rf"""
+WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS x FROM conversations),
+{CRC_SQL.format(name="k", values="SELECT DISTINCT x FROM o")},
+f AS (SELECT o.*, crc % 20 AS kind FROM o JOIN k USING (x) WHERE crc % 20 <> 0),
+g AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM g),
+d AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, substr(role, 1, 1) AS c FROM p),
+r AS (SELECT conv_id, turn, role, text, i, c, body = '' AS blank, body <> '' AND again AS duplicate, body <> '' AND NOT again AND right(body, 1) NOT IN ('.', '!', '?') AS truncated, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM d),
+t AS (SELECT conv_id, CASE WHEN count(turn) = 0 THEN 0 ELSE max(turn) - min(turn) + 1 - count(DISTINCT turn) END AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+             count(*) FILTER (before IS NOT NULL AND before || c NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM r GROUP BY conv_id),
+togo AS (SELECT conv_id, n + 1 AS i, [0, 6, 3, 0] AS v, [0, 999, 999, 0] AS b FROM t
+  UNION ALL SELECT conv_id, i, [least(b[1], b[3] + 3, b[4] + 6), least(b[2], b[3] + 3, b[4] + 6), least(b[3], b[4] + 3), least(b[4], b[3] + 3)] AS v, b FROM (
+    SELECT r.conv_id, r.i, CASE WHEN blank OR duplicate THEN list_transform(v, lambda x: x + 4) ELSE
+      [least(v[1] + 4, v[3] + 3 + e, CASE c WHEN 's' THEN v[2] + e WHEN 'u' THEN v[3] + e ELSE 999 END), least(v[2] + 4, v[3] + 3 + e, CASE c WHEN 'u' THEN v[3] + e ELSE 999 END),
+       least(v[3] + 4, v[4] + 3 + e, CASE c WHEN 'a' THEN v[4] + e ELSE 999 END), least(v[4] + 4, v[3] + 3 + e, CASE c WHEN 'u' THEN v[3] + e ELSE 999 END)] END AS b
+    FROM togo JOIN (SELECT *, CASE WHEN truncated THEN 3 ELSE 0 END AS e FROM r) r ON togo.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = togo.i - 1)),
+walk AS (SELECT conv_id, 1::BIGINT AS i, 1 AS q, '' AS audit, []::VARCHAR[] AS lines, false AS done FROM t
+  UNION ALL SELECT conv_id, CASE WHEN edit IN ('D', 'K', 'R') THEN i + 1 ELSE i END, CASE edit WHEN 'D' THEN q WHEN 'I' THEN nq WHEN 'R' THEN nq WHEN 'K' THEN CASE c WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END ELSE q END, audit || edit,
+    CASE edit WHEN 'I' THEN list_append(lines, new || ':') WHEN 'K' THEN list_append(lines, role || ':' || text) WHEN 'R' THEN list_append(lines, new || ':' || text) ELSE lines END, edit = ''
+  FROM (SELECT *, CASE WHEN role IS NOT NULL AND v[q] = later[q] + 4 THEN 'D' WHEN v[q] = v[nq] + 3 THEN 'I' WHEN role IS NULL THEN '' WHEN NOT gone AND (c = 's' AND q = 1 AND v[q] = later[2] + e OR c = 'u' AND q <> 3 AND v[q] = later[3] + e OR c = 'a' AND q = 3 AND v[q] = later[4] + e) THEN 'K' ELSE 'R' END AS edit
+    FROM (SELECT w.*, togo.v, nx.v AS later, r.role, r.text, r.c, r.blank OR r.duplicate AS gone, CASE WHEN r.truncated THEN 3 ELSE 0 END AS e, CASE q WHEN 3 THEN 4 ELSE 3 END AS nq, CASE q WHEN 3 THEN 'assistant' ELSE 'user' END AS new
+      FROM walk w JOIN togo ON togo.conv_id IS NOT DISTINCT FROM w.conv_id AND togo.i = w.i LEFT JOIN togo nx ON nx.conv_id IS NOT DISTINCT FROM w.conv_id AND nx.i = w.i + 1
+      LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i WHERE NOT w.done))),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(togo.v[1], 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+FROM every LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM every.conv_id LEFT JOIN togo ON togo.conv_id IS NOT DISTINCT FROM every.conv_id AND togo.i = 1 LEFT JOIN walk ON walk.conv_id IS NOT DISTINCT FROM every.conv_id AND walk.done
+"""
