@@ -8,11 +8,15 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 from functools import cache
 
+import numpy as np
 import pytest
 
-from weftline.llm import conversations, resample
+from tests.llm.test_operators import brute_classes
+from weftline.llm import common, conversations, minhash, resample
+from weftline.llm.shingles import mixed, shingle_set
 
 LONG = "Very long, text " * 20_000
 TEXTS = [None, "", " - ", "one", "two words", "same text here", "same text here", "ÜNÏcödé ☃ text 7a_b", "a b a b a b c " * 4, LONG]
@@ -78,6 +82,97 @@ def test_resample_pieces_end_between_words(monkeypatch):
         assert "".join(pieces) == text and [w for p in pieces for w in words_of(p)] == words_of(text)
 
 
+# -- 12 near duplicates by signatures
+
+
+def plain_signature(members):
+    """SuperMinHash of one set, an element at a time and without an early stop."""
+    full, best = 2**64 - 1, [2**64 - 1] * minhash.SLOTS
+    mix = lambda x: int(mixed(np.array([x & full], dtype=np.uint64))[0])
+    for x in members:
+        e, order = mix(int(x)), list(range(minhash.SLOTS))
+        for level in range(minhash.SLOTS):
+            drawn = mix(e + int(minhash._A) * (2 * level + 1))
+            at = level + mix(drawn ^ int(minhash._B)) % (minhash.SLOTS - level)
+            order[level], order[at] = order[at], order[level]
+            best[order[level]] = min(best[order[level]], level << 56 | drawn >> 8)
+    return [(b ^ b >> 32) & 0xFFFFFFFF for b in best]
+
+
+def test_signatures_match_one_by_one():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 2, 7, 40, 300, 3)]
+    assert minhash.signatures(sets).tolist() == [plain_signature(s) for s in sets]
+    assert minhash.signatures([]).shape == (0, minhash.SLOTS)
+
+
+def test_signatures_estimate_with_less_variance():
+    rng, errors = np.random.default_rng(4), []
+    for _ in range(300):
+        x = rng.integers(0, 2**63, 25).astype(np.uint64)
+        a, b = np.unique(x[:20]), np.unique(x[5:])  # 15 of 25 shared
+        one, two = minhash.signatures([a, b])
+        errors.append((one == two).mean() - 0.6)
+    assert abs(np.mean(errors)) < 0.01
+    assert np.var(errors) < 0.8 * 0.6 * 0.4 / minhash.SLOTS  # independent minima would have 0.6 * 0.4 / SLOTS
+
+
+def test_screen_keeps_pairs_at_the_threshold():
+    least, rng = minhash.least_equal(0.85), np.random.default_rng(5)
+    assert 140 < least < 180 and minhash.least_equal(1.0) == minhash.SLOTS
+    for _ in range(200):
+        x = rng.integers(0, 2**63, 200).astype(np.uint64)
+        one, two = minhash.signatures([np.unique(x[:185]), np.unique(x[15:])])  # 170 of 200 shared
+        assert (one == two).sum() >= least and (minhash.band_keys(one[None]) == minhash.band_keys(two[None])).any()
+
+
+def near_texts(seed, n=60):
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        if not out or rng.random() < 0.3:
+            out.append(" ".join(rng.choice("abcdefgh") + rng.choice("xyz") for _ in range(rng.randrange(1, 90))))
+        else:
+            w = rng.choice(out).split()
+            for _ in range(rng.randrange(3)):
+                w.insert(rng.randrange(len(w) + 1), rng.choice(["new", "NEW", "other"]))
+            out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize(("block", "bound"), [(2_000, 10**6), (3, 2)])
+def test_near_duplicates_match_all_pairs(spark, sf_dir, monkeypatch, block, bound):
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(common, "LOOKUP_ROWS", bound)
+    rows = list(enumerate([*TEXTS, *near_texts(block)])) + [(5, "same text here"), (3, "one")]
+    rows += [(500 + i, "hot copy of one text that stands in very many rows") for i in range(300)] + [(900 + i, None) for i in range(50)]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, node string, n int").repartition(3)
+    found = minhash.near_duplicates(docs, 5, "0.85").collect()
+    assert len(found) == len(rows)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in found} == set(brute_classes(rows, 5, Fraction("0.85")))
+    assert all(r.kept == (r.doc_id == r.component_id) for r in found)
+
+
+def test_near_duplicates_on_the_fixture(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    found = minhash.near_duplicates(docs, 5, "0.85").collect()
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in found) == sorted(brute_classes(rows, 5, Fraction("0.85")))
+    kept = minhash.without_near_duplicates(docs, 5, "0.85")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.component_id for r in found}
+
+
+def test_near_duplicates_edges(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert minhash.near_duplicates(none).count() == 0
+    lone = spark.createDataFrame([(None, "a b c d e f"), (None, None), (4, "a b c d e f")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(lone).collect()), key=str)
+    assert got == sorted([(None, 4, False), (None, None, True), (4, 4, True)], key=str)
+    assert minhash.without_near_duplicates(lone).count() == 3
+    with pytest.raises(ValueError, match="similarity"):
+        minhash.near_duplicates(lone, similarity="0.2")
+    assert len(shingle_set("a b", 5)) == 1
+
+
 # -- 13 conversation repair
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.session import table
 
-from . import conversations, extract, fingerprint, jaccard, line_dedup, media, packing, pii, quality, resample, sentencepiece_fst, warc
+from . import conversations, extract, fingerprint, jaccard, line_dedup, media, minhash, packing, pii, quality, resample, sentencepiece_fst, warc
 from .common import staged
 
 #: Sites on which a line must stand to count as boilerplate; ``documents`` has 20 sources.
@@ -104,22 +104,34 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, words=5, similarity="0.85").select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.damage_report(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-JACCARD_SQL = r"""
+def _jaccard_sql(words: int, percent: int, columns: str) -> str:
+    """Components of documents whose sets of runs of ``words`` words are ``percent`` percent alike, by all pairs that share a run."""
+    run = " || ' ' || ".join(f"w[i + {k}]" if k else "w[i]" for k in range(words))
+    return rf"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
-g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
+g AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: {run})) END AS s FROM w),
 u AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM g),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS i FROM u a JOIN u b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
-l AS (SELECT a, b FROM p WHERE 100 * i >= 90 * (na + nb - i)),
+l AS (SELECT a, b FROM p WHERE 100 * i >= {percent} * (na + nb - i)),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
 r AS (SELECT doc_id AS node, doc_id AS seen FROM g UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
 c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM g JOIN c ON doc_id = node
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, {columns} FROM g JOIN c ON doc_id = node
 """
 
+
+JACCARD_SQL = _jaccard_sql(3, 90, "component_id")
+MINHASH_SQL = _jaccard_sql(5, 85, "component_id, doc_id = component_id AS kept")
+
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS digest FROM p),
 f AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY digest) ELSE page_id END AS first FROM d)

@@ -17,5 +17,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    found = {"op3_jaccard": q.JACCARD_SQL, "op8_warc": q.WARC_SQL, "op10_line_dedup": q.LINE_DEDUP_SQL, "op11_resample": q.RESAMPLE_SQL, "op13_repair": q.REPAIR_SQL}
+    found = {"op3_jaccard": q.JACCARD_SQL, "op8_warc": q.WARC_SQL, "op10_line_dedup": q.LINE_DEDUP_SQL, "op11_resample": q.RESAMPLE_SQL, "op12_minhash": q.MINHASH_SQL, "op13_repair": q.REPAIR_SQL}
     return found | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
