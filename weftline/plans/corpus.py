@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weftline.operators import postings, tfidf
+from weftline.functions import gain, text as tx
+from weftline.operators import postings, reingest, semantic, tfidf
 from weftline.plans.base import query
-from weftline.plans.documents import QUESTION
+from weftline.plans.documents import QUESTION, SENTENCES
 from weftline.session import table
+from weftline.staging import scratch
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,3 +64,46 @@ def bm25_many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark text as a query over all documents, in one plan."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return postings.Index.build(_docs(spark, sf_dir)).search(queries, 10)
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, {SENTENCES} AS ss FROM documents), s AS (SELECT doc_id, generate_subscripts(ss, 1) AS i, unnest(ss) AS s FROM d),
+w AS (SELECT doc_id, i, s, list_filter(regexp_split_to_array(lower(s), '\s+'), lambda x: x <> '') AS w FROM s),
+b AS (SELECT doc_id, i, x, count(*) AS c FROM (SELECT doc_id, i, unnest(w) AS x FROM w) GROUP BY doc_id, i, x),
+n AS (SELECT doc_id, i, sum(c * c) AS nn FROM b GROUP BY doc_id, i), dt AS (SELECT b.doc_id, b.i, sum(b.c * a.c) AS dot FROM b JOIN b a ON a.doc_id = b.doc_id AND a.x = b.x AND a.i = b.i - 1 GROUP BY b.doc_id, b.i),
+f AS (SELECT w.doc_id, w.i, w.s, len(w.w) AS n, coalesce(dot / sqrt((n.nn * p.nn)::DOUBLE), 0) < 0.15 AS cut FROM w LEFT JOIN n USING (doc_id, i) LEFT JOIN n p ON p.doc_id = w.doc_id AND p.i = w.i - 1 LEFT JOIN dt ON dt.doc_id = w.doc_id AND dt.i = w.i),
+l AS (SELECT doc_id, list({{'n': n::BIGINT, 'cut': cut, 'used': 0::BIGINT, 'out': []::BIGINT[]}} ORDER BY i) AS xs, list(s ORDER BY i) AS ss, list(n ORDER BY i) AS ns FROM f GROUP BY doc_id),
+r AS (SELECT doc_id, ss, ns, list_reduce(xs, lambda a, x: {{'n': x.n, 'cut': x.cut, 'used': CASE WHEN len(a.out) > 0 AND (x.cut OR a.used + x.n > 60) THEN x.n ELSE a.used + x.n END,
+        'out': list_append(a.out, CASE WHEN len(a.out) = 0 THEN 0 WHEN x.cut OR a.used + x.n > 60 THEN a.out[-1] + 1 ELSE a.out[-1] END)}}, {{'n': 0::BIGINT, 'cut': false, 'used': 0::BIGINT, 'out': []::BIGINT[]}}) AS a FROM l),
+u AS (SELECT doc_id, unnest(a.out) AS position, unnest(ss) AS s, unnest(ns) AS n, generate_subscripts(ss, 1) AS i FROM r)
+SELECT doc_id AS id, CAST(position AS INT) AS position, CAST(count(*) AS INT) AS units, CAST(sum(n) AS BIGINT) AS tokens, string_agg(s, ' ' ORDER BY i) AS text FROM u GROUP BY doc_id, position""")
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return semantic.semantic_chunks(_docs(spark, sf_dir), 0.15, 60)
+
+
+@query()
+def gain_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words by their gain for a question, and the better half of them."""
+    rows = _docs(spark, sf_dir).select("doc_id", "text", gain.gains(F.col("text"), QUESTION).alias("scores"))
+    return rows.select("doc_id", F.size("scores").alias("words"), F.round(F.aggregate("scores", F.lit(0.0), lambda a, s: a + s), 4).alias("gain"), gain.refined(F.col("text"), F.col("scores"), 0.5).alias("refined"))
+
+
+def _edited(lines):
+    """The second version of a document: the first line comes last, and the last one before it in capitals."""
+    n = F.size(lines)
+    return F.when(n > 1, F.concat(F.slice(lines, F.lit(2), F.greatest(n - 2, F.lit(0))), F.array(F.upper(F.get(lines, n - 1)), F.get(lines, F.lit(0))))).otherwise(lines)
+
+
+@query("""
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL),
+v AS (SELECT doc_id, x, CASE WHEN len(x) > 1 THEN list_concat(x[2:-2], [upper(x[-1]), x[1]]) ELSE x END AS y FROM l),
+o AS (SELECT doc_id, generate_subscripts(x, 1) AS p, unnest(x) AS t FROM v), n AS (SELECT doc_id, generate_subscripts(y, 1) AS p, unnest(y) AS t FROM v),
+a AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY p) AS k FROM o), b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, t ORDER BY p) AS k FROM n)
+SELECT doc_id AS file_id, count(*) FILTER (a.p = b.p) AS kept, count(*) FILTER (a.p <> b.p) AS moved, count(*) FILTER (a.p IS NULL) AS new, count(*) FILTER (b.p IS NULL) AS gone
+FROM a FULL JOIN b USING (doc_id, t, k) GROUP BY doc_id""")
+def reingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as chunks, stored and embedded, then the documents' second version over them."""
+    docs, lines = _docs(spark, sf_dir).filter("text is not null"), F.split(F.col("text"), "\n")
+    store = scratch(spark, "chunk-store")
+    reingest.ingest(reingest.chunked(docs, lines), store)
+    return reingest.reingest(reingest.chunked(docs, tx.let(lines, _edited)), store, 1)
