@@ -121,27 +121,33 @@ def bands(chunks: DataFrame, group: str = "file_id", importance: str = "importan
     return rows.withColumn("band", F.when(F.col("rank") <= main, "main").when(F.col("rank") <= main + aux, "auxiliary").otherwise("rest")).drop("n")
 
 
+def mmr_order(pdf: pd.DataFrame, k: int, penalty: float) -> list[int]:
+    """Rows of ``pdf`` (v, imp, rel, prio) in the order of picking, ``k`` at most: greedy by hybrid score less the likeness to what is picked."""
+    import numpy as np
+
+    v = np.array(pdf.v.tolist(), dtype=float)
+    v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+
+    def scaled(x: pd.Series) -> np.ndarray:
+        x = x.to_numpy(float)
+        return (x - x.min()) / (x.max() - x.min()) if x.max() > x.min() else np.ones(len(x))
+
+    base = 0.25 * scaled(pdf.imp) + 0.55 * scaled(pdf.rel) + 0.20 * scaled(pdf.prio)
+    most, free, order = None, np.ones(len(v), bool), []
+    for _ in range(min(k, len(v))):
+        at = int(np.argmax(np.where(free, base if most is None else base - penalty * most, -np.inf)))
+        order.append(at)
+        free[at] = False
+        most = v @ v[at] if most is None else np.maximum(most, v @ v[at])  # below 0, likeness speaks for a node
+    return order
+
+
 def mmr(nodes: DataFrame, k: int, group: str = "label", id_col: str = "vec_id", embedding: str = "embedding", importance: str = "importance", relevance: str | None = None, priority: str | None = None, penalty: float = 0.5) -> DataFrame:
     """(group, id, pick): greedy picks of .25 importance + .55 relevance + .20 priority, each stretched to 0..1, less the likeness to what is picked."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         pdf = pdf.sort_values("id").reset_index(drop=True)
-        v = np.array(pdf.v.tolist(), dtype=float)
-        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-
-        def scaled(x: pd.Series) -> np.ndarray:
-            x = x.to_numpy(float)
-            return (x - x.min()) / (x.max() - x.min()) if x.max() > x.min() else np.ones(len(x))
-
-        base = 0.25 * scaled(pdf.imp) + 0.55 * scaled(pdf.rel) + 0.20 * scaled(pdf.prio)
-        most, free, order = None, np.ones(len(v), bool), []
-        for _ in range(min(k, len(v))):
-            at = int(np.argmax(np.where(free, base if most is None else base - penalty * most, -np.inf)))
-            order.append(at)
-            free[at] = False
-            most = v @ v[at] if most is None else np.maximum(most, v @ v[at])  # below 0, likeness speaks for a node
+        order = mmr_order(pdf, k, penalty)
         return pd.DataFrame({"grp": pdf.grp.iloc[0], "id": pdf.id.to_numpy()[order], "pick": range(1, len(order) + 1)})
 
     kind = nodes.schema[group].dataType.simpleString()
@@ -233,10 +239,15 @@ def flagship(docs: DataFrame, ratio: float = 0.2, threshold: float = 0.25) -> Da
 
     Chunks and vectors are made once and staged; the graph reads the vectors only, the selection the texts only.
     """
+    return rendered(select_top(scored_chunks(docs, threshold), ratio))
+
+
+def scored_chunks(docs: DataFrame, threshold: float = 0.25) -> DataFrame:
+    """Staged sentence-packed chunks of documents with hashed vectors and their boosted PageRank as importance."""
     from weftline.operators import graph as g
 
     chunks = staged(embed(chunk_documents(docs, budget=64)).withColumn("id", F.col("position").cast("long")), "chunks")
     edges = g.similarity_edges(chunks, threshold, group="file_id", id_col="id")
     ranks = g.pagerank_by_group(edges, "file_id").select("file_id", F.col("node").alias("id"), "rank")
-    scored = chunks.drop("embedding").join(ranks, ["file_id", "id"], "left").withColumn("importance", F.coalesce("rank", F.lit(0.0)))
-    return rendered(select_top(g.boosted(scored), ratio))
+    scored = chunks.join(ranks, ["file_id", "id"], "left").withColumn("importance", F.coalesce("rank", F.lit(0.0)))
+    return g.boosted(scored)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import gain, text as tx
-from weftline.operators import postings, reingest, semantic, tfidf
+from weftline.operators import outline, postings, reingest, semantic, skeleton, stages, tfidf
 from weftline.plans.base import query
 from weftline.plans.documents import QUESTION, SENTENCES
 from weftline.session import table
@@ -107,3 +107,35 @@ def reingest_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = scratch(spark, "chunk-store")
     reingest.ingest(reingest.chunked(docs, lines), store)
     return reingest.reingest(reingest.chunked(docs, tx.let(lines, _edited)), store, 1)
+
+
+def _requests(docs: DataFrame) -> DataFrame:
+    """A question to every document: English ones ask for evidence, others for what their text resolves to."""
+    asked = docs.select(F.col("doc_id").alias("file_id"), F.when(F.col("lang") == "en", stages.STAGES[2]).otherwise(stages.resolved(F.col("text"), F.lit(QUESTION))[0]).alias("mode"), F.lit(QUESTION).alias("q"))
+    return skeleton.embed(asked, text="q").withColumnRenamed("embedding", "query_embedding")
+
+
+@query()
+def staged_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return stages.staged_skeletons(skeleton.scored_chunks(docs), _requests(docs))
+
+
+@query()
+def skeleton_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return stages.trace(skeleton.scored_chunks(docs), _requests(docs)).drop("skeleton_text")
+
+
+def _inline_files(tag: str, end: str):
+    """The contents of a page's elements ``tag`` as files (name, code)."""
+    codes = F.regexp_extract_all("html", F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), F.lit(1))
+    return F.transform(codes, lambda c, i: F.struct(F.concat(i.cast("string"), F.lit(end)).alias("name"), c.alias("code")))
+
+
+@query()
+def page_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outlines of the scripts and styles that pages carry, a file each."""
+    found = F.concat(_inline_files("script", ".js"), _inline_files("style", ".css"))
+    files = table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("f"))
+    return outline.outlines(files.select(F.concat_ws("/", F.col("page_id").cast("string"), "f.name").alias("path"), "f.code"))
