@@ -539,11 +539,11 @@ class Feistel:
         ok = lambda d: 13 <= len(d) <= 19 and luhn(d)
         if ok(re.sub("[^0-9]", "", m)):
             return self.card(m)
-        groups, mark, out, i = re.split("[ -]", m), re.sub("[0-9]", "", m)[:1], [], 0
+        groups, mark, out, i = re.split("[^0-9]+", m), (re.findall("[^0-9]+", m) or [""])[0], [], 0
         while i < len(groups):
-            end = max((j for j in range(i, len(groups)) if ok("".join(groups[i : j + 1]))), default=None) if len(groups) > 1 else None
-            out.append(groups[i] if end is None else self.card(mark.join(groups[i : end + 1])))
-            i = i + 1 if end is None else end + 1
+            k = next((k for k, last in ((5, 3), (4, 4)) if [len(g) for g in groups[i : i + k]] == [4] * (k - 1) + [last] and ok("".join(groups[i : i + k]))), 0)
+            out.append(self.card(mark.join(groups[i : i + k])) if k else groups[i])
+            i += k or 1
         return mark.join(out)
 
     def __call__(self, m):
@@ -600,6 +600,66 @@ def test_pii_matches_brute_force(spark, sf_dir):
     assert all((got[i].n_pseudonyms > 0) == (texts[i] != want[i]) for i in want)
 
 
+def hidden_cards(text):
+    """``text`` with # for the digits of cards, looked for group by group, without patterns of cards."""
+    pieces = [(m.start(), m.end()) for m in re.finditer("[0-9]+", text)]
+    taken, i = set(), 0
+    word = lambda at: 0 <= at < len(text) and text[at].isascii() and text[at].isalnum()
+
+    def shape(k, sizes):
+        part = pieces[k : k + len(sizes)]
+        if [b - a for a, b in part] != list(sizes) or word(part[0][0] - 1) or word(part[-1][1]):
+            return False
+        between = {text[a[1] : b[0]] for a, b in zip(part, part[1:], strict=False)}
+        return len(between) <= 1 and between <= {" ", "  ", "\u00a0", "-", "."} and luhn("".join(text[a:b] for a, b in part))
+
+    while i < len(pieces):
+        a, b = pieces[i]
+        fraction = a > 1 and text[a - 1] in ".," and text[a - 2].isdigit()
+        sizes = [s for s in [(4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4)] if shape(i, s)]
+        if 13 <= b - a <= 19 and not fraction and shape(i, (b - a,)):
+            sizes = [(b - a,)]
+        for x, y in pieces[i : i + len(sizes[0])] if sizes else []:
+            taken |= set(range(x, y))
+        i += len(sizes[0]) if sizes else 1
+    return "".join("#" if k in taken else c for k, c in enumerate(text))
+
+
+def test_pii_cards_against_a_scan(spark):
+    rng = random.Random(9)
+
+    def card(n):
+        body = "".join(rng.choice("0123456789") for _ in range(n - 1))
+        return body + next(c for c in "0123456789" if luhn(body + c))
+
+    def grouped(n, sizes, mark):
+        d = iter(card(n))
+        return mark.join("".join(next(d) for _ in range(s)) for s in sizes)
+
+    texts = ["4111111111111111/12", "4111111111111111.5", "4111  1111  1111  1111", "4111\u00a01111\u00a01111\u00a01111", "4111.1111.1111.1111", "9" * 392 + " 4111 1111 1111 1111", " ".join("1234567890123456789012"), "0.4111111111111111", "1111 2222 3333 4444 3782 822463 10005 x"]
+    for _ in range(400):
+        mark = rng.choice([" ", "  ", "\u00a0", "-", ".", "/"])
+        parts = [rng.choice([card(rng.randrange(13, 20)), grouped(16, (4, 4, 4, 4), mark), grouped(19, (4, 4, 4, 4, 3), mark), grouped(15, (4, 6, 5), mark), grouped(14, (4, 6, 4), mark), str(rng.randrange(10**4)).zfill(4), "word", "7", "0.5", str(rng.randrange(10**8))]) for _ in range(rng.randrange(1, 7))]
+        texts.append(rng.choice([" ", "  ", "-", ", ", "\n", "/", ".", "x"]).join(parts))
+    plain = [t for t in texts if not any(regex.search(p, t) for k, p in pii.KINDS.items() if k != "card")]
+    assert len(plain) > 300
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string"), "k").collect()}
+    for i, t in enumerate(plain):
+        want = hidden_cards(t)
+        assert len(got[i]) == len(t) and all(c == g for c, w, g in zip(t, want, got[i], strict=True) if w != "#"), (t, want, got[i])
+        assert "#" not in want or got[i] != t, (t, want)
+        assert got[i] == regex.sub(pii.ANY, lambda m: Feistel("k")(m[0]), t)
+
+
+def test_pii_finds_what_surrounds_hide(spark):
+    texts = ["at 1984-02-03T10:00:00Z", "+49 89/1234567 today", "jürgen@mail.example.org", "1984-02-03Tx"]
+    out = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").orderBy("doc_id"), "k").collect()]
+    assert re.fullmatch(r"at \d{4}-\d\d-\d\dT10:00:00Z", out[0]) and out[0] != texts[0]
+    assert re.fullmatch(r"\+49 \d\d/\d{7} today", out[1]) and out[1] != texts[1]
+    assert re.fullmatch(r"[a-z]ü[a-z]{4}@[a-z]{4}\.[a-z]{7}\.org", out[2]) and "rgen" not in out[2]
+    assert out[3] == texts[3]
+
+
 def test_pii_links_spellings(spark):
     texts = ["+4915112345678 and +49 151 12345678 and +49 (151) 123-45678", "line 12 4845168114407329 end", "1234 4845 1681 1440 7329 5", "+10175557713 or +1 (017) 555-7713 2024", "+12 3456", "--me@x.example.org me@x.example.org"]
     out = [r.text for r in pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").orderBy("doc_id"), "k").collect()]
@@ -610,7 +670,7 @@ def test_pii_links_spellings(spark):
     assert out[5] == f"--{out[5].split()[1]} {out[5].split()[1]}"
 
 
-@pytest.mark.parametrize("text", ["a1" * 500_000, "a." * 500_000, "a@" * 500_000, "x@" + "a." * 500_000, "+49 " * 250_000, "-._%" * 250_000, "12-" * 20_000])
+@pytest.mark.parametrize("text", ["a1" * 500_000, "a." * 500_000, "a@" * 500_000, "x@" + "a." * 500_000, "+49 " * 250_000, "-._%" * 250_000, "12-" * 20_000, "7" * 10**6, "1 " * 500_000, "1234 " * 200_000, "1234-" * 200_000])
 def test_pii_time_is_linear(spark, text):
     df = spark.createDataFrame([(1, text[:1000])], "doc_id long, text string")
     pii.pseudonymise(df, "k").collect()

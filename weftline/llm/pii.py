@@ -19,12 +19,13 @@ ipv4        four numbers up to 255                                 all 32 bits
 date        real day yyyy-mm-dd, dd.mm.yyyy or mm/dd/yyyy in       day number in those
             the 400 years from 1800                                400 years
 ssn         ddd-dd-dddd with area, group and serial in use         the numbers in use
-card        13 to 19 digits with a valid Luhn digit, alone or      all digits; the last is
-            among other groups of digits                           computed anew
+card        13 to 19 digits with a valid Luhn digit: unbroken or   all digits; the last is
+            grouped 4-4-4-4, 4-4-4-4-3, 4-6-5 or 4-6-4 by one      computed anew
+            kind of mark, alone or in a longer row of fours
 ==========  =====================================================  ==========================
 
 A number that fails its test (a wrong check digit, 30 February, 300 in an address) is no personal
-data and stays. Grouping marks stay where they are and don't count: a card or phone number has one
+data and stays, and so do digits in other groups, such as tables of numbers, and fractions. Grouping marks stay where they are and don't count: a card or phone number has one
 pseudonym however it's spaced.
 
 Defined results: a null text stays null, an empty one empty; a text without findings is returned
@@ -46,15 +47,19 @@ ROUNDS = 8
 DAYS_FROM, DAYS = "1800-01-01", 146_097  # 400 years have 146097 days, 189 * 773
 DAYS_A, DAYS_B = 189, 773
 
-EMAIL = r"(?<![A-Za-z0-9._%+\-])(?=[._%+\-]*+[A-Za-z0-9])[A-Za-z0-9._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]{1,63}){0,30}\.[A-Za-z]{2,63}"
+EMAIL = r"(?<![\p{L}\p{N}._%+\-])(?=[._%+\-]*+[\p{L}\p{N}])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9\-]{1,63}){0,30}\.[A-Za-z]{2,63}"
 SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 NORTH_AMERICAN = r"\+1[ .\-]?(?:\([0-9]{3}\)|[0-9]{3})[ .\-]?[0-9]{3}[ .\-]?[0-9]{4}"
-PHONE = rf"(?<![0-9A-Za-z])(?:{NORTH_AMERICAN}|\+[1-9][0-9]{{0,2}}(?:[ .\-]?\([0-9]{{1,4}}\))?(?:[ .\-]?[0-9]){{3,14}})(?![0-9])"
+PHONE = rf"(?<![0-9A-Za-z])(?:{NORTH_AMERICAN}|\+[1-9][0-9]{{0,2}}(?:[ .\-]?\([0-9]{{1,4}}\)|[ .\-]?[0-9]{{1,5}}/(?=[0-9]))?(?:[ .\-]?[0-9]){{3,14}})(?![0-9])"
 IPV4 = r"(?<![0-9A-Za-z.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])"
-DATE = r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z])"
+DATE = r"(?<![0-9A-Za-z])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-SU-Za-z]|T(?![0-9]))"
 SSN = r"(?<![0-9A-Za-z\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z\-])"
-#: Groups of digits that may hold cards between others, with one kind of grouping mark throughout.
-CARD = r"(?<![0-9A-Za-z])(?:[0-9](?: ?[0-9]){12,399}|[0-9](?:-?[0-9]){12,399})(?![0-9A-Za-z]|[\-./:][0-9])"
+#: Marks between the groups of a card: a space or two, a no-break space, a hyphen, a dot.
+MARKS = (" ", "  ", "\u00a0", "-", r"\.")
+ENDS = "(?![0-9A-Za-z])"
+#: Four groups of four or more, the last perhaps of three, but for a group that begins a card of three groups; or such a card.
+_GROUPED = "|".join(rf"[0-9]{{4}}(?:{m}[0-9]{{4}}{ENDS}(?!{m}[0-9]{{6}}{m}[0-9]{{4,5}}{ENDS})){{3,}}+(?:{m}[0-9]{{3}}{ENDS})?+|[0-9]{{4}}{m}[0-9]{{6}}{m}[0-9]{{4,5}}" for m in MARKS)
+CARD = rf"(?<![0-9A-Za-z])(?:{_GROUPED}|(?<![0-9][.,])[0-9]{{13,19}}){ENDS}"
 CARD_DIGITS = (13, 19)
 #: In order of preference at one place in the text.
 KINDS = {"email": EMAIL, "secret": SECRET, "phone": PHONE, "ipv4": IPV4, "date": DATE, "ssn": SSN, "card": CARD}
@@ -176,24 +181,34 @@ def _card(m: Column, key: str) -> Column:
         return _let(permuted_text(F.substring(digits, F.lit(1), F.length(digits) - 1), key, "card"), lambda body: checked(shape, body))
 
     def among(groups: Column) -> Column:
-        """The groups of ``m`` from the left, each longest run of them that is a card moved."""
-        mark, n = F.substring(F.regexp_replace(m, "[0-9]", ""), 1, 1), F.size(groups)
+        """A row of groups with the cards in it moved: from the left, 19 digits before 16."""
+        n = F.size(groups)
 
-        def step(s: Column, i: Column) -> Column:
-            def run(j: Column) -> Column:
-                return F.slice(groups, i + 1, j - i + 1)
+        def run(i: Column, k: int) -> Column:
+            return F.array_join(F.slice(groups, i + 1, F.lit(k)), "")
 
-            ends = F.filter(F.sequence(i, F.least(i + CARD_DIGITS[1] - 1, n - 1)), lambda j: _let(F.array_join(run(j), ""), _valid_card))
+        def code(g: Column, i: Column) -> Column:
+            long = (i + 5 == n) & (F.length(F.get(groups, n - 1)) == 3)
+            four = (i + 4 <= n) & (F.length(F.get(groups, i + 3)) == 4)
+            return F.when(long & _let(run(i, 5), _valid_card), "5").when(four & _let(run(i, 4), _valid_card), "4").otherwise("0")
 
-            def placed(end: Column) -> Column:
-                new = F.when(end.isNull(), F.get(groups, i)).otherwise(moved(F.call_function("array_join", run(F.coalesce(end, i)), mark), F.array_join(run(F.coalesce(end, i)), "")))
-                return F.struct(F.concat(s["out"], F.when(i > 0, mark).otherwise(""), new).alias("out"), (F.coalesce(end, i) + 1).alias("next"))
+        # each letter says how many groups a card there has; matching from left to right takes those that don't overlap
+        taken = F.regexp_extract_all(F.array_join(F.transform(groups, code), ""), F.lit("5....|4...|."), F.lit(0))
+        flags = F.regexp_extract_all(F.array_join(F.transform(taken, lambda t: F.concat(F.substring(t, 1, 1), F.repeat(F.lit("x"), F.length(t) - 1))), ""), F.lit("."), F.lit(0))
+        mark = F.regexp_extract(m, "[0-9]([^0-9]+)", 1)
 
-            return F.when(i < s["next"], s).otherwise(_let(F.array_max(ends), placed))
+        def placed(fs: Column) -> Column:
+            def one(g: Column, i: Column) -> Column:
+                def card(k: int) -> Column:
+                    return moved(F.call_function("array_join", F.slice(groups, i + 1, F.lit(k)), mark), run(i, k))
 
-        return F.aggregate(F.sequence(F.lit(0), n - 1), F.struct(F.lit("").alias("out"), F.lit(0).alias("next")), step, lambda s: s["out"])
+                return F.when(F.get(fs, i) == "0", g).when(F.get(fs, i) == "4", card(4)).when(F.get(fs, i) == "5", card(5))
 
-    return _let(_digits(m), lambda digits: F.when(_valid_card(digits), moved(m, digits)).when(F.length(digits) == F.length(m), m).otherwise(_let(F.split(m, "[ -]"), among)))
+            return F.call_function("array_join", F.filter(F.transform(groups, one), lambda g: g.isNotNull()), mark)
+
+        return _let(flags, placed)
+
+    return _let(_digits(m), lambda digits: F.when(_valid_card(digits), moved(m, digits)).when(F.length(digits) <= CARD_DIGITS[0], m).when(F.length(digits) == F.length(m), m).otherwise(_let(F.split(m, "[^0-9]+"), among)))
 
 
 def _ipv4(m: Column, key: str) -> Column:
