@@ -816,6 +816,66 @@ def test_extraction_lets_the_host_overrule_a_page(spark):
     assert rows[9].text == "T short but right" and rows[10].text == ITEM.strip() and rows[9]._html == rows[9]._host == "clash"
 
 
+PARAGRAPHS = ["The first paragraph of the article tells at some length what it is about.", "The second one goes on & on, with a link or two in it.", "The last paragraph ends the article as it should be ended."]
+ARTICLE = "<h1>The Title</h1>" + "".join(f"<p>{p.replace('&', '&amp;')}</p>" for p in PARAGRAPHS)
+ARTICLE_TEXT = " ".join(["The Title", *PARAGRAPHS])
+MENU = '<nav><ul><li><a href="/">Home</a></li><li><a href="/b">About us and more</a></li></ul></nav>'
+TALK = "".join(f'<div class="entry"><b>user{k}</b><p>A remark of a reader, number {k}, which is rather long.</p></div>' for k in range(4))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<!doctype html><title>x</title>" + ARTICLE,
+        "<html><head><title>x</title></head>" + ARTICLE + "</html>",
+        "<title>x</title>" + ARTICLE,
+        '<body><a name="top">' + MENU + "<div>" + ARTICLE + "</div>",
+        '<body><div><a name="top">' + ARTICLE + '</div><p><a href="x">top</a></p></body>',
+        '<body>' + MENU + '<a href="/x"><div>' + ARTICLE + "</div></a></body>",
+        '<body><a href="/x"><article>' + ARTICLE + "</article></a></body>",
+        '<body><div><svg class="icon"/>' + ARTICLE + "</div></body>",
+        '<body><div><svg><path d="M0"/>' + ARTICLE + "</div></body>",
+        '<body><article>' + ARTICLE + '<section id="discussion">' + TALK + "</section></article></body>",
+        '<body><article>' + ARTICLE + '<div class="reactions-list"><ol>' + "".join(f"<li>Reader {k} says that it is so.</li>" for k in range(5)) + "</ol></div></article></body>",
+        '<body><div>' + ARTICLE + '</div><div class="cards">' + "".join(f'<a href="/{k}"><div><p>Another story, number {k}, to be read next.</p></div></a>' for k in range(3)) + "</div></body>",
+    ],
+)
+@pytest.mark.parametrize("voted", [None, "body>article", ""])
+def test_extraction_loses_no_article(page, voted):
+    text = extract.main_text(page, voted)
+    # loose anchors after an article are text of the page that no mark tells apart
+    assert text.removesuffix(" top") == ARTICLE_TEXT or (voted == "" and ARTICLE_TEXT in text)
+
+
+def test_extraction_keeps_a_chapter_of_discussion():
+    page = "<body><article><h1>The Title</h1><p>Results are given in full and at length.</p><section class='discussion'><h2>Discussion</h2><p>They are discussed in two paragraphs.</p><p>This is the second of them.</p></section></article>"
+    assert extract.main_text(page, None).endswith("This is the second of them.")
+
+
+@pytest.mark.parametrize("wrong", ["<svg " * 200_000, "<svg>" * 200_000, "<template>" * 100_000, "<a href=x>" * 100_000, "<a><p>x</a>" * 60_000])
+def test_extraction_of_open_elements_is_linear(wrong):
+    began = time.perf_counter()
+    extract.main_text(wrong, None)
+    assert time.perf_counter() - began < 10
+
+
+def test_extraction_of_random_templates(spark):
+    """Pages of random templates, several a host, give back the paragraphs that were put in."""
+    rng, rows, want = random.Random(11), [], {}
+    for host in range(12):
+        wrap = rng.choice(["{}", "<main>{}</main>", '<div class="content">{}</div>', "<article>{}</article>", '<div id="page"><div class="text">{}</div></div>'])
+        before = rng.choice(["", MENU, '<header><a href="/">Site</a></header>' + MENU, '<a name="top">'])
+        after = rng.choice(["", "<footer>All rights reserved</footer>", '<div class="comments">' + TALK + "</div>", '<aside><p>Related things to read on this site.</p></aside>', "<svg/>"])
+        head = rng.choice(["<html><head><title>t</title></head><body>", "<!doctype html><title>t</title>", "<body>"])
+        for k in range(4):
+            words = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randrange(12, 40))) + "." for _ in range(rng.randrange(2, 6))]
+            key = host * 10 + k
+            rows.append((key, f"https://h{host}.example.org/{k}", head + before + wrap.format(f"<h1>Title {key}</h1>" + "".join(f"<p>{w}" + rng.choice(["</p>", ""]) for w in words)) + after))
+            want[key] = " ".join([f"Title {key}", *words])
+    got = {r.page_id: r.text for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: (got[k], dict((r[0], r[2]) for r in rows)[k]) for k in want if got[k] != want[k]} == {}
+
+
 @pytest.mark.parametrize("text", ['<a "' * 250_000, "<a '" * 250_000 + ">", "<" * 10**6, "<!" * 500_000, "<script " * 120_000, "<p>" * 100_000, '<p class="' * 100_000 + '">x', "</div>" * 100_000, "<div>" * 100_000 + "</p>" * 100_000, "<div class='a'>x" * 60_000])
 def test_extraction_time_is_linear(text):
     start = time.perf_counter()

@@ -14,7 +14,9 @@ related links by class, id or role: by whole names, not by parts of layout modif
 ``has-sidebar``, and never the body, main or article element itself, nor an element that wraps the
 article (a form around the whole page, a header with the article's title in it). Character references are decoded; white space in a block,
 line breaks included, becomes one space; blocks are joined by one space in page order. Markup that
-isn't closed is closed where HTML does so.
+isn't closed is closed where HTML does so; a link counts as one where it is closed, and no link that holds most of the
+page's text does; drawings may close themselves.
+A discussion that holds several entries of one kind is reader comments, one that doesn't is a chapter of the article.
 
 Defined results: null or empty html gives an empty text and no vote; a page without text gives an
 empty text; pages of any length are read whole, in time that grows with them; pages whose url has no host
@@ -44,6 +46,8 @@ BROADCAST_HOSTS = 100_000
 
 #: Elements whose content is no markup and no text of the page.
 RAW = re.compile(r"(script|style|noscript|template|textarea|svg|iframe|title)(?=[\s/>])", re.I)
+#: Of these, those that hold markup, so that without an end only their tag is skipped.
+WITHOUT_END = frozenset(("svg", "noscript", "template"))
 RAW_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style noscript template textarea svg iframe title".split()}
 NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 QUOTE_OR_END = re.compile(r"[>\"']")
@@ -55,6 +59,8 @@ LEFT_OUT = frozenset("nav header footer aside form fieldset menu select option b
 MARKS = re.compile(r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|newsletter|subscribe|signup|comments?|replies|respond|disqus|sidebar|side|widget|menu|nav\w*|breadcrumbs?|footer|header|share|sharing|social|related|recommended|pagination|pager|toolbar|search|contentinfo|complementary|navigation)", re.I)
 #: Parts that a marking name may have besides its mark: ``comment-list`` is furniture, ``with-nav`` and ``has-sidebar`` aren't.
 PLAIN = re.compile(r"(?:main|site|page|post|top|bottom|left|right|primary|secondary|global|sub|article|entry|author|block|area|box|bar|wrap|wrapper|container|content|section|list|item|items|inner|outer|links?|buttons?|form|title|text|body|group|row|unit|slot|panel|posts|articles|stories|thread|div|gpt|google|\d+)", re.I)
+#: Names of what holds reader comments if it holds several entries of one kind.
+TALK = re.compile(r"(?:discussions?|threads?|conversations?|reactions?|feedback|guestbook|remarks|opinions)", re.I)
 #: Elements that hold the page or the article, whatever they're called.
 NEVER_OUT = frozenset("html body main article".split())
 NEVER_WRAPS = frozenset("nav footer menu select option button dialog head".split())
@@ -64,10 +70,10 @@ SPACES = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("step", "key", "tag", "parent", "marked", "out", "score")
+    __slots__ = ("step", "key", "tag", "parent", "marked", "talk", "out", "score")
 
-    def __init__(self, step: str, key: int, tag: str, parent: int, marked: bool):
-        self.step, self.key, self.tag, self.parent, self.marked, self.out, self.score = step, key, tag, parent, marked, False, 0.0
+    def __init__(self, step: str, key: int, tag: str, parent: int, marked: bool, talk: bool = False):
+        self.step, self.key, self.tag, self.parent, self.marked, self.talk, self.out, self.score = step, key, tag, parent, marked, talk, False, 0.0
 
 
 def _key(above: int, step: str) -> int:
@@ -76,8 +82,8 @@ def _key(above: int, step: str) -> int:
 
 
 def path_key(path: str) -> int:
-    key = 0
-    for step in path.split(">"):
+    key = 0  # the root's, whose path is empty
+    for step in path.split(">") if path else ():
         key = _key(key, step)
     return key
 
@@ -97,6 +103,7 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
     longer count, and once there is no ``>``, there are no more tags.
     """
     at, size, quotes = 0, len(page), True
+    ended: dict[str, re.Match | None] = {}  # None once an element has no further end
     while (start := page.find("<", at)) >= 0:
         at = start + 1
         if page.startswith("<!--", start):
@@ -123,8 +130,12 @@ def tokens(page: str) -> Iterator[tuple[int, int, str, str, str]]:
                 return
         at = end + 1
         if raw:
-            close = RAW_ENDS[raw[1].lower()].search(page, at)
-            at = close.end() if close else size
+            kind = raw[1].lower()
+            if not (kind == "svg" and page[end - 1] == "/"):
+                if kind not in ended or ended[kind] is not None:
+                    ended[kind] = RAW_ENDS[kind].search(page, at)
+                close = ended[kind]
+                at = close.end() if close else at if kind in WITHOUT_END else size
             yield start, at, "", "", ""
         elif name:
             yield start, at, name[1], name[2].lower(), page[name.end() : end]
@@ -143,9 +154,20 @@ def _marks(value: str) -> bool:
     return False
 
 
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """The generalised step of an element, and whether its marks say that it isn't article text."""
-    step, out = tag, False
+@functools.lru_cache(10_000)
+def _talks(value: str) -> bool:
+    """Whether a name in ``value`` says that an element may hold comments: all its parts are such names or plain, one is such."""
+    for name in value.split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        talk = [bool(TALK.fullmatch(p)) for p in parts]
+        if any(talk) and all(t or PLAIN.fullmatch(p) for t, p in zip(talk, parts, strict=True)):
+            return True
+    return False
+
+
+def _named(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The generalised step of an element, whether its marks say that it isn't article text, and whether it may hold comments."""
+    step, out, talk = tag, False, False
     if attributes and not attributes.isspace():
         for name, a, b, c in ATTRIBUTE.findall(attributes):
             value = a or b or c
@@ -153,18 +175,22 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
                 kinds = sorted({re.sub(r"[\d>]+", "", k) for k in value.lower().split()} - {""})
                 step += "".join("." + k for k in kinds)
             out = out or (tag not in NEVER_OUT and _marks(value))
-    return step, out
+            talk = talk or (tag not in NEVER_OUT and _talks(value))
+    return step, out, talk
 
 
 def blocks(page: str | None) -> tuple[list[Element], list[tuple[int, str, int]]]:
     """(elements, blocks): blocks are (element, text, characters of it in links) in page order."""
     elements, opened = [Element("", 0, "", -1, False)], Counter()
     found: list[tuple[int, str, int]] = []
-    now, parts, linked, in_link = 0, [], 0, False
+    now, parts, linked = 0, [], 0
+    pending, link_from = 0, None  # characters since a link opened in this block, and how many blocks were there when it did
+    wide: list[tuple[int, int]] = []  # links over whole blocks
     page = page or ""
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, pending
+        pending = 0  # a link over several blocks is looked at when it ends
         if parts:
             text = SPACES.sub(" ", htmllib.unescape("".join(parts))).strip()
             if text:
@@ -177,8 +203,7 @@ def blocks(page: str | None) -> tuple[list[Element], list[tuple[int, str, int]]]
         if start > at:
             piece = page[at:start]
             parts.append(piece)
-            if in_link:
-                linked += len(piece)
+            pending += len(piece)
         at = end
         if not tag:
             continue
@@ -186,7 +211,13 @@ def blocks(page: str | None) -> tuple[list[Element], list[tuple[int, str, int]]]
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                in_link = not slash
+                if slash and link_from is not None:
+                    if link_from == len(found):
+                        linked += pending
+                    else:
+                        flush()
+                        wide.append((link_from, len(found)))
+                pending, link_from = 0, None if slash else len(found)
             continue
         flush()
         if slash:
@@ -203,15 +234,19 @@ def blocks(page: str | None) -> tuple[list[Element], list[tuple[int, str, int]]]
         while elements[now].tag == "p" or elements[now].tag in CLOSES.get(tag, ()):
             opened[elements[now].tag] -= 1
             now = elements[now].parent
-        step, marked = _named(tag, attributes)
+        step, marked, talk = _named(tag, attributes)
         step = "body" if tag == "body" else step
         key = _key(0 if tag in ("html", "body") else elements[now].key, step)
-        elements.append(Element(step, key, tag, now, marked or tag in LEFT_OUT))
+        elements.append(Element(step, key, tag, now, marked or tag in LEFT_OUT, talk))
         opened[tag] += 1
         now = len(elements) - 1
     if at < len(page):
         parts.append(page[at:])
     flush()
+    total = sum(len(text) for _, text, _ in found)
+    for a, b in wide:
+        if 2 * sum(len(text) for _, text, _ in found[a:b]) <= total:
+            found[a:b] = [(k, text, len(text)) for k, text, _ in found[a:b]]
     _leave_out(elements, found)
     return elements, found
 
@@ -233,6 +268,14 @@ def _leave_out(elements: list[Element], found: list[tuple[int, str, int]]) -> No
         own = e.tag in HEADINGS
         heads[e.parent] |= heads[k] or own
         holds[e.parent] |= holds[k] or e.tag in ("h1", "main")
+    entries: dict[int, Counter] = {}
+    for e in elements[1:]:
+        above = elements[e.parent]
+        for k in (e.parent, above.parent):
+            if k > 0 and elements[k].talk and ("." in e.step or e.tag in ("li", "article")):
+                entries.setdefault(k, Counter())[e.step] += 1
+    for k, kinds in entries.items():
+        elements[k].marked |= max(kinds.values()) > 1
     for k in range(1, len(elements)):
         e = elements[k]
         wraps = (holds[k] or e.tag in ("form", "fieldset")) and 2 * prose[k] > prose[0] and e.tag not in NEVER_WRAPS
