@@ -104,26 +104,34 @@ def pagerank_by_group(edges: DataFrame, group: str = "label", alpha: float = 0.8
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 120, tolerance: float = 1e-6, every: int = 10, in_task: int = 1_000_000) -> DataFrame:
     """(node, rank) of one undirected weighted graph of any size.
 
-    A graph of at most ``in_task`` edges is ranked in a task, a larger one by joins and sums, with the ranks staged
-    every few rounds. It stops when ranks change by less than ``tolerance`` a node, in the joins since they were
+    A graph of at most ``in_task`` edges is ranked in a task, a larger one by joins and sums to the same rule, with the ranks staged
+    every few rounds. Weights are not negative; nodes whose edges all weigh 0 spread their rank over all nodes. It stops when ranks change by less than ``tolerance`` a node, in the joins since they were
     last staged; a round shrinks the change by ``alpha``, so that at the default values it always gets there.
     """
     edges = staged(edges.select("src", "dst", "weight"), "rank-edges")
     if edges.count() <= in_task:
         return pagerank_by_group(edges.withColumn("grp", F.lit(0)), "grp", alpha, rounds, tolerance).select("node", "rank")
     both = edges.union(edges.filter("src <> dst").select("dst", "src", "weight"))
-    out = both.groupBy("src").agg(F.sum("weight").alias("total"))
+    nodes = staged(both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("total")), "rank-nodes")
+    out = nodes.filter("total > 0").withColumnRenamed("node", "src")
     share = staged(both.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")), "rank-shares")
-    nodes = staged(share.select(F.col("src").alias("node")).distinct(), "rank-nodes")
-    n = nodes.count()
-    rank = before = staged(nodes.withColumn("rank", F.lit(1.0 / n)), "ranks")
+    n, n_loose = nodes.agg(F.count("*"), F.count(F.when(F.col("total") <= 0, 1))).first()
+    if not n:
+        return nodes.select("node", F.col("total").cast("double").alias("rank"))
+    loose, rank = 1.0 / n, staged(nodes.select("node", F.lit(1.0 / n).alias("rank")), "ranks")
+    before = rank
     for k in range(1, rounds + 1):
         moved = share.join(rank, share["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("sum"))
-        rank = nodes.join(moved, nodes["node"] == moved["dst"], "left").select("node", (alpha * F.coalesce("sum", F.lit(0.0)) + (1 - alpha) / n).alias("rank"))
+        # nodes without weight have all the same rank: a number that needs no job
+        spare = n_loose * loose / n
+        loose = alpha * spare + (1 - alpha) / n
+        got = F.coalesce("sum", F.lit(0.0)) + spare
+        rank = nodes.join(moved, nodes["node"] == moved["dst"], "left")
+        rank = rank.select("node", (alpha * got + (1 - alpha) / n).alias("rank"))
         if k % every and k < rounds:
             continue
         rank = staged(rank, "ranks")
-        change = rank.join(before.withColumnRenamed("rank", "old"), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        change = rank.join(before.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         dropped(before)
         before = rank
         if change < n * tolerance:
@@ -131,6 +139,51 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 120, tolerance
     return rank
 
 
+def cells(nodes: DataFrame, threshold: float, id_col: str = "vec_id", embedding: str = "embedding", recall: float = 0.95, size: int = 200, most_tables: int = 64, seed: int = 7) -> DataFrame:
+    """(cell, id, v): each vector in one cell of each table of random hyperplanes, so that a pair at ``threshold`` shares a cell with a chance of ``recall`` at least.
+
+    A table's hyperplanes are as many as make cells of about ``size`` vectors, but not so many that ``most_tables`` tables couldn't reach the recall.
+    Vectors without a direction have no cell.
+    """
+    import math
+
+    import numpy as np
+
+    rows = nodes.select(F.col(id_col).alias("id"), F.col(embedding).alias("v")).filter(num.finite_vector(F.col("v")) & (num.norm(F.col("v")) > 0))
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    same_side = 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    bits = max(1, min(30, math.ceil(math.log2(max(2, n / size)))))
+    tables = lambda b: 1 if same_side >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - same_side**b))
+    while bits > 1 and tables(bits) > most_tables:
+        bits -= 1
+    n_tables, width = tables(bits), width or 1
+    planes = np.random.default_rng(seed).normal(size=(width, n_tables * bits)).astype(np.float32)
+    powers = (1 << np.arange(bits)).astype(np.int64)
+
+    @F.pandas_udf("array<long>")
+    def codes(vectors: pd.Series) -> pd.Series:
+        sides = (np.array(vectors.tolist(), dtype=np.float32).reshape(len(vectors), -1) @ planes > 0).reshape(len(vectors), n_tables, bits)
+        return pd.Series(list(sides @ powers + (np.arange(n_tables, dtype=np.int64) << 32)))
+
+    return rows.withColumn("cell", F.explode(codes("v"))).select("cell", "id", "v")
+
+
+def near_pairs(nodes: DataFrame, threshold: float, id_col: str = "vec_id", embedding: str = "embedding", recall: float = 0.95, block: int = 256) -> DataFrame:
+    """(a, b, similarity) of vectors with cosine above ``threshold``, by ``cells``; exact within them, to 4 places.
+
+    Equal vectors are one: only the least id of each enters the cells and pairs, and its copies are its pairs with similarity 1.
+    A pair at the threshold is found with a chance of ``recall``, a nearer one with a higher; ``cross_group_pairs`` finds all, by looking at all.
+    """
+    key = F.sha2(F.to_json(F.struct(embedding)), 256)
+    named = nodes.select(F.col(id_col).alias("id"), F.col(embedding).alias("v"), key.alias("key")).filter(num.finite_vector(F.col("v")) & (num.norm(F.col("v")) > 0))
+    firsts = staged(named.groupBy("key").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v")), "vector-classes")
+    found = similarity_edges(cells(firsts, threshold, "first", "v", recall), threshold, group="cell", id_col="id", embedding="v", block=block, unit=False)
+    pairs = found.groupBy(F.col("src").alias("a"), F.col("dst").alias("b")).agg(F.round(F.max("weight"), 4).alias("similarity"))
+    repeated = firsts.filter("copies > 1").select("key", "first")
+    copies = named.join(repeated, "key").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    return pairs.unionByName(copies)
+
+
 def min_max(rows: DataFrame, value: str, group: str, to: str = "normalised") -> DataFrame:
     """Values of a group stretched to 0..1; equal values give 1."""
     w = W.partitionBy(group)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import gain, text as tx
-from weftline.operators import outline, postings, reingest, semantic, skeleton, stages, tfidf
+from weftline.operators import graph, outline, postings, reingest, rules, semantic, skeleton, stages, tfidf
 from weftline.plans.base import query
 from weftline.plans.documents import QUESTION, SENTENCES
 from weftline.session import table
@@ -139,3 +139,41 @@ def page_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = F.concat(_inline_files("script", ".js"), _inline_files("style", ".css"))
     files = table(spark, sf_dir, "pages").select("page_id", F.explode(found).alias("f"))
     return outline.outlines(files.select(F.concat_ws("/", F.col("page_id").cast("string"), "f.name").alias("path"), "f.code"))
+
+
+#: Rules for the outputs of three kinds of commands, as a user would write them.
+RULES = r"""
+[filters.english]
+match_command = "^EN$"
+strip_lines_matching = ["^The ", "[0-9]{3}"]
+truncate_lines_at = 80
+max_lines = 6
+on_empty = "nothing left"
+[filters.german]
+match_command = "de|at"
+keep_lines_matching = ["und", "der"]
+head_lines = 5
+tail_lines = 3
+on_empty = "nichts"
+[filters.broken]
+match_command = "(fr"
+"""
+_LINES = "string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))"
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, lang, CASE WHEN text = '' THEN [] ELSE {_LINES} END AS x FROM documents),
+f AS (SELECT doc_id, lang, CASE WHEN lang = 'en' THEN list_transform(list_filter(x, lambda y: NOT regexp_matches(y, '^The |[0-9]{{3}}')), lambda y: substr(y, 1, 80)) WHEN lang = 'de' THEN list_filter(x, lambda y: regexp_matches(y, 'und|der'))[1:5] END AS x FROM l),
+g AS (SELECT doc_id, lang, CASE WHEN lang = 'en' AND len(x) > 6 THEN list_concat(x[1:3], ['... (' || (len(x) - 6) || ' lines omitted) ...'], x[-3:]) WHEN lang = 'de' AND len(x) > 3 THEN x[-3:] ELSE x END AS x FROM f),
+h AS (SELECT doc_id, lang, array_to_string(x, chr(10)) AS t FROM g)
+SELECT doc_id, CASE lang WHEN 'en' THEN 'english' WHEN 'de' THEN 'german' END AS rule, CASE WHEN lang IN ('en', 'de') THEN CASE WHEN regexp_full_match(t, '\s*') THEN CASE lang WHEN 'en' THEN 'nothing left' ELSE 'nichts' END ELSE t END END AS filtered FROM h""")
+def rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as the output of a command named by its language, through the first rule for it."""
+    return rules.RuleSet.parse(RULES).applied(_docs(spark, sf_dir), command="lang").select("doc_id", "rule", "filtered")
+
+
+@query()
+def near_document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of documents whose hashed vectors are nearly alike, by cells of hyperplanes."""
+    vectors = skeleton.embed(_docs(spark, sf_dir).filter("text is not null").select("doc_id", "text"))
+    return graph.near_pairs(vectors.select("doc_id", "embedding"), 0.97, "doc_id")

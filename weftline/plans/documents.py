@@ -209,7 +209,13 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.chunk_documents(_docs(spark, sf_dir), budget=128)
 
 
-@query()
+@query(f"""
+WITH d AS (SELECT doc_id, {SENTENCES} AS ss FROM documents), u AS (SELECT doc_id, ss, len(ss) AS n, unnest(ss) AS s, generate_subscripts(ss, 1) - 1 AS i FROM d WHERE len(ss) > 0),
+w AS (SELECT *, len(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '')) AS words FROM u),
+c AS (SELECT doc_id, ss, n, i, CAST(floor(words * 1.3) AS BIGINT) AS t, -(1 - 0.15::DOUBLE * i / n + CASE WHEN words BETWEEN 6 AND 40 THEN 0.2::DOUBLE ELSE 0 END) AS less FROM w),
+l AS (SELECT doc_id, ss, n, list({{'t': t, 'i': i::BIGINT, 'used': 0::BIGINT, 'at': []::BIGINT[]}} ORDER BY less, i) AS xs FROM c GROUP BY doc_id, ss, n),
+r AS (SELECT doc_id, ss, n, list_reduce(xs, lambda a, x: CASE WHEN a.used + x.t <= 120 THEN {{'t': x.t, 'i': x.i, 'used': a.used + x.t, 'at': list_append(a.at, x.i)}} ELSE a END, {{'t': 0::BIGINT, 'i': 0::BIGINT, 'used': 0::BIGINT, 'at': []::BIGINT[]}}) AS a FROM l)
+SELECT d.doc_id AS id, CAST(len(d.ss) AS INT) AS sentences, CAST(coalesce(len(a.at), 0) AS INT) AS kept, CAST(coalesce(a.used, 0) AS INT) AS tokens, coalesce(array_to_string(list_transform(list_sort(a.at), lambda k: r.ss[k + 1]), ' '), '') AS text FROM d LEFT JOIN r USING (doc_id)""")
 def extractive_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.extractive(_docs(spark, sf_dir), 120)
 
@@ -255,7 +261,11 @@ def ingest_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connectors.valid(_docs(spark, sf_dir)).select("doc_id", "error")
 
 
-@query()
+@query("""
+WITH l AS (SELECT doc_id, text, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls, substr(ltrim(text), 1, 1) AS c FROM documents),
+f AS (SELECT *, len(ls) >= 2 AND len(list_filter(ls, lambda x: substr(ltrim(x), 1, 1) IN ('{', '[') AND json_valid(x))) = len(ls) AS jsonl, len(string_split(ls[1], ',')) AS width FROM l)
+SELECT doc_id, CASE WHEN jsonl THEN 'jsonl' WHEN c = '[' AND json_valid(text) THEN 'json_array' WHEN c = '{' AND json_valid(text) THEN 'json_object'
+       WHEN len(ls) >= 2 AND width >= 2 AND len(list_filter(ls, lambda x: len(string_split(x, ',')) = width)) = len(ls) AND NOT contains(text, '"') THEN 'csv' END AS kind FROM f""")
 def structured_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", connectors.structured_kind(F.col("text")).alias("kind"))
 
