@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from weftline.functions import gain, text as tx
-from weftline.operators import graph, outline, postings, reingest, rules, semantic, skeleton, stages, tfidf
+from weftline.operators import graph, outline, postings, reingest, rules, semantic, skeleton, stages, symbols, tfidf
 from weftline.plans.base import query
 from weftline.plans.documents import QUESTION, SENTENCES
 from weftline.session import table
@@ -177,3 +177,33 @@ def near_document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose hashed vectors are nearly alike, by cells of hyperplanes."""
     vectors = skeleton.embed(_docs(spark, sf_dir).filter("text is not null").select("doc_id", "text"))
     return graph.near_pairs(vectors.select("doc_id", "embedding"), 0.97, "doc_id")
+
+
+#: Rounds and chance to go on of the walk over mentions; the rounds are fixed so that SQL gives the same ranks.
+WALK_ROUNDS, WALK_ON = 8, 0.5
+ASKED = [w for w in QUESTION.split() if len(w) > 3]
+_MENTIONS = rf"""
+l AS (SELECT doc_id, generate_subscripts(x, 1) - 1 AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL)),
+y AS (SELECT doc_id, pos, w[1] AS short, list_distinct(w[2:]) AS calls, len(list_intersect(w, {ASKED}))::DOUBLE AS asked FROM (SELECT doc_id, pos, regexp_extract_all(lower(line), '[a-z]{{4,}}') AS w FROM l)),
+e AS (SELECT doc_id, pos, short, false AS c FROM y WHERE short IS NOT NULL UNION ALL SELECT doc_id, pos, unnest(calls), true FROM y),
+k AS (SELECT short, count(*) FILTER (NOT c) AS d, count(*) FILTER (c) AS u FROM e GROUP BY short HAVING count(*) FILTER (NOT c) > 0 AND count(*) FILTER (c) > 0),
+links AS MATERIALIZED (SELECT doc_id, pos, short, c, CASE WHEN c THEN d ELSE u END AS n FROM e JOIN k USING (short)),
+t AS (SELECT doc_id, pos, sum(n) AS n FROM links GROUP BY doc_id, pos),
+nodes AS MATERIALIZED (SELECT doc_id, pos, own, coalesce(n, 0) - CASE WHEN own THEN 2 ELSE 0 END AS total, asked / sum(asked) OVER () AS p FROM (SELECT *, coalesce(list_contains(calls, short), false) AS own FROM y) LEFT JOIN t USING (doc_id, pos)),
+r0 AS (SELECT doc_id, pos, own, total, p, p AS rank FROM nodes)"""
+_ROUND = """
+s{k} AS (SELECT short, coalesce(sum(rank / total) FILTER (c), 0) AS called, coalesce(sum(rank / total) FILTER (NOT c), 0) AS defined FROM links JOIN r{j} USING (doc_id, pos) WHERE total > 0 GROUP BY short),
+g{k} AS (SELECT doc_id, pos, sum(CASE WHEN c THEN defined ELSE called END) AS x FROM links JOIN s{k} USING (short) GROUP BY doc_id, pos),
+r{k} AS MATERIALIZED (SELECT doc_id, pos, own, total, p, {on} * CASE WHEN total > 0 THEN coalesce(x, 0) - CASE WHEN own THEN 2 * rank / total ELSE 0 END ELSE 0 END
+    + ({on} * coalesce((SELECT sum(rank) FROM r{j} WHERE total <= 0), 0) + 1 - {on}) * p AS rank FROM r{j} LEFT JOIN g{k} USING (doc_id, pos))"""
+
+
+@query(f"WITH {_MENTIONS}, {','.join(_ROUND.format(k=k, j=k - 1, on=f'{WALK_ON}::DOUBLE') for k in range(1, WALK_ROUNDS + 1))} SELECT doc_id || '::' || pos AS id, round(rank, 9) AS rank FROM r{WALK_ROUNDS}")
+def mention_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as symbols that their first word names and that mention others' names, ranked by a walk from the words of a question."""
+    lines = _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    words = F.regexp_extract_all(F.lower("line"), F.lit("[a-z]{4,}"), F.lit(0))
+    rows = lines.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("id"), words.alias("w"))
+    asked = rows.select("id", F.size(F.array_intersect("w", F.array(*[F.lit(w) for w in ASKED]))).alias("weight"))
+    graph_ = symbols.SymbolGraph.build(rows.select("id", F.get("w", F.lit(0)).alias("short"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("calls")))
+    return graph_.rank(asked, WALK_ON, WALK_ROUNDS, 0.0).withColumn("rank", F.round("rank", 9))
