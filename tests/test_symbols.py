@@ -60,7 +60,8 @@ def test_ranks_equal_dense(spark, seed, how):
     assert sum(found.values()) == pytest.approx(1)
 
 
-def test_no_weights_no_edges_and_empty(spark):
+def test_no_weights_no_edges_and_empty(spark, monkeypatch):
+    monkeypatch.setattr(symbols, "SMALL_NAMES", 0)  # names by exchange
     rows = drawn(3, 20)
     built = symbols.SymbolGraph.build(spark.createDataFrame(rows, SYMBOL))
     nothing = spark.createDataFrame([(rows[0][0], 0.0)], "id string, weight double")

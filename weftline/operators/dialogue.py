@@ -84,14 +84,72 @@ def fidelity(relevance: Column) -> Column:
     return F.when(relevance >= 0.45, "FULL").when(relevance >= 0.25, "COMPRESSED").otherwise("PLACEHOLDER")
 
 
-def placeholder(role: Column, text: Column) -> Column:
-    return F.concat(F.lit("["), role, F.lit(": "), F.array_join(F.slice(tx.words(text), F.lit(1), F.lit(6)), " "), F.lit("...]"))
+#: Words that raise a sentence of a summary.
+WEIGHTY = ["critical", "important", "allergy", "severe", "warning", "must", "never"]
 
 
-def compressed(text: Column) -> Column:
-    """The first max(10, a third) tokens' worth of words."""
-    ws = tx.words(text)
-    return F.array_join(F.slice(ws, F.lit(1), F.greatest(F.lit(8), F.floor(F.size(ws) * 0.33).cast("int"))), " ")
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _cut(text: Column, length: Column) -> Column:
+    return F.when(F.length(text) > length, F.concat(F.substring(text, F.lit(1), length), F.lit("..."))).otherwise(text)
+
+
+def placeholder(role: Column, turn: Column, text: Column, most: int = 12) -> Column:
+    """A stub of about ``most`` tokens: role, turn and, where there is room, how the text begins."""
+    stub = F.concat(F.lit("["), role, F.lit(" turn "), turn.cast("string"), F.lit("]"))
+    left = F.lit(most) - tx.token_count(stub)
+    return F.when(left > 3, F.concat(stub, F.lit(" "), _cut(text, left * 4))).otherwise(stub)
+
+
+def summarised(text: Column, target: Column) -> Column:
+    """Sentences of most weight up to ``target`` tokens, in the order of the text; a null text is null.
+
+    Sentences of about 15 tokens, early ones and those with ``WEIGHTY`` words go first, of equals the earlier; choosing ends at nine tenths
+    of the target. If none fits, the first is cut at four characters a token, and so are choices that are over the target together.
+    """
+    parts = F.filter(F.transform(F.split(text, r"\. "), _stripped), lambda s: s != "")
+    whole = F.transform(parts, lambda s: F.when(s.endswith("."), s).otherwise(F.concat(s, F.lit("."))))
+
+    def chosen(v: Column) -> Column:
+        ss, aim = v["ss"], v["aim"]
+
+        def weight(s: Column, i: Column) -> Column:
+            n, low = tx.token_count(s), F.lower(s)
+            heavy = F.lit(False)
+            for w in WEIGHTY:
+                heavy = heavy | F.contains(low, F.lit(w))
+            score = F.greatest(F.lit(0.1), 1.0 - F.abs(n - 15) / 30.0) * (1.0 - i / F.size(ss) * 0.3) * F.when(heavy, 1.2).otherwise(1.0)
+            return F.struct((-score).alias("less"), i.alias("i"), n.alias("n"))
+
+        start = F.struct(F.lit(0).alias("used"), F.lit(False).alias("full"), F.array().cast("array<int>").alias("at"))
+
+        def step(a: Column, x: Column) -> Column:
+            fits = ~a["full"] & (a["used"] + x["n"] <= aim)
+            used = a["used"] + F.when(fits, x["n"]).otherwise(0)
+            return F.struct(used.alias("used"), (a["full"] | (used >= aim * 0.9)).alias("full"), F.when(fits, F.array_append(a["at"], x["i"])).otherwise(a["at"]).alias("at"))
+
+        kept = F.aggregate(F.array_sort(F.transform(ss, weight)), start, step, lambda a: F.array_sort(a["at"]))
+        joined = tx.let(kept, lambda at: F.when(F.size(at) > 0, F.array_join(F.transform(at, lambda i: F.get(ss, i)), " ")))
+        over = tx.let(joined, lambda t: F.when(tx.token_count(t) > aim, F.concat(F.substring(t, F.lit(1), aim * 4), F.lit("..."))).otherwise(t))
+        return F.coalesce(over, _cut(F.get(ss, F.lit(0)), aim * 4))
+
+    said = tx.let(F.struct(whole.alias("ss"), target.alias("aim")), chosen)
+    return F.when(F.size(parts) == 0, F.substring(text, F.lit(1), target * 4)).otherwise(said)
+
+
+def compressed(role: Column, text: Column, ratio: float = 0.33) -> Column:
+    """A turn's summary of ``ratio`` of its tokens, ten at least, after its role."""
+    target = F.greatest(F.lit(10), F.floor(tx.token_count(text) * F.lit(ratio)).cast("int"))
+    return F.concat(F.lit("["), role, F.lit(" summarized]: "), summarised(text, target))
+
+
+def rendered(turns: DataFrame, packed: DataFrame, conv: str = "conv_id") -> DataFrame:
+    """(conv_id, turn, used_fidelity, shown): what each turn that ``pack`` kept looks like in the context; a turn's number is unique in its conversation."""
+    rows = turns.select(conv, "turn", "role", "text").join(packed.filter("used_fidelity <> 'DROPPED'").select(conv, "turn", "used_fidelity"), [conv, "turn"])
+    shown = F.when(F.col("used_fidelity") == "FULL", F.col("text")).when(F.col("used_fidelity") == "COMPRESSED", compressed(F.col("role"), F.col("text"))).otherwise(placeholder(F.col("role"), F.col("turn"), F.col("text")))
+    return rows.select(conv, "turn", "used_fidelity", shown.alias("shown"))
 
 
 def pack(turns: DataFrame, budget: int, conv: str = "conv_id") -> DataFrame:
@@ -100,7 +158,7 @@ def pack(turns: DataFrame, budget: int, conv: str = "conv_id") -> DataFrame:
     A fold over each conversation's turns in order; ``turns`` has role, text and fidelity.
     """
     body = F.col("text")
-    sizes = F.struct(tx.token_count(body).alias("full"), tx.token_count(compressed(body)).alias("mid"), tx.token_count(placeholder(F.col("role"), body)).alias("low"))
+    sizes = F.struct(tx.token_count(body).alias("full"), tx.token_count(compressed(F.col("role"), body)).alias("mid"), tx.token_count(placeholder(F.col("role"), F.col("turn"), body)).alias("low"))
     rows = turns.select(conv, "turn", "fidelity", sizes.alias("t"))
     grouped = rows.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct("turn", "fidelity", "t"))).alias("turns"))
     kind = "array<struct<turn:bigint,used_fidelity:string,tokens:int>>"

@@ -13,10 +13,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from weftline.functions import numbers as num
-from weftline.staging import dropped, staged
+from weftline.staging import bucketed, dropped, staged
 
 from .skeleton import embed
 
+#: Names whose sums may be broadcast to the links in a round (about 100 bytes each); of more, links are exchanged by name.
+SMALL_NAMES = 500_000
+
 
 def symbols(chunks: DataFrame, path: str = "path") -> DataFrame:
     """(id, path, name, short, calls, text) of the definitions of ``code.code_chunks``; ``short`` is the last part of a name.
@@ -34,6 +37,7 @@ def symbols(chunks: DataFrame, path: str = "path") -> DataFrame:
 class SymbolGraph:
     """Staged tables of a graph: ``nodes`` (id, total, own), ``links`` (id, short, calls) and ``likeness`` (src, dst, weight), both ways.
 
+    Links lie in buckets of their symbols: a round exchanges ranks and the sums of names, not the links, unless the ``names`` are too many.
     ``total`` is the weight of a symbol's edges: one a call in either direction, and its likeness to others; ``own`` tells that it
     calls its own name, which is no edge.
     """
@@ -41,6 +45,7 @@ class SymbolGraph:
     nodes: DataFrame
     links: DataFrame
     likeness: DataFrame | None
+    names: int
 
     @classmethod
     def build(cls, rows: DataFrame, likeness: DataFrame | None = None) -> SymbolGraph:
@@ -51,8 +56,9 @@ class SymbolGraph:
         used = rows.select("id", F.explode("calls").alias("short"), F.lit(True).alias("calls")).filter("short is not null")
         ends = made.unionByName(used)
         names = ends.groupBy("short").agg(F.count(F.when(~F.col("calls"), 1)).alias("definers"), F.count(F.when(F.col("calls"), 1)).alias("callers")).filter("definers > 0 and callers > 0")
+        names = staged(names, "symbol-names")
         sized = ends.join(names, "short").select("id", "short", "calls", F.when(F.col("calls"), F.col("definers")).otherwise(F.col("callers")).cast("double").alias("n"))
-        links = staged(sized, "symbol-links")
+        links = bucketed(sized, "symbol-links", "id")
         weights = links.select("id", F.col("n").alias("w"))
         both = None
         if likeness is not None:
@@ -64,8 +70,13 @@ class SymbolGraph:
         total = F.coalesce("w", F.lit(0.0)) - F.when(F.col("own"), 2.0).otherwise(0.0)
         nodes = rows.select("id", own.alias("own")).join(totals, "id", "left").select("id", "own", total.alias("total"))
         nodes = staged(nodes, "symbol-nodes")
-        dropped(rows)
-        return cls(nodes, links, both)
+        n_names = names.count()
+        dropped(rows, names)
+        return cls(nodes, links, both, n_names)
+
+    def close(self) -> None:
+        """Remove the graph's tables; ranks that were taken stay."""
+        dropped(self.nodes, self.links, *([] if self.likeness is None else [self.likeness]))
 
     def rank(self, restart: DataFrame | None = None, alpha: float = 0.85, rounds: int = 120, tolerance: float = 1e-6) -> DataFrame:
         """(id, rank): the walk follows an edge by its weight with chance ``alpha`` and restarts otherwise; ranks add up to 1.
@@ -93,6 +104,7 @@ class SymbolGraph:
         for _ in range(rounds):
             sent = state.filter("total > 0").select("id", (F.col("rank") / F.col("total")).alias("q"))
             through = self.links.join(sent, "id").groupBy("short").agg(F.sum(F.when(F.col("calls"), F.col("q"))).alias("called"), F.sum(F.when(~F.col("calls"), F.col("q"))).alias("defined"))
+            through = F.broadcast(through) if self.names <= SMALL_NAMES else through
             got = self.links.join(through, "short").select("id", F.when(F.col("calls"), F.col("defined")).otherwise(F.col("called")).alias("x"))
             if self.likeness is not None:
                 alike = self.likeness.join(sent.withColumnRenamed("id", "src"), "src")
@@ -107,6 +119,7 @@ class SymbolGraph:
             state = after
             if state.agg(F.sum("change")).first()[0] < n * tolerance:
                 break
+        dropped(places)
         return state.select("id", "rank")
 
 

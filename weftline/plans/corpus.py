@@ -206,4 +206,6 @@ def mention_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("pos").cast("string")).alias("id"), words.alias("w"))
     asked = rows.select("id", F.size(F.array_intersect("w", F.array(*[F.lit(w) for w in ASKED]))).alias("weight"))
     graph_ = symbols.SymbolGraph.build(rows.select("id", F.get("w", F.lit(0)).alias("short"), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))).alias("calls")))
-    return graph_.rank(asked, WALK_ON, WALK_ROUNDS, 0.0).withColumn("rank", F.round("rank", 9))
+    ranks = graph_.rank(asked, WALK_ON, WALK_ROUNDS, 0.0).withColumn("rank", F.round("rank", 9))
+    graph_.close()
+    return ranks

@@ -71,6 +71,22 @@ def packing_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
+def afm_rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.rendered(_turns(spark, sf_dir), afm_packing(spark, sf_dir))
+
+
+#: The summary of a text to 80 characters, as ``functions.text.summary`` has it.
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '`+', '', 'g'), '\*+|__', '', 'g'), '(?m)^#+\s*', '', 'g'), '(?m)^>\s*', '', 'g')"
+_SAID = r"list_filter(list_transform(regexp_split_to_array(regexp_replace(clean, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: length(s) >= 20)"
+
+
+@query(f"""
+WITH c AS (SELECT *, {_CLEAN} AS clean, sum(CASE WHEN role <> 'system' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations),
+f AS (SELECT *, coalesce({_SAID}[1], trim(clean)) AS first, '[' || role || '] ' || trim(text) AS line FROM c),
+s AS (SELECT *, CASE WHEN length(first) > 80 THEN '- ' || substr(first, 1, 80) || '...' ELSE '- ' || first END AS said, trim(text) <> '' AS filled FROM f)
+SELECT conv_id, coalesce(string_agg(line, chr(10) ORDER BY turn, line) FILTER (filled AND role = 'system'), '') AS system,
+    coalesce(string_agg(said, chr(10) ORDER BY turn, said) FILTER (filled AND role <> 'system' AND back > 2), '') AS older,
+    coalesce(string_agg(line, chr(10) ORDER BY turn, line) FILTER (filled AND role <> 'system' AND back <= 2), '') AS tail FROM s GROUP BY conv_id""")
 def history_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.compacted(_turns(spark, sf_dir), 2)
 

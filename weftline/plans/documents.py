@@ -126,7 +126,7 @@ def repeated_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def repeated_ngrams_2_20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All lengths that the reference takes; ``repeated_ngrams`` is the one that its SQL gives."""
+    """Runs of two to twenty words; their SQL takes two minutes on small tables, so the tests count them in plain Python."""
     return dedup.repeated_ngrams(_docs(spark, sf_dir), 2, 20)
 
 
@@ -230,7 +230,7 @@ def modulated_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skeleton.modulate(_docs(spark, sf_dir), "OUTLINE").select("doc_id", "rendered")
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE length(b.text) >= 24 AND contains(d.text, b.text)")
+@query("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("span"))
     return ql.span_gate(_docs(spark, sf_dir), spans)

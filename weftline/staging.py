@@ -56,10 +56,23 @@ def staged(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None) -> DataFrame:
+    """``df`` staged in ``buckets`` buckets of a key (as many as the session's shuffle partitions, if not given), so that joins and groups by it don't exchange this table again."""
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, title = scratch(spark, name), f"weftline_{uuid.uuid4().hex}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(title)
+    out = spark.table(title)
+    out.weftline_path, out.weftline_table = path, title
+    return out
+
+
 def dropped(*tables: DataFrame) -> None:
     """Remove staged tables that no later job reads: what was made of them is itself staged or done."""
     for df in tables:
-        path = getattr(df, "weftline_path", None)
+        path, title = getattr(df, "weftline_path", None), getattr(df, "weftline_table", None)
+        if title:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {title}")
         if path:
             where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
