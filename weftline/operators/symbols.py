@@ -57,7 +57,8 @@ class SymbolGraph:
         ends = made.unionByName(used)
         names = ends.groupBy("short").agg(F.count(F.when(~F.col("calls"), 1)).alias("definers"), F.count(F.when(F.col("calls"), 1)).alias("callers")).filter("definers > 0 and callers > 0")
         names = staged(names, "symbol-names")
-        sized = ends.join(names, "short").select("id", "short", "calls", F.when(F.col("calls"), F.col("definers")).otherwise(F.col("callers")).cast("double").alias("n"))
+        n_names = names.count()
+        sized = ends.join(F.broadcast(names) if n_names <= SMALL_NAMES else names, "short").select("id", "short", "calls", F.when(F.col("calls"), F.col("definers")).otherwise(F.col("callers")).cast("double").alias("n"))
         links = bucketed(sized, "symbol-links", "id")
         weights = links.select("id", F.col("n").alias("w"))
         both = None
@@ -70,7 +71,6 @@ class SymbolGraph:
         total = F.coalesce("w", F.lit(0.0)) - F.when(F.col("own"), 2.0).otherwise(0.0)
         nodes = rows.select("id", own.alias("own")).join(totals, "id", "left").select("id", "own", total.alias("total"))
         nodes = staged(nodes, "symbol-nodes")
-        n_names = names.count()
         dropped(rows, names)
         return cls(nodes, links, both, n_names)
 
