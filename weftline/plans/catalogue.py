@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftline.operators import skeleton
-from weftline.plans import analytics, corpus, dialogues, documents, services, vectors  # noqa: F401  they register queries
+from weftline.plans import analytics, assurance, corpus, dialogues, documents, services, vectors  # noqa: F401  they register queries
 from weftline.plans.base import QUERIES, SQL, Query
 from weftline.session import table
 
