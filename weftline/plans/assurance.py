@@ -1,4 +1,4 @@
-"""Queries that verify compression and read pages: contracts, composition, bundles, batches, excerpts."""
+"""Queries that verify compression and read pages: contracts, composition, bundles, batches, excerpts, hand-overs written and read back."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from weftline.operators import reading, verification as vf
 from weftline.plans.base import query
 from weftline.plans.documents import WORDS
 from weftline.session import table
+from weftline.sources import encoded
 
 #: A line's first sentence; lines of fewer words are no nodes.
 HEAD, LEAST_WORDS = r"^[^.!?]*[.!?]*", 5
@@ -31,7 +32,7 @@ def _operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "original_tokens": tx.token_count(F.col("document")),
     })
     level = F.when(F.col("original_tokens") < 50, "RAW").when(F.col("original_tokens") < 200, "DETAILED").when(F.col("original_tokens") < 600, "STRUCTURE").otherwise("OUTLINE")
-    return rows.select("doc_id", "document", F.col("source").alias("path"), level.alias("level"), "skeleton", "node_map", "original_tokens", tx.token_count(F.col("skeleton")).alias("skeleton_tokens"))
+    return rows.select("doc_id", "document", "lines", F.col("source").alias("path"), level.alias("level"), "skeleton", "node_map", "original_tokens", tx.token_count(F.col("skeleton")).alias("skeleton_tokens"))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -140,3 +141,20 @@ def page_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     title = F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1)
     rows = table(spark, sf_dir, "pages").select("page_id", reading.anchor_of(title).alias("anchor"), reading.markdown(F.col("html")).alias("text"))
     return rows.select("page_id", "anchor", reading.excerpt(F.col("text"), F.col("anchor"), EXCERPT_WORDS).alias("excerpt"))
+
+
+@query(rf"""
+WITH {OPERATIONS}
+SELECT doc_id, o::BIGINT AS tokens, round(o::DOUBLE / greatest(n, 1), 3) AS ratio, sha256(skeleton) AS skeleton_sha256, sha256(coalesce(document, '')) AS replay_sha256, len(lines)::INT AS results,
+       sha256(array_to_string(list_transform(lines, lambda x: x.id || ' ' || x.head), chr(10))) AS results_sha256 FROM c""")
+def bundle_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's hand-over, with all its text and lines, written as text and read back; the figures are of what was read."""
+    rows = _operations(spark, sf_dir)
+    ratio = F.col("original_tokens") / F.greatest("skeleton_tokens", F.lit(1))
+    results = F.transform("lines", lambda x: F.struct(x["id"].alias("node_id"), F.lit(None).cast("double").alias("similarity"), F.lit(None).cast("double").alias("importance"), x["head"].alias("summary")))
+    values = {"bundle_id": F.md5(F.col("doc_id").cast("string")), "doc_id": F.col("doc_id"), "skeleton_text": F.col("skeleton"), "skeleton_tokens": F.col("original_tokens"), "compression_ratio": ratio, "replay_text": F.col("document")}
+    read = rows.select("doc_id", encoded.bundle(values, results).alias("text")).select("doc_id", encoded.read_bundle(F.col("text")).alias("b"))
+    listed = F.array_join(F.transform("b.search_results", lambda r: F.concat(r["node_id"], F.lit(" "), r["summary"])), "\n")
+    return read.select(
+        F.col("b.doc_id").cast("long").alias("doc_id"), F.col("b.skeleton_tokens").alias("tokens"), F.col("b.compression_ratio").alias("ratio"), F.sha2("b.skeleton_text", 256).alias("skeleton_sha256"),
+        F.sha2("b.replay_text", 256).alias("replay_sha256"), F.size("b.search_results").alias("results"), F.sha2(listed, 256).alias("results_sha256"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from weftline.functions import text as tx
+from weftline.sources import encoded
 
 
 def _cell(df: DataFrame, c: str) -> Column:
@@ -27,10 +28,8 @@ def tabular(df: DataFrame, fields: list[str], name: str = "results", order: list
 
 
 def parsed_tabular(lines: DataFrame, fields: list[str]) -> DataFrame:
-    """Rows of ``tabular_rows`` read back as strings; commas after a backslash don't part cells."""
-    cells = F.split("value", r"(?<!\\)(?:\\\\)*,", -1)
-    plain = lambda c: F.replace(F.replace(F.replace(c, F.lit("\\,"), F.lit(",")), F.lit("\\n"), F.lit("\n")), F.lit("\\\\"), F.lit("\\"))
-    return lines.select(*[plain(F.get(cells, F.lit(k))).alias(f) for k, f in enumerate(fields)])
+    """Rows of ``tabular_rows`` read back as strings, whatever marks their cells hold."""
+    return lines.select(encoded.cells(F.col("value")).alias("_c")).select(*[F.get("_c", F.lit(k)).alias(f) for k, f in enumerate(fields)])
 
 
 def prometheus(df: DataFrame, metric: str, labels: list[str], value: str) -> DataFrame:
