@@ -99,10 +99,10 @@ def projection(events: DataFrame, group: str, dollars: str, at: str = "ts", pric
     return rows.select(group, "operations", F.round("saved", 4).alias("saved"), F.round(monthly, 2).alias("monthly"), pays.alias("breakeven"))
 
 
-def budget(events: DataFrame, limit: float, key: str = "user_id", at: str = "ts", value: str = "value", order: str = "event_id") -> DataFrame:
-    """Running use of a budget with its alert level after each event."""
+def budget(events: DataFrame, limit: float, key: str = "user_id", at: str = "ts", value: str = "value", order: str = "event_id", digits: int = 4) -> DataFrame:
+    """Running use of a budget, to ``digits`` places, with its alert level after each event; the level goes by the use as shown."""
     w = W.partitionBy(key).orderBy(at, order).rowsBetween(W.unboundedPreceding, 0)
-    rows = events.withColumn("used", F.sum(value).over(w))
+    rows = events.withColumn("used", F.round(F.sum(value).over(w), digits))
     return rows.withColumn("level", num.alert_level(F.col("used") / limit))
 
 

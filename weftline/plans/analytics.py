@@ -94,7 +94,7 @@ def team_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 4) AS used FROM events) SELECT event_id, user_id, used, CASE WHEN used / 4000 >= 0.9 THEN 'critical' WHEN used / 4000 >= 0.75 THEN 'warning' WHEN used / 4000 >= 0.5 THEN 'notice' ELSE 'none' END AS level FROM r")
 def budget_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return savings.budget(_events(spark, sf_dir), 4000).select("event_id", "user_id", F.round("used", 4).alias("used"), "level")
+    return savings.budget(_events(spark, sf_dir), 4000).select("event_id", "user_id", "used", "level")
 
 
 @query("WITH t AS (SELECT sum(n_chars // 4)::BIGINT AS total FROM documents) SELECT model, win AS \"window\", total, total <= win * 0.75 AS fits FROM (VALUES ('small', 100000::BIGINT), ('middle', 1000000), ('large', 100000000)) v(model, win), t")
