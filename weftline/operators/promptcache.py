@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from weftline.functions import text as tx
+
 #: Sections of a prompt from stable to volatile.
 SECTIONS = ["system", "tools", "policies", "examples", "context", "history", "user"]
 VOLATILE = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|\b\d{10,13}\b|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}|(?i)\b(?:request|session|trace)[_-]?id\b"
@@ -25,7 +27,7 @@ def stability(text: Column, window: int = 5000) -> dict[str, Column]:
 def drift(before: Column, after: Column) -> Column:
     """none, whitespace, json or semantic: how far two prefixes differ."""
     flat = lambda t: F.trim(F.regexp_replace(t, r"\s+", " "))
-    shape = lambda t: F.to_json(F.try_parse_json(t))
+    shape = lambda t: F.to_json(tx.json_value(t))
     return F.when(before.eqNullSafe(after), "none").when(flat(before) == flat(after), "whitespace").when(shape(before).isNotNull() & (shape(before) == shape(after)), "json").otherwise("semantic")
 
 

@@ -63,10 +63,10 @@ def markdown_sections(docs: DataFrame, id_col: str = "doc_id", text: str = "text
 
 def structured_kind(text: Column) -> Column:
     """json_array, json_object, jsonl, csv or null."""
-    parsed = F.try_parse_json(text)
+    parsed = tx.json_value(text)
     first = F.substring(F.ltrim(text), 1, 1)
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    jsonl = (F.size(lines) >= 2) & F.forall(lines, lambda x: F.substring(F.ltrim(x), 1, 1).isin("{", "[") & F.try_parse_json(x).isNotNull())
+    jsonl = (F.size(lines) >= 2) & F.forall(lines, lambda x: F.substring(F.ltrim(x), 1, 1).isin("{", "[") & tx.json_value(x).isNotNull())
     width = F.size(F.split(F.get(lines, F.lit(0)), ","))
     csv = (F.size(lines) >= 2) & (width >= 2) & F.forall(lines, lambda x: F.size(F.split(x, ",")) == width) & ~text.contains('"')
     return F.when(jsonl, "jsonl").when(parsed.isNotNull() & (first == "["), "json_array").when(parsed.isNotNull() & (first == "{"), "json_object").when(csv, "csv")
