@@ -133,8 +133,7 @@ WITH {SELF}, r AS (SELECT label, id AS vec_id, greatest(score, 0) AS score, row_
 SELECT label, vec_id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= greatest(1, ceil(n * 0.1))""")
 def relevance_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    rows = retrieval.prune_by_relevance(v, _first(v), 0.1)
-    return rows.withColumn("score", F.round("score", 6))
+    return retrieval.prune_by_relevance(v, _first(v), 0.1)
 
 
 @query()
