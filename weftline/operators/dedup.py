@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from weftline.functions import text as tx
 from weftline.staging import dropped, staged
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(first_id, copies) of texts that stand more than once, by hash."""
@@ -104,11 +110,72 @@ def latest(rows: DataFrame, n: int, group: str, *order: str) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+def _repeated(texts: list[list[str]], n_from: int, n_to: int, least: int) -> Iterator[tuple[int, str, int]]:
+    """(n, ngram, freq) of word runs that stand ``least`` times or more in the texts of one id.
+
+    A run repeats only where the run of one word less does: each round looks at the places that are left.
+    """
+    import numpy as np
+
+    flat = [w for t in texts for w in t]
+    names: dict[str, int] = {}
+    codes = np.fromiter((names.setdefault(w, len(names)) for w in flat), dtype=np.int64, count=len(flat))
+    sizes = np.array([len(t) for t in texts], dtype=np.int64)
+    last = np.repeat(np.cumsum(sizes), sizes)
+    most = np.repeat(np.minimum(n_to, np.maximum(sizes // 2 + 1, n_from)), sizes)
+    at, run = np.arange(len(flat)), codes
+    for n in range(1, n_to + 1):
+        if n > 1:
+            fit = (at + n <= last[at]) & (n <= most[at])
+            at, run = at[fit], run[fit] * len(names) + codes[at[fit] + n - 1]
+        _, first, run, counts = np.unique(run, return_index=True, return_inverse=True, return_counts=True)
+        again = np.flatnonzero(counts >= least)
+        if n >= n_from:
+            for place, freq in zip(at[first[again]].tolist(), counts[again].tolist(), strict=True):
+                yield n, " ".join(flat[place : place + n]), freq
+        kept = counts[run] >= least
+        at, run = at[kept], run[kept]
+        if not len(at):
+            return
+
+
 def repeated_ngrams(docs: DataFrame, n_from: int = 2, n_to: int = 4, least: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, ngram, n, freq, savings) of word runs that repeat in a text and save f * (n - 1) - n tokens or more than none."""
-    rows = docs.select(F.col(id_col).alias("id"), tx.words(F.col(text)).alias("w"))
-    sizes = F.sequence(F.lit(n_from), F.least(F.lit(n_to), F.greatest(F.floor(F.size("w") / 2).cast("int") + 1, F.lit(n_from))))
-    grams = rows.filter(F.size("w") >= n_from).select("id", "w", F.explode(sizes).alias("n")).filter(F.size("w") >= F.col("n"))
-    grams = grams.select("id", "n", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - F.col("n") + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.col("n")), " "))).alias("ngram"))
-    counted = grams.groupBy("id", "n", "ngram").agg(F.count("*").alias("freq")).filter(F.col("freq") >= least)
-    return counted.withColumn("savings", F.col("freq") * (F.col("n") - 1) - F.col("n")).filter("savings > 0")
+    """(id, ngram, n, freq, savings) of word runs that repeat in a text and save f * (n - 1) - n tokens or more than none.
+
+    Rows of one id count together: texts are dealt by id, once, and the runs are counted where a text lies; runs that don't repeat
+    are never rows.
+    """
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow as pa
+
+        schema = pa.schema([pa.field("id", pa.null()), ("n", pa.int32()), ("ngram", pa.string()), ("freq", pa.int64()), ("savings", pa.int64())])
+        out, now, held = [], None, []
+
+        def solve(now, held: list[list[str]]) -> None:
+            for n, gram, freq in _repeated(held, n_from, n_to, least):
+                if (saved := freq * (n - 1) - n) > 0:
+                    out.append((now, n, gram, freq, saved))
+
+        def packed() -> pa.RecordBatch:
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+        for b in batches:
+            schema = schema.set(0, pa.field("id", b.schema.field("id").type))
+            for key, t in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                if held and key != now:
+                    solve(now, held)
+                    held = []
+                    if len(out) >= 20_000:
+                        yield packed()
+                        out.clear()
+                now = key
+                held.append(tx.python_words(t))
+        solve(now, held)
+        if out:
+            yield packed()
+
+    return rows.repartition("id").sortWithinPartitions("id").mapInArrow(count, f"id {kind}, n int, ngram string, freq long, savings long")
