@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import TYPE_CHECKING
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -10,16 +13,56 @@ from weftline.staging import dropped, staged
 
 from .grouped import by_group
 
+if TYPE_CHECKING:
+    import numpy as np
+
+
+#: Blocks of a group: few enough that its rows' copies grow with its rows, of at most ``LARGEST`` rows each.
+MOST_BLOCKS, LARGEST, STRIP = 32, 16_384, 1024
+
+
+def _blocks(n: Column, block: int) -> Column:
+    """How many blocks ``n`` rows are cut into: of about ``block`` rows, but no more than ``MOST_BLOCKS`` while these hold ``LARGEST`` rows each."""
+    return F.greatest(F.lit(1), F.ceil(n / LARGEST), F.least(F.lit(MOST_BLOCKS), F.ceil(n / block))).cast("int")
+
+
+def _products(a: np.ndarray, b: np.ndarray, near: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of a, row of b, product) where ``near`` holds, a strip of rows at a time."""
+    import numpy as np
+
+    found = []
+    for k in range(0, len(a), STRIP):
+        x, y = np.nonzero(near(w := a[k : k + STRIP] @ b.T))
+        found.append((x + k, y, w[x, y]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _forest(a: list[int], b: list[int]) -> list[int]:
+    """The places of pairs that link what no pair before them linked, by union-find."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root[up]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a, b, strict=True)):
+        if (x := top(x)) != (y := top(y)):
+            root[x] = y
+            kept.append(k)
+    return kept
+
 
 def similarity_edges(nodes: DataFrame, threshold: float, group: str = "label", id_col: str = "vec_id", embedding: str = "embedding", block: int = 256, unit: bool = True) -> DataFrame:
     """(group, src, dst, weight) with src < dst and cosine above ``threshold`` within a group.
 
-    A group's vectors are cut into blocks of about ``block``; tasks take pairs of blocks and
+    A group's vectors are cut into blocks of about ``block``, or into ``MOST_BLOCKS`` larger ones; tasks take pairs of blocks and
     multiply them, so that a large group is spread over many tasks and no pair below the
     threshold is ever a row.
     """
     sized = nodes.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), F.col(embedding).alias("v")).filter(num.finite_vector(F.col("v")))
-    totals = sized.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    totals = sized.groupBy("grp").agg(_blocks(F.count("*"), block).alias("blocks"))
     placed = sized.join(totals, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
@@ -32,24 +75,23 @@ def similarity_edges(nodes: DataFrame, threshold: float, group: str = "label", i
         a, b = (np.array(x.v.tolist(), dtype=np.float64).reshape(len(x), -1) for x in (left, right))
         if not unit:
             a, b = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (a, b))
-        x, y = np.nonzero((w := a @ b.T) > threshold)
+        x, y, w = _products(a, b, lambda p: p > threshold)
         one, two = left.id.to_numpy()[x], right.id.to_numpy()[y]
         keep = one < two if pdf.i.iloc[0] == pdf.j.iloc[0] else one != two
-        return pd.DataFrame({"grp": pdf.grp.iloc[0], "src": np.minimum(one, two)[keep], "dst": np.maximum(one, two)[keep], "weight": w[x, y][keep]})
+        return pd.DataFrame({"grp": pdf.grp.iloc[0], "src": np.minimum(one, two)[keep], "dst": np.maximum(one, two)[keep], "weight": w[keep]})
 
     kind = placed.schema["grp"].dataType.simpleString()
     out = by_group(placed.select("grp", "i", "j", "own", "id", "v"), ["grp", "i", "j"], multiply, f"grp {kind}, src long, dst long, weight double")
     return out.select(F.col("grp").alias(group), "src", "dst", "weight")
 
 
-def cross_group_pairs(nodes: DataFrame, threshold: float, group: str = "label", id_col: str = "vec_id", embedding: str = "embedding", block: int = 512) -> DataFrame:
+def cross_group_pairs(nodes: DataFrame, threshold: float, group: str = "label", id_col: str = "vec_id", embedding: str = "embedding", block: int = 512, spanning: bool = False) -> DataFrame:
     """(a, b, similarity) of vectors of different groups with cosine of at least ``threshold``, to 4 places.
 
     Every vector meets every other through pairs of blocks; only pairs that reach the threshold
-    become rows.
+    become rows. With ``spanning``, of each two blocks' pairs only so many as link the same vectors: for components.
     """
-    n = nodes.count()
-    blocks = max(1, -(-n // block))
+    blocks = nodes.agg(_blocks(F.count("*"), block)).first()[0]
     placed = nodes.select(F.col(group).alias("grp"), F.col(id_col).alias("id"), F.col(embedding).alias("v")).filter(num.finite_vector(F.col("v")) & (num.norm(F.col("v")) > 0))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
@@ -62,10 +104,14 @@ def cross_group_pairs(nodes: DataFrame, threshold: float, group: str = "label",
             return pd.DataFrame({"a": [], "b": [], "similarity": []})
         a, b = (np.array(x.v.tolist(), dtype=np.float64).reshape(len(x), -1) for x in (left, right))
         a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
-        x, y = np.nonzero((w := a @ b.T) >= threshold)
+        x, y, w = _products(a, b, lambda p: p >= threshold)
         one, two = left.id.to_numpy()[x], right.id.to_numpy()[y]
         keep = (one < two if pdf.i.iloc[0] == pdf.j.iloc[0] else one != two) & (left.grp.to_numpy()[x] != right.grp.to_numpy()[y])
-        return pd.DataFrame({"a": np.minimum(one, two)[keep], "b": np.maximum(one, two)[keep], "similarity": w[x, y][keep]})
+        one, two, w = np.minimum(one, two)[keep], np.maximum(one, two)[keep], w[keep]
+        if spanning:
+            forest = _forest(one.tolist(), two.tolist())
+            one, two, w = one[forest], two[forest], w[forest]
+        return pd.DataFrame({"a": one, "b": two, "similarity": w})
 
     return placed.groupBy("i", "j").applyInPandas(multiply, "a long, b long, similarity double").withColumn("similarity", F.round("similarity", 4))
 

@@ -72,7 +72,7 @@ both_ AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
 r AS (SELECT a AS node, a AS seen FROM both_ UNION SELECT r.node, both_.b FROM r JOIN both_ ON r.seen = both_.a)
 SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.components(graph.cross_group_pairs(_vectors(spark, sf_dir), 0.40))
+    return dedup.components(graph.cross_group_pairs(_vectors(spark, sf_dir), 0.40, spanning=True))
 
 
 @query()
