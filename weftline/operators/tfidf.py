@@ -6,14 +6,21 @@ a top-k over partitions; only its rows, at most ``max_features``, are ever broad
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from weftline.functions import text as tx
 from weftline.staging import staged
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 #: Words without content in English text; a parameter for other languages.
 STOP_WORDS = tuple(
     "a about above after again all also am an and any are as at be because been before being below between both but by can could did do does "
@@ -37,29 +44,38 @@ def _accents() -> tuple[str, str]:
     return "".join(pairs) + "".join(marks), "".join(pairs.values())
 
 
-def without_accents(text: Column) -> Column:
-    """Letters of alphabetic scripts without their accents; one that decomposes into several letters stays."""
-    return F.translate(text, *_accents())
+_BARE = {ord(c): bare or None for c, bare in zip_longest(*_accents())}
+_WORD = re.compile(r"\w{2,}")  # Python's letters and digits are those of WORD
+
+
+def _lower(text: str) -> Column:
+    return F.lower(F.coalesce(F.col(text), F.lit("")))
+
 
+def terms(lower: str, high: int, stop_words: frozenset[str]) -> list[str]:
+    """All runs of 1 to ``high`` words of a text in lower case without stop words and accents, in order of length and place, repeats included."""
+    out = ws = [w for w in _WORD.findall(lower if lower.isascii() else lower.translate(_BARE)) if w not in stop_words]
+    for n in range(2, high + 1):
+        out = out + [" ".join(run) for run in zip(*(ws[k:] for k in range(n)))]
+    return out
 
-def terms(text: Column, high: int = 2, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
-    """All runs of 1 to ``high`` words, in order of length and place, repeats included; null text has none."""
-    found = F.regexp_extract_all(without_accents(F.lower(F.coalesce(text, F.lit("")))), F.lit(WORD), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in stop_words]).cast("array<string>")
-    kept = F.filter(found, lambda w: ~F.array_contains(stop, w)) if stop_words else found
 
-    def runs(ws: Column) -> Column:
-        parts = [ws]
-        for n in range(2, high + 1):
-            at = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.greatest(F.size(ws) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-            parts.append(F.transform(at, _run(ws, n)))
-        return F.flatten(F.array(*parts))
+#: Terms that a task counts before it hands them on.
+AT_ONCE = 500_000
 
-    return tx.let(kept, runs)
 
+def _longs(values: list[int]) -> pa.Array:
+    import pyarrow as pa
 
-def _run(ws: Column, n: int):
-    return lambda i: F.array_join(F.slice(ws, i, F.lit(n)), " ")
+    return pa.array(values, pa.int64())
+
+
+def _batch(**columns: list) -> pa.RecordBatch:
+    """Columns as they are, texts as strings, whole numbers as longs."""
+    import pyarrow as pa
+
+    made = [c if isinstance(c, pa.Array) else pa.array(c, pa.string()) if k == "term" else _longs(c) for k, c in columns.items()]
+    return pa.RecordBatch.from_arrays(made, names=list(columns))
 
 
 @dataclass
@@ -74,13 +90,21 @@ class Vocabulary:
     def fit(cls, docs: DataFrame, text: str = "text", max_features: int = 5000, high: int = 2, min_df: int = 1, max_df: float = 0.95, stop_words: tuple[str, ...] = STOP_WORDS) -> Vocabulary:
         """The ``max_features`` most frequent terms (ties by term) that at least ``min_df`` documents and at most a share ``max_df`` of them hold."""
 
-        def counted(ts: Column) -> Column:
-            each = F.transform(ts, lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df")))
-            held = F.transform(F.array_distinct(ts), lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df")))
-            return F.concat(each, held)
+        stop = frozenset(stop_words)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tf, df = Counter(), Counter()
+            for b in batches:
+                for lower in b.column("text").to_pylist():
+                    tf.update(ts := terms(lower, high, stop))
+                    df.update(set(ts))
+                    if len(tf) >= AT_ONCE:
+                        yield _batch(term=list(tf), tf=list(tf.values()), df=[df[t] for t in tf])
+                        tf, df = Counter(), Counter()
+            yield _batch(term=list(tf), tf=list(tf.values()), df=[df[t] for t in tf])
 
         n = docs.count()
-        rows = docs.select(F.explode(tx.let(terms(F.col(text), high, stop_words), counted)).alias("t")).select("t.*")
+        rows = docs.select(_lower(text).alias("text")).mapInArrow(counted, "term string, tf long, df long")
         sums = rows.groupBy("term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
         best = sums.orderBy(F.desc("tf"), "term").limit(max_features)
         index = F.row_number().over(W.orderBy("term")) - 1  # at most max_features rows
@@ -89,8 +113,23 @@ class Vocabulary:
 
     def weights(self, docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
         """(id, index, term, weight): tf * idf of each term of each row, scaled to length 1 a row; rows without terms have none."""
-        rows = docs.select(F.col(id_col).alias("id"), F.explode(terms(F.col(text), self.high, self.stop_words)).alias("term"))
-        counts = rows.join(F.broadcast(self.table.select("term", "index", "idf")), "term").groupBy("id", "index", "term", "idf").agg(F.count("*").alias("tf"))
+        index = {r["term"]: r["index"] for r in self.table.select("term", "index").collect()}  # at most max_features rows
+        high, stop = self.high, frozenset(self.stop_words)
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at, places, tf = [], [], []
+                for k, lower in enumerate(b.column("text").to_pylist()):
+                    found = Counter([index[t] for t in terms(lower, high, stop) if t in index])
+                    at += [k] * len(found)
+                    places += found.keys()
+                    tf += found.values()
+                yield _batch(id=b.column("id").take(_longs(at)), index=places, tf=tf)
+
+        rows = docs.select(F.col(id_col).alias("id"), _lower(text).alias("text"))
+        counts = rows.mapInArrow(counted, f"id {rows.schema['id'].dataType.simpleString()}, index long, tf long")
+        counts = counts.repartition("id").groupBy("id", "index").agg(F.sum("tf").alias("tf")).join(F.broadcast(self.table.select("term", "index", "idf")), "index")
+        counts = counts.withColumn("index", F.col("index").cast(self.table.schema["index"].dataType))
         value = F.col("tf") * F.col("idf")
         return counts.withColumn("weight", value / F.sqrt(F.sum(value * value).over(W.partitionBy("id")))).select("id", "index", "term", "weight")
 
