@@ -147,11 +147,15 @@ def pagerank_by_group(edges: DataFrame, group: str = "label", alpha: float = 0.8
     return by_group(edges.select(F.col(group).alias("grp"), "src", "dst", "weight"), ["grp"], solve, f"grp {kind}, node long, rank double").withColumnRenamed("grp", group)
 
 
+#: Nodes whose ranks are sent to every task, so that a round exchanges sums by node and no edges.
+MOST_SENT = 1_000_000
+
+
 def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 120, tolerance: float = 1e-6, every: int = 10, in_task: int = 1_000_000) -> DataFrame:
     """(node, rank) of one undirected weighted graph of any size.
 
     A graph of at most ``in_task`` edges is ranked in a task, a larger one by joins and sums to the same rule, with the ranks staged
-    every few rounds. Weights are not negative; nodes whose edges all weigh 0 spread their rank over all nodes. It stops when ranks change by less than ``tolerance`` a node, in the joins since they were
+    every few rounds, or each round where they are few enough to be sent to every task. Weights are not negative; nodes whose edges all weigh 0 spread their rank over all nodes. It stops when ranks change by less than ``tolerance`` a node, in the joins since they were
     last staged; a round shrinks the change by ``alpha``, so that at the default values it always gets there.
     """
     edges = staged(edges.select("src", "dst", "weight"), "rank-edges")
@@ -165,18 +169,22 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 120, tolerance
     if not n:
         return nodes.select("node", F.col("total").cast("double").alias("rank"))
     loose, rank = 1.0 / n, staged(nodes.select("node", F.lit(1.0 / n).alias("rank")), "ranks")
-    before = rank
+    before, few = rank, n <= MOST_SENT
     for k in range(1, rounds + 1):
-        moved = share.join(rank, share["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("sum"))
+        moved = share.join(F.broadcast(rank) if few else rank, share["src"] == rank["node"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("sum"))
         # nodes without weight have all the same rank: a number that needs no job
         spare = n_loose * loose / n
         loose = alpha * spare + (1 - alpha) / n
         got = F.coalesce("sum", F.lit(0.0)) + spare
-        rank = nodes.join(moved, nodes["node"] == moved["dst"], "left")
-        rank = rank.select("node", (alpha * got + (1 - alpha) / n).alias("rank"))
-        if k % every and k < rounds:
+        joined = nodes.join(moved, nodes["node"] == moved["dst"], "left")
+        last, rank = rank, joined.select("node", (alpha * got + (1 - alpha) / n).alias("rank"))
+        checked = k % every == 0 or k == rounds
+        if few or checked:
+            rank = staged(rank, "ranks")
+        if few and last is not before:
+            dropped(last)
+        if not checked:
             continue
-        rank = staged(rank, "ranks")
         change = rank.join(before.select("node", F.col("rank").alias("old")), "node").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         dropped(before)
         before = rank
