@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from typing import TYPE_CHECKING
 
@@ -15,6 +16,7 @@ from .grouped import by_group
 
 if TYPE_CHECKING:
     import numpy as np
+    import pyarrow as pa
 
 
 #: Blocks of a group: few enough that its rows' copies grow with its rows, of at most ``LARGEST`` rows each.
@@ -238,6 +240,74 @@ def near_pairs(nodes: DataFrame, threshold: float, id_col: str = "vec_id", embed
     return pairs.unionByName(copies)
 
 
+#: Rows of a block whose vectors are only counted against another's, a tile at a time: a block may be large, and its copies few.
+COUNTED, TILE = 65_536, 256
+
+
+def near_links(nodes: DataFrame, threshold: float, id_col: str = "vec_id", embedding: str = "embedding", block: int = 1024) -> DataFrame:
+    """(id, class_id, copies, links) of every row: the least id of its class, the rows of that class, and the other classes with cosine above ``threshold``.
+
+    Equal vectors are one class; rows whose vectors are not finite or have no direction are classes of their own, without links. Every class meets every
+    other through pairs of blocks, and a task returns counts by class: no pair is ever a row, so that what is exchanged grows with the rows and not with the
+    links. Products are made in single precision and those near the threshold again in double. Ids are long, vectors of one length.
+    """
+    key = F.sha2(F.to_json(F.struct(F.col("v"))), 256)
+    rows = nodes.select(F.col(id_col).alias("id"), F.col(embedding).alias("v"))
+    usable = F.coalesce(num.finite_vector(F.col("v")) & (num.norm(F.col("v")) > 0), F.lit(False))
+    named = staged(rows.withColumn("key", F.when(usable, key)), "vectors")
+    classes = staged(named.filter("key is not null").groupBy("key").agg(F.min("id").alias("class_id"), F.count("*").alias("copies"), F.first("v").alias("v")), "vector-classes")
+    n = classes.count()
+    blocks = max(1, -(-n // COUNTED), min(12, -(-n // block)))
+    placed = classes.select(F.col("class_id").alias("id"), "v", F.pmod(F.xxhash64("class_id"), F.lit(blocks)).cast("int").alias("own"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def count(table: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+
+        ids, own, v = table["id"].to_numpy(), table["own"].to_numpy(), table["v"].combine_chunks()
+        v = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        low, high = own == table["i"][0].as_py(), own == table["j"][0].as_py()
+        same = table["i"][0].as_py() == table["j"][0].as_py()
+
+        def unit(m: np.ndarray) -> np.ndarray:
+            m = m.astype(np.float64)
+            return m / np.linalg.norm(m, axis=1, keepdims=True)
+
+        def gathered(x: np.ndarray) -> np.ndarray:
+            """An order in which like vectors lie together, so that most tiles hold no link and are only looked at for their largest product."""
+            return np.argsort((x @ x[:: max(1, len(x) // 64)].T).argmax(axis=1), kind="stable")
+
+        def links(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            left, right, p, q = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64), gathered(x), gathered(y)
+            x, y = x[p], y[q]
+            single, to = x.astype(np.float32), y.astype(np.float32)
+            for i, j in itertools.product(range(0, len(x), TILE), range(0, len(y), TILE)):
+                part = single[i : i + TILE] @ to[j : j + TILE].T
+                if part.max() <= threshold - 1e-5:
+                    continue
+                near = part > threshold + 1e-5
+                c, d = np.nonzero((part > threshold - 1e-5) ^ near)
+                near[c, d] = np.einsum("ij,ij->i", x[i + c], y[j + d]) > threshold
+                left[p[i : i + TILE]] += near.sum(axis=1)
+                right[q[j : j + TILE]] += near.sum(axis=0)
+            return left, right
+
+        a, b = unit(v[low]), unit(v[high])
+        left, right = links(a, b)
+        if same:  # each met itself
+            found, counts = ids[low], left - (np.einsum("ij,ij->i", a, a) > threshold)
+        else:
+            found, counts = np.concatenate([ids[low], ids[high]]), np.concatenate([left, right])
+        some = counts > 0
+        return pa.table({"id": found[some], "links": counts[some]}, schema=pa.schema([("id", pa.int64()), ("links", pa.int64())]))
+
+    met = placed.groupBy("i", "j").applyInArrow(count, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    known = classes.drop("v").join(met.withColumnRenamed("id", "class_id"), "class_id", "left")
+    out = named.select("id", "key").join(known, "key", "left")
+    return out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def min_max(rows: DataFrame, value: str, group: str, to: str = "normalised") -> DataFrame:
     """Values of a group stretched to 0..1; equal values give 1."""
     w = W.partitionBy(group)

@@ -86,11 +86,12 @@ def embed(chunks: DataFrame, size: int = 64, text: str = "text") -> DataFrame:
     def vector(texts: pd.Series) -> pd.Series:
         import zlib
 
-        out = []
+        out, at = [], {}  # a word's place is found once a batch
         for t in texts:
-            v = np.zeros(size, dtype=np.float32)
-            for w in (t or "").lower().split():
-                v[zlib.crc32(w.encode()) % size] += 1
+            words = (t or "").lower().split()
+            for w in set(words).difference(at):
+                at[w] = zlib.crc32(w.encode()) % size
+            v = np.bincount([at[w] for w in words], minlength=size).astype(np.float32) if words else np.zeros(size, dtype=np.float32)
             n = float(np.linalg.norm(v))
             out.append(v / n if n else v)
         return pd.Series(out)
