@@ -195,6 +195,49 @@ def pagerank(edges: DataFrame, alpha: float = 0.85, rounds: int = 120, tolerance
     return rank
 
 
+def pagerank_of_groups(edges: DataFrame, group: str = "label", alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6, in_task: int = 250_000) -> DataFrame:
+    """(group, node, rank) as ``pagerank_by_group`` has it, for groups of any size.
+
+    Groups of at most ``in_task`` edges are ranked in a task each, larger ones together by joins and sums: every group by its own number of nodes and until
+    its own change is below the tolerance. Ranks are staged each round and sent to the edges where they are few, so that a round exchanges sums by node.
+    """
+    kind = edges.schema[group].dataType.simpleString()
+    edges = staged(edges.select(F.col(group).alias("grp"), "src", "dst", "weight"), "rank-edges")
+    large = edges.groupBy("grp").agg(F.count("*").alias("n")).filter(F.col("n") > in_task).select("grp")
+    large = staged(large, "rank-groups")  # each of over in_task edges: few
+    small = edges.join(F.broadcast(large), edges["grp"].eqNullSafe(large["grp"]), "left_anti") if (many := large.count()) else edges
+    done = pagerank_by_group(small, "grp", alpha, rounds, tolerance)
+    if not many:
+        return done.withColumnRenamed("grp", group)
+    names = staged(large.withColumn("g", F.monotonically_increasing_id()), "rank-groups")
+    kept = edges.join(F.broadcast(names), edges["grp"].eqNullSafe(names["grp"])).select("g", "src", "dst", "weight")
+    turned = lambda a, b: F.when((F.col("src") != F.col("dst")) | F.lit(a == "src"), F.struct(F.col(a).alias("node"), F.col(b).alias("other")))
+    ends = kept.select("g", F.explode(F.array(turned("src", "dst"), turned("dst", "src"))).alias("e"), "weight").filter("e is not null")
+    nodes = ends.groupBy("g", "e.node").agg(F.sum("weight").alias("total"))
+    counts = nodes.groupBy("g").agg(F.count("*").alias("n"))
+    state = staged(nodes.join(F.broadcast(counts), "g").select("g", "node", "total", "n", (1 / F.col("n")).alias("rank"), F.lit(0.0).alias("moved"), F.lit(True).alias("open")), "ranks")
+    few = state.count() <= MOST_SENT
+    held = F.broadcast if few else lambda df: df
+    for _ in range(rounds):
+        sent = state.filter("open").select("g", "node", F.when(F.col("total") > 0, F.col("rank") / F.col("total")).otherwise(0.0).alias("q"))
+        one, two = sent.select("g", F.col("node").alias("src"), F.col("q").alias("p")), sent.select("g", F.col("node").alias("dst"), "q")
+        met = kept.join(held(one), ["g", "src"]).join(held(two), ["g", "dst"])
+        both = F.array(F.struct(F.col("dst").alias("node"), (F.col("p") * F.col("weight")).alias("x")), F.when(F.col("src") != F.col("dst"), F.struct(F.col("src").alias("node"), (F.col("q") * F.col("weight")).alias("x"))))
+        got = met.select("g", F.explode(both).alias("e")).filter("e is not null").groupBy("g", "e.node").agg(F.sum("e.x").alias("x"))
+        spare = state.groupBy("g").agg(F.sum(F.when(F.col("total") <= 0, F.col("rank")).otherwise(0.0)).alias("spare"))
+        new = alpha * (F.coalesce("x", F.lit(0.0)) + F.col("spare") / F.col("n")) + (1 - alpha) / F.col("n")
+        rank = F.when(F.col("open"), new).otherwise(F.col("rank"))
+        after = state.join(got, ["g", "node"], "left").join(F.broadcast(spare), "g").select("g", "node", "total", "n", rank.alias("rank"), F.when(F.col("open"), F.abs(new - F.col("rank"))).otherwise(0.0).alias("moved"), "open")
+        after = staged(after, "ranks")
+        change = after.groupBy("g").agg((F.sum("moved") >= F.first("n") * tolerance).alias("still"))
+        last, state = state, staged(after.join(F.broadcast(change), "g").withColumn("open", F.col("open") & F.col("still")).drop("still"), "ranks")
+        dropped(last, after)
+        if not state.filter("open").limit(1).count():
+            break
+    ranked = state.join(F.broadcast(names), "g").select(F.col("grp").cast(kind).alias("grp"), "node", "rank")
+    return done.unionByName(ranked).withColumnRenamed("grp", group)
+
+
 def cells(nodes: DataFrame, threshold: float, id_col: str = "vec_id", embedding: str = "embedding", recall: float = 0.95, size: int = 200, most_tables: int = 64, seed: int = 7) -> DataFrame:
     """(cell, id, v): each vector in one cell of each table of random hyperplanes, so that a pair at ``threshold`` shares a cell with a chance of ``recall`` at least.
 

@@ -77,7 +77,7 @@ def duplicate_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pagerank_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.pagerank_by_group(_edges(spark, sf_dir)).withColumn("rank", F.round("rank", 8))
+    return graph.pagerank_of_groups(_edges(spark, sf_dir)).withColumn("rank", F.round("rank", 8))
 
 
 @query()
