@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from weftline.functions import numbers as num
 from weftline.staging import dropped, staged
 
-from .grouped import by_group
+from .grouped import by_group_arrays
 
 if TYPE_CHECKING:
     import numpy as np
@@ -68,22 +68,24 @@ def similarity_edges(nodes: DataFrame, threshold: float, group: str = "label", i
     placed = sized.join(totals, "grp").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
-    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+    def multiply(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         import numpy as np
 
-        left, right = pdf[pdf.own == pdf.i.iloc[0]], pdf[pdf.own == pdf.j.iloc[0]]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"grp": [], "src": [], "dst": [], "weight": []})
-        a, b = (np.array(x.v.tolist(), dtype=np.float64).reshape(len(x), -1) for x in (left, right))
+        i, j, own, ids = part.column("i")[0].as_py(), part.column("j")[0].as_py(), part.column("own").to_numpy(), part.column("id").to_numpy()
+        left, right = own == i, own == j
+        if not left.any() or not right.any():
+            return ids[:0], ids[:0], np.zeros(0)
+        v = part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
+        a, b = v[left], v[right]
         if not unit:
             a, b = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (a, b))
         x, y, w = _products(a, b, lambda p: p > threshold)
-        one, two = left.id.to_numpy()[x], right.id.to_numpy()[y]
-        keep = one < two if pdf.i.iloc[0] == pdf.j.iloc[0] else one != two
-        return pd.DataFrame({"grp": pdf.grp.iloc[0], "src": np.minimum(one, two)[keep], "dst": np.maximum(one, two)[keep], "weight": w[keep]})
+        one, two = ids[left][x], ids[right][y]
+        keep = one < two if i == j else one != two
+        return np.minimum(one, two)[keep], np.maximum(one, two)[keep], w[keep]
 
     kind = placed.schema["grp"].dataType.simpleString()
-    out = by_group(placed.select("grp", "i", "j", "own", "id", "v"), ["grp", "i", "j"], multiply, f"grp {kind}, src long, dst long, weight double")
+    out = by_group_arrays(placed.select("grp", "i", "j", "own", "id", "v"), ["grp", "i", "j"], multiply, f"grp {kind}, i int, j int, src long, dst long, weight double")
     return out.select(F.col("grp").alias(group), "src", "dst", "weight")
 
 
@@ -118,14 +120,13 @@ def cross_group_pairs(nodes: DataFrame, threshold: float, group: str = "label",
     return placed.groupBy("i", "j").applyInPandas(multiply, "a long, b long, similarity double").withColumn("similarity", F.round("similarity", 4))
 
 
-def _rank(edges: list[tuple[int, int, float]], alpha: float, rounds: int, tolerance: float) -> dict[int, float]:
+def _rank(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, alpha: float, rounds: int, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
     import numpy as np
 
-    ids = sorted({x for s, d, _ in edges for x in (s, d)})
-    at, n = {x: k for k, x in enumerate(ids)}, len(ids)
-    rows = np.array([at[s] for s, d, _ in edges] + [at[d] for s, d, _ in edges if s != d], dtype=int)
-    cols = np.array([at[d] for s, d, _ in edges] + [at[s] for s, d, _ in edges if s != d], dtype=int)
-    weight = np.array([w for *_, w in edges] + [w for s, d, w in edges if s != d])
+    ids, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    n, one, two, other = len(ids), at[: len(src)], at[len(src) :], src != dst
+    rows, cols = np.concatenate([one, two[other]]), np.concatenate([two, one[other]])
+    weight = np.concatenate([weight, weight[other]])
     out = np.bincount(rows, weight, n)
     share = weight / np.where(out[rows] > 0, out[rows], 1)
     rank = np.full(n, 1 / n)
@@ -135,18 +136,17 @@ def _rank(edges: list[tuple[int, int, float]], alpha: float, rounds: int, tolera
         rank = new
         if change < n * tolerance:
             break
-    return dict(zip(ids, rank.tolist(), strict=True))
+    return ids, rank
 
 
 def pagerank_by_group(edges: DataFrame, group: str = "label", alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(group, node, rank) of undirected weighted graphs, one a group, each small enough for a task."""
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _rank(list(pdf[["src", "dst", "weight"]].itertuples(index=False, name=None)), alpha, rounds, tolerance)
-        return pd.DataFrame({"grp": pdf.grp.iloc[0], "node": list(found), "rank": list(found.values())})
+    def solve(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        return _rank(*(part.column(c).to_numpy(zero_copy_only=False) for c in ("src", "dst", "weight")), alpha, rounds, tolerance)
 
     kind = edges.schema[group].dataType.simpleString()
-    return by_group(edges.select(F.col(group).alias("grp"), "src", "dst", "weight"), ["grp"], solve, f"grp {kind}, node long, rank double").withColumnRenamed("grp", group)
+    return by_group_arrays(edges.select(F.col(group).alias("grp"), "src", "dst", "weight"), ["grp"], solve, f"grp {kind}, node long, rank double").withColumnRenamed("grp", group)
 
 
 #: Nodes whose ranks are sent to every task, so that a round exchanges sums by node and no edges.
