@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.functions import numbers as num
+from weftline.staging import staged
 
 
 def dashboard(events: DataFrame, tool: str = "tool_name", at: str = "ts", original: str = "original_tokens", kept: str = "compressed_tokens", price: float = 3.0) -> DataFrame:
@@ -32,12 +35,21 @@ def recommended_ratio(records: DataFrame, least: float, kind: str = "content_typ
 
 
 def percentiles(events: DataFrame, group: str, value: str, shares: dict[str, float] | None = None) -> DataFrame:
-    """Elements at int(n * q) of each group's sorted values, by rank in a window: no group is gathered."""
+    """Elements at int(n * q) of each group's sorted values.
+
+    Values are counted and staged in ranges; only the ranges that hold an element asked for are ranked, each on its own: no group is gathered or sorted.
+    """
     shares = shares or {"p50": 0.5, "p95": 0.95, "p99": 0.99}
-    w = W.partitionBy(group)
-    rows = events.select(group, value).filter(F.col(value).isNotNull()).withColumns({"r": F.row_number().over(w.orderBy(value)) - 1, "n": F.count("*").over(w)})
-    at = lambda q: F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1)
-    return rows.groupBy(group).agg(*[F.max(F.when(F.col("r") == at(q), F.col(value))).alias(k) for k, q in shares.items()])
+    at = {k: F.least(F.floor(F.col("n") * F.lit(q)), F.col("n") - 1) for k, q in shares.items()}
+    counts = events.select(F.col(group).alias("g"), F.col(value).alias("v")).filter("v IS NOT NULL").groupBy("g", "v").agg(F.count("*").alias("m"))
+    counts = staged(counts.repartitionByRange("g", "v").withColumn("part", F.spark_partition_id()), "percentile-counts")
+    sums, w = counts.groupBy("g", "part").agg(F.sum("m").alias("s")), W.partitionBy("g")
+    parts = sums.withColumns({"before": F.sum("s").over(w.orderBy("part")) - F.col("s"), "n": F.sum("s").over(w)})
+    holds = reduce(lambda a, b: a | b, [(r >= F.col("before")) & (r < F.col("before") + F.col("s")) for r in at.values()])
+    parts = parts.filter(holds).select(F.col("g").alias("_g"), F.col("part").alias("_part"), "before", "n")
+    rows = counts.join(F.broadcast(parts), counts["g"].eqNullSafe(F.col("_g")) & (counts["part"] == F.col("_part")))
+    rows = rows.withColumn("upto", F.col("before") + F.sum("m").over(W.partitionBy("g", "part").orderBy("v")))
+    return rows.groupBy("g").agg(*[F.max(F.when((r < F.col("upto")) & (r >= F.col("upto") - F.col("m")), F.col("v"))).alias(k) for k, r in at.items()]).withColumnRenamed("g", group)
 
 
 def error_rates(events: DataFrame, group: str, failed: Column) -> DataFrame:
