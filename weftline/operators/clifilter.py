@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from weftline.functions import text as tx
+
 ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07]*\x07|\r"
 #: Command kinds in the order in which they are tried, with what tells them.
 KINDS = {
@@ -48,11 +50,28 @@ def line_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", maske
     return rows.groupBy("id", "run").agg(F.min("pos").alias("start"), F.min_by("line", "pos").alias("line"), F.count("*").alias("n")).select("id", "start", "line", "n")
 
 
+def _starts(flags: Column) -> Column:
+    """The places at which an array's value differs from the one before, the first among them."""
+    return F.filter(F.sequence(F.lit(0), F.size(flags) - 1), lambda i: (i == 0) | (F.get(flags, i) != F.get(flags, i - 1)))
+
+
+def runs_collapsed(text: Column) -> Column:
+    """A text with each run of equal lines as one line and its count."""
+
+    def joined(ls: Column) -> Column:
+        def shown(at: Column) -> Column:
+            n = lambda i: F.coalesce(F.get(at, i + 1), F.size(ls)) - F.get(at, i)
+            line = lambda s, i: F.when(n(i) > 1, F.concat(F.get(ls, s), F.format_string(" (repeated %d times)", n(i)))).otherwise(F.get(ls, s))
+            return F.when(F.size(at) == F.size(ls), text).otherwise(F.array_join(F.transform(at, line), "\n"))
+
+        return tx.let(_starts(ls), shown)
+
+    return tx.let(F.split(text, "\n"), joined)
+
+
 def collapse_runs(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, text) with each run of equal lines as one line and its count."""
-    runs = line_runs(docs, id_col, text)
-    shown = F.when(F.col("n") > 1, F.concat("line", F.format_string(" (repeated %d times)", F.col("n")))).otherwise(F.col("line"))
-    return runs.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", shown.alias("line")))), lambda x: x["line"]), "\n").alias("text"))
+    """(id, text) with each run of equal lines as one line and its count; ids are taken to be unique."""
+    return docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), runs_collapsed(F.col(text)).alias("text"))
 
 
 def _kept(text: Column, keep) -> Column:
@@ -75,17 +94,35 @@ def install_summary(text: Column) -> Column:
     return _kept(text, lambda x: x.rlike(r"(?i)\b(?:added|removed|changed|audited|installed|vulnerabilit|warn|error|fail)"))
 
 
+#: A line of a stack trace.
+FRAME = r"^\s+(?:at |File \")"
+
+
+def frames_elided(text: Column, most: int = 8, head: int = 5, tail: int = 2) -> Column:
+    """A text whose blocks of more than ``most`` stack frames keep their first and last."""
+
+    def joined(ls: Column) -> Column:
+        def blocks(v: Column) -> Column:
+            at, flags = v["at"], v["flags"]
+
+            def block(s: Column, i: Column) -> Column:
+                end = F.coalesce(F.get(at, i + 1), F.size(ls))
+                n = end - s
+                few = F.concat(F.slice(ls, s + 1, F.lit(head)), F.array(F.format_string("    ... %d frames elided", n - head - tail)), F.slice(ls, end - tail + 1, F.lit(tail)))
+                return F.when(F.get(flags, s) & (n > max(most, head + tail)), few).otherwise(F.slice(ls, s + 1, n))
+
+            return F.array_join(F.flatten(F.transform(at, block)), "\n")
+
+        flags = F.transform(ls, lambda x: x.rlike(FRAME))
+        return tx.let(tx.let(flags, lambda f: F.struct(_starts(f).alias("at"), f.alias("flags"))), blocks)
+
+    # most texts hold no frame: they stay as they are
+    return F.when(text.rlike("(?m)" + FRAME), tx.let(F.split(text, "\n"), joined)).otherwise(text)
+
+
 def elide_frames(docs: DataFrame, id_col: str = "doc_id", text: str = "text", most: int = 8, head: int = 5, tail: int = 2) -> DataFrame:
-    """(id, text): blocks of more than ``most`` stack frames keep their first and last."""
-    rows = lines(docs, id_col, text).withColumn("frame", F.col("line").rlike(r"^\s+(?:at |File \")"))
-    w = W.partitionBy("id").orderBy("pos")
-    rows = rows.withColumn("block", F.sum(F.coalesce((F.lag("frame").over(w) != F.col("frame")).cast("int"), F.lit(0))).over(w))
-    b = W.partitionBy("id", "block")
-    rows = rows.withColumns({"k": F.row_number().over(b.orderBy("pos")), "n": F.count("*").over(b)})
-    long = F.col("frame") & (F.col("n") > most)
-    out = F.when(~long | (F.col("k") <= head) | (F.col("k") > F.col("n") - tail), F.col("line")).when(F.col("k") == head + 1, F.format_string("    ... %d frames elided", F.col("n") - head - tail))
-    kept = rows.withColumn("line", out).filter(F.col("line").isNotNull())
-    return kept.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    """(id, text): blocks of more than ``most`` stack frames keep their first and last; ids are taken to be unique."""
+    return docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), frames_elided(F.col(text), most, head, tail).alias("text"))
 
 
 def diff_stats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shown: int = 3) -> DataFrame:
@@ -138,9 +175,13 @@ def tree_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 def generic(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The conservative pipeline: escape codes, progress, stamps, blank runs, equal runs, frames."""
-    body = collapse_blanks(drop_stamps(strip_progress(strip_ansi(F.col(text)))))
-    rows = docs.select(F.col(id_col).alias("id"), body.alias("text"))
-    return elide_frames(collapse_runs(rows, "id"), "id")
+    return docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), filtered(F.col(text)).alias("text"))
+
+
+def filtered(text: Column) -> Column:
+    """What ``generic`` makes of a text, without exchanges."""
+    body = collapse_blanks(drop_stamps(strip_progress(strip_ansi(text))))
+    return tx.let(tx.let(body, runs_collapsed), lambda t: frames_elided(t))
 
 
 def json_outline(value: Column) -> Column:
@@ -189,9 +230,6 @@ def apply_rules(docs: DataFrame, rules: list[dict], kind: str = "kind", text: st
 
 def intercepted(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ratio: float = 0.7, least: int = 200) -> DataFrame:
     """(id, text): long outputs filtered, refined sentence by sentence, and guarded so that no identifier is lost."""
-    from weftline.functions import text as tx
-
-    done = generic(docs, id_col, text).withColumnRenamed("text", "_filtered")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("_text")).join(done, "id")
-    shorter = F.array_join(F.transform(tx.sentences(F.col("_filtered")), lambda s: tx.refined(s, ratio)), " ")
-    return rows.select("id", F.when(F.length("_text") >= least, tx.guarded(F.col("_text"), shorter)).otherwise(F.col("_text")).alias("text"))
+    shorter = lambda t: F.array_join(F.transform(tx.sentences(t), lambda s: tx.refined(s, ratio)), " ")
+    out = F.when(F.length(text) >= least, tx.guarded(F.col(text), tx.let(filtered(F.col(text)), shorter))).otherwise(F.col(text))
+    return docs.filter(F.col(text).isNotNull()).select(F.col(id_col).alias("id"), out.alias("text"))
