@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from weftline.functions import text as tx
 from weftline.staging import staged
@@ -16,22 +17,27 @@ from weftline.staging import staged
 from .skeleton import embed
 
 COLUMNS = ["file_id", "position", "text", "hash", "embedding"]
-
-
-def _numbered(chunks: DataFrame) -> DataFrame:
-    """``chunks`` with ``nth``: equal chunks of a document are told apart by their order."""
-    return chunks.withColumn("nth", F.row_number().over(W.partitionBy("file_id", "hash").orderBy("position")))
+#: Documents of a new version whose ids may be broadcast to the old one (16 bytes each); of more, the old version is exchanged to find theirs.
+SMALL_FILES = 5_000_000
 
 
 def matched(old: DataFrame, new: DataFrame) -> DataFrame:
     """New chunks and old ones that are gone, with ``status``: kept (same place), moved, new or gone, and the old ``embedding``, null for new ones.
 
-    Chunks are equal if their hash is; the nth of equal ones of a document meets the nth of the old ones.
+    Chunks are equal if their hash is; the nth of equal ones of a document meets the nth of the old ones. Both versions are dealt by
+    document together, once: a join by (document, hash, nth) would exchange each of them again.
     """
-    before = _numbered(old).select("file_id", "hash", "nth", F.col("position").alias("old_position"), "embedding")
-    both = _numbered(new).join(before, ["file_id", "hash", "nth"], "full")
+    rest = [c for c in new.columns if c not in ("file_id", "hash")]
+    now = new.select("file_id", "hash", F.lit(False).alias("old"), F.col("position").alias("place"), F.struct(*rest).alias("n"))
+    before = old.select("file_id", "hash", F.lit(True).alias("old"), F.col("position").alias("place"), "embedding")
+    rows = now.unionByName(before, allowMissingColumns=True).repartition("file_id")
+    rows = rows.withColumn("nth", F.row_number().over(W.partitionBy("file_id", "hash", "old").orderBy("place")))
+    # nulls equal nothing
+    alone = F.when(F.col("file_id").isNull() | F.col("hash").isNull(), F.col("old")).alias("alone")
+    held = rows.groupBy("file_id", "hash", "nth", alone).agg(F.first("n", True).alias("n"), F.max(F.when(F.col("old"), F.col("place"))).alias("old_position"), F.first("embedding", True).alias("embedding"))
+    both = held.select("file_id", "hash", *[F.col(f"n.{c}").alias(c) for c in rest], "old_position", "embedding")
     status = F.when(F.col("position").isNull(), "gone").when(F.col("old_position").isNull(), "new").when(F.col("position") == F.col("old_position"), "kept").otherwise("moved")
-    return both.withColumn("status", status).drop("nth")
+    return both.withColumn("status", status)
 
 
 def chunked(docs: DataFrame, parts: Column, id_col: str = "doc_id") -> DataFrame:
@@ -62,6 +68,7 @@ def reingest(chunks: DataFrame, store: str, version: int, embedded: Callable[[Da
     old = read_version(spark, store, version - 1)
     chunks = staged(chunks, "reingest-chunks")
     files = chunks.select("file_id").distinct()
+    files = F.broadcast(files) if isinstance(files.schema["file_id"].dataType, (IntegerType, LongType)) and files.count() <= SMALL_FILES else files
     found = staged(matched(old.join(files, "file_id", "left_semi"), chunks), "reingest-matched")
     fresh = embedded(found.filter("status = 'new'").drop("embedding"))
     rest = old.join(files, "file_id", "left_anti")
