@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 
 from weftline.operators import code, graph, symbols
 from weftline.operators.skeleton import embed
@@ -73,6 +74,42 @@ def test_no_weights_no_edges_and_empty(spark, monkeypatch):
     assert empty.rank().collect() == []
 
 
+@pytest.mark.parametrize(("seed", "rounds"), [(4, 5), (5, 1), (6, 0)])
+def test_links_lie_with_their_symbols(spark, monkeypatch, seed, rounds):
+    """Without likeness nothing is joined: neither the build nor a round exchanges links or ranks."""
+    monkeypatch.setattr(symbols, "AT_ONCE", 7)  # several pieces a task
+    monkeypatch.setattr(DataFrame, "join", None)
+    weights = {3: 1.0, 8: 2.0, 21: -1.0}
+    rows = [(*r, weights.get(k)) for k, r in enumerate(drawn(seed))]
+    made = spark.createDataFrame(rows, SYMBOL + ", weight double").repartition(3)
+    built = symbols.SymbolGraph.build(made, keep=("weight",))
+    ranks = built.rank("weight", 0.5, rounds, 0.0)
+    everywhere = built.rank(rounds=rounds, tolerance=1e-3)
+    built.close()
+    plain = [r[:3] for r in rows]
+    want = brute(plain, restart=[(rows[k][0], x) for k, x in weights.items() if x > 0], alpha=0.5, rounds=rounds, tolerance=0.0)
+    assert {r.id: r["rank"] for r in ranks.collect()} == pytest.approx(want, abs=1e-12)
+    assert {r.id: r["rank"] for r in everywhere.collect()} == pytest.approx(brute(plain, rounds=rounds, tolerance=1e-3), abs=1e-12)
+
+
+def test_dense_edge_cases_and_restarts_by_a_table(spark, monkeypatch):
+    rows = drawn(7, 30)
+    built = symbols.SymbolGraph.build(spark.createDataFrame(rows, SYMBOL))
+    restart = [(rows[k][0], 1.0 + k) for k in (3, 8, 8, 21)]
+    found = {r.id: r["rank"] for r in built.rank(spark.createDataFrame(restart, "id string, weight double"), rounds=4, tolerance=0.0).collect()}
+    assert found == pytest.approx(brute(rows, restart=restart, rounds=4, tolerance=0.0), abs=1e-12)
+    nothing = built.rank(spark.createDataFrame([(rows[0][0], 0.0)], "id string, weight double"), rounds=3, tolerance=0.0)
+    assert {r.id: r["rank"] for r in nothing.collect()} == pytest.approx(brute(rows, rounds=3, tolerance=0.0), abs=1e-12)
+    numbered = spark.createDataFrame([(2, "f", ["f", None, "f"], 0), (5, "g", [], 0), (7, None, None, 0)], "id long, short string, calls array<string>, w int")
+    assert {r.id: r["rank"] for r in symbols.SymbolGraph.build(numbered, keep=("w",)).rank("w", rounds=3).collect()} == pytest.approx({2: 1 / 3, 5: 1 / 3, 7: 1 / 3})
+    empty = symbols.SymbolGraph.build(spark.createDataFrame([], SYMBOL))
+    assert empty.rank().collect() == []
+    monkeypatch.setattr(symbols, "SMALL_NAMES", 0)  # kept columns where names are exchanged
+    kept = symbols.SymbolGraph.build(spark.createDataFrame([(*r, 1 + k) for k, r in enumerate(rows)], SYMBOL + ", w int"), keep=("w",))
+    want = brute(rows, restart=[(r[0], 1 + k) for k, r in enumerate(rows)], rounds=2, tolerance=0.0)
+    assert {r.id: r["rank"] for r in kept.rank("w", rounds=2, tolerance=0.0).collect()} == pytest.approx(want, abs=1e-12)
+
+
 FILES = [
     ("store.py", "import json\n\nclass Store:\n    def load(self, path):\n        return parse(open(path).read())\n\n    def save(self, path):\n        check(path)\n\ndef check(path):\n    '''Whether a path may be written.'''\n    return bool(path)\n"),
     ("parse.py", "def parse(text):\n    '''Reads a document into tokens.'''\n    return split(text)\n\ndef split(text):\n    return text.split()\n"),
