@@ -139,6 +139,21 @@ def _rank(src: np.ndarray, dst: np.ndarray, weight: np.ndarray, alpha: float, ro
     return ids, rank
 
 
+def vector_ranks(v: np.ndarray, threshold: float, alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> np.ndarray:
+    """The rank of each of a group's vectors of length 1 in the graph of ``similarity_edges``, 0 for those without an edge."""
+    import numpy as np
+
+    v, out = v.astype(np.float64), np.zeros(len(v))
+    if len(v) < 2:
+        return out
+    x, y, w = _products(v, v, lambda p: p > threshold)
+    once = x < y
+    if once.any():
+        ids, rank = _rank(x[once], y[once], w[once], alpha, rounds, tolerance)
+        out[ids] = rank
+    return out
+
+
 def pagerank_by_group(edges: DataFrame, group: str = "label", alpha: float = 0.85, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:
     """(group, node, rank) of undirected weighted graphs, one a group, each small enough for a task."""
 
@@ -382,6 +397,16 @@ def boosted(chunks: DataFrame, group: str = "file_id", text: str = "text", impor
     return rows.withColumn(importance, F.when(F.col("_any"), F.col("_scaled")).otherwise(F.col(importance))).drop("_raised", "_any", "_scaled")
 
 
+def raised(importance: np.ndarray, boosts: np.ndarray) -> np.ndarray:
+    """``boosted`` for the nodes of one group."""
+    import numpy as np
+
+    if not (boosts > 0).any():
+        return importance
+    x = importance + boosts
+    return (x - x.min()) / (x.max() - x.min()) if x.max() > x.min() else np.ones(len(x))
+
+
 def density(edges: DataFrame, nodes: DataFrame, group: str) -> DataFrame:
     """(group, n_nodes, n_edges, density): share of possible edges, at most 1."""
     n = nodes.groupBy(group).agg(F.count("*").alias("n_nodes"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from typing import TYPE_CHECKING
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from weftline.functions import numbers as num, text as tx
@@ -10,6 +13,12 @@ from weftline.staging import staged
 
 from .registry import admonitions_stripped
 
+if TYPE_CHECKING:
+    import numpy as np
+
+#: Chunks of a document whose vectors a task compares where they lie; documents of more go by rows, their vectors by blocks and their edges by joins.
+MOST_CHUNKS = 2048
+
 
 def packed_parts(parts: Column, budget: int, joiner: str = " ", extra: int = 0) -> Column:
     """Consecutive parts joined into chunks of at most ``budget`` tokens; a larger part is a chunk of its own."""
@@ -50,11 +59,14 @@ def uses_headings(text: Column) -> Column:
     return (F.regexp_count(text, F.lit(r"(?m)^#{2,3} ")) >= 2) | (F.regexp_count(text, F.lit(r"(?m)^#{1,3} ")) >= 3)
 
 
+def chunk_parts(text: Column, budget: int = 512) -> Column:
+    """The chunks of a text, by headings where it has them, else by paragraphs and sentences."""
+    return F.when(uses_headings(text), heading_chunks(text, budget)).otherwise(paragraph_chunks(text, budget))
+
+
 def chunk_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", budget: int = 512) -> DataFrame:
     """(file_id, position, text, tokens, heading_level, heading_text) by headings where a text has them, else by paragraphs and sentences."""
-    body = F.col(text)
-    parts = F.when(uses_headings(body), heading_chunks(body, budget)).otherwise(paragraph_chunks(body, budget))
-    rows = docs.select(F.col(id_col).alias("file_id"), F.posexplode(parts).alias("position", "text"))
+    rows = docs.select(F.col(id_col).alias("file_id"), F.posexplode(chunk_parts(F.col(text), budget)).alias("position", "text"))
     return rows.select("file_id", "position", "text", tx.token_count(F.col("text")).alias("tokens"), tx.heading_level(F.col("text")).alias("heading_level"), tx.heading_text(F.col("text")).alias("heading_text"))
 
 
@@ -78,23 +90,32 @@ def hash_embedding(text: Column, size: int = 64) -> Column:
     return F.transform(counts, lambda v: F.when(length > 0, v / length).otherwise(v))
 
 
+def vectors(texts: list[str | None], size: int = 64) -> np.ndarray:
+    """The texts' words counted into hash buckets, a row a text, scaled to length 1."""
+    import zlib
+
+    import numpy as np
+
+    at: dict[str, int] = {}  # a word's place is found once
+    places, counts = [], []
+    for t in texts:
+        words = (t or "").lower().split()
+        for w in set(words).difference(at):
+            at[w] = zlib.crc32(w.encode()) % size
+        places.extend([at[w] for w in words])
+        counts.append(len(words))
+    row = np.repeat(np.arange(len(texts)), counts)
+    v = np.bincount(row * size + np.array(places, dtype=np.int64), minlength=len(texts) * size).reshape(-1, size).astype(np.float32)
+    length = np.array([np.linalg.norm(x) for x in v], dtype=np.float32).reshape(-1, 1)
+    return v / np.where(length > 0, length, np.float32(1))
+
+
 def embed(chunks: DataFrame, size: int = 64, text: str = "text") -> DataFrame:
     """``chunks`` with an ``embedding`` of hashed words; Arrow-batched, since it is a loop over words."""
-    import numpy as np
 
     @F.pandas_udf("array<float>")
     def vector(texts: pd.Series) -> pd.Series:
-        import zlib
-
-        out, at = [], {}  # a word's place is found once a batch
-        for t in texts:
-            words = (t or "").lower().split()
-            for w in set(words).difference(at):
-                at[w] = zlib.crc32(w.encode()) % size
-            v = np.bincount([at[w] for w in words], minlength=size).astype(np.float32) if words else np.zeros(size, dtype=np.float32)
-            n = float(np.linalg.norm(v))
-            out.append(v / n if n else v)
-        return pd.Series(out)
+        return pd.Series(list(vectors(list(texts), size)))
 
     return chunks.withColumn("embedding", vector(F.col(text)))
 
@@ -122,18 +143,16 @@ def bands(chunks: DataFrame, group: str = "file_id", importance: str = "importan
     return rows.withColumn("band", F.when(F.col("rank") <= main, "main").when(F.col("rank") <= main + aux, "auxiliary").otherwise("rest")).drop("n")
 
 
-def mmr_order(pdf: pd.DataFrame, k: int, penalty: float) -> list[int]:
-    """Rows of ``pdf`` (v, imp, rel, prio) in the order of picking, ``k`` at most: greedy by hybrid score less the likeness to what is picked."""
+def mmr_order(v: np.ndarray, imp: np.ndarray, rel: np.ndarray, prio: np.ndarray, k: int, penalty: float) -> list[int]:
+    """Rows of ``v`` in the order of picking, ``k`` at most: greedy by hybrid score less the likeness to what is picked."""
     import numpy as np
 
-    v = np.array(pdf.v.tolist(), dtype=float)
     v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
-    def scaled(x: pd.Series) -> np.ndarray:
-        x = x.to_numpy(float)
+    def scaled(x: np.ndarray) -> np.ndarray:
         return (x - x.min()) / (x.max() - x.min()) if x.max() > x.min() else np.ones(len(x))
 
-    base = 0.25 * scaled(pdf.imp) + 0.55 * scaled(pdf.rel) + 0.20 * scaled(pdf.prio)
+    base = 0.25 * scaled(imp) + 0.55 * scaled(rel) + 0.20 * scaled(prio)
     most, free, order = None, np.ones(len(v), bool), []
     for _ in range(min(k, len(v))):
         at = int(np.argmax(np.where(free, base if most is None else base - penalty * most, -np.inf)))
@@ -147,8 +166,10 @@ def mmr(nodes: DataFrame, k: int, group: str = "label", id_col: str = "vec_id",
     """(group, id, pick): greedy picks of .25 importance + .55 relevance + .20 priority, each stretched to 0..1, less the likeness to what is picked."""
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
         pdf = pdf.sort_values("id").reset_index(drop=True)
-        order = mmr_order(pdf, k, penalty)
+        order = mmr_order(np.array(pdf.v.tolist(), dtype=float), *(pdf[c].to_numpy(float) for c in ("imp", "rel", "prio")), k, penalty)
         return pd.DataFrame({"grp": pdf.grp.iloc[0], "id": pdf.id.to_numpy()[order], "pick": range(1, len(order) + 1)})
 
     kind = nodes.schema[group].dataType.simpleString()
@@ -169,21 +190,29 @@ def modulate(chunks: DataFrame, level: str, text: str = "text") -> DataFrame:
     return chunks.withColumn("rendered", forms[level.upper()])
 
 
-def rendered(selected: DataFrame, group: str = "file_id", order: str = "position", text: str = "text", tokens: str = "tokens") -> DataFrame:
-    """One row a document from chunks with ``kept``: counts, ratio and the skeleton text in document order."""
-    line = F.concat(F.lit("["), F.col(order).cast("string"), F.lit("] "), tx.summary(F.col(text)))
+def node_line(position: Column, text: Column) -> Column:
+    """A chunk's line of a skeleton."""
+    return F.concat(F.lit("["), position.cast("string"), F.lit("] "), tx.summary(text))
+
+
+def finished(done: DataFrame) -> DataFrame:
+    """Rows with total_nodes, anchor_nodes, total_tokens and ``lines`` with the skeleton's text, tokens and ratio in place of the lines."""
+    hidden = F.col("total_nodes") - F.col("anchor_nodes")
+    full = F.concat(F.array_join("lines", "\n"), F.when(hidden > 0, F.format_string("\n(%d hidden)", hidden)).otherwise(""))
+    out = done.withColumn("skeleton_text", full).drop("lines").withColumn("skeleton_tokens", tx.token_count(F.col("skeleton_text")))
+    return out.withColumn("compression_ratio", F.round(F.col("total_tokens") / F.greatest(F.col("skeleton_tokens"), F.lit(1)), 4))
+
+
+def rendered(selected: DataFrame, group: str = "file_id", order: str = "position", text: str = "text", tokens: str = "tokens", more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row a document from chunks with ``kept``: counts, ``more`` aggregates, ratio and the skeleton text in document order."""
     done = selected.groupBy(group).agg(
         F.count("*").alias("total_nodes"),
         F.sum(F.col("kept").cast("int")).alias("anchor_nodes"),
         F.sum(tokens).alias("total_tokens"),
-        F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct(F.col(order).alias("o"), line.alias("line"))))).alias("lines"),
+        *more,
+        F.array_sort(F.collect_list(F.when(F.col("kept"), F.struct(F.col(order).alias("o"), node_line(F.col(order), F.col(text)).alias("line"))))).alias("lines"),
     )
-    body = F.array_join(F.transform("lines", lambda x: x["line"]), "\n")
-    hidden = F.col("total_nodes") - F.col("anchor_nodes")
-    full = F.concat(body, F.when(hidden > 0, F.format_string("\n(%d hidden)", hidden)).otherwise(""))
-    out = done.select(group, "total_nodes", "anchor_nodes", "total_tokens", full.alias("skeleton_text"))
-    out = out.withColumn("skeleton_tokens", tx.token_count(F.col("skeleton_text")))
-    return out.withColumn("compression_ratio", F.round(F.col("total_tokens") / F.greatest(F.col("skeleton_tokens"), F.lit(1)), 4))
+    return finished(done.withColumn("lines", F.transform("lines", lambda x: x["line"])))
 
 
 def adjacent_drops(rows: DataFrame, threshold: float = 0.92, group: str = "file_id", order: str = "position", text: str = "text", embedding: str = "embedding") -> DataFrame:
@@ -235,20 +264,74 @@ def anchor_text(text: Column, budget: int) -> Column:
     return F.aggregate(sized, start, take, lambda a: F.array_join(a["kept"], " "))
 
 
-def flagship(docs: DataFrame, ratio: float = 0.2, threshold: float = 0.25) -> DataFrame:
+def flagship(docs: DataFrame, ratio: float = 0.2, threshold: float = 0.25, most: int = MOST_CHUNKS) -> DataFrame:
     """Skeletons: sentence-packed chunks, hashed embeddings, similarity graph, PageRank, boosts, top chunks, one row a document.
 
-    Chunks and vectors are made once and staged; the graph reads the vectors only, the selection the texts only.
+    Documents of at most ``most`` chunks stay in their rows from text to skeleton; the others are chunked into rows.
     """
-    return rendered(select_top(scored_chunks(docs, threshold), ratio))
+    rows = scored_documents(docs, threshold, most)
+    order = F.array_sort(F.transform("scored.importance", lambda x, i: F.struct((-x).alias("less"), i.alias("i"))))
+    best = F.transform(F.slice(order, F.lit(1), F.greatest(F.lit(1), F.floor(F.size("parts") * F.lit(ratio)).cast("int"))), lambda x: x["i"])
+    rows = rows.withColumn("kept", F.array_sort(best))
+    done = rows.select(
+        "file_id", F.size("parts").cast("long").alias("total_nodes"), F.size("kept").cast("long").alias("anchor_nodes"),
+        F.aggregate("tokens", F.lit(0).cast("long"), lambda a, t: a + t).alias("total_tokens"), F.transform("kept", lambda i: node_line(i, F.get("parts", i))).alias("lines"),
+    )
+    done, large = finished(done), large_documents(docs, most)
+    return done if large is None else done.unionByName(rendered(select_top(scored_chunks(large, threshold), ratio)))
 
 
 def scored_chunks(docs: DataFrame, threshold: float = 0.25) -> DataFrame:
-    """Staged sentence-packed chunks of documents with hashed vectors and their boosted PageRank as importance."""
+    """Staged sentence-packed chunks of documents with hashed vectors and their boosted PageRank as importance: for documents of any size."""
     from weftline.operators import graph as g
 
     chunks = staged(embed(chunk_documents(docs, budget=64)).withColumn("id", F.col("position").cast("long")), "chunks")
     edges = g.similarity_edges(chunks, threshold, group="file_id", id_col="id")
-    ranks = g.pagerank_by_group(edges, "file_id").select("file_id", F.col("node").alias("id"), "rank")
+    ranks = g.pagerank_of_groups(edges, "file_id").select("file_id", F.col("node").alias("id"), "rank")
     scored = chunks.join(ranks, ["file_id", "id"], "left").withColumn("importance", F.coalesce("rank", F.lit(0.0)))
     return g.boosted(scored)
+
+
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` dealt anew if they lie in fewer partitions than tasks run at once: only where there are few bytes."""
+    n = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(4 * n) if docs.rdd.getNumPartitions() < n else docs
+
+
+def scored_documents(docs: DataFrame, threshold: float = 0.25, most: int = MOST_CHUNKS, keep: tuple[str, ...] = (), with_vectors: bool = False) -> DataFrame:
+    """``scored_chunks`` as a row a document, without an exchange: (file_id, keep, parts, tokens, scored), for documents of 1 to ``most`` chunks.
+
+    ``scored`` holds the chunks' importance and, if asked for, their vectors as the bytes of floats, one after the other.
+    """
+    from weftline.operators import graph as g
+
+    @F.arrow_udf("importance array<double>, vectors binary")
+    def scored(parts: pa.Array, boosts: pa.Array) -> pa.Array:
+        import numpy as np
+
+        ends = np.concatenate([[0], np.cumsum(parts.value_lengths().to_numpy(zero_copy_only=False))])
+        v, up = vectors(parts.flatten().to_pylist()), boosts.flatten().to_numpy(zero_copy_only=False)
+        found = [(a, b, v[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        importance = [g.raised(g.vector_ranks(x, threshold), up[a:b]) for a, b, x in found]
+        offsets = pa.array(ends, pa.int32())
+        values = pa.array(np.concatenate(importance) if importance else np.zeros(0), pa.float64())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(offsets, values), pa.array([x.tobytes() if with_vectors else None for *_, x in found], pa.binary())], ["importance", "vectors"])
+
+    rows = spread(docs.select("doc_id", "text", *keep))
+    made = F.explode(F.array(chunk_parts(F.col("text"), 64)))  # made once, however many columns are made of it
+    rows = rows.select(F.col("doc_id").alias("file_id"), *keep, made.alias("parts")).filter(F.size("parts").between(1, most))
+    rows = rows.withColumns({"tokens": F.transform("parts", tx.token_count), "boosts": F.transform("parts", g.boost)})
+    return rows.withColumn("scored", scored("parts", "boosts")).drop("boosts")
+
+
+def large_documents(docs: DataFrame, most: int = MOST_CHUNKS) -> DataFrame | None:
+    """The documents of more than ``most`` chunks, None if there are none.
+
+    Two chunks in a row hold over 64 tokens, so at least 50 words, but for those that a heading parts; where sentences end without a space, one word is
+    several. Only texts that may be cut into so many by their words and headings are chunked to be counted.
+    """
+    body = F.col("text")
+    words = tx.word_count(body) + F.regexp_count(body, F.lit("[。！？]"))
+    may = (F.length(body) > 3 * most) & (words / 25 + F.regexp_count(body, F.lit(r"(?m)^#{2,3} ")) + 1 > most)
+    large = docs.filter(may).filter(F.size(chunk_parts(body, 64)) > most)
+    return None if large.isEmpty() else large
